@@ -1,0 +1,15 @@
+"""The op queries: each applies one operator, with production parameters, to its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodeframe.llm.common import read_table
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodeframe.llm.tokens import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
