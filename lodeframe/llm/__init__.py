@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lodeframe.llm import queries as q
+    from lodeframe.llm import registry as q
 
     return {name: f for name, f in vars(q).items() if name.startswith("op") and name[2].isdigit()}
 
