@@ -1,3 +1,30 @@
 """DuckDB SQL for the op queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_url_verdicts": r"""
+WITH cut AS (
+  SELECT page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages
+), parts AS (
+  SELECT page_id, url,
+         translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), keyed AS (
+  SELECT *, regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '') AS canon FROM parts
+), listed AS (
+  SELECT canon FROM keyed WHERE canon <> '' GROUP BY canon HAVING count(DISTINCT url) >= 2
+), rules(action, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+)
+SELECT k.page_id, k.host, k.path, r.rhost || r.rpath AS rule,
+       coalesce(r.action,
+                CASE WHEN k.host <> '' AND k.canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM keyed k LEFT JOIN LATERAL (
+  SELECT action, rhost, rpath FROM rules
+  WHERE (k.host = rhost OR ends_with(k.host, '.' || rhost)) AND starts_with(k.path, rpath)
+  ORDER BY length(rhost || rpath) DESC LIMIT 1
+) r ON true
+""",
+}

@@ -13,3 +13,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.tokens import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: (action, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed URLs: the canonical URLs that `pages` holds under two or more raw URLs."""
+    from lodeframe.llm.urlfilter import crawl_traps, judge_urls
+
+    pages = read_table(spark, sf_dir, "pages")
+    return judge_urls(pages, URL_RULES, crawl_traps(pages))
