@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeframe.llm.common import read_table
 
@@ -31,3 +32,27 @@ def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = read_table(spark, sf_dir, "pages")
     return judge_urls(pages, URL_RULES, crawl_traps(pages))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.decontaminate import contamination
+
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate(
+        F.zip_with("ends", "begins", lambda e, b: e - b), F.lit(0).cast("bigint"), lambda a, n: a + n
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        "longest",
+    )
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"))
