@@ -19,9 +19,9 @@ from lodeframe.llm.common import stage
 
 #: Parts that the documents of one length are dealt over, so that none is ranked as a whole.
 SALTS = 64
-#: Lengths that the dynamic programme may use at most, and the largest budget it solves exactly.
+#: Lengths that the dynamic programme uses at most, and the mean lengths it is left to fill.
 DP_LENGTHS = 96
-DP_BUDGET = 400_000
+SLACK = 24
 
 
 def word_count(text: Column) -> Column:
@@ -51,15 +51,16 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
         .withColumn("__capped", F.coalesce(F.sum("__cap").over(before), F.lit(0.0)))
         .withColumn("__gone", F.coalesce(F.sum("__w").over(before), F.lit(0.0)))
     )
-    # the level if exactly the sources before this one are capped; it grows until the right one
+    # the level if exactly the sources before this one are capped; the first that holds is right
     level = (F.col("__all") - F.col("__capped")) / (F.col("__weights") - F.col("__gone"))
-    by = by.withColumn("__level", F.when(level * F.col("__w") <= F.col("__cap"), level))
-    found = F.min("__level").over(everything)
+    by = by.withColumn("__n", F.row_number().over(full)).withColumn("__level", level)
+    by = by.withColumn("__fits", F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.struct("__n", "__level")))
+    found = F.min("__fits").over(everything)["__level"]
     target = F.when(found.isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), found * F.col("__w")))
     return by.select("source", "source_size", target.alias("target"))
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, tolerance: int = 0) -> np.ndarray:
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take so that the sum is as near below `budget` as can be.
 
     Bounded: at most counts[i] of lengths[i]. Reachable sums are bits of an integer; each length
@@ -90,36 +91,40 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, tolerance: in
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Documents to take of each (distinct, positive) length so that the words come to `budget`.
+    """Documents to take of each (distinct, positive, rising) length so that their words come to
+    `budget`.
 
-    First floor(share * count) of every length, which leaves less than the sum of the lengths that
-    have documents left; then single documents, longest first, until the rest is small enough for
-    the exact programme over the lengths that are still to be had.
+    Every length gives its share of documents, rounded along the running sum, so the words differ
+    from the budget by less than the longest length. Single documents are then put back or added
+    until the rest is SLACK mean lengths or a little more, and the exact programme fills that rest
+    from the lengths that still have documents.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (max(budget, 0) / max(total, 1))).astype(np.int64)
+    budget = max(budget, 0)
+    take = np.diff(np.floor(np.cumsum(counts * (budget / total)) + 1e-9).astype(np.int64), prepend=0)
+    take = np.minimum(take, counts)
     rest = budget - int((take * lengths).sum())
-    if rest > DP_BUDGET:
-        for i in np.argsort(-lengths, kind="stable"):
-            while rest - lengths[i] > DP_BUDGET // 2 and take[i] < counts[i]:
-                n = min(counts[i] - take[i], (rest - DP_BUDGET // 2) // lengths[i])
-                if n <= 0:
-                    break
-                take[i] += n
-                rest -= int(n * lengths[i])
+    slack = min(budget, SLACK * max(1, total // int(counts.sum())))
+    for i in np.argsort(lengths, kind="stable"):
+        if rest >= slack:
+            break
+        n = min(int(take[i]), -(-(slack - rest) // int(lengths[i])))
+        take[i] -= n
+        rest += n * int(lengths[i])
+    for i in np.argsort(-lengths, kind="stable"):
+        n = min(int(counts[i] - take[i]), (rest - slack) // int(lengths[i]))
+        if n > 0:
+            take[i] += n
+            rest -= n * int(lengths[i])
     free = np.flatnonzero((counts > take) & (lengths <= rest))
-    if len(free):
-        # evenly over the lengths, with the shortest ones always among them
-        some = free[np.argsort(lengths[free], kind="stable")]
-        if len(some) > DP_LENGTHS:
-            half = DP_LENGTHS // 2
-            spread = np.unique(np.linspace(half, len(some) - 1, half).astype(int))
-            some = np.concatenate([some[:half], some[spread]])
-        some = some[::-1]
-        if rest <= 2 * DP_BUDGET:
-            take[some] += knapsack(lengths[some], (counts - take)[some], int(rest))
+    if len(free) > DP_LENGTHS:
+        # the shortest ones, and the others evenly
+        half = DP_LENGTHS // 2
+        free = free[np.unique(np.concatenate([np.arange(half), np.linspace(half, len(free) - 1, half).astype(int)]))]
+    free = free[::-1]
+    take[free] += knapsack(lengths[free], (counts - take)[free], rest)
     return take
 
 
