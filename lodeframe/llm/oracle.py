@@ -26,5 +26,18 @@ FROM keyed k LEFT JOIN LATERAL (
   WHERE (k.host = rhost OR ends_with(k.host, '.' || rhost)) AND starts_with(k.path, rpath)
   ORDER BY length(rhost || rpath) DESC LIMIT 1
 ) r ON true
+""",
+    "op10_warc_round_trip": r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT d.page_id, payload_bytes, d.payload_digest,
+       CASE WHEN d.page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 100
 """,
 }

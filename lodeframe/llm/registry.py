@@ -56,3 +56,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.mixing import mix
 
     return mix(read_table(spark, sf_dir, "documents"))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.warc import archive_pages, read_archives
+
+    capture = archive_pages(read_table(spark, sf_dir, "pages"))
+    return read_archives(capture).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
