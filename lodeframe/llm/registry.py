@@ -63,3 +63,9 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     capture = archive_pages(read_table(spark, sf_dir, "pages"))
     return read_archives(capture).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
