@@ -69,3 +69,9 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.neardup import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.quality import score_quality
+
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
