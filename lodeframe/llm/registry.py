@@ -75,3 +75,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.quality import score_quality
 
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.toxicity import score_toxicity
+
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
