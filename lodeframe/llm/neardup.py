@@ -25,6 +25,8 @@ from lodeframe.llm.common import LOWER, by_bytes, mix64, stage, utf8_texts
 BATCH_BYTES = 4 << 20
 #: Members of a bucket that are compared as one block.
 BLOCK = 256
+#: Shingles of such a block.
+BLOCK_SHINGLES = 150_000
 #: 64-bit words of the bitmap that keeps documents without candidates out of the shuffle.
 ID_WORDS = 1 << 18
 
@@ -191,18 +193,21 @@ def _sets(docs: DataFrame, needed: np.ndarray, id_col: str, text_col: str, p: Pa
     return hashed.filter("id is not null").mapInArrow(run, schema)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
+    """(id, set) of the ids, and of the few others that share their bits of the bitmap."""
+    return stage(_sets(docs, _needed(ids), id_col, text_col, p), "neardup-sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """The pairs (x, y) whose full sets meet the threshold. A set that is shared by many pairs is
     y's: x's sets travel to it, and only the documents that stand in pairs are shuffled at all."""
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    sets = stage(_sets(docs, _needed(ids), id_col, text_col, p), "neardup-sets")
     one = sets.dropDuplicates(["id", "set"])
     both = (
         pairs.join(one.withColumnsRenamed({"id": "x", "set": "a"}), "x")
         .join(one.withColumnsRenamed({"id": "y", "set": "b"}), "y")
         .select("x", "y", "a", "b")
     )
-    id_type = docs.schema[id_col].dataType
+    id_type = pairs.schema["x"].dataType
     schema = T.StructType([T.StructField("x", id_type), T.StructField("y", id_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,48 +256,150 @@ def components(links: DataFrame, tag: str = "components", rounds: int = 50) -> D
     return star.union(star.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """Pairs of one bucket whose components differ and whose sketches are near.
-
-    Only buckets with more than one component count. Their members go in blocks of about BLOCK, and
-    block meets block: tasks get two bounded blocks, however many members a bucket has.
+def _columns(rows: pa.Array, p: Params) -> dict[str, np.ndarray]:
+    """A block's rows: id, comp, keys (n x bands) and sketch (n x words)."""
+    f = dict(zip([c.name for c in rows.type], rows.flatten(), strict=True))
+    return {
+        "id": f["id"].to_numpy(zero_copy_only=False),
+        "comp": f["comp"].to_numpy(zero_copy_only=False),
+        "keys": f["keys"].flatten().to_numpy().reshape(-1, p.bands),
+        "sketch": np.stack([f[f"s{i}"].to_numpy() for i in range(p.sketch_words)], 1).view(np.uint64),
+    }
+
+
+def _open_pairs(left: dict, right: dict, key: int, same: bool, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two blocks of the bucket `key` that are still to be confirmed: different
+    components, near sketches, and no earlier band that also has them together."""
+    differ = np.zeros((len(left["id"]), len(right["id"])), np.uint16)
+    for w in range(p.sketch_words):
+        differ += np.bitwise_count(left["sketch"][:, w, None] ^ right["sketch"][None, :, w])
+    near = (differ <= p.max_xor) & (left["comp"][:, None] != right["comp"][None, :])
+    if same:
+        near &= np.tri(len(left["id"]), k=-1, dtype=bool)
+    i, j = np.nonzero(near)
+    equal = left["keys"][i] == right["keys"][j]
+    mine = left["keys"][i, equal.argmax(1)] == key if len(i) else np.zeros(0, bool)
+    return i[mine], j[mine]
+
+
+def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(members, work) for what the leaders left open.
+
+    Only buckets with more than one component count. Their members go in blocks of bounded rows
+    and shingles (members: key, block, id, comp, keys, sketch), and block meets block. work: pairs
+    (x, y) where two blocks have few open ones, else one row (key, a, b) for the whole block pair,
+    whose open pairs are then confirmed side by side and never become rows.
     """
     words = [f"s{i}" for i in range(p.sketch_words)]
-    known = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    known = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(nodes, "id")
     mixed = (
-        known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "size")
+        known.groupBy("key")
+        .agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .filter("lo <> hi")
+        .select("key", F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("bulk") / F.lit(BLOCK_SHINGLES))).alias("parts"))
     )
-    blocks = (
-        known.join(mixed, "key")
-        .join(nodes.select("id", *words), "id")
-        .withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("size") / F.lit(BLOCK))).cast("int"))
-        .groupBy("key", "block")
-        .agg(F.collect_list(F.struct("id", "comp", *words)).alias("rows"))
+    members = stage(
+        known.join(mixed, "key").select("key", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("block"), "id", "comp", "keys", *words),
+        "neardup-members",
     )
+    blocks = members.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words)).alias("rows"))
     blocks = stage(blocks, "neardup-blocks")
     a, b = blocks.alias("a"), blocks.alias("b")
     meet = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block"))).select(
-        F.col("a.rows").alias("left"), F.col("b.rows").alias("right")
+        "a.key", F.col("a.block").alias("a"), F.col("b.block").alias("b"), F.col("a.rows").alias("left"), F.when(F.col("a.block") < F.col("b.block"), F.col("b.rows")).alias("right")
     )
     id_type = nodes.schema["id"].dataType
+    schema = T.StructType(
+        [T.StructField("x", id_type), T.StructField("y", id_type), T.StructField("key", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys, dense = [], [], []
+            for key, at, bt, left, right in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), strict=True):
+                m = _columns(left.values, p)
+                o = m if at == bt else _columns(right.values, p)
+                i, j = _open_pairs(m, o, key, at == bt, p)
+                if len(i) > 2 * (len(m["id"]) + len(o["id"])):
+                    dense.append((key, at, bt))
+                else:
+                    xs.append(np.maximum(m["id"][i], o["id"][j]))
+                    ys.append(np.minimum(m["id"][i], o["id"][j]))
+            n = sum(map(len, xs))
+            pairs = [pa.array(np.concatenate(v) if v else [], batch.column(3).type.value_type.field("id").type) for v in (xs, ys)]
+            if n:
+                yield pa.RecordBatch.from_arrays([*pairs, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=schema.names)
+            if dense:
+                k = len(dense)
+                cols = [pa.array(c, t) for c, t in zip(zip(*dense, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pairs[0].type), pa.nulls(k, pairs[0].type), *cols], names=schema.names)
+
+    return members, stage(meet.mapInArrow(run, schema), "neardup-work")
+
+
+def _links_of_pair(left: dict, right: dict, sets: tuple[list[np.ndarray], list[np.ndarray]], i: np.ndarray, j: np.ndarray, p: Params) -> list[tuple[int, int]]:
+    """Links among the open pairs that connect what is not connected yet: a row's open partners
+    are intersected at once, and partners that a link has joined to it meanwhile are passed over."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else i
+    for at, end in zip(starts, [*starts[1:], len(i)], strict=True):
+        x = int(i[at])
+        mine = sets[0][x]
+        own = root(int(left["comp"][x]))
+        some = [int(k) for k in j[at:end] if root(int(right["comp"][k])) != own]
+        some = [k for k in some if 100 * min(len(mine), len(sets[1][k])) >= p.percent * max(len(mine), len(sets[1][k]))]
+        if not some:
+            continue
+        lengths = np.array([len(sets[1][k]) for k in some])
+        every = np.concatenate([sets[1][k] for k in some])
+        found = np.searchsorted(mine, every)
+        found[found == len(mine)] = 0
+        shared = np.add.reduceat((mine[found] == every).astype(np.int64), np.cumsum(lengths) - lengths)
+        for k in np.flatnonzero(100 * shared >= p.percent * (len(mine) + lengths - shared)):
+            c, d = root(int(left["comp"][x])), root(int(right["comp"][some[k]]))
+            if c != d:
+                parent[max(c, d)] = min(c, d)
+                out.append((int(left["id"][x]), int(right["id"][some[k]])))
+    return out
+
+
+def _confirm_blocks(members: DataFrame, dense: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links (x, y) of the block pairs in `dense` (key, a, b), confirmed on full sets."""
+    words = [f"s{i}" for i in range(p.sketch_words)]
+    used = dense.select("key", F.col("a").alias("block")).union(dense.select("key", "b")).distinct()
+    rows = members.join(used, ["key", "block"]).join(sets.dropDuplicates(["id"]), "id")
+    blocks = rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words, "set")).alias("rows"))
+    meet = dense.join(blocks.select("key", F.col("block").alias("a"), F.col("rows").alias("left")), ["key", "a"]).join(
+        blocks.select("key", F.col("block").alias("b"), F.col("rows").alias("right")), ["key", "b"]
+    )
+    id_type = members.schema["id"].dataType
     schema = T.StructType([T.StructField("x", id_type), T.StructField("y", id_type)])
 
-    def columns(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        f = dict(zip([c.name for c in rows.type], rows.flatten(), strict=True))
-        return f["id"].to_numpy(zero_copy_only=False), f["comp"].to_numpy(zero_copy_only=False), np.stack([f[w].to_numpy() for w in words], 1).view(np.uint64)
+    def held(rows: pa.Array) -> list[np.ndarray]:
+        column = rows.field(rows.type.get_field_index("set")) if rows.offset == 0 else rows.flatten()[rows.type.get_field_index("set")]
+        return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                (ia, ca, sa), (ib, cb, sb) = columns(left.values), columns(right.values)
-                differ = np.zeros((len(ia), len(ib)), np.uint16)
-                for w in range(p.sketch_words):
-                    differ += np.bitwise_count(sa[:, w, None] ^ sb[None, :, w])
-                i, j = np.nonzero((differ <= p.max_xor) & (ca[:, None] != cb[None, :]))
-                x, y = np.maximum(ia[i], ib[j]), np.minimum(ia[i], ib[j])
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+            for key, at, bt, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b")), batch.column("left"), batch.column("right"), strict=True):
+                m, o = _columns(left.values, p), _columns(right.values, p)
+                i, j = _open_pairs(m, o, key, False, p)
+                if at == bt:
+                    once = m["id"][i] > o["id"][j]
+                    i, j = i[once], j[once]
+                links = _links_of_pair(m, o, (held(left.values), held(right.values)), i, j, p)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, batch.column("left").type.value_type.field("id").type) for c in zip(*links, strict=True)], names=["x", "y"])
 
-    return meet.mapInArrow(run, schema).distinct()
+    return meet.select("key", "a", "b", "left", "right").repartition(F.xxhash64("key", "a", "b")).mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
@@ -323,10 +430,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars.join(side.alias("a"), F.col("x") == F.col("a.id")).join(side.alias("b"), (F.col("y") == F.col("b.id"))).filter(_near("a", "b", p)).select("x", "y")
     )
     first = stage(first, "neardup-pairs")
-    links = stage(_confirm(first, docs, id_col, text_col, p), "neardup-links")
+    ids = lambda df: df.select(F.col("x").alias("id")).union(df.select("y"))
+    links = stage(_confirm(first, _sets_of(docs, ids(first), id_col, text_col, p), p), "neardup-links")
     comp = stage(components(links), "neardup-comp")
-    rest = stage(_leftovers(buckets.select("key", "id"), comp, nodes, p).join(first, ["x", "y"], "left_anti"), "neardup-rest")
-    more = _confirm(rest, docs, id_col, text_col, p)
+    members, work = _leftovers(buckets.select("key", "id"), comp, nodes, p)
+    rest, dense = work.filter("x is not null").select("x", "y"), work.filter("x is null").select("key", "a", "b")
+    in_dense = members.join(dense.select("key", F.col("a").alias("block")).union(dense.select("key", "b")).distinct(), ["key", "block"]).select("id")
+    sets2 = _sets_of(docs, ids(rest).union(in_dense), id_col, text_col, p)
+    more = _confirm(rest, sets2, p).union(_confirm_blocks(members, dense, sets2, p))
     final = components(links.union(more).union(exact))
     done = rows.join(final.select(F.col("id").alias("__id"), "comp"), rows["id"] == F.col("__id"), "left")
     comp_id = F.coalesce("comp", "id")
