@@ -81,3 +81,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.toxicity import score_toxicity
 
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.rules import quality_rules
+
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
