@@ -87,3 +87,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.rules import quality_rules
 
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeframe.llm.maxent import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"))
