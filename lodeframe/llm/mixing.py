@@ -137,14 +137,16 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per row of `docs`: id, size, source_size, target, taken (a multiple of size).
+    """One row per row of `docs`: id, size, source_size, target, taken (a multiple of size), and
+    with `carry` the whole row as the struct `row`.
 
     size is the number of words (null or empty text: 0; such a document is never taken).
     A document is taken 0 to `cap` times. Per source the taken words are its target up to the
     nearest sum that the lengths allow. A null source is a source of its own. Repeated rows are
     documents of their own; if rows share id and length, which of them is taken is not defined,
-    the multiset of rows is. Reruns agree. Other columns are not read. No row gives no row.
+    the multiset of rows is. Reruns agree. Other columns are not read, but for `carry`. No row gives no row.
     """
     sizes = stage(
         docs.select(
@@ -152,6 +154,7 @@ def mix(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.lit(1)), F.lit(SALTS)).cast("int").alias("salt"),
+            *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
         ),
         "mix-sizes",
     )
@@ -218,6 +221,7 @@ def mix(
             "source_size",
             "target",
             (F.col("size") * (F.col("base") + extra)).alias("taken"),
+            *(["row"] if carry else []),
         )
 
     plain = shape(placed.filter(sure), F.when(F.col("quota") > 0, F.lit(1)).otherwise(F.lit(0)))
