@@ -267,9 +267,9 @@ def _columns(rows: pa.Array, p: Params) -> dict[str, np.ndarray]:
     }
 
 
-def _open_pairs(left: dict, right: dict, key: int, same: bool, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two blocks of the bucket `key` that are still to be confirmed: different
-    components, near sketches, and no earlier band that also has them together."""
+def _open_pairs(left: dict, right: dict, key: int | None, same: bool, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two blocks that are still to be confirmed: different components and near
+    sketches, and for blocks of the bucket `key` no earlier band that also has them together."""
     differ = np.zeros((len(left["id"]), len(right["id"])), np.uint16)
     for w in range(p.sketch_words):
         differ += np.bitwise_count(left["sketch"][:, w, None] ^ right["sketch"][None, :, w])
@@ -277,6 +277,8 @@ def _open_pairs(left: dict, right: dict, key: int, same: bool, p: Params) -> tup
     if same:
         near &= np.tri(len(left["id"]), k=-1, dtype=bool)
     i, j = np.nonzero(near)
+    if key is None:
+        return i, j
     equal = left["keys"][i] == right["keys"][j]
     mine = left["keys"][i, equal.argmax(1)] == key if len(i) else np.zeros(0, bool)
     return i[mine], j[mine]
@@ -287,8 +289,8 @@ def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params)
 
     Only buckets with more than one component count. Their members go in blocks of bounded rows
     and shingles (members: key, block, id, comp, keys, sketch), and block meets block. work: pairs
-    (x, y) where two blocks have few open ones, else one row (key, a, b) for the whole block pair,
-    whose open pairs are then confirmed side by side and never become rows.
+    (x, y) where two blocks have few open ones, else one row (key, a, b): a crowded block pair,
+    whose open pairs are confirmed side by side and never become rows.
     """
     words = [f"s{i}" for i in range(p.sketch_words)]
     known = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(nodes, "id")
@@ -371,35 +373,48 @@ def _links_of_pair(left: dict, right: dict, sets: tuple[list[np.ndarray], list[n
     return out
 
 
-def _confirm_blocks(members: DataFrame, dense: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Links (x, y) of the block pairs in `dense` (key, a, b), confirmed on full sets."""
+def _families(members: DataFrame, dense: DataFrame, nodes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs of blocks) of the crowded buckets, joined to families where they share
+    documents: the same near copies crowd together in many bands, and a family holds each once."""
     words = [f"s{i}" for i in range(p.sketch_words)]
-    used = dense.select("key", F.col("a").alias("block")).union(dense.select("key", "b")).distinct()
-    rows = members.join(used, ["key", "block"]).join(sets.dropDuplicates(["id"]), "id")
-    blocks = rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words, "set")).alias("rows"))
-    meet = dense.join(blocks.select("key", F.col("block").alias("a"), F.col("rows").alias("left")), ["key", "a"]).join(
+    crowd = members.join(dense.select("key", F.col("a").alias("block")).union(dense.select("key", "b")).distinct(), ["key", "block"]).select("key", "id", "comp")
+    crowd = stage(crowd, "neardup-crowd")
+    first = crowd.groupBy("key").agg(F.min("id").alias("y"))
+    family = components(crowd.join(first, "key").select(F.col("id").alias("x"), "y"), "neardup-families")
+    known = family.select("id", F.col("comp").alias("key")).join(crowd.select("id", "comp").distinct(), "id").join(nodes, "id")
+    parts = known.groupBy("key").agg(
+        F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts")
+    )
+    placed = known.join(parts, "key").select("key", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("block"), "id", "comp", "keys", *words)
+    pairs = parts.select("key", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a")).select("key", "a", F.explode(F.sequence("a", F.col("parts") - 1)).alias("b"))
+    return stage(placed, "neardup-placed"), pairs
+
+
+def _confirm_blocks(members: DataFrame, pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links (x, y) of the block pairs (key, a, b), confirmed on full sets."""
+    words = [f"s{i}" for i in range(p.sketch_words)]
+    rows = members.join(sets.dropDuplicates(["id"]), "id")
+    blocks = stage(rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words, "set")).alias("rows")), "neardup-families")
+    meet = pairs.join(blocks.select("key", F.col("block").alias("a"), F.col("rows").alias("left")), ["key", "a"]).join(
         blocks.select("key", F.col("block").alias("b"), F.col("rows").alias("right")), ["key", "b"]
     )
     id_type = members.schema["id"].dataType
     schema = T.StructType([T.StructField("x", id_type), T.StructField("y", id_type)])
 
     def held(rows: pa.Array) -> list[np.ndarray]:
-        column = rows.field(rows.type.get_field_index("set")) if rows.offset == 0 else rows.flatten()[rows.type.get_field_index("set")]
-        return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+        return [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.flatten()[rows.type.get_field_index("set")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, at, bt, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b")), batch.column("left"), batch.column("right"), strict=True):
+            for at, bt, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 m, o = _columns(left.values, p), _columns(right.values, p)
-                i, j = _open_pairs(m, o, key, False, p)
-                if at == bt:
-                    once = m["id"][i] > o["id"][j]
-                    i, j = i[once], j[once]
+                i, j = _open_pairs(m, o, None, at == bt, p)
                 links = _links_of_pair(m, o, (held(left.values), held(right.values)), i, j, p)
                 if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, batch.column("left").type.value_type.field("id").type) for c in zip(*links, strict=True)], names=["x", "y"])
+                    kind = left.values.type.field("id").type
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*links, strict=True)], names=["x", "y"])
 
-    return meet.select("key", "a", "b", "left", "right").repartition(F.xxhash64("key", "a", "b")).mapInArrow(run, schema)
+    return meet.select("a", "b", "left", "right").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
@@ -435,9 +450,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = stage(components(links), "neardup-comp")
     members, work = _leftovers(buckets.select("key", "id"), comp, nodes, p)
     rest, dense = work.filter("x is not null").select("x", "y"), work.filter("x is null").select("key", "a", "b")
-    in_dense = members.join(dense.select("key", F.col("a").alias("block")).union(dense.select("key", "b")).distinct(), ["key", "block"]).select("id")
-    sets2 = _sets_of(docs, ids(rest).union(in_dense), id_col, text_col, p)
-    more = _confirm(rest, sets2, p).union(_confirm_blocks(members, dense, sets2, p))
+    if dense.isEmpty():
+        more = _confirm(rest, _sets_of(docs, ids(rest), id_col, text_col, p), p)
+    else:
+        placed, pairs = _families(members, dense, nodes, p)
+        sets = _sets_of(docs, ids(rest).union(placed.select("id")), id_col, text_col, p)
+        more = _confirm(rest, sets, p).union(_confirm_blocks(placed, pairs, sets, p))
     final = components(links.union(more).union(exact))
     done = rows.join(final.select(F.col("id").alias("__id"), "comp"), rows["id"] == F.col("__id"), "left")
     comp_id = F.coalesce("comp", "id")
