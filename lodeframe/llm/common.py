@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,14 +82,13 @@ def by_bytes(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 
 def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(ids of all words one after another, words in each text, the distinct words)."""
-    index: dict[bytes, int] = {}
-    add = index.setdefault
+    index: dict[bytes, int] = defaultdict(itertools.count().__next__)
     lengths = np.empty(len(texts), np.int64)
     parts = []
     for i, text in enumerate(texts):
         words = text.split()
         lengths[i] = len(words)
-        parts.append(np.fromiter((add(w, len(index)) for w in words), np.int64, len(words)))
+        parts.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
     ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
     return ids, lengths, list(index)
 

@@ -12,6 +12,8 @@ blocks: each block asks once for each of its distinct tokens.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +30,8 @@ from lodeframe.llm.common import LOWER, by_bytes, fold, mix64, segment_sum, stag
 END = 0x5EED0E2D
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 12 << 20
+#: The largest weight.
+LIMIT = 8.0
 
 
 @dataclass(frozen=True)
@@ -40,8 +44,8 @@ class Params:
     top: int = 31
     shapes: int = 32
     rounds: int = 3
-    batch: int = 8192
-    rate: float = 0.3
+    batch: int = 2048
+    rate: float = 1.0
     folds: int = 7
     held: int = 2
 
@@ -61,20 +65,21 @@ class Tokens:
 
 
 def tokenize(texts: list[bytes], p: Params) -> Tokens:
-    import zlib
-
     import xxhash
 
-    index: dict[bytes, int] = {}
-    add, parts, count = index.setdefault, [], np.empty(len(texts), np.int64)
+    index: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
+    parts, count = [], np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
         words = text.translate(LOWER).split()
         own = np.zeros(len(words) + 1, np.int64)
-        own[:-1] = np.fromiter((add(w, len(index) + 1) for w in words), np.int64, len(words))
+        own[:-1] = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         parts.append(own)
         count[i] = len(own)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in index), np.uint64, len(index))
-    shape = np.fromiter((zlib.crc32(w[-2:]) % p.shapes for w in index), np.int64, len(index))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+    # the last two bytes of each word, from all words side by side; a blank stands before the first
+    flat = np.frombuffer(b"  " + b" ".join(index), np.uint8).astype(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, index), np.int64, len(index)) + 1)
+    shape = (flat[ends] * 37 + flat[ends - 1] * 11 + (flat[ends] >> 3)) % p.shapes if len(index) else ends
     return Tokens(
         np.concatenate(parts) if parts else np.empty(0, np.int64),
         count,
@@ -124,21 +129,27 @@ class Model:
             out = [mix64(one) % size, mix64(one * np.uint64(3) + two * np.uint64(5)) % size, mix64(two + np.uint64(7)) % size]
         return np.stack(out, 1).astype(np.int64)
 
-    def log_softmax(self, f: np.ndarray) -> np.ndarray:
-        z = self.weights[f[:, 0]] + self.weights[f[:, 1]]
-        z += self.weights[f[:, 2]]
+    def exp_logits(self, f: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+        """exp of every class's logit in `out`. Weights lie within LIMIT and biases are not above
+        0, so nothing overflows and no maximum has to be taken out."""
+        n = len(f)
+        z, t = out[:n], spare[:n]
+        np.take(self.weights, f[:, 0], axis=0, out=z, mode="clip")
+        for k in (1, 2):
+            np.take(self.weights, f[:, k], axis=0, out=t, mode="clip")
+            z += t
         z += self.bias
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
+        return np.exp(z, out=z)
 
     def class_scores(self, t: Tokens, cls: np.ndarray) -> np.ndarray:
         """log P(class | context) of every token, in batches of a bounded number of rows."""
         f, y, out = self.features_of(t), cls[t.ids], np.empty(len(t.ids))
+        z, spare = (np.empty((self.p.batch, self.p.classes), np.float32) for _ in range(2))
         for a in range(0, len(y), self.p.batch):
             b = min(a + self.p.batch, len(y))
-            out[a:b] = self.log_softmax(f[a:b])[np.arange(b - a), y[a:b]]
-        return out
+            e = self.exp_logits(f[a:b], z, spare)
+            out[a:b] = e[np.arange(b - a), y[a:b]] / e.sum(1)
+        return np.log(out)
 
     def in_class_scores(self, cls: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log P(token | class) of distinct tokens with corpus counts c."""
@@ -146,21 +157,26 @@ class Model:
         return np.where(cls <= len(self.top), 0.0, np.log(c + 1) - np.log(n + v + 1))
 
     def step(self, t: Tokens, square: np.ndarray) -> None:
-        """One pass of gradient steps over the texts; square: the sums of squared gradients by
-        which steps shrink."""
+        """One pass of gradient steps over the texts; square: the sum of squared gradients of each
+        weight row, by which its steps shrink."""
         f, y = self.features_of(t), self.classes_of(t)[t.ids]
+        z, spare = (np.empty((self.p.batch, self.p.classes), np.float32) for _ in range(2))
+        small = np.uint16 if self.p.features <= 1 << 16 else np.int64
         for a in range(0, len(y), self.p.batch):
             b = min(a + self.p.batch, len(y))
-            g = np.exp(self.log_softmax(f[a:b]))
+            g = self.exp_logits(f[a:b], z, spare)
+            g /= g.sum(1, keepdims=True)
             g[np.arange(b - a), y[a:b]] -= 1
             rows = f[a:b].ravel()
-            order = np.argsort(rows, kind="stable")
+            order = np.argsort(rows.astype(small), kind="stable")
             rows = rows[order]
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
             grad = np.add.reduceat(g[order // 3], first, axis=0)
             rows = rows[first]
-            square[rows] += grad * grad
-            self.weights[rows] -= self.p.rate * grad / np.sqrt(square[rows] + 1.0)
+            square[rows] += np.einsum("ij,ij->i", grad, grad)
+            grad *= (self.p.rate / np.sqrt(square[rows] + 1.0))[:, None]
+            self.weights[rows] -= grad
+        np.clip(self.weights, -LIMIT, LIMIT, out=self.weights)
 
 
 def _requests(blocked: DataFrame, p: Params) -> DataFrame:
@@ -270,7 +286,7 @@ def train(model: Model, docs: DataFrame, id_col: str, text_col: str, batch_bytes
                     if own is None:
                         base = sent.value
                         own = Model(p, base.weights.copy(), base.bias, base.top, base.in_class, base.n, base.v)
-                        square, seen = np.zeros_like(own.weights), np.zeros(p.features, np.float32)
+                        square, seen = np.zeros(p.features, np.float32), np.zeros(p.features, np.float32)
                     own.step(t, square)
                     seen += np.bincount(own.features_of(t).ravel(), minlength=p.features)
             if own is not None:
