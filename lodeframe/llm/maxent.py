@@ -88,6 +88,21 @@ def tokenize(texts: list[bytes], p: Params) -> Tokens:
     )
 
 
+def run_sums(rows: np.ndarray, first: np.ndarray, short: int = 8) -> np.ndarray:
+    """Sums of consecutive runs of rows, which begin at `first`. Most runs have a row or two, which
+    are added run by run side by side; only long ones are summed one by one."""
+    size = np.diff(first, append=len(rows))
+    out = rows[first]
+    for k in range(1, short):
+        more = np.flatnonzero((size > k) & (size <= short))
+        if not len(more):
+            break
+        out[more] += rows[first[more] + k]
+    for i in np.flatnonzero(size > short):
+        out[i] = rows[first[i] : first[i] + size[i]].sum(0)
+    return out
+
+
 @dataclass
 class Model:
     """weights: features x classes; bias: classes. top: hashes of the tokens of the classes 1 to
@@ -171,7 +186,7 @@ class Model:
             order = np.argsort(rows.astype(small), kind="stable")
             rows = rows[order]
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            grad = np.add.reduceat(g[order // 3], first, axis=0)
+            grad = run_sums(g[order // 3], first)
             rows = rows[first]
             square[rows] += np.einsum("ij,ij->i", grad, grad)
             grad *= (self.p.rate / np.sqrt(square[rows] + 1.0))[:, None]

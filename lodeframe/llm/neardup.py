@@ -435,7 +435,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets.groupBy("n", "h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words]),
         "neardup-nodes",
     )
-    exact = sets.join(nodes.select("n", "h0", "h1", F.col("id").alias("rep")), ["n", "h0", "h1"]).filter("id <> rep").select(F.col("id").alias("x"), F.col("rep").alias("y")).distinct()
+    same = nodes.select("n", "h0", "h1", F.col("id").alias("rep"))
+    # copies follow their node; only an id that stands for several sets links those sets' nodes
+    several = sets.groupBy("id").agg(F.min("h0").alias("lo"), F.max("h0").alias("hi")).filter("lo <> hi").select("id")
+    shared = sets.join(several, "id").join(same, ["n", "h0", "h1"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
     keyed = nodes.select(F.explode("keys").alias("key"), "id")
     leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead <> last").select("key", "lead")
     buckets = stage(keyed.join(leaders, "key"), "neardup-buckets")
@@ -456,8 +459,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed, pairs = _families(members, dense, nodes, p)
         sets = _sets_of(docs, ids(rest).union(placed.select("id")), id_col, text_col, p)
         more = _confirm(rest, sets, p).union(_confirm_blocks(placed, pairs, sets, p))
-    final = components(links.union(more).union(exact))
-    done = rows.join(final.select(F.col("id").alias("__id"), "comp"), rows["id"] == F.col("__id"), "left")
+    final = components(links.union(more).union(shared))
+    own = ["n", "h0", "h1"]
+    placed = same.join(final, F.col("rep") == F.col("id"), "left").select(*[F.col(c).alias("__" + c) for c in own], F.coalesce("comp", "rep").alias("comp"))
+    whole = (F.col("n") > 0) & F.col("id").isNotNull()
+    for c in own:
+        whole = whole & (F.col(c) == F.col("__" + c))
+    done = rows.join(placed, whole, "left")
     comp_id = F.coalesce("comp", "id")
     return done.select(
         F.col("id").alias(id_col),
