@@ -15,7 +15,7 @@ from lodeframe.plans.registry import query
 
 CAM = g.Camera(fx.WIDTH, fx.HEIGHT, fx.FX, fx.FY, fx.CX, fx.CY, fx.SCALE, fx.FAR)
 #: A depth pixel's camera-space point, in SQL.
-PTS = """pts AS MATERIALIZED (SELECT (frame_id * 100 + u) * 100 + v AS k, frame_id, u, v, depth_mm, r, g, b, (u - 31.5) / 60.0::DOUBLE * (depth_mm / 1000.0::DOUBLE) AS x, (v - 23.5) / 60.0::DOUBLE * (depth_mm / 1000.0::DOUBLE) AS y,
+PTS = """pts AS MATERIALIZED (SELECT (frame_id * 100 + u) * 100 + v AS pk, frame_id, u, v, depth_mm, r, g, b, (u - 31.5) / 60.0::DOUBLE * (depth_mm / 1000.0::DOUBLE) AS x, (v - 23.5) / 60.0::DOUBLE * (depth_mm / 1000.0::DOUBLE) AS y,
   depth_mm / 1000.0::DOUBLE AS z FROM fx_dense WHERE depth_mm IS NOT NULL)"""
 #: The same points in the world (yaw by q = (0, 0, qz, qw)).
 WORLD = """world AS (SELECT p.*, (1 - 2 * qz * qz) * x - 2 * qz * qw * y + tx AS wx, 2 * qz * qw * x + (1 - 2 * qz * qz) * y + ty AS wy, z + tz AS wz
@@ -165,7 +165,7 @@ def p15(spark, d):
 
 
 _NORMALS = """nrm AS (SELECT p.frame_id, p.u, p.v, p.x, p.y, p.z, (b.y - a.y) * (e.z - c.z) - (b.z - a.z) * (e.y - c.y) AS nx, (b.z - a.z) * (e.x - c.x) - (b.x - a.x) * (e.z - c.z) AS ny, (b.x - a.x) * (e.y - c.y) - (b.y - a.y) * (e.x - c.x) AS nz
-  FROM pts p JOIN pts a ON a.k = p.k - 100 JOIN pts b ON b.k = p.k + 100 JOIN pts c ON c.k = p.k - 1 JOIN pts e ON e.k = p.k + 1
+  FROM pts p JOIN pts a ON a.pk = p.pk - 100 JOIN pts b ON b.pk = p.pk + 100 JOIN pts c ON c.pk = p.pk - 1 JOIN pts e ON e.pk = p.pk + 1
   WHERE sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) < 0.3 AND sqrt(pow(e.x - c.x, 2) + pow(e.y - c.y, 2) + pow(e.z - c.z, 2)) < 0.3),
 nn AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS len FROM nrm WHERE nx * nx + ny * ny + nz * nz > 1e-18)"""
 
