@@ -22,6 +22,8 @@ SALTS = 64
 #: Lengths that the dynamic programme uses at most, and the mean lengths it is left to fill.
 DP_LENGTHS = 96
 SLACK = 24
+#: Budgets up to this, with as few lengths, are solved exactly as a whole.
+DP_BUDGET = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -103,6 +105,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     if budget >= total:
         return counts.copy()
     budget = max(budget, 0)
+    if len(lengths) <= DP_LENGTHS and budget <= DP_BUDGET:
+        return knapsack(lengths, counts, budget)
     take = np.diff(np.floor(np.cumsum(counts * (budget / total)) + 1e-9).astype(np.int64), prepend=0)
     take = np.minimum(take, counts)
     rest = budget - int((take * lengths).sum())
