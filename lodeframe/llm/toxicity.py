@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from lodeframe.llm.common import LOWER_ALNUM, by_bytes, fold, mix64, segment_sum, utf8_texts
 
-#: Bounds of what is learnt from: labelled documents of each class, and words and bigrams kept.
-MAX_TRAIN = 12_000
+#: Bounds of what is learnt from: labelled documents, and words and bigrams kept.
+MAX_TRAIN = 24_000
 MAX_WORDS = 500_000
 MAX_BIGRAMS = 1_000_000
 #: Words of the windows over which likelihoods are length-normalised.
@@ -121,11 +121,13 @@ def window_score(model: KneserNey, texts: list[bytes], window: int = WINDOW) ->
 
 
 def training_rows(labels: DataFrame, id_col: str, label_col: str, folds: int, most: int) -> DataFrame:
-    """(__id, __y): labelled rows whose fold is not 0, at most `most` of each class, by hash."""
+    """(__id, __y): labelled rows whose fold is not 0, at most `most` by hash of the id, so that
+    both classes are sampled at one rate: were the commoner class alone thinned out, chance words
+    of the rarer one would look telling."""
     rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     order = [F.xxhash64("__id", F.lit(5)), F.col("__id")]
-    return rows.filter("__y = 1").orderBy(*order).limit(most).union(rows.filter("__y = 0").orderBy(*order).limit(most))
+    return rows.orderBy(*order).limit(most)
 
 
 def fit_models(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, max_bigrams: int = MAX_BIGRAMS) -> KneserNey:
@@ -218,31 +220,34 @@ def _window_scores(docs: DataFrame, sent, id_col: str, text_col: str, extra: lis
 
 
 def calibrate(histogram: pd.DataFrame) -> tuple[float, float]:
-    """(slope, middle) of the logistic curve through window scores by class (columns x, y, n), by
-    Newton steps with a weak pull to slope 8 and middle 0.4."""
-    x, y, n = (histogram[c].to_numpy(np.float64) for c in ("x", "y", "n"))
-    for k in (0, 1):
-        n = np.where(y == k, n / max(n[y == k].sum(), 1), n)
-    n = n * 1000
-    b = np.array([8.0, -3.2])
-    prior, pull = b.copy(), np.diag([0.05, 0.05])
-    design = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ b, -60, 60)))
-        g = design.T @ (n * (y - p)) - pull @ (b - prior)
-        step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + pull, g)
-        b = b + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    slope = max(b[0], 1.0)
-    return slope, -b[1] / slope
+    """(slope, middle) of the logistic curve through window scores by class (columns x, y, n).
+
+    The middle is the cut of least balanced error on the training documents: of the cuts that are
+    equally good, the middle of the widest stretch. The slope follows from the distance of the
+    classes' medians. Nothing is iterated, so classes that part cleanly are no special case.
+    """
+    parts = [histogram[histogram["y"] == k].sort_values("x") for k in (0, 1)]
+    if not all(len(h) for h in parts):
+        return 8.0, 0.6
+    x = [h["x"].to_numpy(np.float64) for h in parts]
+    share = [np.cumsum(h["n"].to_numpy(np.float64)) / h["n"].sum() for h in parts]
+    places = np.unique(np.concatenate(x))
+    cuts = (places[1:] + places[:-1]) / 2 if len(places) > 1 else places
+    below = [np.concatenate([[0.0], s])[np.searchsorted(v, cuts)] for v, s in zip(x, share, strict=True)]
+    error = np.round((1 - below[0]) + below[1], 9)
+    best = np.flatnonzero(error == error.min())
+    runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+    edge = lambda r: (places[r[0]], places[min(r[-1] + 1, len(places) - 1)])
+    lo, hi = max((edge(r) for r in runs), key=lambda e: e[1] - e[0])
+    medians = [v[np.searchsorted(s, 0.5)] for v, s in zip(x, share, strict=True)]
+    return float(np.clip(8 / max(medians[1] - medians[0], 1e-9), 2, 20)), float((lo + hi) / 2)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, folds: int = 5, max_train: int = MAX_TRAIN) -> DataFrame:
     """One row per row of `docs`: id, held_out (fold 0), score (0 to 1), predicted.
 
     The models and the curve that turns window scores into a score learn from at most `max_train`
-    labelled documents of each class outside fold 0 (null and other labels are ignored; an id
+    labelled documents outside fold 0 (null and other labels are ignored; an id
     labelled twice counts once, by its larger label). A null or empty text scores as a text without
     evidence. Whole texts are scored, whatever their length. Repeated rows give repeated rows;
     other columns are not read. Without labels of both classes every score is the curve's at 0.
