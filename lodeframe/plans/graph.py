@@ -1 +1,20 @@
-"""Queries."""
+"""Graph jobs over edges between nations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodeframe.operators import graph as op
+from lodeframe.plans import fixtures as fx
+from lodeframe.plans.registry import query
+
+EDGES = """edges AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 20)"""
+
+
+@query("g8_map_components", "WITH RECURSIVE " + EDGES + """, both_ AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+r AS (SELECT n_nationkey AS id, n_nationkey AS seen FROM nation UNION SELECT r.id, e.b FROM r JOIN both_ e ON e.a = r.seen)
+SELECT id, min(seen) AS origin FROM r GROUP BY id""")
+def g8(spark, d):
+    n = fx.table(spark, d, "nation")
+    edges = n.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") + 5).alias("b"))
+    return op.map_components(n.select(F.col("n_nationkey").alias("id")), edges)

@@ -1 +1,119 @@
-"""Queries."""
+"""Frame-pair moments and errors over `part`, joined to edges between nations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodeframe.operators import registration as op
+from lodeframe.plans import fixtures as fx
+from lodeframe.plans.registry import query
+
+#: Matched points of edges n -> n + 1 and n -> n + 5, in metres off whole millimetres.
+MATCHES = """m AS (SELECT p_partkey % 25 AS ref, (p_partkey % 25 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 5 END) % 25 AS new, p_partkey AS id,
+  (p_partkey * 37 % 2000) / 1000.0::DOUBLE AS px, (p_partkey * 53 % 2000) / 1000.0::DOUBLE AS py, 1 + (p_partkey * 71 % 3000) / 1000.0::DOUBLE AS pz FROM part),
+mm AS (SELECT *, px + 0.01 + (id % 7) / 1000.0::DOUBLE AS qx, py - 0.02 AS qy, pz + (id % 5) / 1000.0::DOUBLE AS qz, 1 / (pz * pz) AS w FROM m)"""
+
+
+def matches(spark, d):
+    m = fx.table(spark, d, "part").selectExpr(
+        "CAST(p_partkey % 25 AS INT) AS ref", "CAST((p_partkey % 25 + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 5 END) % 25 AS INT) AS new", "p_partkey AS id",
+        "(p_partkey * 37 % 2000) / 1000.0D AS px", "(p_partkey * 53 % 2000) / 1000.0D AS py", "1 + (p_partkey * 71 % 3000) / 1000.0D AS pz",
+    )
+    return m.withColumns({"qx": F.col("px") + 0.01 + (F.col("id") % 7) / 1000.0, "qy": F.col("py") - 0.02, "qz": F.col("pz") + (F.col("id") % 5) / 1000.0})
+
+
+def moments(spark, d):
+    return op.pair_moments(matches(spark, d), 1 / (F.col("pz") * F.col("pz")))
+
+
+@query("a5_pair_moments", "WITH " + MATCHES + """
+SELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(sum(w), 6) AS sum_w, round(sum(w * px), 6) AS spx, round(sum(w * qz), 6) AS sqz, round(sum(w * px * py), 6) AS spp1, round(sum(w * py * qz), 6) AS spq5 FROM mm GROUP BY ref, new""")
+def a5(spark, d):
+    get = lambda c, i, n: F.round(F.get(c, F.lit(i)), 6).alias(n)
+    return moments(spark, d).select("ref", "new", F.round("sum_w", 6).alias("sum_w"), get("sp", 0, "spx"), get("sq", 2, "sqz"), get("spp", 1, "spp1"), get("spq", 5, "spq5"))
+
+
+@query("a6_huber_moments", "WITH " + MATCHES + """, h AS (SELECT *, w * least(1.0, 0.001 * pz / sqrt(pow(px - qx, 2) + pow(py - qy, 2) + pow(pz - qz, 2))) * abs(new - ref) AS hw FROM mm)
+SELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(sum(hw), 6) AS sum_w, round(sum(hw * px), 6) AS spx FROM h GROUP BY ref, new""")
+def a6(spark, d):
+    gap = sum(((F.col("p" + c) - F.col("q" + c)) * (F.col("p" + c) - F.col("q" + c)) for c in "yz"), (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")))
+    w = 1 / (F.col("pz") * F.col("pz")) * F.least(F.lit(1.0), 0.001 * F.col("pz") / F.sqrt(gap)) * F.abs(F.col("new") - F.col("ref"))
+    m = op.pair_moments(matches(spark, d), w)
+    return m.select("ref", "new", F.round("sum_w", 6).alias("sum_w"), F.round(F.get("sp", F.lit(0)), 6).alias("spx"))
+
+
+_ERR = """e AS (SELECT ref, new, sum(w) AS sum_w, sqrt(sum(w * (pow(px - qx - 0.005, 2) + pow(py - qy + 0.01, 2) + pow(pz - qz, 2))) / sum(w)) AS error FROM mm GROUP BY ref, new)"""
+
+
+def _errors(spark, d):
+    return op.translation_error(moments(spark, d), [F.lit(0.005), F.lit(-0.01), F.lit(0.0)])
+
+
+@query("a8_edge_errors", "WITH " + MATCHES + ",\n" + _ERR + "\nSELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(error, 6) AS error FROM e")
+def a8(spark, d):
+    return _errors(spark, d).select("ref", "new", F.round("error", 6).alias("error"))
+
+
+@query("a8_frame_errors", "WITH " + MATCHES + ",\n" + _ERR + """, x AS (SELECT ref AS frame_id, error, sum_w FROM e UNION ALL SELECT new, error, sum_w FROM e)
+SELECT CAST(frame_id AS INT) AS frame_id, round(CASE WHEN sum(sum_w) < 1 THEN 1e8 ELSE sum(error * sum_w) / sum(sum_w) END, 6) AS error, count(*) AS degree FROM x GROUP BY frame_id""")
+def a8f(spark, d):
+    return op.errors_per_frame(_errors(spark, d)).select("frame_id", F.round("error", 6).alias("error"), "degree")
+
+
+@query("a9_point_errors", "WITH " + MATCHES + """
+SELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(sqrt(sum(pow(px - qx, 2) + pow(py - qy, 2) + pow(pz - qz, 2))) / count(*), 9) AS error FROM mm GROUP BY ref, new""")
+def a9(spark, d):
+    gap = sum(((F.col("p" + c) - F.col("q" + c)) * (F.col("p" + c) - F.col("q" + c)) for c in "yz"), (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")))
+    return matches(spark, d).groupBy("ref", "new").agg(F.round(F.sqrt(F.sum(gap)) / F.count("*"), 9).alias("error"))
+
+
+@query("a11_scale_change", "WITH " + MATCHES + """
+SELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(greatest(sum(CASE WHEN id % 8 > id % 5 THEN 1 ELSE 0 END), sum(CASE WHEN id % 8 < id % 5 THEN 1 ELSE 0 END)) / (count(*) + 1), 9) AS scale FROM mm GROUP BY ref, new""")
+def a11(spark, d):
+    up, down = (F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("id") % 8 > F.col("id") % 5, F.col("id") % 8 < F.col("id") % 5))
+    return matches(spark, d).groupBy("ref", "new").agg(F.round(F.greatest(up, down) / (F.count("*") + 1), 9).alias("scale"))
+
+
+@query("t2_best_reference", "WITH " + MATCHES + ",\n" + _ERR + "\nSELECT CAST(new AS INT) AS new, CAST(ref AS INT) AS ref FROM (SELECT *, row_number() OVER (PARTITION BY new ORDER BY round(error, 9), ref) AS rn FROM e) WHERE rn = 1")
+def t2(spark, d):
+    best = _errors(spark, d).groupBy("new").agg(F.min(F.struct(F.round("error", 9).alias("e"), "ref")).alias("b"))
+    return best.select("new", F.col("b.ref").alias("ref"))
+
+
+_BINS = """b AS (SELECT ref AS key, id, CAST(floor((id * 47 % 360) / 20.0) AS BIGINT) AS bin FROM mm), c AS (SELECT key, bin, count(*) AS n FROM b GROUP BY key, bin),
+t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, bin) AS rank, max(n) OVER (PARTITION BY key) AS m FROM c), top AS (SELECT * FROM t WHERE rank <= 3 AND n >= 0.1 * m)"""
+
+
+def _angles(spark, d):
+    return matches(spark, d).select(F.col("ref").alias("key"), "id", (F.col("id") * 47 % 360).cast("double").alias("angle"))
+
+
+@query("t3_top_bins", "WITH " + MATCHES + ",\n" + _BINS + "\nSELECT CAST(key AS INT) AS key, bin, n, CAST(rank AS INT) AS rank FROM top")
+def t3(spark, d):
+    b = _angles(spark, d).withColumn("bin", F.floor(F.col("angle") / 20.0)).groupBy("key", "bin").agg(F.count("*").alias("n"))
+    return op.top_bins(b)
+
+
+@query("t4_rotation_filter", "WITH " + MATCHES + ",\n" + _BINS + """, keep AS (SELECT key, bin FROM top UNION SELECT key, (bin + o + 18) % 18 FROM top, (SELECT unnest([-1, 1]) AS o) WHERE rank = 1)
+SELECT CAST(b.key AS INT) AS key, b.id FROM b SEMI JOIN keep k ON b.key = k.key AND b.bin = k.bin""")
+def t4(spark, d):
+    return op.rotation_consistent(_angles(spark, d)).select("key", "id")
+
+
+@query("t5_spatial_thinning", """
+WITH k AS (SELECT vec_id % 25 AS frame_id, vec_id AS kp_id, (vec_id * 13 % 640) / 10.0::DOUBLE AS x, (vec_id * 7 % 480) / 10.0::DOUBLE AS y, vec_id * 31 % 97 AS response FROM embeddings)
+SELECT frame_id, kp_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, floor(x / 16.0), floor(y / 16.0) ORDER BY response DESC, kp_id) AS rn FROM k) WHERE rn = 1""")
+def t5(spark, d):
+    k = fx.table(spark, d, "embeddings").selectExpr("vec_id % 25 AS frame_id", "vec_id AS kp_id", "(vec_id * 13 % 640) / 10.0D AS x", "(vec_id * 7 % 480) / 10.0D AS y", "vec_id * 31 % 97 AS response")
+    return op.thin(k, 16.0).select("frame_id", "kp_id")
+
+
+@query("t6_first_match", "WITH " + MATCHES + "\nSELECT CAST(ref AS INT) AS ref, id % 10 AS q, min(id) AS id FROM mm GROUP BY ref, id % 10")
+def t6(spark, d):
+    return matches(spark, d).groupBy("ref", (F.col("id") % 10).alias("q")).agg(F.min("id").alias("id"))
+
+
+@query("d3_append_correspondences", "WITH " + MATCHES + "\nSELECT CAST(ref AS INT) AS ref, id FROM mm WHERE id % 2 = 0 UNION ALL SELECT CAST(ref AS INT), id FROM mm WHERE id % 2 = 1")
+def d3(spark, d):
+    m = matches(spark, d).select("ref", "id")
+    return m.filter("id % 2 = 0").unionByName(m.filter("id % 2 = 1"))

@@ -1 +1,13 @@
-"""Queries."""
+"""Stateful operators, as grouped jobs over whole tables."""
+
+from __future__ import annotations
+
+from lodeframe.plans import fixtures as fx
+from lodeframe.plans.registry import query
+from lodeframe.streaming.keyframes import select_keyframes
+
+
+@query("r1_keyframes")
+def r1(spark, d):
+    """State that depends on its own past: tested against a replay as a stream."""
+    return select_keyframes(fx.frames(spark, d), least_disparity=0.15, least_scale=0.44)
