@@ -1 +1,46 @@
-"""Queries."""
+"""Surfels over the dense fixture images."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodeframe.functions import color
+from lodeframe.operators import images
+from lodeframe.operators import surfels as op
+from lodeframe.plans import fixtures as fx
+from lodeframe.plans.fixtures import duck
+from lodeframe.plans.registry import query
+from lodeframe.plans.space import _NORMALS, PTS, points
+
+_RADIUS = "least(2 * (z / 60.0 * sqrt(2.0)), z / 60.0 * sqrt(2.0) / abs(nz / len))"
+_CONF = "exp(-((u - 31.5) * (u - 31.5) + (v - 23.5) * (v - 23.5)) / 1600.0 / 0.72)"
+
+
+def _surfels(spark, d):
+    n = images.pixel_normals(points(spark, d))
+    return n.withColumns({"radius": op.radius(F.col("z"), F.col("nz"), fx.FX), "conf": op.confidence(F.col("u"), F.col("v"), fx.CX, fx.CY, 40.0)})
+
+
+@query("p29_radius_confidence", duck("fx_dense") + ",\n" + PTS + ",\n" + _NORMALS + f"\nSELECT frame_id, u, v, round({_RADIUS}, 6) AS radius, round({_CONF}, 6) AS conf FROM nn")
+def p29(spark, d):
+    return _surfels(spark, d).select("frame_id", "u", "v", F.round("radius", 6).alias("radius"), F.round("conf", 6).alias("conf"))
+
+
+@query("p31_image_to_surfels", duck("fx_dense") + ",\n" + PTS + ",\n" + _NORMALS + f""", s AS (SELECT frame_id, u, v, {_RADIUS} AS radius, z FROM nn)
+SELECT d.frame_id, d.u, d.v, CAST((d.r << 16) + (d.g << 8) + d.b AS INT) AS rgb, CAST(s.z IS NOT NULL AS INT) AS valid, round(s.z, 6) AS z, round(s.radius, 6) AS radius FROM fx_dense d LEFT JOIN s USING (frame_id, u, v)""")
+def p31(spark, d):
+    s = _surfels(spark, d).select("frame_id", "u", "v", "z", "radius")
+    px = fx.dense(spark, d).select("frame_id", "u", "v", color.pack(F.col("r"), F.col("g"), F.col("b")).alias("rgb"))
+    return px.join(s, ["frame_id", "u", "v"], "left").select("frame_id", "u", "v", "rgb", F.col("z").isNotNull().cast("int").alias("valid"), F.round("z", 6).alias("z"), F.round("radius", 6).alias("radius"))
+
+
+_A21 = """a AS (SELECT p_partkey AS id, p_size / 10.0::DOUBLE AS x, p_retailprice / 1000 AS y, 1 + p_size / 100.0::DOUBLE AS z, 0.1 + p_size % 5 / 50.0::DOUBLE AS radius, 1.0 + p_size % 3 AS conf FROM part),
+b AS (SELECT l_partkey AS id, l_quantity / 10 AS x, l_tax AS y, 1 + l_discount AS z, 0.1 + l_linenumber / 40.0::DOUBLE AS radius, 1.0::DOUBLE AS conf FROM lineitem),
+e AS (SELECT *, conf AS w FROM a UNION ALL SELECT b.*, CASE WHEN b.radius < 1.5 * a.radius THEN b.conf ELSE 0 END FROM b JOIN a USING (id))"""
+
+
+@query("a21_surfel_merge", "WITH " + _A21 + "\nSELECT id, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * radius) / sum(w), 6) AS radius, round(sum(conf), 6) AS conf FROM e GROUP BY id")
+def a21(spark, d):
+    a = fx.table(spark, d, "part").selectExpr("p_partkey AS id", "p_size / 10.0D AS x", "p_retailprice / 1000 AS y", "1 + p_size / 100.0D AS z", "0.1D + p_size % 5 / 50.0D AS radius", "1.0D + p_size % 3 AS conf")
+    b = fx.table(spark, d, "lineitem").selectExpr("l_partkey AS id", "l_quantity / 10 AS x", "l_tax AS y", "1 + l_discount AS z", "0.1D + l_linenumber / 40.0D AS radius", "1.0D AS conf")
+    return op.merge(a, b).select("id", *[F.round(c, 6).alias(c) for c in ("x", "radius", "conf")])
