@@ -1,0 +1,56 @@
+"""Robust rigid alignment of matched points, one frame pair a group."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+OUTPUT = "ref int, new int, n long, inliers long, error double, r array<double>, t array<double>"
+
+
+def kabsch(p: np.ndarray, q: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations and translations that take p to q (batches x points x 3), weights batches x points."""
+    w = w / w.sum(1, keepdims=True)
+    mp, mq = np.einsum("bn,bnc->bc", w, p), np.einsum("bn,bnc->bc", w, q)
+    h = np.einsum("bn,bni,bnj->bij", w, p - mp[:, None], q - mq[:, None])
+    u, _, vt = np.linalg.svd(h)
+    sign = np.ones((len(h), 3))
+    sign[:, 2] = np.sign(np.linalg.det(np.einsum("bij,bjk->bik", u, vt)))
+    r = np.einsum("bji,bj,bkj->bik", vt, sign, u)
+    return r, mq - np.einsum("bij,bj->bi", r, mp)
+
+
+def align_pairs(matches: DataFrame, trials: int = 400, sample: int = 4, tolerance: float = 0.03, steps: int = 5, least: int = 30) -> DataFrame:
+    """Per edge (ref, new): the rigid motion of p to q by `trials` samples of matches, the one with
+    most inliers (distance below tolerance * depth), refined by Huber-weighted steps. The sample's
+    seed is the edge. With fewer than `least` matches the error is 1e6 and no motion is given.
+
+    Edges are the parallelism; a group is one pair's matches, whose number features bound.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        ref, new, n = int(pdf["ref"].iloc[0]), int(pdf["new"].iloc[0]), len(pdf)
+        if n < max(least, sample):
+            return pd.DataFrame({"ref": [ref], "new": [new], "n": [n], "inliers": [0], "error": [1e6], "r": [None], "t": [None]})
+        p, q = (pdf[[a + c for c in "xyz"]].to_numpy(np.float64) for a in "pq")
+        rng = np.random.default_rng([ref, new])
+        pick = rng.random((trials, n)).argpartition(sample, 1)[:, :sample]
+        r, t = kabsch(p[pick], q[pick], np.ones((trials, sample)))
+        gap = np.linalg.norm(np.einsum("bij,nj->bni", r, p) + t[:, None] - q[None], axis=2)
+        good = gap < tolerance * p[None, :, 2]
+        keep = good[good.sum(1).argmax()]
+        w = 1 / p[:, 2] ** 2
+        use = keep * w
+        for _ in range(steps):
+            r1, t1 = kabsch(p[None], q[None], use[None])
+            gap = np.linalg.norm(p @ r1[0].T + t1[0] - q, axis=1)
+            keep = gap < tolerance * p[:, 2]
+            if not keep.any():
+                break
+            use = keep * w * np.minimum(1, 0.001 * p[:, 2] / np.maximum(gap, 1e-12))
+        error = float(np.sqrt((keep * w * gap**2).sum() / max((keep * w).sum(), 1e-12))) if keep.any() else 1e6
+        return pd.DataFrame({"ref": [ref], "new": [new], "n": [n], "inliers": [int(keep.sum())], "error": [error], "r": [r1[0].ravel().tolist()], "t": [t1[0].tolist()]})
+
+    return matches.select("ref", "new", "id", *[a + c for a in "pq" for c in "xyz"]).groupBy("ref", "new").applyInPandas(run, OUTPUT)

@@ -145,3 +145,31 @@ def ray_cells(segments: DataFrame, key: str) -> DataFrame:
     s = segments.withColumn("__t", t).withColumn("__m", F.explode(F.expr("transform(sequence(1, size(__t) - 1), i -> (__t[i - 1] + __t[i]) / 2)")))
     at = [F.floor(F.col("a" + c) + F.col("__m") * (F.col("b" + c) - F.col("a" + c))).cast("int").alias("g" + c) for c in "xyz"]
     return s.select(key, *at).distinct()
+
+
+def project_into(points: DataFrame, relative: DataFrame, cam: Camera) -> DataFrame:
+    """Points (frame_id, u, v, x, y, z) moved by `relative` (frame_id, to_frame, pose) and the
+    nearest pixel (pu, pv) and depth pz that they get in the frame `to_frame`."""
+    p = g.apply_pose(g.pose_of(), vec("x", "y", "z"))
+    m = points.join(relative, "frame_id").withColumns({"__x": p.x, "__y": p.y, "pz": p.z}).filter("pz > 0")
+    uv = g.project(vec("__x", "__y", "pz"), cam)
+    return m.withColumns({"pu": F.floor(F.round(uv.x + 0.5, 9)).cast("int"), "pv": F.floor(F.round(uv.y + 0.5, 9)).cast("int")})
+
+
+def agree_in_depth(projected: DataFrame, px: DataFrame, depth: str, tolerance: float = 0.05) -> DataFrame:
+    """Depth of each projected pixel where the other frame's depth there is within `tolerance` of
+    it, 0 where it differs, unchanged where the other frame has none. One equi-join on the pixel."""
+    side = px.select(F.col("frame_id").alias("__f"), F.col("u").alias("__u"), F.col("v").alias("__v"), F.col(depth).alias("other"))
+    hit = projected.join(side, (F.col("to_frame") == F.col("__f")) & (F.col("pu") == F.col("__u")) & (F.col("pv") == F.col("__v")), "left")
+    far = F.abs(F.col("other") - F.col("pz")) > tolerance * F.col("pz")
+    return hit.withColumn("depth", F.when(F.col("other").isNotNull() & far, 0.0).otherwise(F.col("z"))).drop("__f", "__u", "__v")
+
+
+def fuse_depth(projected: DataFrame, px: DataFrame, depth: str, weight: str, tolerance: float = 0.05) -> DataFrame:
+    """Running weighted mean of a keyframe's depth with the new frame's depth at the projected
+    pixel: (z * weight + other) / (weight + 1) where they agree, and the weight grows by one."""
+    side = px.select(F.col("frame_id").alias("__f"), F.col("u").alias("__u"), F.col("v").alias("__v"), F.col(depth).alias("other"))
+    hit = projected.join(side, (F.col("to_frame") == F.col("__f")) & (F.col("pu") == F.col("__u")) & (F.col("pv") == F.col("__v")), "left")
+    near = F.coalesce(F.abs(F.col("other") - F.col("pz")) <= tolerance * F.col("pz"), F.lit(False))
+    mean = (F.col("z") * F.col(weight) + F.col("other") - F.col("pz") + F.col("z")) / (F.col(weight) + 1)
+    return hit.withColumns({"depth": F.when(near, mean).otherwise(F.col("z")), "new_weight": F.col(weight) + F.when(near, 1).otherwise(0)}).drop("__f", "__u", "__v")

@@ -117,3 +117,35 @@ def t6(spark, d):
 def d3(spark, d):
     m = matches(spark, d).select("ref", "id")
     return m.filter("id % 2 = 0").unionByName(m.filter("id % 2 = 1"))
+
+
+@query("g4_robust_alignment")
+def g4(spark, d):
+    """Seeded sampling and small decompositions: tested against a known motion."""
+    from lodeframe.operators.alignment import align_pairs
+
+    return align_pairs(matches(spark, d))
+
+
+@query("g6_normal_blocks", "WITH " + MATCHES + """, e AS (SELECT ref, new, sum(w) AS w, sum(w * px) AS sx, sum(w * py) AS sy FROM mm GROUP BY ref, new),
+b AS (SELECT ref AS r, ref AS c, w, sx FROM e UNION ALL SELECT new, new, w, sx FROM e UNION ALL SELECT ref, new, -w, -sx FROM e UNION ALL SELECT new, ref, -w, -sx FROM e)
+SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(sum(w), 6) AS h00, round(sum(sx), 6) AS h05 FROM b GROUP BY r, c""")
+def g6(spark, d):
+    m = moments(spark, d).select("ref", "new", F.col("sum_w").alias("w"), F.get("sp", F.lit(0)).alias("sx"))
+    block = lambda r, c, k: F.struct(F.col(r).alias("row"), F.col(c).alias("col"), (F.col("w") * k).alias("w"), (F.col("sx") * k).alias("sx"))
+    b = m.select(F.explode(F.array(block("ref", "ref", 1), block("new", "new", 1), block("ref", "new", -1), block("new", "ref", -1))).alias("b")).select("b.*")
+    return b.groupBy("row", "col").agg(F.round(F.sum("w"), 6).alias("h00"), F.round(F.sum("sx"), 6).alias("h05"))
+
+
+@query("f10_outlier_rejection", "WITH " + MATCHES + """
+SELECT CAST(ref AS INT) AS ref, id FROM mm WHERE sqrt(pow(px + 0.012 - qx, 2) + pow(py - 0.02 - qy, 2) + pow(pz - qz, 2)) / pz < 0.002
+  AND sqrt(pow(60 * (px + 0.012) / pz - 60 * qx / qz, 2) + pow(60 * (py - 0.02) / pz - 60 * qy / qz, 2)) < 6""")
+def f10(spark, d):
+    from lodeframe.functions import geometry as g
+
+    moved = g.Vec(F.col("px") + 0.012, F.col("py") - 0.02, F.col("pz"))
+    q = g.vec("qx", "qy", "qz")
+    uv = lambda p: (60.0 * p.x / p.z, 60.0 * p.y / p.z)
+    (a, b), (c, e) = uv(moved), uv(q)
+    keep = (g.norm(g.sub(moved, q)) / F.col("pz") < 0.002) & (F.sqrt((a - c) * (a - c) + (b - e) * (b - e)) < 6)
+    return matches(spark, d).filter(keep).select("ref", "id")

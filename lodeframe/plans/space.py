@@ -395,3 +395,32 @@ def s8(spark, d):
 @query("s11_point_cloud", duck("fx_dense", "fx_pose") + ",\n" + PTS + ",\n" + WORLD + "\nSELECT round(wx, 6) AS x, round(wy, 6) AS y, round(wz, 6) AS z, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM world")
 def s11(spark, d):
     return world(spark, d).select(*r6(x=F.col("wx"), y=F.col("wy"), z=F.col("wz")), *[F.col(c).cast("int").alias(c) for c in "rgb"])
+
+
+#: Frame n seen from frame n + 1, a step to the right.
+_INTO = """prj AS (SELECT p.frame_id, p.u, p.v, z, frame_id + 1 AS to_frame, z + 0.01 AS pz, CAST(floor(round(60.0 * (x - 0.05) / (z + 0.01) + 31.5 + 0.5, 9)) AS INT) AS pu, CAST(floor(round(60.0 * y / (z + 0.01) + 23.5 + 0.5, 9)) AS INT) AS pv FROM pts p)"""
+
+
+def _into(spark, d):
+    step = fx.table(spark, d, "nation").selectExpr(
+        "n_nationkey AS frame_id", "n_nationkey + 1 AS to_frame", "0.0D AS qx", "0.0D AS qy", "0.0D AS qz", "1.0D AS qw", "-0.05D AS tx", "0.0D AS ty", "0.01D AS tz"
+    )
+    return images.project_into(points(spark, d), step, CAM)
+
+
+def _metres(spark, d):
+    return fx.dense(spark, d).select("frame_id", "u", "v", (F.col("depth_mm") / 1000.0).alias("m"))
+
+
+@query("j7_depth_agreement", duck("fx_dense") + ",\n" + PTS + ",\n" + _INTO + """
+SELECT q.frame_id, q.u, q.v, CASE WHEN abs(d.depth_mm / 1000.0::DOUBLE - pz) > 0.05 * pz THEN 0.0 ELSE round(z, 6) END AS depth FROM prj q LEFT JOIN fx_dense d ON d.frame_id = q.to_frame AND d.u = q.pu AND d.v = q.pv""")
+def j7(spark, d):
+    return images.agree_in_depth(_into(spark, d), _metres(spark, d), "m").select("frame_id", "u", "v", F.round("depth", 6).alias("depth"))
+
+
+@query("j8_depth_refinement", duck("fx_dense") + ",\n" + PTS + ",\n" + _INTO + """
+SELECT q.frame_id, q.u, q.v, round(CASE WHEN abs(d.depth_mm / 1000.0::DOUBLE - pz) <= 0.05 * pz THEN (z * 2 + d.depth_mm / 1000.0::DOUBLE - pz + z) / 3 ELSE z END, 6) AS depth,
+  2 + CASE WHEN abs(d.depth_mm / 1000.0::DOUBLE - pz) <= 0.05 * pz THEN 1 ELSE 0 END AS weight FROM prj q LEFT JOIN fx_dense d ON d.frame_id = q.to_frame AND d.u = q.pu AND d.v = q.pv""")
+def j8(spark, d):
+    got = images.fuse_depth(_into(spark, d).withColumn("w", F.lit(2)), _metres(spark, d), "m", "w")
+    return got.select("frame_id", "u", "v", F.round("depth", 6).alias("depth"), F.col("new_weight").alias("weight"))
