@@ -321,7 +321,7 @@ def lookup(capture: Capture, urls: DataFrame, url_col: str = "url", with_payload
     The list of index files has one row per index file, a number that write_index sets; it is what
     goes to each task. Keys are searched in key order, so that neighbours share a block.
     """
-    files = sorted((r.first_key, r.index) for r in capture.files.toLocalIterator())
+    files = sorted((r["first_key"], r["index"]) for r in capture.files.toLocalIterator())
     root = capture.root
     keys = urls.filter(F.col(url_col).isNotNull()).select(F.udf(url_key, "string")(url_col).alias("key")).distinct()
 
