@@ -135,7 +135,7 @@ def fit_models(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
     as different left neighbours, so that copies of a document and its repeated lines add nothing;
     keeps the most frequent up to the bounds. What is dropped is left to the shared backoff."""
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(train), F.col("__doc") == F.col("__id")).select("__text", "__y")
-    names = ["v", "w", "p", "q", "o", "t"]
+    names = ["v", "w", "q", "k"]  # k: 1 in an ordinary document, 2 in a toxic one, 3 in both
     shape = ", ".join(f"{c} long" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +144,9 @@ def fit_models(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
 
         def merged() -> np.ndarray:
             every = np.concatenate(held)
-            _, at, back = np.unique(every[:, 3], return_index=True, return_inverse=True)
+            _, at, back = np.unique(every[:, 2], return_index=True, return_inverse=True)
             out = every[at].copy()
-            for k in (4, 5):
-                out[:, k] = np.bincount(back, weights=every[:, k]) > 0
+            out[:, 3] = sum((np.bincount(back, weights=every[:, 3] & k) > 0) * k for k in (1, 2))
             return out
 
         def shipped(out: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -161,10 +160,9 @@ def fit_models(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
                 with np.errstate(over="ignore"):
                     triple = mix64(np.concatenate([[np.uint64(1)], left[:-1]])[: len(h)] + pair * np.uint64(3))
                 _, at = np.unique(triple, return_index=True)
-                block = np.zeros((len(at), 6), np.int64)
-                for k, part in enumerate((left, h, pair, triple)):
+                block = np.full((len(at), 4), 1 + y, np.int64)
+                for k, part in enumerate((left, h, triple)):
                     block[:, k] = part[at].view(np.int64)
-                block[:, 4 + y] = 1
                 held.append(block)
                 size += len(at)
                 if size > 1_000_000:
@@ -175,23 +173,26 @@ def fit_models(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
 
     from lodeframe.llm.common import stage
 
-    triples = rows.mapInArrow(run, shape).groupBy("v", "w", "p", "q").agg(F.max("o").alias("o"), F.max("t").alias("t"))
-    pairs = stage(triples.groupBy("v", "w", "p").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "toxic-bigrams")
+    triples = rows.mapInArrow(run, shape).groupBy("v", "w", "q").agg(F.bit_or("k").alias("k"))
+    count = [F.sum(F.when(F.col("k").bitwiseAND(F.lit(bit)) > 0, 1).otherwise(0)).alias(c) for bit, c in ((1, "o"), (2, "t"))]
+    pairs = stage(triples.groupBy("v", "w").agg(*count), "toxic-bigrams")
     seen = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
     words = pairs.groupBy("w").agg(seen("o").alias("o"), seen("t").alias("t"))
     total = words.agg(F.sum("o"), F.sum("t")).first()
     top = words.filter("o + t >= 3").orderBy(F.desc(F.col("o") + F.col("t")), "w").limit(max_words).toPandas().sort_values("w", key=lambda s: s.to_numpy().view(np.uint64))
     keep = lambda c: F.greatest(F.col(c) - F.lit(Z) * F.sqrt(c), F.lit(0.0))
     strong = pairs.withColumn("ko", keep("o")).withColumn("kt", keep("t")).filter("ko > 0 or kt > 0")
-    strong = strong.orderBy(F.desc(F.col("o") + F.col("t")), "p").limit(max_bigrams)
-    kept = strong.select("v", "p", "ko", "kt").toPandas()
+    strong = strong.orderBy(F.desc(F.col("o") + F.col("t")), "v", "w").limit(max_bigrams)
+    kept = strong.select("v", "w", "ko", "kt").toPandas()
     # only left neighbours of kept bigrams need their counts: all others leave everything to the word level
     heads = pairs.join(F.broadcast(strong.select("v").distinct()), "v", "left_semi").groupBy("v").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).toPandas()
     u = lambda s: s.to_numpy(np.int64).view(np.uint64)
     heads = heads.iloc[np.argsort(u(heads["v"]))]
     by_head = kept.groupby("v")[["ko", "kt"]].sum().reindex(heads["v"]).fillna(0.0)
     count = heads[["o", "t"]].to_numpy(np.float64)
-    kept = kept.iloc[np.argsort(u(kept["p"]))]
+    with np.errstate(over="ignore"):
+        pair = mix64(u(kept["v"]) * np.uint64(0x9E3779B97F4A7C15) + u(kept["w"]))
+    order = np.argsort(pair)
     return KneserNey(
         u(top["w"]),
         top[["o", "t"]].to_numpy(np.float64),
@@ -199,8 +200,8 @@ def fit_models(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
         u(heads["v"]),
         count,
         np.maximum(1 - by_head.to_numpy(np.float64).sum(1) / np.maximum(count.sum(1), 1), 0.05),
-        u(kept["p"]),
-        kept[["ko", "kt"]].to_numpy(np.float64),
+        pair[order],
+        kept[["ko", "kt"]].to_numpy(np.float64)[order],
     )
 
 
