@@ -62,7 +62,8 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     while True:
         if span >= depth:
             break
-        pair = rank[starts] * (len(words) + 1) + rank[np.minimum(starts + span, len(words) - 1)]
+        # word ids run to the benchmark's vocabulary, which a small shard's length does not bound
+        pair = rank[starts] * (int(rank.max(initial=0)) + 1) + rank[np.minimum(starts + span, len(words) - 1)]
         order = np.argsort(pair)
         ordered = pair[order]
         new = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)])) if len(ordered) else ordered

@@ -136,6 +136,41 @@ def test_decontamination(spark, docs):
     assert decontaminate.longest_matches(docs, bench).agg(F.max("n_match")).first()[0] >= 10
 
 
+def test_suffix_array_of_a_small_shard():
+    """Word ids far above the shard's length keep the order of the suffixes."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 5), (1, 4000), (50, 4000), (300, 4000), (300, 3)):
+        words = np.concatenate([rng.integers(0, top + 1, n), np.zeros(10, np.int64)]).astype(np.int32)
+        sa = decontaminate.suffix_array(words, 10).tolist()
+        assert sorted(sa) == np.flatnonzero(words).tolist()
+        # a word of 0 matches nothing, so only the words before it have an order
+        begins = [words[i : i + 10].tolist() for i in sa]
+        begins = [b[: b.index(0)] if 0 in b else b for b in begins]
+        assert begins == sorted(begins)
+
+
+def test_decontamination_of_one_document_shards(spark):
+    """One-document shards against a benchmark of thousands of different words miss no passage."""
+    import random
+
+    rng = random.Random(5)
+    items = [(k, " ".join(f"w{rng.randrange(4000)}" for _ in range(200))) for k in range(40)]
+    rows, want = [], {}
+    for i in range(60):
+        item = items[rng.randrange(40)][1].split()
+        at, n = rng.randrange(150), rng.choice([9, 10, 25])
+        filler = [f"w{rng.randrange(4000)}" for _ in range(30)]
+        rows.append((i, " ".join(filler[:15] + item[at : at + n] + filler[15:])))
+        want[i] = n if n >= 10 else 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for options in ({"shard_bytes": 1}, {}):
+        got = decontaminate.contamination(df, bench, **options).collect()
+        assert {r.doc_id: sum(r.ends) - sum(r.begins) for r in got} == want
+
+
 def test_decontamination_edges(edge, spark):
     bench = spark.createDataFrame([(1, "a b a b"), (2, None), (3, ""), (None, "x y")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(edge, bench).collect()}
