@@ -2,8 +2,9 @@
 
 Each task packs its documents into shards of bounded size and sorts the suffixes of a shard by
 their first words. Every suffix of every benchmark text is then binary-searched in the shard: the
-range that shares the whole window gives all its places, the neighbours of the range give the
-longest verbatim match.
+range that shares the whole window gives all its places. Windows that follow each other both in the
+document and in the item are one verbatim match, so all places together give each match's full
+length; where no place shares the window, the neighbours of the empty range give the longest match.
 """
 
 from __future__ import annotations
@@ -25,29 +26,37 @@ WINDOW = 10
 SHARD_BYTES = 6 << 20
 #: Bytes of benchmark text that go to the tasks at once; more is done in turns.
 BLOCK_BYTES = 32 << 20
+#: Places of windows that are put together at once; an item's places stay together.
+PLACES = 1 << 21
 
 
 class TestBlock:
-    """Part of the benchmark: word ids one item after another, each item followed by a stop."""
+    """Part of the benchmark: word ids one item after another, each item followed by a stop.
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    item, start and length: the places that a window starts at, or with `tails` all places of words,
+    where a suffix shorter than a window is searched whole.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int, tails: bool = False):
         self.names = [name for name, _ in items]
         self.index: dict[bytes, int] = {}
-        add, parts, item, at, length = self.index.setdefault, [], [], [], []
+        add, parts, item, at, length, head = self.index.setdefault, [], [], [], [], []
         total = 0
         for k, (_, text) in enumerate(items):
             words = text.translate(LOWER_ALNUM).split()
             parts += [add(w, len(self.index) + 1) for w in words] + [0] * window
             span = min(window, len(words))
-            starts = len(words) - span + 1 if words else 0
+            starts = (len(words) if tails else len(words) - span + 1) if words else 0
             item += [k] * starts
             at += range(total, total + starts)
-            length += [span] * starts
+            length += [min(span, len(words) - j) for j in range(starts)]
+            head.append(total)
             total += len(words) + window
         self.words = np.array(parts, np.int32)
         self.item = np.array(item, np.int64)
         self.start = np.array(at, np.int64)
         self.length = np.array(length, np.int64)
+        self.head = np.array(head, np.int64)
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -106,25 +115,53 @@ def search(words: np.ndarray, sa: np.ndarray, test: np.ndarray, start: np.ndarra
     return bounds[0], bounds[1]
 
 
-def longest_match(words: np.ndarray, sa: np.ndarray, test: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(length, place) of the longest match of each test suffix with the shard: the better of the
-    neighbours at the range's ends, extended word by word."""
-    best, place = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
+def verbatim(sa: np.ndarray, block: TestBlock, which: np.ndarray, lo: np.ndarray, hi: np.ndarray, places: int = PLACES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, test suffix, end of the verbatim match from there, whether no match begins before it)
+    of all places of the test suffixes `which`, a few items at a time.
+
+    Places on one diagonal (place - start) that follow each other belong to one match, which ends
+    with the last one's window. Items and texts are followed by stops, so no match leaves its own.
+    """
+    n = hi[which] - lo[which]
+    turn = (np.cumsum(np.bincount(block.item[which], n, minlength=1)) // places)[block.item[which]]
+    cuts = np.flatnonzero(np.diff(turn, prepend=-1, append=-1)) if len(turn) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some = n[a:b]
+        each = np.repeat(which[a:b], some)
+        place = sa[np.repeat(lo[which[a:b]] - np.cumsum(some) + some, some) + np.arange(some.sum())]
+        diagonal = place - block.start[each]
+        order = np.lexsort((place, diagonal))
+        place, each, diagonal = place[order], each[order], diagonal[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)
+        last = np.flatnonzero(np.append(new[1:], True)) if len(new) else np.empty(0, np.int64)
+        end = (place[last] + block.length[each[last]])[np.cumsum(new) - 1]
+        yield place, each, end, new
+
+
+def longest_match(words: np.ndarray, sa: np.ndarray, block: TestBlock, window: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, place) of the longest match of each test suffix with the shard; place is one of
+    those where it is, -1 without a match."""
+    best, place = np.zeros(len(lo), np.int64), np.full(len(lo), -1, np.int64)
     if not len(sa):
         return best, place
-    for near in (lo - 1, lo, hi - 1, hi):
-        ok = np.flatnonzero((near >= 0) & (near < len(sa)))
-        at, t = sa[near[ok]], start[ok]
-        n, live = np.zeros(len(ok), np.int64), np.arange(len(ok))
+    # no place shares the window: the longest match is at a neighbour, and shorter than the window
+    for near in (lo - 1, lo):
+        ok = np.flatnonzero((lo == hi) & (near >= 0) & (near < len(sa)))
+        at, n, live = sa[near[ok]], np.zeros(len(ok), np.int64), np.arange(len(ok))
         while len(live):
-            a, b = at[live] + n[live], t[live] + n[live]
-            inside = (a < len(words)) & (b < len(test))
-            same = np.zeros(len(live), bool)
-            same[inside] = (words[a[inside]] == test[b[inside]]) & (words[a[inside]] > 0)
-            live = live[same]
+            live = live[n[live] < block.length[ok[live]]]
+            live = live[words[at[live] + n[live]] == block.words[block.start[ok[live]] + n[live]]]
             n[live] += 1
         win = n > best[ok]
         best[ok[win]], place[ok[win]] = n[win], at[win]
+    # a whole rest of an item, shorter than a window, cannot go on; windows go on along their diagonals
+    rest = np.flatnonzero((lo < hi) & (block.length < window))
+    best[rest], place[rest] = block.length[rest], sa[lo[rest]]
+    for at, which, end, _ in verbatim(sa, block, np.flatnonzero((lo < hi) & (block.length == window)), lo, hi):
+        order = np.lexsort((at, at - end, which))
+        first = order[np.flatnonzero(np.diff(which[order], prepend=-1))]
+        best[which[first]], place[which[first]] = (end - at)[first], at[first]
     return best, place
 
 
@@ -143,23 +180,21 @@ def _shard(texts: list[bytes], block: TestBlock, gap: int) -> tuple[np.ndarray,
 
 
 def _find(texts: list[bytes], block: TestBlock, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text: its number, its words, starts and ends of the hit spans, items, and the place of
-    each occurrence's window in the benchmark."""
+    """Per text: its number, its words, and of its verbatim matches that hold a window, none of which
+    can be extended, the begins and ends, items, and begins in the item."""
     words, first, count = _shard(texts, block, window)
     sa = suffix_array(words, window)
     lo, hi = search(words, sa, block.words, block.start, block.length)
-    n = hi - lo
-    which = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = sa[lo[which] + offset] if len(which) else np.empty(0, np.int64)
+    found = [(place[new], which[new], end[new]) for place, which, end, new in verbatim(sa, block, np.flatnonzero(lo < hi), lo, hi)]
+    place, which, end = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
     doc = np.searchsorted(first, place, "right") - 1
     order = np.argsort(doc, kind="stable")
-    place, which, doc = place[order], which[order], doc[order]
+    place, which, end, doc = place[order], which[order], end[order], doc[order]
+    item = block.item[which]
     cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
     for d in range(len(texts)):
         part = slice(cuts[d], cuts[d + 1])
-        begin = place[part] - first[d]
-        yield d, int(count[d]), begin, begin + block.length[which[part]], block.item[which[part]], block.start[which[part]]
+        yield d, int(count[d]), place[part] - first[d], end[part] - first[d], item[part], block.start[which[part]] - block.head[item[part]]
 
 
 def covered(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +234,9 @@ def contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per row of `docs`: id, n_words, n_hit, items (sorted item ids as strings), spans
-    (as begins and ends, the words of each hit stretch) and longest (words of the longest stretch).
+    (as begins and ends, the words of each hit stretch), longest (words of the longest verbatim match
+    with one item, 0 without a hit) and its place: longest_word of the document, longest_item and
+    longest_item_word; of equally long ones the first in the document, then by item and its word.
 
     A word of a document is hit if it lies in an occurrence of a window of an item: `window`
     consecutive words, or the whole item if it has fewer. Null and empty texts have no words and
@@ -219,6 +256,9 @@ def contamination(
             T.StructField("ends", T.ArrayType(T.LongType())),
             T.StructField("items", T.ArrayType(T.StringType())),
             T.StructField("longest", T.LongType()),
+            T.StructField("longest_word", T.LongType()),
+            T.StructField("longest_item", T.StringType()),
+            T.StructField("longest_item_word", T.LongType()),
         ]
     )
 
@@ -229,15 +269,18 @@ def contamination(
             block = TestBlock(sent.value, window)
             for batch in batches:
                 texts = list(utf8_texts(batch.column(1)))
-                n_words, begins, ends, items_, longest = [], [], [], [], []
+                n_words, begins, ends, items_, longest, places = [], [], [], [], [], []
                 for a, b in by_bytes(texts, shard_bytes):
-                    for _, n, begin, end, item, _at in _find(texts[a:b], block, window):
+                    for _, n, begin, end, item, at in _find(texts[a:b], block, window):
                         u, v = covered(begin, end)
                         n_words.append(n)
                         begins.append(u)
                         ends.append(v)
                         items_.append(sorted({block.names[k] for k in np.unique(item)}))
-                        longest.append(int((v - u).max()) if len(u) else 0)
+                        longest.append(int((end - begin).max(initial=0)))
+                        top = np.flatnonzero(end - begin == longest[-1])
+                        places.append(min(((int(begin[j]), block.names[item[j]], int(at[j])) for j in top), default=(None, None, None)))
+                word, name, item_word = zip(*places, strict=True) if places else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -246,6 +289,9 @@ def contamination(
                         pa.array(ends, pa.list_(pa.int64())),
                         pa.array(items_, pa.list_(pa.string())),
                         pa.array(longest, pa.int64()),
+                        pa.array(word, pa.int64()),
+                        pa.array(name, pa.string()),
+                        pa.array(item_word, pa.int64()),
                     ],
                     names=schema.names,
                 )
@@ -264,10 +310,11 @@ def contamination(
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         u, v = covered(np.concatenate(pdf["begins"].to_list()).astype(np.int64), np.concatenate(pdf["ends"].to_list()).astype(np.int64))
-        row = pdf.iloc[:1].copy()
+        place = ["longest_word", "longest_item", "longest_item_word"]
+        row = pdf.sort_values(["longest", *place], ascending=[False, True, True, True]).iloc[:1].copy()
         row["begins"], row["ends"] = [u], [v]
         row["items"] = [sorted(set().union(*pdf["items"]))]
-        row["longest"] = int(pdf["longest"].max())
+        row = row.astype({"longest_word": "Int64", "longest_item_word": "Int64"})
         return row[merged.names]
 
     return every.groupBy("__row").applyInPandas(merge, merged).drop("__row")
@@ -292,11 +339,11 @@ def _with_row(keyed: DataFrame, run, schema: T.StructType, id_col: str, text_col
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per item and word of it that a window starts at: the longest verbatim match over all
-    documents and one place of it (item, item_word, n_match, doc, doc_word).
+    """Per item and word of it: the longest verbatim match from there over all documents and one
+    place of it (item, item_word, n_match, doc, doc_word).
 
-    Each shard gives its best; the best over shards is the largest by (n_match, -doc id, -word).
-    Texts without words match nothing and are absent, as are suffixes without any match.
+    Each shard gives its longest match and one of its places; of shards with equally long ones, the
+    one whose place has the smallest (doc id, word) counts. Texts without words match nothing and are absent, as are suffixes without any match.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
@@ -306,10 +353,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = TestBlock(sent.value, window)
-            head = np.zeros(len(block.names), np.int64)
-            if len(block.start):
-                head[block.item[::-1]] = block.start[::-1]
+            block = TestBlock(sent.value, window, tails=True)
             for batch in batches:
                 texts = list(utf8_texts(batch.column(1)))
                 ids = batch.column(0).to_pylist()
@@ -317,13 +361,13 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     words, first, _ = _shard(texts[a:b], block, window)
                     sa = suffix_array(words, window)
                     lo, hi = search(words, sa, block.words, block.start, block.length)
-                    n, place = longest_match(words, sa, block.words, block.start, lo, hi)
+                    n, place = longest_match(words, sa, block, window, lo, hi)
                     keep = np.flatnonzero(n > 0)
                     doc = np.searchsorted(first, place[keep], "right") - 1
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "item": [block.names[k] for k in block.item[keep]],
-                            "item_word": block.start[keep] - head[block.item[keep]],
+                            "item": pa.array([block.names[k] for k in block.item[keep]], pa.string()),
+                            "item_word": block.start[keep] - block.head[block.item[keep]],
                             "n_match": n[keep],
                             "doc": pa.array([ids[a + d] for d in doc], batch.column(0).type),
                             "doc_word": place[keep] - first[doc],
@@ -336,8 +380,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         found = docs.select(id_col, text_col).mapInArrow(finder(items), schema)
         every = found if every is None else every.unionByName(found)
-    best = F.struct("n_match", (-F.col("doc_word")).alias("w"), "doc")
-    return every.groupBy("item", "item_word").agg(F.max(best).alias("b")).select("item", "item_word", F.col("b.n_match").alias("n_match"), F.col("b.doc").alias("doc"), (-F.col("b.w")).alias("doc_word"))
+    best = F.min(F.struct((-F.col("n_match")).alias("n"), "doc", "doc_word")).alias("b")
+    return every.groupBy("item", "item_word").agg(best).select("item", "item_word", (-F.col("b.n")).alias("n_match"), "b.doc", "b.doc_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -49,6 +49,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
         "longest",
+        "longest_word",
+        "longest_item",
+        "longest_item_word",
     )
 
 

@@ -171,6 +171,52 @@ def test_decontamination_of_one_document_shards(spark):
         assert {r.doc_id: sum(r.ends) - sum(r.begins) for r in got} == want
 
 
+def test_longest_matches(spark):
+    """Per document and per word of an item, against brute force: copies whose middle one in sorted
+    order goes on longest, different items' windows side by side, and a tail of an item."""
+    import random
+
+    rng = random.Random(8)
+    new = iter(range(10**6))
+    fresh = lambda n: [f"n{next(new)}" for _ in range(n)]
+    items = {str(k): fresh(60) for k in range(4)} | {"4": fresh(4), "5": []}
+    items |= {"6": items["0"], "7": ["a"] * 14}
+    rows = []
+    for n in (16, 17, 50, 18, 16, 20, 10, 9, 3, 1):  # all share the first words; what follows sorts around the longest
+        rows.append(fresh(3) + items["0"][5 : 5 + n] + [rng.choice(items["3"])] + fresh(2))
+    rows.append(items["1"][:12] + items["2"][20:33] + items["4"] + items["3"][-7:])
+    rows += [items["1"][50:] + items["1"][:25], ["a"] * 12 + ["b"] + ["a"] * 30, fresh(30), []]
+    for _ in range(20):
+        item = items[str(rng.randrange(4))]
+        at = rng.randrange(60)
+        rows.append(fresh(5) + item[at : at + rng.randrange(40)] + fresh(5))
+
+    def common(x, y):
+        return next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    by_doc, by_word = {}, collections.Counter()
+    for i, w in enumerate(rows):
+        best = (0, 0, "", 0)
+        for name, it in items.items():
+            for t in range(len(it)):
+                for p in range(len(w)):
+                    if w[p] == it[t]:
+                        n = common(w[p:], it[t:])
+                        by_word[name, t] = max(by_word[name, t], n)
+                        if n >= min(10, len(it)):
+                            best = min(best, (-n, p, name, t))
+        by_doc[i] = (-best[0], *best[1:]) if best[0] else (0, None, None, None)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(int(k), " ".join(w)) for k, w in items.items()], "item_id long, text string").coalesce(1)
+    for options in ({}, {"shard_bytes": 1}, {"block_bytes": 300}):
+        got = decontaminate.contamination(df.coalesce(1), bench, **options).collect()
+        assert {r.doc_id: (r.longest, r.longest_word, r.longest_item, r.longest_item_word) for r in got} == by_doc
+        got = decontaminate.longest_matches(df.coalesce(1), bench, **options).collect()
+        assert {(r["item"], r.item_word): r.n_match for r in got} == {k: n for k, n in by_word.items() if n}
+        for r in got:
+            assert rows[r.doc][r.doc_word : r.doc_word + r.n_match] == items[r["item"]][r.item_word : r.item_word + r.n_match]
+
+
 def test_decontamination_edges(edge, spark):
     bench = spark.createDataFrame([(1, "a b a b"), (2, None), (3, ""), (None, "x y")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(edge, bench).collect()}
