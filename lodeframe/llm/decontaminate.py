@@ -9,6 +9,7 @@ length; where no place shares the window, the neighbours of the empty range give
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -208,18 +209,20 @@ def covered(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin[new], end[last]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's rows, in blocks of at most `block_bytes` (or one item)."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark's rows, in blocks of at most `block_bytes` (or one item), one at a time; without
+    rows one empty block."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    blocks, now, total = [], [], 0
+    now, total, some = [], 0, False
     for r in rows.filter("k is not null").toLocalIterator():
         text = r.t.encode()
         if now and total + len(text) > block_bytes:
-            blocks.append(now)
-            now, total = [], 0
+            yield now
+            now, total, some = [], 0, True
         now.append((r.k, text))
         total += len(text)
-    return [*blocks, now] if now or not blocks else blocks
+    if now or not some:
+        yield now
 
 
 def contamination(
@@ -243,10 +246,10 @@ def contamination(
     no hits; items without words have no window; items with equal texts are all counted; a null
     item id is skipped. Repeated rows give repeated rows; other columns are not read. The
     benchmark goes to the tasks in blocks of at most `block_bytes`, one pass over the documents
-    each; only with several blocks are the (few) hit documents' spans shuffled, by row.
+    each, whose result is written before the next block is read; only with several blocks are the
+    (few) hit documents' spans shuffled, by row.
     """
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType(
         [
@@ -296,16 +299,21 @@ def contamination(
                     names=schema.names,
                 )
 
-        return run
+        return run, sent
 
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    heads = list(itertools.islice(blocks, 2))
     rows = docs.select(id_col, text_col)
-    if len(blocks) == 1:
-        return rows.mapInArrow(finder(blocks[0]), schema)
+    if len(heads) == 1:
+        return rows.mapInArrow(finder(heads[0])[0], schema)
     keyed = stage(rows.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    found = [_with_row(keyed, finder(b), schema, id_col, text_col) for b in blocks]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more.filter("size(begins) > 0"))
+    every = None
+    for items in itertools.chain(heads, blocks):
+        run, sent = finder(items)
+        found = _with_row(keyed, run, schema, id_col, text_col)
+        found = stage(found if every is None else found.filter("size(begins) > 0"), "decontaminate-block")
+        sent.destroy()
+        every = found if every is None else every.unionByName(found)
     merged = T.StructType([T.StructField("__row", T.LongType()), *schema.fields])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -374,14 +382,24 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                         }
                     )
 
-        return run
+        return run, sent
 
+    def best(found: DataFrame) -> DataFrame:
+        least = F.min(F.struct((-F.col("n_match")).alias("n"), "doc", "doc_word")).alias("b")
+        return found.groupBy("item", "item_word").agg(least).select("item", "item_word", (-F.col("b.n")).alias("n_match"), "b.doc", "b.doc_word")
+
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    heads = list(itertools.islice(blocks, 2))
+    rows = docs.select(id_col, text_col)
+    if len(heads) == 1:
+        return best(rows.mapInArrow(finder(heads[0])[0], schema))
     every = None
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        found = docs.select(id_col, text_col).mapInArrow(finder(items), schema)
+    for items in itertools.chain(heads, blocks):
+        run, sent = finder(items)
+        found = stage(best(rows.mapInArrow(run, schema)), "longest-block")
+        sent.destroy()
         every = found if every is None else every.unionByName(found)
-    best = F.min(F.struct((-F.col("n_match")).alias("n"), "doc", "doc_word")).alias("b")
-    return every.groupBy("item", "item_word").agg(best).select("item", "item_word", (-F.col("b.n")).alias("n_match"), "b.doc", "b.doc_word")
+    return best(every)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

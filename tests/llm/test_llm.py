@@ -217,6 +217,30 @@ def test_longest_matches(spark):
             assert rows[r.doc][r.doc_word : r.doc_word + r.n_match] == items[r["item"]][r.item_word : r.item_word + r.n_match]
 
 
+def test_benchmark_blocks_go_one_at_a_time(spark, docs, monkeypatch):
+    """After the first two blocks, which tell one from several, each is written before the next is read."""
+    seen, blocks, stage = [], decontaminate._blocks, decontaminate.stage
+
+    def read(*args):
+        for block in blocks(*args):
+            seen.append("read")
+            yield block
+
+    def written(df, tag):
+        if tag.endswith("-block"):
+            seen.append("written")
+        return stage(df, tag)
+
+    monkeypatch.setattr(decontaminate, "_blocks", read)
+    monkeypatch.setattr(decontaminate, "stage", written)
+    bench = spark.createDataFrame([(k, f"a{k} b c d") for k in range(5)], "item_id long, text string")
+    few = docs.limit(5)
+    for find in (decontaminate.contamination, decontaminate.longest_matches):
+        seen.clear()
+        find(few, bench, block_bytes=1)
+        assert seen == ["read", "read", "written", "written", *["read", "written"] * 3]
+
+
 def test_decontamination_edges(edge, spark):
     bench = spark.createDataFrame([(1, "a b a b"), (2, None), (3, ""), (None, "x y")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(edge, bench).collect()}
