@@ -1,9 +1,11 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models with one shared backoff."""
+"""Toxicity by two class-conditional Kneser-Ney bigram models with shared backoff counts."""
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -12,259 +14,301 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import LOWER_ALNUM, by_bytes, fold, mix64, segment_sum, utf8_texts
+from lodeframe.llm.common import LOWER_ALNUM, by_bytes, fold, mix64, segment_sum, stage, utf8_texts
 
-#: Bounds of what is learnt from: labelled documents, and words and bigrams kept.
-MAX_TRAIN = 24_000
-MAX_WORDS = 500_000
-MAX_BIGRAMS = 1_000_000
-#: Words of the windows over which likelihoods are length-normalised.
-WINDOW = 2
-#: A count c is discounted by Z * sqrt(c): what may be chance goes to the shared backoff.
-Z = 3.0
-#: The largest log-likelihood difference that one word can bring.
-LIMIT = 4.0
+#: Labelled documents that are learnt from, at most. What the models hold follows from it.
+MAX_TRAIN = 16_000
+#: The share of a toxic text's words that its model draws from the toxic class, the others from the ordinary one.
+SHARE = 0.003
+#: Bytes of text that are scored at once; a longer text goes in slices.
+SLICE_BYTES = 4 << 20
+#: What stands before the first word of a text.
+BEGIN = np.uint64(1)
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of the lower-cased words, one text after another; words per text)."""
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts already translated: (the words' numbers, one text after another; words per text; the
+    64-bit hash of each distinct word)."""
     import xxhash
 
-    index: dict[bytes, int] = {}
+    index: dict[bytes, int] = defaultdict(itertools.count().__next__)
     parts, count = [], np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
-        words = text.translate(LOWER_ALNUM).split()
+        words = text.split()
         count[i] = len(words)
-        parts.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in index), np.uint64, len(index))
-    return (h[np.concatenate(parts)] if parts and len(h) else np.empty(0, np.uint64)), count
+        parts.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+    return (np.concatenate(parts) if parts else np.empty(0, np.int64)), count, h
 
 
-def _pairs(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(each word's left neighbour, 1 at the beginning of a text; the hash of the two)."""
-    left = np.roll(h, 1)
-    first = (np.cumsum(count) - count)[count > 0]
-    left[first] = 1
+def _pair(left: np.ndarray, h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return left, mix64(left * np.uint64(0x9E3779B97F4A7C15) + h)
+        return mix64(left * np.uint64(0x9E3779B97F4A7C15) + h)
+
+
+def _slices(text: bytes, limit: int) -> Iterator[bytes]:
+    """The text in parts that end at blanks, of `limit` bytes and the rest of a word."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + limit) if at + limit < len(text) else -1
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
+def discount(counts: np.ndarray) -> float:
+    """The absolute discount n1 / (n1 + 2 n2) of positive counts, within 0.1 to 0.95."""
+    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
+
+
+def _find(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(keys, of)
+    at[at == len(keys)] = 0
+    return at, keys[at] == of if len(keys) else np.zeros(len(of), bool)
 
 
 @dataclass(frozen=True)
 class KneserNey:
-    """log P(toxic model) - log P(ordinary model) of words and bigrams.
+    """Two interpolated Kneser-Ney models that share their backoff counts.
 
-    words: sorted hashes; cont: their continuation counts (different left neighbours, each counted
-    once a document) in (ordinary, toxic); total: the sums over all words. heads: sorted hashes of
-    left neighbours with their bigram counts by class and one backoff weight for both classes, so that
-    the class with fewer documents does not seem likelier wherever it has no bigram of its own. pairs: sorted bigram
-    hashes with their discounted counts by class.
+    P_c(w | v) = a_c(v, w) + b_c(v) * (a_s(v, w) + b_s(v) * P_c(w)), with the discounted counts a and
+    the weights b of class c (0 ordinary, 1 toxic) and of both together (s); P_c(w) = a_c(w) + b_c *
+    P_s(w) from continuation counts, and P_s(w) from those of both classes with one half added to
+    each word and to one unknown word. So an expression seen in one class only is likely in both
+    as far as its counts are chance, and every distribution sums to 1.
+
+    words: sorted hashes; single: P_c of each; unknown: P_c of any other word. heads: sorted hashes of
+    left neighbours; weight: b_0, b_1, b_s of each. pairs: sorted bigram hashes; kept: a_0, a_1, a_s.
     """
 
     words: np.ndarray
-    cont: np.ndarray
-    total: np.ndarray
+    single: np.ndarray
+    unknown: np.ndarray
     heads: np.ndarray
-    head_count: np.ndarray
-    backoff: np.ndarray
+    weight: np.ndarray
     pairs: np.ndarray
     kept: np.ndarray
-
-    def log_ratio(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-        left, pair = _pairs(h, count)
-
-        def find(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.searchsorted(keys, of)
-            at[at == len(keys)] = 0
-            return at, keys[at] == of if len(keys) else np.zeros(len(of), bool)
-
-        n_all = self.total.sum() + len(self.words) + 1
+    bits: int = field(init=False)
+    first: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        bits = max(1, len(self.pairs).bit_length())
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        object.__setattr__(self, "bits", bits)
+        object.__setattr__(self, "first", np.append(np.searchsorted(self.pairs, edges), len(self.pairs)))
+
+    @classmethod
+    def of_counts(cls, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> KneserNey:
+        """From distinct bigrams (v, w) and their counts by class, one row a bigram."""
+        both = np.column_stack([counts, counts.sum(1)]).astype(np.float64)
+        words, at = np.unique(w, return_inverse=True)
+        cont = np.column_stack([np.bincount(at, weights=both[:, c] > 0, minlength=len(words)) for c in range(3)])
+        shared = (np.append(cont[:, 2], 0) + 0.5) / (cont[:, 2].sum() + 0.5 * (len(words) + 1))
+        single = np.empty((len(words) + 1, 2))
+        for c in range(2):
+            seen = np.append(cont[:, c], 0)
+            kept = np.maximum(seen - discount(seen[seen > 0]), 0) / max(seen.sum(), 1)
+            single[:, c] = kept + (1 - kept.sum()) * shared
+        heads, at = np.unique(v, return_inverse=True)
+        kept, weight = np.empty_like(both), np.empty((len(heads), 3))
+        for c in range(3):
+            total = np.bincount(at, weights=both[:, c], minlength=len(heads))
+            kept[:, c] = np.maximum(both[:, c] - discount(both[:, c][both[:, c] > 0]), 0) / np.maximum(total, 1)[at]
+            weight[:, c] = 1 - np.bincount(at, weights=kept[:, c], minlength=len(heads))
+        pairs = _pair(v, w)
+        order = np.argsort(pairs)
+        return cls(words, single[:-1], single[-1], heads, weight, pairs[order], kept[order].astype(np.float32))
+
+    def probabilities(self, left: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        """P_0 and P_1 of each word ids[i] after left[i]; both are numbers into the distinct `hashes`."""
         if not len(self.words):
-            return np.zeros(len(h))
-        at, known = find(self.words, h)
-        cont = np.where(known[:, None], self.cont[at], 0.0)
-        shared = (cont.sum(1) + 1) / n_all
-        single = np.maximum(cont - Z * np.sqrt(cont), 0) / np.maximum(self.total, 1)
-        word = single + self.rest * shared[:, None]
-        if not len(self.heads):
-            return np.log(word[:, 1]) - np.log(word[:, 0])
-        at, known = find(self.heads, left)
-        p = np.where(known, self.backoff[at], 1.0)[:, None] * word
-        under = np.where(known[:, None], self.head_count[at], 1.0)
-        if len(self.pairs):
-            at, known = find(self.pairs, pair)
-            p += np.where(known[:, None], self.kept[at], 0.0) / np.maximum(under, 1)
-        return np.clip(np.log(p[:, 1]) - np.log(p[:, 0]), -LIMIT, LIMIT)
-
-    @property
-    def rest(self) -> np.ndarray:
-        """The probability that the word level leaves to the shared backoff, by class."""
-        kept = np.maximum(self.cont - Z * np.sqrt(self.cont), 0).sum(0)
-        return 1 - kept / np.maximum(self.total, 1)
-
-
-def window_score(model: KneserNey, texts: list[bytes], window: int = WINDOW) -> np.ndarray:
-    """Per text the largest length-normalised log-likelihood difference over its windows; 0 for a
-    text without words."""
-    h, count = _tokens(texts)
-    r = model.log_ratio(h, count)
-    total = np.concatenate([[0.0], np.cumsum(r)])
-    ends = np.cumsum(count)
-    first = np.repeat(ends - count, count)
-    at = np.arange(len(r)) + 1
-    begin = np.maximum(at - window, first)
-    mean = (total[at] - total[begin]) / window
-    best = np.zeros(len(texts))
-    some = count > 0
-    if some.any():
-        best[some] = np.maximum.reduceat(mean, (ends - count)[some])
-    return best
+            return [np.ones(len(ids)), np.ones(len(ids))]
+        at, known = _find(self.words, hashes)
+        single = np.where(known[:, None], self.single[at], self.unknown)
+        at, known = _find(self.heads, hashes)
+        weight = np.where(known[:, None], self.weight[at], 1.0)
+        at = self.place(_pair(hashes[left], hashes[ids]))
+        hit = np.flatnonzero(at >= 0)
+        at, out = at[hit], []
+        for c in range(2):
+            p = weight[left, 2] * single[ids, c]
+            p[hit] += self.kept[at, 2]
+            p *= weight[left, c]
+            p[hit] += self.kept[at, c]
+            out.append(p)
+        return out
+
+    def place(self, pair: np.ndarray) -> np.ndarray:
+        """The row of each bigram hash, -1 if there is none. Hashes are even, so the first bits
+        lead to a few rows, which are passed one by one."""
+        bucket = (pair >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        out = np.full(len(pair), -1, np.int64)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            same = self.pairs[here] == pair[open_]
+            out[open_[same]] = here[same]
+            at[open_] += 1
+            open_ = open_[~same & (here + 1 < end[open_])]
+        return out
+
+    def text_sums(self, texts: list[bytes], share: float = SHARE, limit: int = SLICE_BYTES) -> np.ndarray:
+        """Per text: words, log P under the ordinary model, and under the toxic text model, which
+        draws a word with probability `share` from the toxic class and else from the ordinary one."""
+        out = np.zeros((len(texts), 3))
+
+        def sums(part: list[bytes], before: np.uint64 = BEGIN) -> tuple[np.ndarray, np.uint64]:
+            ids, count, hashes = _tokens(part)
+            left = np.roll(ids, 1)
+            left[(np.cumsum(count) - count)[count > 0]] = len(hashes)
+            p, q = self.probabilities(left, ids, np.append(hashes, before))
+            plain = np.log(p)
+            mixed = plain + np.log1p(share * (q / p - 1))
+            return np.column_stack([count, segment_sum(plain, count), segment_sum(mixed, count)]), hashes[ids[-1]] if len(ids) else before
+
+        for a, b in by_bytes(texts, limit):
+            if b == a + 1:
+                before = BEGIN
+                for piece in _slices(texts[a].translate(LOWER_ALNUM), limit):
+                    got, before = sums([piece], before)
+                    out[a] += got[0]
+            else:
+                out[a:b] = sums([t.translate(LOWER_ALNUM) for t in texts[a:b]])[0]
+        return out
 
 
 def training_rows(labels: DataFrame, id_col: str, label_col: str, folds: int, most: int) -> DataFrame:
-    """(__id, __y): labelled rows whose fold is not 0, at most `most` by hash of the id, so that
-    both classes are sampled at one rate: were the commoner class alone thinned out, chance words
-    of the rarer one would look telling."""
+    """(__id, __y, __part): labelled rows whose fold is not 0, at most `most` by hash of the id, so
+    both classes are sampled at one rate. __part 1 (the last fold) is for calibration, 0 for the models."""
     rows = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
-    order = [F.xxhash64("__id", F.lit(5)), F.col("__id")]
-    return rows.orderBy(*order).limit(most)
+    part = (fold("__id", folds) == folds - 1).cast("int").alias("__part")
+    return rows.orderBy(F.xxhash64("__id", F.lit(5)), "__id").limit(most).select("__id", "__y", part)
+
 
+def count_bigrams(texts: DataFrame) -> DataFrame:
+    """(v, w, o, t) of (text, class): in how many ordinary and toxic texts each bigram stands; a
+    text counts once for each of its bigrams, so its repeated lines add nothing."""
+    names = ["v", "w", "o", "t"]
 
-def fit_models(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, max_bigrams: int = MAX_BIGRAMS) -> KneserNey:
-    """Counts the training documents' bigrams by class as different words to their left, and words
-    as different left neighbours, so that copies of a document and its repeated lines add nothing;
-    keeps the most frequent up to the bounds. What is dropped is left to the shared backoff."""
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(train), F.col("__doc") == F.col("__id")).select("__text", "__y")
-    names = ["v", "w", "q", "k"]  # k: 1 in an ordinary document, 2 in a toxic one, 3 in both
-    shape = ", ".join(f"{c} long" for c in names)
+    def merged(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate(held)
+        key = _pair(every[:, 0].view(np.uint64), every[:, 1].view(np.uint64))
+        _, at, back = np.unique(key, return_index=True, return_inverse=True)
+        cols = [every[at, 0], every[at, 1]]
+        cols += [np.bincount(back, weights=every[:, 2] == y).astype(np.int64) for y in (0, 1)]
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[i : i + 100_000])) for c in cols], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
-
-        def merged() -> np.ndarray:
-            every = np.concatenate(held)
-            _, at, back = np.unique(every[:, 2], return_index=True, return_inverse=True)
-            out = every[at].copy()
-            out[:, 3] = sum((np.bincount(back, weights=every[:, 3] & k) > 0) * k for k in (1, 2))
-            return out
-
-        def shipped(out: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(out), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out[i : i + 100_000].T], names=names)
-
         for batch in batches:
             for text, y in zip(utf8_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                h, count = _tokens([text])
-                left, pair = _pairs(h, count)
-                with np.errstate(over="ignore"):
-                    triple = mix64(np.concatenate([[np.uint64(1)], left[:-1]])[: len(h)] + pair * np.uint64(3))
-                _, at = np.unique(triple, return_index=True)
-                block = np.full((len(at), 4), 1 + y, np.int64)
-                for k, part in enumerate((left, h, triple)):
-                    block[:, k] = part[at].view(np.int64)
-                held.append(block)
-                size += len(at)
-                if size > 1_000_000:
-                    yield from shipped(merged())
-                    held, size = [], 0
+                ids, _, hashes = _tokens([text.translate(LOWER_ALNUM)])
+                h = hashes[ids]
+                left = np.append(BEGIN, h[:-1])[: len(h)]
+                _, at = np.unique(_pair(left, h), return_index=True)
+                held.append(np.column_stack([left[at].view(np.int64), h[at].view(np.int64), np.full(len(at), y, np.int64)]))
+                if sum(map(len, held)) > 1_000_000:
+                    yield from merged(held)
+                    held = []
         if held:
-            yield from shipped(merged())
-
-    from lodeframe.llm.common import stage
-
-    triples = rows.mapInArrow(run, shape).groupBy("v", "w", "q").agg(F.bit_or("k").alias("k"))
-    count = [F.sum(F.when(F.col("k").bitwiseAND(F.lit(bit)) > 0, 1).otherwise(0)).alias(c) for bit, c in ((1, "o"), (2, "t"))]
-    pairs = stage(triples.groupBy("v", "w").agg(*count), "toxic-bigrams")
-    seen = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
-    words = pairs.groupBy("w").agg(seen("o").alias("o"), seen("t").alias("t"))
-    total = words.agg(F.sum("o"), F.sum("t")).first()
-    top = words.filter("o + t >= 3").orderBy(F.desc(F.col("o") + F.col("t")), "w").limit(max_words).toPandas().sort_values("w", key=lambda s: s.to_numpy().view(np.uint64))
-    keep = lambda c: F.greatest(F.col(c) - F.lit(Z) * F.sqrt(c), F.lit(0.0))
-    strong = pairs.withColumn("ko", keep("o")).withColumn("kt", keep("t")).filter("ko > 0 or kt > 0")
-    strong = strong.orderBy(F.desc(F.col("o") + F.col("t")), "v", "w").limit(max_bigrams)
-    kept = strong.select("v", "w", "ko", "kt").toPandas()
-    # only left neighbours of kept bigrams need their counts: all others leave everything to the word level
-    heads = pairs.join(F.broadcast(strong.select("v").distinct()), "v", "left_semi").groupBy("v").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).toPandas()
-    u = lambda s: s.to_numpy(np.int64).view(np.uint64)
-    heads = heads.iloc[np.argsort(u(heads["v"]))]
-    by_head = kept.groupby("v")[["ko", "kt"]].sum().reindex(heads["v"]).fillna(0.0)
-    count = heads[["o", "t"]].to_numpy(np.float64)
-    with np.errstate(over="ignore"):
-        pair = mix64(u(kept["v"]) * np.uint64(0x9E3779B97F4A7C15) + u(kept["w"]))
-    order = np.argsort(pair)
-    return KneserNey(
-        u(top["w"]),
-        top[["o", "t"]].to_numpy(np.float64),
-        np.array([total[0] or 0, total[1] or 0], np.float64),
-        u(heads["v"]),
-        count,
-        np.maximum(1 - by_head.to_numpy(np.float64).sum(1) / np.maximum(count.sum(1), 1), 0.05),
-        pair[order],
-        kept[["ko", "kt"]].to_numpy(np.float64)[order],
-    )
+            yield from merged(held)
+
+    rows = texts.mapInArrow(run, "v long, w long, o long, t long")
+    return rows.groupBy("v", "w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+
 
+def fit_models(texts: DataFrame) -> KneserNey:
+    """Both models from (text, class) rows. Their table comes through the driver: it has a row for
+    each distinct bigram of at most MAX_TRAIN documents."""
+    got = count_bigrams(texts).toPandas()
+    v, w = (got[c].to_numpy(np.int64).view(np.uint64) for c in ("v", "w"))
+    return KneserNey.of_counts(v, w, got[["o", "t"]].to_numpy(np.float64))
 
-def _window_scores(docs: DataFrame, sent, id_col: str, text_col: str, extra: list[str], batch_bytes: int = 4 << 20) -> DataFrame:
-    """(id, extra columns, x) with x the window score."""
-    picked = docs.select(id_col, *extra, F.col(text_col).alias("__text"))
-    schema = T.StructType([*picked.schema.fields[:-1], T.StructField("x", T.DoubleType())])
+
+def _evidence(docs: DataFrame, sent, keep: list[str], text_col: str, share: float) -> DataFrame:
+    """The columns `keep`, ordinary_loglik and toxic_loglik (mean log-likelihood a word) and x: 1000 times their difference."""
+    picked = docs.select(*keep, F.col(text_col).alias("__text"))
+    more = [T.StructField(c, T.DoubleType()) for c in ("ordinary_loglik", "toxic_loglik", "x")]
+    schema = T.StructType([*picked.schema.fields[:-1], *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            texts = list(utf8_texts(batch.column(batch.num_columns - 1)))
-            x = [window_score(model, texts[a:b]) for a, b in by_bytes(texts, batch_bytes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(x) if x else [], pa.float64())], names=schema.names)
+            sums = model.text_sums(list(utf8_texts(batch.column(batch.num_columns - 1))), share)
+            mean = sums[:, 1:] / np.maximum(sums[:, :1], 1)
+            cols = [mean[:, 0], mean[:, 1], 1000 * (mean[:, 1] - mean[:, 0])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.ascontiguousarray(c), pa.float64()) for c in cols]], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
 
-def calibrate(histogram: pd.DataFrame) -> tuple[float, float]:
-    """(slope, middle) of the logistic curve through window scores by class (columns x, y, n).
+def calibrate(seen: pd.DataFrame) -> tuple[float, float]:
+    """(slope, middle) of the logistic curve through evidence by class (columns x, y).
 
-    The middle is the cut of least balanced error on the training documents: of the cuts that are
-    equally good, the middle of the widest stretch. The slope follows from the distance of the
-    classes' medians. Nothing is iterated, so classes that part cleanly are no special case.
+    The middle is the cut of least balanced error: of the cuts that are equally good, the middle of
+    the widest stretch. The slope follows from the distance of the classes' medians. Nothing is
+    iterated, so classes that part cleanly are no special case. Without both classes: (1, 1).
     """
-    parts = [histogram[histogram["y"] == k].sort_values("x") for k in (0, 1)]
-    if not all(len(h) for h in parts):
-        return 8.0, 0.6
-    x = [h["x"].to_numpy(np.float64) for h in parts]
-    share = [np.cumsum(h["n"].to_numpy(np.float64)) / h["n"].sum() for h in parts]
+    x = [np.sort(seen["x"].to_numpy(np.float64)[seen["y"] == k]) for k in (0, 1)]
+    if not all(map(len, x)):
+        return 1.0, 1.0
     places = np.unique(np.concatenate(x))
     cuts = (places[1:] + places[:-1]) / 2 if len(places) > 1 else places
-    below = [np.concatenate([[0.0], s])[np.searchsorted(v, cuts)] for v, s in zip(x, share, strict=True)]
+    below = [np.searchsorted(v, cuts) / len(v) for v in x]
     error = np.round((1 - below[0]) + below[1], 9)
     best = np.flatnonzero(error == error.min())
     runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
     edge = lambda r: (places[r[0]], places[min(r[-1] + 1, len(places) - 1)])
     lo, hi = max((edge(r) for r in runs), key=lambda e: e[1] - e[0])
-    medians = [v[np.searchsorted(s, 0.5)] for v, s in zip(x, share, strict=True)]
-    return float(np.clip(8 / max(medians[1] - medians[0], 1e-9), 2, 20)), float((lo + hi) / 2)
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, folds: int = 5, max_train: int = MAX_TRAIN) -> DataFrame:
-    """One row per row of `docs`: id, held_out (fold 0), score (0 to 1), predicted.
-
-    The models and the curve that turns window scores into a score learn from at most `max_train`
-    labelled documents outside fold 0 (null and other labels are ignored; an id
-    labelled twice counts once, by its larger label). A null or empty text scores as a text without
-    evidence. Whole texts are scored, whatever their length. Repeated rows give repeated rows;
-    other columns are not read. Without labels of both classes every score is the curve's at 0.
+    return float(np.clip(8 / max(np.median(x[1]) - np.median(x[0]), 1e-9), 0.05, 20)), float((lo + hi) / 2)
+
+
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    threshold: float = 0.5,
+    folds: int = 5,
+    max_train: int = MAX_TRAIN,
+    share: float = SHARE,
+    carry: bool = False,
+) -> DataFrame:
+    """One row per row of `docs`: id, held_out (fold 0), score (0 to 1), predicted, evidence, and the
+    length-normalised log-likelihoods ordinary_loglik and toxic_loglik; with `carry` also the whole row as the
+    struct `row`.
+
+    evidence is 1000 times the difference of the two. The models learn from labelled documents
+    outside fold 0 and the last fold, the curve that turns evidence into a score from the last one;
+    at most `max_train` documents in all (null and other labels are ignored; an id labelled twice
+    counts once, by its larger label). A null or empty text has evidence 0. Whole texts are scored,
+    long ones in slices. Repeated rows give repeated rows, and a labelled id that stands in several
+    rows is learnt from each; other columns are not read, but for `carry`. Without labels of both
+    classes every text scores by a fixed curve.
     """
-    from lodeframe.llm.common import stage
-
     spark = docs.sparkSession
     train = stage(training_rows(labels, id_col, label_col, folds, max_train), "toxic-train")
-    model = fit_models(docs, train, id_col, text_col)
-    sent = spark.sparkContext.broadcast(model)
-    labelled = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__t")).join(F.broadcast(train), F.col("__doc") == F.col("__id"))
-    scores = _window_scores(labelled, sent, "__doc", "__t", ["__y"])
-    histogram = scores.groupBy(F.round("x", 2).alias("x"), F.col("__y").alias("y")).agg(F.count("*").alias("n")).toPandas()
-    slope, middle = calibrate(histogram)
-    scored = _window_scores(docs, sent, id_col, text_col, [])
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
+    texts = stage(rows.join(F.broadcast(train), F.col("__doc") == F.col("__id")).select("__text", "__y", "__part"), "toxic-texts")
+    sent = spark.sparkContext.broadcast(fit_models(texts.filter("__part = 0").select("__text", "__y")))
+    # a row a labelled document of one fold, so at most max_train
+    seen = _evidence(texts.filter("__part = 1").withColumnRenamed("__y", "y"), sent, ["y"], "__text", share).select("x", "y").toPandas()
+    slope, middle = calibrate(seen)
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
+    scored = _evidence(source, sent, ["__id", "row"] if carry else ["__id"], "__t", share)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(slope) * (F.col("x") - F.lit(middle))))
     return scored.select(
-        id_col, (fold(id_col, folds) == 0).alias("held_out"), score.alias("score"), F.when(score >= threshold, 1).otherwise(0).alias("predicted"), F.col("x").alias("evidence")
+        F.col("__id").alias(id_col),
+        (fold("__id", folds) == 0).alias("held_out"),
+        score.alias("score"),
+        F.when(score >= threshold, 1).otherwise(0).alias("predicted"),
+        F.col("x").alias("evidence"),
+        "ordinary_loglik",
+        "toxic_loglik",
+        *(["row"] if carry else []),
     )

@@ -381,3 +381,112 @@ def test_pipeline(spark):
     assert len(ids) == len(set(ids)) and all(r.taken > 0 for r in out)
     good = {r.doc_id: r for r in quality.score_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert all(good[i].predicted == 1 for i in ids)
+
+
+def brute_toxicity(rows, labels, share, folds=5):
+    """Evidence per text by the formulas in plain Python: {id: evidence}."""
+    import itertools
+
+    def words(t):
+        return re.findall("[a-z0-9\x80-\U0010ffff]+", low(t))
+
+    def fold_of(i):
+        return zlib.crc32(str(i).encode()) % folds
+
+    counts = ({}, {})
+    for i, t in rows:
+        if i in labels and fold_of(i) not in (0, folds - 1):
+            for pair in set(itertools.pairwise([None, *words(t)])):
+                counts[labels[i]][pair] = counts[labels[i]].get(pair, 0) + 1
+    both = {k: counts[0].get(k, 0) + counts[1].get(k, 0) for k in counts[0].keys() | counts[1].keys()}
+    tables = [*counts, both]
+
+    def discounted(table):
+        one, two = (sum(n == k for n in table.values()) for k in (1, 2))
+        return min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
+
+    cont = [collections.Counter(w for _, w in t) for t in tables]
+    heads = [collections.Counter() for _ in tables]
+    for head, table in zip(heads, tables, strict=True):
+        for (v, _), n in table.items():
+            head[v] += n
+    cut, below = [discounted(t) for t in tables], [discounted(c) for c in cont]
+    vocabulary = len(cont[2])
+    kept = [collections.Counter() for _ in tables]
+    for k, table in zip(kept, tables, strict=True):
+        for (v, _), n in table.items():
+            k[v] += max(n - cut[tables.index(table)], 0)
+
+    def shared(w):
+        return (cont[2][w] + 0.5) / (sum(cont[2].values()) + 0.5 * (vocabulary + 1))
+
+    def single(w, c):
+        total = sum(cont[c].values())
+        mass = sum(max(n - below[c], 0) for n in cont[c].values()) / total
+        return max(cont[c][w] - below[c], 0) / total + (1 - mass) * shared(w)
+
+    def after(v, w, c, lower):
+        if v not in heads[c]:
+            return lower
+        return max(tables[c].get((v, w), 0) - cut[c], 0) / heads[c][v] + (1 - kept[c][v] / heads[c][v]) * lower
+
+    def p(v, w, c):
+        return after(v, w, c, after(v, w, 2, single(w, c)))
+
+    out = {}
+    for i, t in rows[:25]:
+        terms = []
+        for v, w in itertools.pairwise([None, *words(t)][:400]):
+            a, b = p(v, w, 0), p(v, w, 1)
+            terms.append(math.log((1 - share) * a + share * b) - math.log(a))
+        out[i] = 1000 * sum(terms) / max(len(terms), 1)
+    return out
+
+
+def test_toxicity_against_brute_force(spark, docs, labels):
+    short = docs.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 60), " "))
+    rows = sorted(texts_of(short))
+    want = brute_toxicity(rows, {r.doc_id: r.toxic for r in labels.collect()}, 0.2)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(short, labels, share=0.2).collect()}
+    for i, x in want.items():
+        assert got[i].evidence == pytest.approx(x, rel=1e-4, abs=1e-3)
+        assert got[i].evidence == pytest.approx(1000 * (got[i].toxic_loglik - got[i].ordinary_loglik))
+
+
+def test_toxicity_models_sum_to_one():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v, w = np.divmod(np.unique(rng.integers(0, 400, 150)), 20)
+    counts = rng.integers(0, 4, (len(v), 2)).astype(float)
+    counts[counts.sum(1) == 0] = 1
+    m = toxicity.KneserNey.of_counts(v.astype(np.uint64) + 5, w.astype(np.uint64) + 5, counts)
+    every = np.append(m.words, np.uint64(999))  # 999: the unknown word
+    for head in [*m.heads, np.uint64(77)]:
+        hashes = np.append(every, head)
+        p = m.probabilities(np.full(len(every), len(every)), np.arange(len(every)), hashes)
+        assert [x.sum() for x in p] == pytest.approx([1, 1], abs=1e-5)
+
+
+def test_toxicity_slices_and_rare_words(spark):
+    """Slices of a long text give what the whole gives, and what few documents show is learnt."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(400):
+        text = rng.choices(words, k=40)
+        if i % 8 == 0:
+            text[7:9] = ["rare", "insult"] if i % 16 else ["w1", "w2"]  # a rare word, and a phrase of common words
+        rows.append((i, " ".join(text), int(i % 8 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score_toxicity(df, df.select("doc_id", "toxic")).join(df.select("doc_id", "toxic"), "doc_id").collect()
+    held = [r for r in got if r.held_out and r.toxic]
+    assert held and sum(r.predicted for r in held) / len(held) >= 0.8
+    assert sum(r.predicted for r in got if not r.toxic) <= 20
+    m = toxicity.KneserNey.of_counts(np.array([1, 5], np.uint64), np.array([5, 6], np.uint64), np.array([[1.0, 2], [3, 1]]))
+    text = b"ab cd ef " * 1000
+    assert m.text_sums([text], limit=50) == pytest.approx(m.text_sums([text]))
