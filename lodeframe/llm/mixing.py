@@ -2,9 +2,9 @@
 
 Sizes are counted once; all that follows works on (source, length) counts. Each source takes whole
 copies of all its documents as far as they fit, and for the rest of its budget a set of documents
-whose lengths sum to it: most of the budget in proportion to the length counts, the last part by a
-bounded-knapsack dynamic programme over lengths. Which documents of a length are taken is decided
-by a seeded hash of their ids.
+whose lengths sum to it: all but the last RESERVE words of the budget in proportion to the length
+counts, these last ones by a bounded-knapsack dynamic programme over all lengths. Which documents
+of a length are taken is decided by a seeded hash of their ids.
 """
 
 from __future__ import annotations
@@ -17,13 +17,11 @@ from pyspark.sql import types as T
 
 from lodeframe.llm.common import stage
 
-#: Parts that the documents of one length are dealt over, so that none is ranked as a whole.
-SALTS = 64
-#: Lengths that the dynamic programme uses at most, and the mean lengths it is left to fill.
-DP_LENGTHS = 96
-SLACK = 24
-#: Budgets up to this, with as few lengths, are solved exactly as a whole.
-DP_BUDGET = 1 << 20
+#: Documents that are ranked together, on average; the documents of one length are dealt over as
+#: many salts as that asks for.
+RANKED = 200_000
+#: Words of a source's budget that the dynamic programme fills.
+RESERVE = 1 << 17
 
 
 def word_count(text: Column) -> Column:
@@ -65,52 +63,51 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take so that the sum is as near below `budget` as can be.
 
-    Bounded: at most counts[i] of lengths[i]. Reachable sums are bits of an integer; each length
-    enters by powers of two of its count, and the choice is read back from the stored steps.
+    Bounded: at most counts[i] of lengths[i], which enter by powers of two. For each sum the first
+    step that reaches it is kept; what it came from was reached by earlier steps, so the choice is
+    read back from sum to sum. It ends when the budget itself is reached.
     """
     take = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not len(lengths):
         return take
-    full = (1 << (budget + 1)) - 1
-    steps: list[tuple[int, int, int]] = []
-    reach = 1
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    by = np.full(budget + 1, -1, np.int32)
+    steps: list[tuple[int, int]] = []
     for i, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         left, k = min(count, budget // length), 1
-        while left > 0:
+        while left > 0 and not reach[budget]:
             k = min(k, left)
-            steps.append((i, k, reach))
-            reach |= (reach << (length * k)) & full
+            new = reach[: budget + 1 - length * k] & ~reach[length * k :]
+            by[length * k :][new] = len(steps)
+            reach[length * k :] |= new
+            steps.append((i, k))
             left -= k
             k *= 2
-        if reach >> budget & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(lengths[i])
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, k = steps[by[at]]
+        take[i] += k
+        at -= k * int(lengths[i])
     return take
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int = RESERVE) -> np.ndarray:
     """Documents to take of each (distinct, positive, rising) length so that their words come to
     `budget`.
 
-    Every length gives its share of documents, rounded along the running sum, so the words differ
-    from the budget by less than the longest length. Single documents are then put back or added
-    until the rest is SLACK mean lengths or a little more, and the exact programme fills that rest
-    from the lengths that still have documents.
+    Every length gives its share of the budget beyond the reserve, rounded along the running sum;
+    single documents are put back or added until the reserve is open. The exact programme then fills
+    it from all lengths that still have documents, so a budget within the reserve is its work alone.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     budget = max(budget, 0)
-    if len(lengths) <= DP_LENGTHS and budget <= DP_BUDGET:
-        return knapsack(lengths, counts, budget)
-    take = np.diff(np.floor(np.cumsum(counts * (budget / total)) + 1e-9).astype(np.int64), prepend=0)
+    slack = min(budget, reserve)
+    take = np.diff(np.floor(np.cumsum(counts * ((budget - slack) / total)) + 1e-9).astype(np.int64), prepend=0)
     take = np.minimum(take, counts)
     rest = budget - int((take * lengths).sum())
-    slack = min(budget, SLACK * max(1, total // int(counts.sum())))
     for i in np.argsort(lengths, kind="stable"):
         if rest >= slack:
             break
@@ -122,12 +119,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         if n > 0:
             take[i] += n
             rest -= n * int(lengths[i])
-    free = np.flatnonzero((counts > take) & (lengths <= rest))
-    if len(free) > DP_LENGTHS:
-        # the shortest ones, and the others evenly
-        half = DP_LENGTHS // 2
-        free = free[np.unique(np.concatenate([np.arange(half), np.linspace(half, len(free) - 1, half).astype(int)]))]
-    free = free[::-1]
+    free = np.flatnonzero((counts > take) & (lengths <= rest))[::-1]
     take[free] += knapsack(lengths[free], (counts - take)[free], rest)
     return take
 
@@ -148,20 +140,25 @@ def mix(
 
     size is the number of words (null or empty text: 0; such a document is never taken).
     A document is taken 0 to `cap` times. Per source the taken words are its target up to the
-    nearest sum that the lengths allow. A null source is a source of its own. Repeated rows are
-    documents of their own; if rows share id and length, which of them is taken is not defined,
-    the multiset of rows is. Reruns agree. Other columns are not read, but for `carry`. No row gives no row.
+    nearest sum below it that can be reached when all but RESERVE words are taken in proportion to
+    the lengths; where that much or less is open from the start, no set of documents comes nearer.
+    A null source is a source of its own. Repeated rows are documents of their own; rows that share
+    id and length are ranked by a hash of their texts. Reruns agree. Other columns are not read, but
+    for `carry`. No row gives no row.
     """
     sizes = stage(
         docs.select(
             F.col(id_col).alias("__id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.lit(1)), F.lit(SALTS)).cast("int").alias("salt"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.lit(1)).alias("__deal"),
+            F.xxhash64(F.col(text_col)).alias("__tie"),
             *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
         ),
         "mix-sizes",
     )
+    salts = sizes.count() // RANKED + 1
+    sizes = sizes.withColumn("salt", F.pmod("__deal", F.lit(salts)).cast("int"))
     targets = source_targets(sizes, list(weights), share, cap)
     cells = sizes.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     lengths = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -216,7 +213,7 @@ def mix(
         quota, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("salt") == F.col("__p"))
     )
     sure = (F.col("quota") == 0) | (F.col("quota") == F.col("n"))
-    ranked = Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64(F.lit(seed), "__id", F.lit(2)), "__id")
+    ranked = Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64(F.lit(seed), "__id", F.lit(2)), "__id", "__tie")
 
     def shape(df: DataFrame, extra: Column) -> DataFrame:
         return df.select(

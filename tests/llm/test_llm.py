@@ -268,6 +268,14 @@ def test_mixing(docs):
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
 
 
+def test_mixing_of_equal_ids(spark):
+    """Rows that share id and length are told apart by their texts, in every run alike."""
+    rows = [(1, f"t{k} x", "a" if k % 2 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r.row.text, r.taken) for r in mixing.mix(df.repartition(n), carry=True).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1] and len(runs[0]) == 40
+
+
 def test_mixing_edges(edge):
     got = mixing.mix(edge).collect()
     assert len(got) == len(EDGE) and all(r.source_size == 30_018 for r in got)
@@ -281,6 +289,26 @@ def test_knapsack_is_exact():
     assert (take <= [3, 2, 4]).all() and (take * [5, 7, 11]).sum() == 43
 
 
+@pytest.mark.parametrize(("reserve", "odd"), [(10**6, True), (5_000, True), (5_000, False)])
+def test_fit_lengths_of_many_lengths(reserve, odd):
+    """Over a thousand lengths, within the reserve and beyond it: the budget is met exactly, or by the
+    nearest even sum where all lengths are even."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(1, 20_000, 3000)) * (1 if odd else 2)
+    counts = rng.integers(1, 50, len(lengths))
+    total = int((lengths * counts).sum())
+    for budget in (0, 1, 777, total // 3 | 1, total // 2 | 1, total - 1, total):
+        take = mixing.fit_lengths(lengths, counts, budget, reserve)
+        assert (take >= 0).all() and (take <= counts).all()
+        got = int((take * lengths).sum())
+        want = budget if odd or budget == total else budget - budget % 2
+        if budget == total - 1:  # the least that can be left out is one shortest document
+            want = total - int(lengths[0])
+        assert got <= want and want - got <= (0 if budget > 20_000 else lengths[0])
+
+
 def test_quality_rules(docs, labels, edge):
     got = {r.doc_id: r for r in rules.quality_rules(docs, labels).collect()}
     for i, t in texts_of(docs):
