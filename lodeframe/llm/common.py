@@ -22,13 +22,16 @@ LOWER_ALNUM = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder. Without either there is
+    none that all executors share, but on a local master, where a temporary one will do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = tempfile.mkdtemp(prefix="spark-shared-")
     spark.sparkContext.setCheckpointDir(root)
     return root
@@ -50,6 +53,29 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are hot enough to be broadcast, at most.
+HOT_KEYS = 4096
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """many joined with `one` on key; `one` has a row a key and in __n how often `many` holds it.
+
+    Keys with more than total / HOT_KEYS rows (total: the rows of `many`), so at most HOT_KEYS of
+    them, meet their rows by broadcast; only the others are shuffled, so no key makes a large task.
+    """
+    limit = max(64, -(-total // HOT_KEYS))
+    hot = one.filter(F.col("__n") > limit).drop("__n")
+    cold = one.filter(F.col("__n") <= limit).drop("__n")
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
+def numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """(__row, row): each row of docs as a struct, under a number that is written down, so that rows
+    with null or equal ids are told apart and none of their columns can clash."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), tag)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import LOWER_ALNUM, by_bytes, stage, utf8_texts
+from lodeframe.llm.common import LOWER_ALNUM, by_bytes, numbered, stage, utf8_texts
 
 #: Words of a window.
 WINDOW = 10
@@ -402,8 +402,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return best(every)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a hit word, with their own columns; a null id is kept."""
-    id_col = options.get("id_col", "doc_id")
-    found = contamination(docs, benchmark, **options).filter("size(begins) > 0").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(found, docs[id_col] == found["__bad"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents without a hit word, with their own columns. Rows are judged one by one, whatever
+    their ids; a null or empty text stays. No row gives no row."""
+    rows = numbered(docs, "decontaminate-rows")
+    texts = rows.select("__row", F.col("row")[text_col].alias("__text"))
+    hit = contamination(texts, benchmark, id_col="__row", text_col="__text", **options).filter("size(begins) > 0")
+    return rows.join(stage(hit.select("__row"), "decontaminate-hit"), "__row", "left_anti").select("row.*")

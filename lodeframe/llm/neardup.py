@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import LOWER, by_bytes, mix64, stage, utf8_texts
+from lodeframe.llm.common import HOT_KEYS, LOWER, by_bytes, hot_join, mix64, numbered, stage, utf8_texts
 
 #: Bytes of text whose shingles are hashed at once.
 BATCH_BYTES = 4 << 20
@@ -199,14 +199,16 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, p: Par
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (x, y) whose full sets meet the threshold. A set that is shared by many pairs is
-    y's: x's sets travel to it, and only the documents that stand in pairs are shuffled at all."""
-    one = sets.dropDuplicates(["id", "set"])
-    both = (
-        pairs.join(one.withColumnsRenamed({"id": "x", "set": "a"}), "x")
-        .join(one.withColumnsRenamed({"id": "y", "set": "b"}), "y")
-        .select("x", "y", "a", "b")
-    )
+    """The pairs (x, y) whose full sets meet the threshold. Only the documents that stand in pairs
+    are shuffled. A y of many pairs has its set copied to as many salts as its pairs are dealt over."""
+    pairs, one = stage(pairs, "neardup-open"), sets.dropDuplicates(["id", "set"])
+    limit = max(64, -(-pairs.count() // HOT_KEYS))
+    # at most HOT_KEYS rows
+    hot = F.broadcast(pairs.groupBy("y").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("y", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, "y", "left").select("x", "y", F.pmod(F.xxhash64("x", F.lit(7)), salts).cast("int").alias("salt"))
+    copied = one.withColumnsRenamed({"id": "y", "set": "b"}).join(hot, "y", "left").select("y", "b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    both = dealt.join(one.withColumnsRenamed({"id": "x", "set": "a"}), "x").join(copied, ["y", "salt"]).select("x", "y", "a", "b")
     id_type = pairs.schema["x"].dataType
     schema = T.StructType([T.StructField("x", id_type), T.StructField("y", id_type)])
 
@@ -229,29 +231,32 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
-def components(links: DataFrame, tag: str = "components", rounds: int = 50) -> DataFrame:
+def _with_least(edges: DataFrame, tag: str, total: int) -> DataFrame:
+    """The edges (u, v) with m, the least v of their u."""
+    least = stage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")), tag)
+    return hot_join(edges, least, "u", total)
+
+
+def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """(id, comp) for every id in links (x, y): comp is the smallest id that it reaches.
 
     Alternates two steps on edges: each node's larger neighbours move to its smallest neighbour,
-    then its smaller ones do. Each round is written out; it ends when the edges stay the same.
+    then its smaller ones do. Each round is written out; it ends when the edges stay the same,
+    after a number of rounds that grows with the logarithm of the longest path.
     """
     edges = stage(
         links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), tag
     )
-    before = None
-    for _ in range(rounds):
+    now = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before, seen = None, now()
+    while seen != before:
+        before = seen
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        edges = stage(small.filter("u <> v").distinct(), tag)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        low = _with_least(both, tag, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = stage(low.distinct(), tag)
+        small = _with_least(large, tag, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(small.filter("u <> v").union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), tag)
+        seen = now()
     star = edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
     return star.union(star.select(F.col("comp").alias("id"), "comp").distinct())
 
@@ -298,10 +303,10 @@ def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params)
         known.groupBy("key")
         .agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .filter("lo <> hi")
-        .select("key", F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("bulk") / F.lit(BLOCK_SHINGLES))).alias("parts"))
+        .select("key", F.col("size").alias("__n"), F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("bulk") / F.lit(BLOCK_SHINGLES))).alias("parts"))
     )
     members = stage(
-        known.join(mixed, "key").select("key", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("block"), "id", "comp", "keys", *words),
+        hot_join(known, stage(mixed, "neardup-mixed"), "key", buckets.count()).select("key", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("block"), "id", "comp", "keys", *words),
         "neardup-members",
     )
     blocks = members.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words)).alias("rows"))
@@ -379,8 +384,8 @@ def _families(members: DataFrame, dense: DataFrame, nodes: DataFrame, p: Params)
     words = [f"s{i}" for i in range(p.sketch_words)]
     crowd = members.join(dense.select("key", F.col("a").alias("block")).union(dense.select("key", "b")).distinct(), ["key", "block"]).select("key", "id", "comp")
     crowd = stage(crowd, "neardup-crowd")
-    first = crowd.groupBy("key").agg(F.min("id").alias("y"))
-    family = components(crowd.join(first, "key").select(F.col("id").alias("x"), "y"), "neardup-families")
+    first = stage(crowd.groupBy("key").agg(F.min("id").alias("y"), F.count("*").alias("__n")), "neardup-crowd")
+    family = components(hot_join(crowd, first, "key", crowd.count()).select(F.col("id").alias("x"), "y"), "neardup-families")
     known = family.select("id", F.col("comp").alias("key")).join(crowd.select("id", "comp").distinct(), "id").join(nodes, "id")
     parts = known.groupBy("key").agg(
         F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts")
@@ -424,10 +429,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are lower-cased (A-Z) runs of [^\\x20\\x09-\\x0D]; a text of fewer words than a shingle
     has is one shingle; a text without words, or a null one, has none and links with nothing. Rows
     with equal sets are linked. Rows that share an id are one node, so what links to one links to
-    all. A null id is no node: its component is null and it is kept. Ids must be numbers. Other
-    columns are not read. Sets are compared by 64-bit hashes of their shingles.
+    all. A null id is no node: its component is null and it is kept. Other ids
+    than integers raise TypeError. Other columns are not read. Sets are compared by 64-bit hashes of their shingles.
     """
     p = params or Params()
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"near_duplicates needs integer ids, not {docs.schema[id_col].dataType.simpleString()}")
     words = [f"s{i}" for i in range(p.sketch_words)]
     rows = stage(_profile(docs, id_col, text_col, p), "neardup-profile")
     sets = rows.filter("n > 0 and id is not null")
@@ -440,13 +447,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = sets.groupBy("id").agg(F.min("h0").alias("lo"), F.max("h0").alias("hi")).filter("lo <> hi").select("id")
     shared = sets.join(several, "id").join(same, ["n", "h0", "h1"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
     keyed = nodes.select(F.explode("keys").alias("key"), "id")
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead <> last").select("key", "lead")
-    buckets = stage(keyed.join(leaders, "key"), "neardup-buckets")
-    stars = buckets.filter("id <> lead").select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct()
-    side = nodes.select("id", *words)
-    first = (
-        stars.join(side.alias("a"), F.col("x") == F.col("a.id")).join(side.alias("b"), (F.col("y") == F.col("b.id"))).filter(_near("a", "b", p)).select("x", "y")
-    )
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("__n")).filter("lead <> last").select("key", "lead", "__n")
+    buckets = stage(hot_join(keyed, stage(leaders, "neardup-leaders"), "key", p.bands * nodes.count()), "neardup-buckets")
+    stars = stage(buckets.filter("id <> lead").select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct(), "neardup-stars")
+    lead = stars.groupBy("y").agg(F.count("*").alias("__n"))
+    lead = stage(lead.join(nodes.select(F.col("id").alias("y"), F.struct(*words).alias("b")), "y"), "neardup-leads")
+    side = nodes.select(F.col("id").alias("x"), F.struct(*words).alias("a"))
+    first = hot_join(stars.join(side, "x"), lead, "y", stars.count()).filter(_near("a", "b", p)).select("x", "y")
     first = stage(first, "neardup-pairs")
     ids = lambda df: df.select(F.col("x").alias("id")).union(df.select("y"))
     links = stage(_confirm(first, _sets_of(docs, ids(first), id_col, text_col, p), p), "neardup-links")
@@ -473,3 +480,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp_id.alias("component_id"),
         (F.col("id").isNull() | (F.col("id") == comp_id)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
+    """One row of each group of near-duplicates, with its own columns: that with the smallest id.
+
+    A row whose id is null comes after all others. Rows are nodes of their own, so rows that share an
+    id and no text both stay, and of equal rows one does. A text without words stays.
+    """
+    rows = numbered(docs, "neardup-rows")
+    found = near_duplicates(rows.select("__row", F.col("row")[text_col].alias("__text")), "__row", "__text", params)
+    ids = rows.select("__row", F.col("row")[id_col].alias("__id"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("first")
+    kept = found.join(ids, "__row").groupBy("component_id").agg(first).select("first.__row")
+    return rows.join(stage(kept, "neardup-kept"), "__row", "left_semi").select("row.*")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,19 +141,21 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
-    """(id, x): the transformed statistics of each text; null counts as empty."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
+    """(id, x), with `carry` (id, row, x): the transformed statistics of each text; null counts as
+    empty. row: the whole row as a struct."""
+    picked = docs.select(F.col(id_col), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), F.col(text_col).alias("__text"))
+    schema = T.StructType([*picked.schema.fields[:-1], T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(utf8_texts(batch.column(1)))
+            texts = list(utf8_texts(batch.column(batch.num_columns - 1)))
             for a, b in by_bytes(texts, batch_bytes):
                 x = statistics(texts[a:b])
                 at = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return picked.mapInArrow(run, schema)
 
 
 def fit_discriminant(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5, shrink: float = 0.15, ridge: float = 1e-3, flat: float = 60.0) -> Discriminant:
@@ -187,25 +190,24 @@ def fit_discriminant(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     return Discriminant.fit(moments, shrink, ridge, flat)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5) -> DataFrame:
-    """One row per row of `docs`: id, held_out (fold 0), score (P of label 1), predicted.
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, carry: bool = False) -> DataFrame:
+    """One row per row of `docs`: id, held_out (fold 0), score (P of label 1), predicted, and with
+    `carry` the whole row as the struct `row`.
 
     Texts alone are scored: null and empty ones have the statistics of no word. Labels that are
     null or neither 0 nor 1, and those of fold 0, are not learnt from; an id labelled twice counts
     once, by its larger label. Without labels of one class every score is the prior's. Repeated
-    rows give repeated rows; other columns are not read. Sums over partitions may differ in their
-    last digits between runs.
+    rows give repeated rows; other columns are not read, but for `carry`. Sums over partitions may
+    differ in their last digits between runs.
     """
-    stats = stage(document_statistics(docs, id_col, text_col), "quality-statistics")
-    model = fit_discriminant(stats, labels, id_col, label_col, folds)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    stats = stage(document_statistics(docs, id_col, text_col, carry=carry), "quality-statistics")
+    model = fit_discriminant(stats.select(id_col, "x"), labels, id_col, label_col, folds)
     d = len(FEATURES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.score(batch.column(2).flatten().to_numpy().reshape(-1, d))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names
-            )
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(model.score(np.concatenate(x.to_list()).reshape(-1, d)) if len(x) else [], dtype=float)
 
-    return stats.select(id_col, (fold(id_col, folds) == 0).alias("held_out"), "x").mapInArrow(run, schema)
+    score = F.pandas_udf(scores, "double")
+    scored = stats.select(F.col(id_col), (fold(id_col, folds) == 0).alias("held_out"), score("x").alias("score"), *(["row"] if carry else []))
+    return scored.select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row"] if carry else []))

@@ -401,14 +401,111 @@ def test_index_blocks(spark):
     assert sorted(r.page_id for r in warc.lookup(capture, want).collect()) == [10, 499 if 499 % 7 == 2 else 10][: 1 + (499 % 7 == 2)] + ([498] if 498 % 7 == 2 else [])
 
 
-def test_pipeline(spark):
+def shingle_groups(rows, k, percent):
+    """The smallest (id is null, id, number) of each row's group, by brute force."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(low(t))
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage against brute force, over planted rows: null ids and texts, repeated rows, one id
+    with two texts, near copies, benchmark passages, toxic documents, and clashing columns."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source, "s", "q", 1.0) for r in docs.collect()]
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    long = [r for r in rows if r[1] and 150 < len(r[1].split()) < 900]
+    tail = lambda r: r[2:]
+    toxic = " ".join(rng.choices(["idiot", "moron", "scum", "trash", "pathetic", "stupid"], k=30))
+    rows.append((9001, long[0][1] + " one more word", *tail(long[0])))  # a near copy
+    rows.append((None, long[1][1] + " and more", *tail(long[1])))  # a near copy without an id
+    rows.append((None, long[2][1] + " " + toxic, *tail(long[2])))
+    rows.append((9002, long[3][1] + " " + bench[0], *tail(long[3])))
+    rows.append((None, long[4][1] + " " + bench[0], *tail(long[4])))
+    rows += [rows[5], rows[5]]  # repeated rows
+    rows.append((long[6][0], long[7][1][::-1], *tail(long[6])))  # one id, two texts
+    rows += [(9003, None, *tail(long[0])), (9004, "", *tail(long[0])), (None, None, None, None, None, None, None)]
+    shape = "doc_id long, text string, lang string, source string, size string, __row string, taken double"
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, shape).write.parquet(f"{folder}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs, out = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    key = lambda rs: sorted(map(str, (tuple(r) for r in rs)))
+    whole = lambda df: [tuple(r) for r in df.collect()]
+    for name, step in corpus_pipeline.STAGES:
+        before = docs
+        docs = corpus_pipeline.stage(step(spark, docs, folder), "test")
+        if name != "mixing sources":
+            assert docs.columns == before.columns
+        out[name] = (whole(before), whole(docs))
+    # quality and toxicity: a row goes by what its own text scores, whatever its id
+    for name, score, good in (("quality classifier", quality.score_quality, 1), ("toxicity", toxicity.score_toxicity, 0)):
+        had, has = out[name]
+        texts = spark.createDataFrame([(r[0], k, r[1]) for k, r in enumerate(had)], "doc_id long, k long, text string")
+        verdict = {r.row.k: r.predicted for r in score(texts, labels, carry=True).collect()}
+        assert key(has) == key(r for k, r in enumerate(had) if verdict[k] == good) and len(has) < len(had)
+    assert not any(r[1] and toxic in r[1] for r in out["toxicity"][1])
+    had, has = out["minhash near-dedup"]
+    group, best = shingle_groups([(r[0], r[1]) for r in had], 5, 80), {}
+    for k, r in enumerate(had):
+        best.setdefault(group[k], []).append((r[0] is None, r[0] or 0, str(r)))
+    best = {g: min(members) for g, members in best.items()}
+    assert key(has) == sorted(x[2] for x in best.values()) and len(has) < len(had)
+    had, has = out["benchmark decontamination"]
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    windows = set()
+    for t in bench:
+        w = word.findall(low(t))
+        n = min(10, len(w))
+        windows |= {tuple(w[j : j + n]) for j in range(len(w) - n + 1) if n}
+    sizes = {len(x) for x in windows}
+
+    def clean(t):
+        w = word.findall(low(t))
+        return not any(tuple(w[j : j + n]) in windows for n in sizes for j in range(len(w) - n + 1))
+
+    assert key(has) == key(r for r in had if clean(r[1])) and len(has) < len(had)
+    assert not any(r[1] and bench[0] in r[1] for r in has)
+    # mixing: whole rows, near their targets, and the documents' own `size` and `taken` kept
+    had, has = out["mixing sources"]
+    assert docs.columns[-4:] == ["mix_size", "source_size", "target", "mix_taken"]
+    assert {str(r[:7]) for r in has} <= {str(r) for r in had}
+    by = collections.defaultdict(list)
+    for r in had:
+        by[r[3]].append(len(WORD.findall(r[1] or "")))
+    for source, all_sizes in by.items():
+        mine = [r for r in has if r[3] == source]
+        assert all(r[10] % r[7] == 0 and 0 < r[10] <= 2 * r[7] and r[8] == sum(all_sizes) for r in mine)
+        if mine:
+            target, total = mine[0][9], sum(all_sizes)
+            base = min(int(target // total), 2)
+            sums, budget = {0}, round(target) - base * total if base < 2 else 0
+            for x in all_sizes:
+                sums |= {y + x for y in sums if y + x <= budget}
+            assert sum(r[10] for r in mine) == base * total + max(sums)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SF).collect()
-    ids = [r.doc_id for r in out]
-    assert len(ids) == len(set(ids)) and all(r.taken > 0 for r in out)
-    good = {r.doc_id: r for r in quality.score_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
-    assert all(good[i].predicted == 1 for i in ids)
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def brute_toxicity(rows, labels, share, folds=5):
