@@ -2,6 +2,7 @@
 
 Stages: documents of low quality go, toxic ones go, one document of each near-duplicate group
 stays, documents with benchmark passages go, and what is left is mixed to the sources' targets.
+Rows are judged one by one: null and repeated ids, extra columns and their names make no difference.
 """
 
 from __future__ import annotations
@@ -14,46 +15,54 @@ from pyspark.sql import functions as F
 from lodeframe.llm.common import read_table, stage
 from lodeframe.llm.decontaminate import decontaminate
 from lodeframe.llm.mixing import mix
-from lodeframe.llm.neardup import near_duplicates
+from lodeframe.llm.neardup import Params, drop_near_duplicates
 from lodeframe.llm.quality import score_quality
 from lodeframe.llm.toxicity import score_toxicity
 
-#: Classifiers, corpus passes and seeded choices: not for SQL; the tests hold it to brute force.
+#: Classifiers, corpus passes and seeded choices: not for SQL; a test holds each stage to brute force.
 ORACLE_SQL = None
 
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among the rejected; a null doc_id stays."""
-    bad = rejected.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+#: Five-word shingles and a similarity of 0.8; a pair at 0.8 misses all 36 bands with probability 6e-7.
+NEAR = Params(shingle=5, percent=80, bands=36)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be bad go."""
-    return _without(docs, score_quality(docs, read_table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    """Documents that the classifier predicts to be bad go; a null or empty text is judged like any."""
+    scored = score_quality(docs, read_table(spark, sf_dir, "labels"), carry=True)
+    return scored.filter("predicted = 1").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted to be toxic go."""
-    return _without(docs, score_toxicity(docs, read_table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    """Documents that are predicted to be toxic go; a null or empty text shows no evidence."""
+    scored = score_toxicity(docs, read_table(spark, sf_dir, "labels"), carry=True)
+    return scored.filter("predicted = 0").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, once if its row repeats."""
-    left = _without(docs, near_duplicates(docs).filter("not kept"))
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    """The document with the smallest id of each group stays; texts without words all do."""
+    return drop_near_duplicates(docs, params=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; an empty benchmark takes none."""
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target and taken: the words that it
-    takes of them, a multiple of size."""
+    """Documents that the mix takes, with size, source_size, target and taken (the words that it takes
+    of them, a multiple of size); a document without words is not taken. Where documents have a
+    column of such a name, theirs keeps it and the new one begins with mix_."""
+    own = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        out = name
+        while out.lower() in own:
+            out = f"mix_{out}"
+        own.add(out.lower())
+        return out
+
     taken = mix(docs, carry=True).filter("taken > 0")
-    return taken.select("row.*", "size", "source_size", "target", "taken")
+    return taken.select("row.*", *[F.col(c).alias(free(c)) for c in ("size", "source_size", "target", "taken")])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
