@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lodeframe.llm.common import LOWER_ALNUM, by_bytes, fold, mix64, segment_sum, stage, utf8_texts
 
 #: Labelled documents that are learnt from, at most. What the models hold follows from it.
-MAX_TRAIN = 16_000
+MAX_TRAIN = 8_000
 #: The share of a toxic text's words that its model draws from the toxic class, the others from the ordinary one.
 SHARE = 0.003
 #: Bytes of text that are scored at once; a longer text goes in slices.
@@ -218,7 +218,7 @@ def count_bigrams(texts: DataFrame) -> DataFrame:
             yield from merged(held)
 
     rows = texts.mapInArrow(run, "v long, w long, o long, t long")
-    return rows.groupBy("v", "w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    return rows.groupBy("v", "w").agg(F.sum("o").cast("int").alias("o"), F.sum("t").cast("int").alias("t"))
 
 
 def fit_models(texts: DataFrame) -> KneserNey:
