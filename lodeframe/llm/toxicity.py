@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lodeframe.llm.common import LOWER_ALNUM, by_bytes, fold, mix64, segment_sum, stage, utf8_texts
 
 #: Labelled documents that are learnt from, at most. What the models hold follows from it.
-MAX_TRAIN = 8_000
+MAX_TRAIN = 6_000
 #: The share of a toxic text's words that its model draws from the toxic class, the others from the ordinary one.
 SHARE = 0.003
 #: Bytes of text that are scored at once; a longer text goes in slices.
@@ -79,7 +79,9 @@ class KneserNey:
     as far as its counts are chance, and every distribution sums to 1.
 
     words: sorted hashes; single: P_c of each; unknown: P_c of any other word. heads: sorted hashes of
-    left neighbours; weight: b_0, b_1, b_s of each. pairs: sorted bigram hashes; kept: a_0, a_1, a_s.
+    left neighbours; weight: b_0, b_1, b_s of each; scale: one over the sums of its counts, 0 where
+    there are none. pairs: sorted bigram hashes; counts: by class. cut:
+    the discounts of the two classes and of both together.
     """
 
     words: np.ndarray
@@ -87,8 +89,10 @@ class KneserNey:
     unknown: np.ndarray
     heads: np.ndarray
     weight: np.ndarray
+    scale: np.ndarray
     pairs: np.ndarray
-    kept: np.ndarray
+    counts: np.ndarray
+    cut: tuple[float, float, float]
     bits: int = field(init=False)
     first: np.ndarray = field(init=False)
 
@@ -99,26 +103,31 @@ class KneserNey:
         object.__setattr__(self, "first", np.append(np.searchsorted(self.pairs, edges), len(self.pairs)))
 
     @classmethod
-    def of_counts(cls, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> KneserNey:
-        """From distinct bigrams (v, w) and their counts by class, one row a bigram."""
-        both = np.column_stack([counts, counts.sum(1)]).astype(np.float64)
-        words, at = np.unique(w, return_inverse=True)
-        cont = np.column_stack([np.bincount(at, weights=both[:, c] > 0, minlength=len(words)) for c in range(3)])
+    def of_tables(cls, words: np.ndarray, cont: np.ndarray, heads: np.ndarray, seen: np.ndarray, total: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> KneserNey:
+        """cont: continuation counts of the words. seen, total: different words after each head and
+        their counts. All by ordinary, toxic and both, counts by the first two only; hashes in any
+        order."""
         shared = (np.append(cont[:, 2], 0) + 0.5) / (cont[:, 2].sum() + 0.5 * (len(words) + 1))
         single = np.empty((len(words) + 1, 2))
         for c in range(2):
-            seen = np.append(cont[:, c], 0)
-            kept = np.maximum(seen - discount(seen[seen > 0]), 0) / max(seen.sum(), 1)
+            own = np.append(cont[:, c], 0)
+            kept = np.maximum(own - discount(own[own > 0]), 0) / max(own.sum(), 1)
             single[:, c] = kept + (1 - kept.sum()) * shared
-        heads, at = np.unique(v, return_inverse=True)
-        kept, weight = np.empty_like(both), np.empty((len(heads), 3))
-        for c in range(3):
-            total = np.bincount(at, weights=both[:, c], minlength=len(heads))
-            kept[:, c] = np.maximum(both[:, c] - discount(both[:, c][both[:, c] > 0]), 0) / np.maximum(total, 1)[at]
-            weight[:, c] = 1 - np.bincount(at, weights=kept[:, c], minlength=len(heads))
-        pairs = _pair(v, w)
-        order = np.argsort(pairs)
-        return cls(words, single[:-1], single[-1], heads, weight, pairs[order], kept[order].astype(np.float32))
+        cut = (*(discount(counts[:, c][counts[:, c] > 0]) for c in range(2)), discount(counts[:, 0] + counts[:, 1]))
+        with np.errstate(divide="ignore"):
+            scale = np.where(total > 0, 1 / total, 0.0)
+        weight = np.where(total > 0, np.array(cut) * seen * scale, 1.0)
+        w, h, p = np.argsort(words), np.argsort(heads), np.argsort(pairs)
+        return cls(words[w], single[:-1][w], single[-1], heads[h], weight[h], scale[h], pairs[p], counts[p], cut)
+
+    @classmethod
+    def of_counts(cls, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> KneserNey:
+        """From distinct bigrams (v, w) and their counts by class, one row a bigram."""
+        both = np.column_stack([counts, counts.sum(1)])
+        words, at = np.unique(w, return_inverse=True)
+        heads, of = np.unique(v, return_inverse=True)
+        by = lambda at, n, x: np.column_stack([np.bincount(at, weights=x[:, c], minlength=n) for c in range(3)])
+        return cls.of_tables(words, by(at, len(words), both > 0), heads, by(of, len(heads), both > 0), by(of, len(heads), both), _pair(v, w), counts)
 
     def probabilities(self, left: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
         """P_0 and P_1 of each word ids[i] after left[i]; both are numbers into the distinct `hashes`."""
@@ -128,14 +137,16 @@ class KneserNey:
         single = np.where(known[:, None], self.single[at], self.unknown)
         at, known = _find(self.heads, hashes)
         weight = np.where(known[:, None], self.weight[at], 1.0)
+        scale = np.where(known[:, None], self.scale[at], 0.0)
         at = self.place(_pair(hashes[left], hashes[ids]))
         hit = np.flatnonzero(at >= 0)
-        at, out = at[hit], []
+        counts, before, out = self.counts[at[hit]].astype(np.float64), left[hit], []
+        shared = np.maximum(counts.sum(1) - self.cut[2], 0) * scale[before, 2]
         for c in range(2):
             p = weight[left, 2] * single[ids, c]
-            p[hit] += self.kept[at, 2]
+            p[hit] += shared
             p *= weight[left, c]
-            p[hit] += self.kept[at, c]
+            p[hit] += np.maximum(counts[:, c] - self.cut[c], 0) * scale[before, c]
             out.append(p)
         return out
 
@@ -189,15 +200,15 @@ def training_rows(labels: DataFrame, id_col: str, label_col: str, folds: int, mo
 
 
 def count_bigrams(texts: DataFrame) -> DataFrame:
-    """(v, w, o, t) of (text, class): in how many ordinary and toxic texts each bigram stands; a
+    """(v, w, p, o, t) of (text, class): the hash p of each bigram, and in how many ordinary and toxic texts each bigram stands; a
     text counts once for each of its bigrams, so its repeated lines add nothing."""
-    names = ["v", "w", "o", "t"]
+    names = ["v", "w", "p", "o", "t"]
 
     def merged(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(held)
         key = _pair(every[:, 0].view(np.uint64), every[:, 1].view(np.uint64))
-        _, at, back = np.unique(key, return_index=True, return_inverse=True)
-        cols = [every[at, 0], every[at, 1]]
+        key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        cols = [every[at, 0], every[at, 1], key.view(np.int64)]
         cols += [np.bincount(back, weights=every[:, 2] == y).astype(np.int64) for y in (0, 1)]
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[i : i + 100_000])) for c in cols], names=names)
@@ -217,16 +228,25 @@ def count_bigrams(texts: DataFrame) -> DataFrame:
         if held:
             yield from merged(held)
 
-    rows = texts.mapInArrow(run, "v long, w long, o long, t long")
-    return rows.groupBy("v", "w").agg(F.sum("o").cast("int").alias("o"), F.sum("t").cast("int").alias("t"))
+    rows = texts.mapInArrow(run, "v long, w long, p long, o long, t long")
+    return rows.groupBy("v", "w", "p").agg(F.sum("o").cast("int").alias("o"), F.sum("t").cast("int").alias("t"))
 
 
 def fit_models(texts: DataFrame) -> KneserNey:
-    """Both models from (text, class) rows. Their table comes through the driver: it has a row for
-    each distinct bigram of at most MAX_TRAIN documents."""
-    got = count_bigrams(texts).toPandas()
-    v, w = (got[c].to_numpy(np.int64).view(np.uint64) for c in ("v", "w"))
-    return KneserNey.of_counts(v, w, got[["o", "t"]].to_numpy(np.float64))
+    """Both models from (text, class) rows. Their tables come through the driver, 16 bytes for each
+    distinct bigram of at most MAX_TRAIN documents."""
+    pairs = stage(count_bigrams(texts), "toxic-bigrams")
+    sums = lambda *cols: [F.sum(c).cast("int").alias(f"c{i}") for i, c in enumerate(cols)]
+    seen = [F.col(c) > 0 for c in ("o", "t")]
+    seen = [*[c.cast("int") for c in seen], F.lit(1)]
+
+    def columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = df.toArrow()
+        return got.column(0).to_numpy().view(np.uint64), np.column_stack([c.to_numpy() for c in got.columns[1:]])
+
+    words, cont = columns(pairs.groupBy("w").agg(*sums(*seen)))
+    heads, counts = columns(pairs.groupBy("v").agg(*sums(*seen, F.col("o"), F.col("t"), F.col("o") + F.col("t"))))
+    return KneserNey.of_tables(words, cont, heads, counts[:, :3], counts[:, 3:], *columns(pairs.select("p", "o", "t")))
 
 
 def _evidence(docs: DataFrame, sent, keep: list[str], text_col: str, share: float) -> DataFrame:
