@@ -53,21 +53,24 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Keys that are hot enough to be broadcast, at most.
+#: Keys that count as hot, at most.
 HOT_KEYS = 4096
 
 
 def hot_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
-    """many joined with `one` on key; `one` has a row a key and in __n how often `many` holds it.
+    """many joined with `one` (a written table) on key; `one` has a row a key and in __n how often
+    `many` holds it.
 
-    Keys with more than total / HOT_KEYS rows (total: the rows of `many`), so at most HOT_KEYS of
+    Keys with more than total / HOT_KEYS rows (total: the rows of `many`), so fewer than HOT_KEYS of
     them, meet their rows by broadcast; only the others are shuffled, so no key makes a large task.
     """
     limit = max(64, -(-total // HOT_KEYS))
-    hot = one.filter(F.col("__n") > limit).drop("__n")
-    cold = one.filter(F.col("__n") <= limit).drop("__n")
-    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return many.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+    hot = [r[0] for r in one.filter(F.col("__n") > limit).select(key).toLocalIterator()]
+    if not hot:
+        return many.join(one.drop("__n"), key)
+    is_hot = F.col(key).isin(hot)
+    few = F.broadcast(one.filter(is_hot).drop("__n"))
+    return many.filter(is_hot).join(few, key).unionByName(many.filter(~is_hot).join(one.filter(~is_hot).drop("__n"), key))
 
 
 def numbered(docs: DataFrame, tag: str) -> DataFrame:

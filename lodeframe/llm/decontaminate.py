@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import LOWER_ALNUM, by_bytes, numbered, stage, utf8_texts
+from lodeframe.llm.common import LOWER_ALNUM, by_bytes, stage, utf8_texts
 
 #: Words of a window.
 WINDOW = 10
@@ -402,10 +402,31 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return best(every)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """The documents without a hit word, with their own columns. Rows are judged one by one, whatever
-    their ids; a null or empty text stays. No row gives no row."""
-    rows = numbered(docs, "decontaminate-rows")
-    texts = rows.select("__row", F.col("row")[text_col].alias("__text"))
-    hit = contamination(texts, benchmark, id_col="__row", text_col="__text", **options).filter("size(begins) > 0")
-    return rows.join(stage(hit.select("__row"), "decontaminate-hit"), "__row", "left_anti").select("row.*")
+    their ids; a null or empty text stays. No row gives no row.
+
+    The rows themselves pass through the search, so nothing is joined or shuffled. Of several
+    benchmark blocks each takes out its rows, and what is left is written before the next is read.
+    """
+    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    now, after = next(blocks), next(blocks, None)
+    while now is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(now)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = TestBlock(sent.value, window)
+            for batch in batches:
+                texts = list(utf8_texts(batch.column(0)))
+                clean = [not len(begin) for a, b in by_bytes(texts, shard_bytes) for _, _, begin, *_ in _find(texts[a:b], block, window)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+        if after is not None:
+            rows = stage(rows, "decontaminate-block")
+            sent.destroy()
+        now, after = after, next(blocks, None) if after is not None else None
+    return rows.select("row.*")

@@ -447,7 +447,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = sets.groupBy("id").agg(F.min("h0").alias("lo"), F.max("h0").alias("hi")).filter("lo <> hi").select("id")
     shared = sets.join(several, "id").join(same, ["n", "h0", "h1"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
     keyed = nodes.select(F.explode("keys").alias("key"), "id")
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("__n")).filter("lead <> last").select("key", "lead", "__n")
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("__n")).filter("__n > 1")
     buckets = stage(hot_join(keyed, stage(leaders, "neardup-leaders"), "key", p.bands * nodes.count()), "neardup-buckets")
     stars = stage(buckets.filter("id <> lead").select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct(), "neardup-stars")
     lead = stars.groupBy("y").agg(F.count("*").alias("__n"))

@@ -6,13 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import by_bytes, fold, segment_sum, stage, utf8_texts, word_ids
+from lodeframe.llm.common import by_bytes, fold, segment_sum, utf8_texts, word_ids
 
 FEATURES = (
     "words",
@@ -141,30 +140,44 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
-    """(id, x), with `carry` (id, row, x): the transformed statistics of each text; null counts as
-    empty. row: the whole row as a struct."""
-    picked = docs.select(F.col(id_col), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []), F.col(text_col).alias("__text"))
-    schema = T.StructType([*picked.schema.fields[:-1], T.StructField("x", T.ArrayType(T.DoubleType()))])
+#: Labelled documents that are learnt from, at most.
+MAX_TRAIN = 20_000
+
+
+def _with_statistics(docs: DataFrame, text_col: str, keep: list, more: T.StructType, finish, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The columns `keep` and what finish(statistics of the batch's texts) gives; null counts as empty."""
+    picked = docs.select(*keep, F.col(text_col).alias("__text"))
+    schema = T.StructType([*picked.schema.fields[:-1], *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = list(utf8_texts(batch.column(batch.num_columns - 1)))
             for a, b in by_bytes(texts, batch_bytes):
-                x = statistics(texts[a:b])
-                at = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *finish(statistics(texts[a:b]))], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
 
-def fit_discriminant(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5, shrink: float = 0.15, ridge: float = 1e-3, flat: float = 60.0) -> Discriminant:
-    """Fits on the labelled rows whose fold is not 0. Each partition reduces its rows to two sums
-    and a matrix per class; the driver gets those of the two classes only."""
-    train = (
-        labels.filter(F.col(label_col).isin(0, 1) & (fold(id_col, folds) != 0)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
-    )
-    rows = stats.join(train, stats[id_col] == F.col("__id")).select("x", "__y")
+def document_statistics(docs: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and x: the transformed statistics of each text."""
+
+    def lists(x: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))]
+
+    return _with_statistics(docs, text_col, list(keep), T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]), lists)
+
+
+def fit_discriminant(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, max_train: int = MAX_TRAIN, shrink: float = 0.15, ridge: float = 1e-3, flat: float = 60.0
+) -> Discriminant:
+    """Fits on the labelled rows whose fold is not 0, at most `max_train` by hash of the id, which are
+    broadcast. Each partition reduces its rows to two sums and a matrix per class; the driver gets
+    those of the two classes only."""
+    train = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
+    train = train.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
+    train = train.orderBy(F.xxhash64("__id", F.lit(7)), "__id").limit(max_train)
+    own = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__t")).join(F.broadcast(train), F.col("__doc") == F.col("__id"))
+    rows = document_statistics(own, "__t", ("__y",)).select("x", "__y")
     d = len(FEATURES)
     schema = "y int, n long, s array<double>, p array<double>"
 
@@ -174,10 +187,10 @@ def fit_discriminant(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id"
             x = batch.column(0).flatten().to_numpy().reshape(-1, d)
             y = batch.column(1).to_numpy()
             for k in (0, 1):
-                own = x[y == k]
-                n[k] += len(own)
-                s[k] += own.sum(0)
-                p[k] += own.T @ own
+                of = x[y == k]
+                n[k] += len(of)
+                s[k] += of.sum(0)
+                p[k] += of.T @ of
         yield pa.RecordBatch.from_pydict({"y": pa.array([0, 1], pa.int32()), "n": n, "s": list(s), "p": [m.ravel() for m in p]})
 
     parts = rows.mapInArrow(reduce, schema)
@@ -190,24 +203,25 @@ def fit_discriminant(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     return Discriminant.fit(moments, shrink, ridge, flat)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, carry: bool = False) -> DataFrame:
+def score_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, max_train: int = MAX_TRAIN, carry: bool = False
+) -> DataFrame:
     """One row per row of `docs`: id, held_out (fold 0), score (P of label 1), predicted, and with
     `carry` the whole row as the struct `row`.
 
-    Texts alone are scored: null and empty ones have the statistics of no word. Labels that are
-    null or neither 0 nor 1, and those of fold 0, are not learnt from; an id labelled twice counts
-    once, by its larger label. Without labels of one class every score is the prior's. Repeated
-    rows give repeated rows; other columns are not read, but for `carry`. Sums over partitions may
-    differ in their last digits between runs.
+    Texts alone are scored: null and empty ones have the statistics of no word. At most `max_train`
+    labelled documents are learnt from; labels that are null or neither 0 nor 1, those of fold 0 and
+    of null ids are not, and an id labelled twice counts once, by its larger label. Without labels of
+    one class every score is the prior's. Repeated rows give repeated rows; other columns are not
+    read, but for `carry`. Sums over partitions may differ in their last digits between runs.
     """
-    stats = stage(document_statistics(docs, id_col, text_col, carry=carry), "quality-statistics")
-    model = fit_discriminant(stats.select(id_col, "x"), labels, id_col, label_col, folds)
-    d = len(FEATURES)
+    model = fit_discriminant(docs, labels, id_col, text_col, label_col, folds, max_train)
+    keep = [F.col(id_col), (fold(id_col, folds) == 0).alias("held_out")] + ([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else [])
+    more = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            yield pd.Series(model.score(np.concatenate(x.to_list()).reshape(-1, d)) if len(x) else [], dtype=float)
+    def finish(x: np.ndarray) -> list[pa.Array]:
+        score = model.score(x)
+        return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
 
-    score = F.pandas_udf(scores, "double")
-    scored = stats.select(F.col(id_col), (fold(id_col, folds) == 0).alias("held_out"), score("x").alias("score"), *(["row"] if carry else []))
-    return scored.select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row"] if carry else []))
+    scored = _with_statistics(docs, text_col, keep, more, finish)
+    return scored.select(id_col, "held_out", "score", "predicted", *(["row"] if carry else []))

@@ -131,8 +131,9 @@ def test_decontamination(spark, docs):
     for options in ({}, {"block_bytes": 4000}, {"shard_bytes": 5000}):
         got = decontaminate.contamination(docs, bench, **options).collect()
         assert {r.doc_id: (r.n_words, sum(r.ends) - sum(r.begins), list(r["items"])) for r in got} == want
-    clean = decontaminate.decontaminate(docs, bench)
-    assert {r.doc_id for r in clean.collect()} == {i for i, x in want.items() if not x[1]} and clean.columns == docs.columns
+    for options in ({}, {"block_bytes": 4000}):
+        clean = decontaminate.decontaminate(docs, bench, **options)
+        assert {r.doc_id for r in clean.collect()} == {i for i, x in want.items() if not x[1]} and clean.columns == docs.columns
     assert decontaminate.longest_matches(docs, bench).agg(F.max("n_match")).first()[0] >= 10
 
 
@@ -367,6 +368,32 @@ def test_classifiers_on_held_out_rows(spark, score, label, least, edge):
     assert score(edge.filter("doc_id < 0"), y).count() == 0
 
 
+def test_quality_against_brute_force(spark, docs, labels):
+    """Scores by the formulas of the discriminant, from the statistics of each text alone."""
+    import numpy as np
+
+    rows = texts_of(docs)
+    x = {i: quality.statistics([(t or "").encode()])[0] for i, t in rows}
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    train = {i: y[i] for i in x if i in y and zlib.crc32(str(i).encode()) % 5}
+    own = [np.array([x[i] for i in train if train[i] == k]) for k in (0, 1)]
+    n, d = [len(a) for a in own], len(quality.FEATURES)
+    pooled = sum(n[k] * np.cov(own[k].T, bias=True) for k in (0, 1)) / sum(n)
+    ridge = 1e-3 * (np.trace(pooled) / d * np.eye(d) + np.diag(np.diag(pooled)))
+
+    def log_density(v, k):
+        a = max(0.15, d / (d + n[k]))
+        cov = (1 - a) * np.cov(own[k].T, bias=True) + a * pooled + ridge
+        gap = v - own[k].mean(0)
+        d2 = gap @ np.linalg.inv(cov) @ gap
+        d2 = d2 if d2 <= 60 else 2 * math.sqrt(60 * d2) - 60
+        return math.log((n[k] + 1) / (sum(n) + 2)) - np.linalg.slogdet(cov)[1] / 2 - d2 / 2
+
+    for r in quality.score_quality(docs, labels).collect():
+        gap = log_density(x[r.doc_id], 0) - log_density(x[r.doc_id], 1)
+        assert r.score == pytest.approx(1 / (1 + math.exp(min(max(gap, -700), 700))), abs=1e-6) and r.predicted == (r.score >= 0.3)
+
+
 def test_url_edges(spark):
     rows = [(1, None, "clash"), (2, "no-scheme.com/x", ""), (3, "http://A.COM/p?q=1#f", ""), (3, "http://A.COM/p?q=1#f", ""), (4, "http://a.com/p?q=2", ""), (5, "https://x.net/es/1", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
