@@ -22,8 +22,8 @@ from lodeframe.llm.toxicity import score_toxicity
 #: Classifiers, corpus passes and seeded choices: not for SQL; a test holds each stage to brute force.
 ORACLE_SQL = None
 
-#: Five-word shingles and a similarity of 0.8; a pair at 0.8 misses all 36 bands with probability 6e-7.
-NEAR = Params(shingle=5, percent=80, bands=36)
+#: Five-word shingles and a similarity of 0.8; a pair at 0.8 misses all 24 bands with probability 3e-6.
+NEAR = Params(shingle=5, percent=80, bands=24, rows=4)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
