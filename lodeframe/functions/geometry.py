@@ -43,6 +43,26 @@ class Camera(NamedTuple):
     far: float = 10.0
 
 
+class Box(NamedTuple):
+    """An axis-aligned box, borders included."""
+
+    lo: Vec
+    hi: Vec
+
+    def contains(self, p: Vec) -> Column:
+        return p.x.between(self.lo.x, self.hi.x) & p.y.between(self.lo.y, self.hi.y) & p.z.between(self.lo.z, self.hi.z)
+
+    def intersects(self, other: Box) -> Column:
+        apart = [(a.lo.x > b.hi.x) | (a.lo.y > b.hi.y) | (a.lo.z > b.hi.z) for a, b in ((self, other), (other, self))]
+        return ~(apart[0] | apart[1])
+
+    def centre(self) -> Vec:
+        return Vec(*((a + b) / 2 for a, b in zip(self.lo, self.hi, strict=True)))
+
+    def half_extent(self) -> Vec:
+        return Vec(*((b - a) / 2 for a, b in zip(self.lo, self.hi, strict=True)))
+
+
 def vec(*names: str) -> Vec:
     return Vec(*(F.col(n) for n in names))
 
@@ -274,3 +294,8 @@ def ray_hits_box(origin: Vec, direction: Vec, lo: Vec, hi: Vec) -> Column:
         enter.append(F.least(t0, t1))
         leave.append(F.greatest(t0, t1))
     return F.least(*leave) >= F.greatest(F.lit(0.0), *enter)
+
+
+def edge_crossing(a: Vec, b: Vec, sa: Column, sb: Column) -> Vec:
+    """Where the distance is 0 on the edge from a to b, whose ends have distances sa and sb."""
+    return add(a, scale(sub(b, a), sa / (sa - sb)))

@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the shared folder (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back: its lineage is cut.
+
+    The folder is spark.checkpoint.dir; only a local master may do without one.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
+    path = f"{root.rstrip('/')}/lodeframe-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,13 +31,13 @@ def map_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> Data
     Each round a node takes its neighbours' smallest label, then that label's own label, so chains
     shorten by half or more; it ends when no label changes. Only a count comes to the driver.
     """
-    both = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _kept(nodes.select("id", F.col("id").alias("origin")).distinct())
+    both = kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = kept(nodes.select("id", F.col("id").alias("origin")).distinct())
     for _ in range(rounds):
         seen = both.join(labels, both["a"] == labels["id"]).groupBy(F.col("b").alias("id")).agg(F.min("origin").alias("low"))
         step = labels.join(seen, "id", "left").select("id", "origin", F.least("origin", F.coalesce("low", "origin")).alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("origin").alias("far"))
-        after = _kept(step.join(jump, "new", "left").select("id", "origin", F.least("new", F.coalesce("far", "new")).alias("now")))
+        after = kept(step.join(jump, "new", "left").select("id", "origin", F.least("new", F.coalesce("far", "new")).alias("now")))
         changed = after.filter("now <> origin").count()
         labels = after.select("id", F.col("now").alias("origin"))
         if not changed:

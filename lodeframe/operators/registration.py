@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.operators.graph import kept
+
 
 def pair_moments(matches: DataFrame, weight) -> DataFrame:
     """Per edge (ref, new) the weighted second moments of matched points p (px, py, pz) and q:
@@ -82,3 +84,103 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str) -> Dat
     closer = F.col("__b").isNull() | (us(F.col("__a")[ts]) - us(ts) < us(ts) - us(F.col("__b")[ts]))
     pick = F.when(F.col("__a").isNotNull() & closer, F.col("__a")).otherwise(F.col("__b"))
     return m.withColumn("__p", pick).select(key, F.col("l").alias("id"), F.col("__p.r").alias("match"), ((us(F.col("__p")[ts]) - us(ts))).alias("gap_us"))
+
+
+def map_dynamics(costs: DataFrame, rounds: tuple[int, ...] = (5, 2, 2), more: tuple[int, ...] = (1, 1, 1), least_rows: int = 5) -> DataFrame:
+    """Per seq the rows whose pose has moved most: windows of the lengths `rounds` are picked one after
+    another, each from what the ones before left; a seq with fewer than `least_rows` picked takes
+    single rows too. costs: seq, idx, cost. Every round is a window over what is left; its few picks are
+    written out, so plans stay short."""
+    left, picked = costs, None
+    for k, length in enumerate(rounds + more):
+        pool = left
+        if k >= len(rounds):
+            full = picked.filter(F.col("__round") < len(rounds)).groupBy("seq").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least_rows)
+            pool = left.join(full.select("seq"), "seq", "left_anti")
+        # what is left closes ranks, so windows run over gaps
+        dense = pool.withColumn("__idx", F.row_number().over(Window.partitionBy("seq").orderBy("idx")))
+        got = moving_average_pick(dense.select("seq", F.col("__idx").alias("idx"), "cost", F.col("idx").alias("__old")), length)
+        got = kept(got.select("seq", F.col("__old").alias("idx"), "cost", F.lit(k).alias("__round")))
+        picked = got if picked is None else picked.unionByName(got)
+        left = left.join(got.select("seq", "idx"), ["seq", "idx"], "left_anti")
+    return picked.select("seq", "idx", "cost", F.col("__round").alias("round"))
+
+
+def plane_moments(matches: DataFrame) -> DataFrame:
+    """Per edge (ref, new) the sums of a point-to-plane alignment: nn (n n^T, 9), pn and qn (p and q
+    times n n^T, 27 each, point component first), pq_nn (the sum of (n . p)(n . q)), pp and qq (squared
+    lengths). matches: px.., qx.., nx... All terms add up, so partial sums do."""
+    p, q, n = ([F.col(a + c) for c in "xyz"] for a in "pqn")
+    dot = lambda a, b: sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
+    return matches.groupBy("ref", "new").agg(
+        F.array(*[F.sum(a * b) for a in n for b in n]).alias("nn"),
+        F.array(*[F.sum(x * a * b) for x in p for a in n for b in n]).alias("pn"),
+        F.array(*[F.sum(x * a * b) for x in q for a in n for b in n]).alias("qn"),
+        F.sum(dot(n, p) * dot(n, q)).alias("pq_nn"), F.sum(dot(p, p)).alias("pp"), F.sum(dot(q, q)).alias("qq"),
+    )
+
+
+def preserve_distance(matches: DataFrame, partners: int = 8, tolerance: float = 0.015, rounds: int = 1, prime: int = 7919) -> DataFrame:
+    """Matches (ref, new, id, p, q) for which any of `partners` other matches of their edge keeps its
+    distance: the two distances differ by less than `tolerance` of the depth.
+
+    Partners are chosen by arithmetic on a match's number within its edge: number * prime + partner
+    * 31 + 17, modulo the edge's matches. One join on (edge, number); a match is one row at each
+    partner, so no group is held whole. `rounds` repeats the filter on what is left.
+    """
+    edge = Window.partitionBy("ref", "new")
+    for _ in range(rounds):
+        m = matches.withColumns({"__k": F.row_number().over(edge.orderBy("id")) - 1, "__n": F.count("*").over(edge)})
+        pick = F.pmod(F.col("__k") * prime + F.col("__c") * 31 + 17, F.col("__n"))
+        asks = m.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(partners - 1)))).withColumn("__k", pick)
+        other = m.select("ref", "new", "__k", *[F.col(a + c).alias(f"__{a}{c}") for a in "pq" for c in "xyz"])
+        met = asks.join(other, ["ref", "new", "__k"])
+        span = lambda a: F.sqrt(sum(((F.col(a + c) - F.col(f"__{a}{c}")) * (F.col(a + c) - F.col(f"__{a}{c}")) for c in "yz"), (F.col(a + "x") - F.col(f"__{a}x")) * (F.col(a + "x") - F.col(f"__{a}x"))))
+        good = met.filter(F.abs(span("p") - span("q")) / F.col("pz") < tolerance).select("ref", "new", "id").distinct()
+        matches = matches.join(good, ["ref", "new", "id"], "left_semi")
+    return matches
+
+
+#: The entries (frame, row, column) of a point's Jacobian by its frame's translation and rotation:
+#: unit rows and the skew matrix of the world point, as (kind, sign): kind 0 is 1, 1 to 3 are x, y, z.
+_JACOBIAN = {(0, 0): (0, 1), (1, 1): (0, 1), (2, 2): (0, 1), (0, 4): (3, 1), (0, 5): (2, -1), (1, 3): (3, -1), (1, 5): (1, 1), (2, 3): (2, 1), (2, 4): (1, -1)}
+
+
+def normal_blocks(matches: DataFrame, weight) -> DataFrame:
+    """(row, col, i, j, value): the normal equations of all edges as 6 x 6 blocks by frames, and with
+    j = 6 the right-hand side (col = row). Frames move as p -> exp(d) p, d = (translation, rotation).
+
+    matches: ref, new, and world points px.. of ref and qx.. of new. First one sum of second moments
+    by edge, then an edge's blocks as rows; nothing but sums is shuffled.
+    """
+    m = pair_moments(matches, weight)
+    one = {0: F.col("sum_w")}
+    first = {"p": one | {k: F.get("sp", F.lit(k - 1)) for k in (1, 2, 3)}, "q": one | {k: F.get("sq", F.lit(k - 1)) for k in (1, 2, 3)}}
+
+    def moment(a: str, k: int, b: str, n: int):
+        """The weighted sum of component k of a times component n of b; component 0 is 1."""
+        if k == 0:
+            return first[b][n]
+        if n == 0:
+            return first[a][k]
+        if a == b:
+            return F.get("spp" if a == "p" else "sqq", F.lit(3 * (k - 1) + n - 1))
+        return F.get("spq", F.lit(3 * (k - 1) + n - 1) if a == "p" else F.lit(3 * (n - 1) + k - 1))
+
+    out = []
+    for a, row, sa in (("p", "ref", 1), ("q", "new", -1)):
+        for b, col, sb in (("p", "ref", 1), ("q", "new", -1)):
+            for i in range(6):
+                for j in range(6):
+                    terms = [moment(a, _JACOBIAN[r, i][0], b, _JACOBIAN[r, j][0]) * (_JACOBIAN[r, i][1] * _JACOBIAN[r, j][1] * sa * sb) for r in range(3) if (r, i) in _JACOBIAN and (r, j) in _JACOBIAN]
+                    if terms:
+                        out.append((row, col, i, j, sum(terms[1:], terms[0])))
+        for i in range(6):
+            terms = []
+            for r in range(3):
+                if (r, i) in _JACOBIAN:
+                    k, s = _JACOBIAN[r, i]
+                    terms += [moment(a, k, "p", r + 1) * (s * sa), moment(a, k, "q", r + 1) * (-s * sa)]
+            out.append((row, row, i, 6, sum(terms[1:], terms[0])))
+    rows = F.explode(F.array(*[F.struct(F.col(r).alias("row"), F.col(c).alias("col"), F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("value")) for r, c, i, j, v in out]))
+    return m.select(rows.alias("b")).select("b.*").groupBy("row", "col", "i", "j").agg(F.sum("value").alias("value"))

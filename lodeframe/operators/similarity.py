@@ -114,11 +114,20 @@ def nearest_by_hash(queries: DataFrame, train: DataFrame, threshold: int | None
     return best.select("q_id", "b.t_id", "b.distance")
 
 
+def distances_to_all(queries: DataFrame, train: DataFrame, block: int = 1000) -> DataFrame:
+    """(q_id, t_id, distance) of every query and every other train row. The queries, a set that the
+    caller names, go in blocks of about `block`; each train row meets each block once."""
+    n_blocks = -(-queries.count() // block) or 1
+    deal = F.pmod(F.xxhash64("q_id"), F.lit(n_blocks)).cast("int").alias("__block")
+    blocks = queries.groupBy(deal).agg(F.collect_list(F.struct("q_id", "words")).alias("__q"))
+    met = train.select("t_id", F.col("words").alias("__w"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__block")).join(blocks, "__block")
+    pairs = met.select("t_id", "__w", F.explode("__q").alias("q")).filter("q.q_id <> t_id")
+    return pairs.select("q.q_id", "t_id", hamming(F.col("q.words"), F.col("__w")).alias("distance"))
+
+
 def nearest_brute_force(queries: DataFrame, train: DataFrame, threshold: int) -> DataFrame:
-    """The nearest of all train descriptors within `threshold`; the first id wins ties. A nested
-    loop by definition: for small query sets that are named by the caller."""
-    q = queries.select("q_id", F.col("words").alias("__q"))
-    pairs = q.crossJoin(train.select("t_id", "words")).withColumn("distance", hamming(F.col("__q"), F.col("words")))
+    """The nearest of all other train descriptors within `threshold`; the first id wins ties."""
+    pairs = distances_to_all(queries, train)
     best = pairs.groupBy("q_id").agg(F.min(F.struct("distance", "t_id")).alias("b")).filter(F.col("b.distance") <= threshold)
     return best.select("q_id", "b.t_id", "b.distance")
 

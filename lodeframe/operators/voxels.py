@@ -4,6 +4,7 @@ retracting is adding the negative."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,12 +72,52 @@ def negative(part: DataFrame) -> DataFrame:
 
 
 def surface(voxels: DataFrame) -> DataFrame:
-    """sdf and colour of observed cells; colour is white where none was seen. Counts above 120 are
-    shared down on read only: the sums stay exact."""
+    """sdf and colour of observed cells; colour is white where none was seen. The mean of
+    exact sums needs no sharing down of large counts."""
     mean = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n_c")), F.lit(255.0))
     return voxels.filter(F.col("sum_w") > LEAST_WEIGHT).select(*CELL, (F.col("sum_wd") / F.col("sum_w")).alias("sdf"), F.col("sum_w").alias("weight"), *[mean("sum_" + c).alias(c) for c in "rgb"])
 
 
+@dataclass(frozen=True)
+class FusionOptions:
+    """What a user sets of fusion. truncation and weigh: the policies, column functions. near, back:
+    the nearest camera depth, and how far behind the surface counts. carving: whether stale cells in
+    front of the surface lose weight, beyond carving_distance metres. least_weight: below it a cell
+    counts as unobserved. voxel, chunk: cell size in metres and cells along a chunk's side."""
+
+    voxel: float = 0.005
+    chunk: int = 8
+    truncation: Callable[[Column], Column] = g.quadratic_truncation
+    weigh: Callable[[Column], Column] = g.observation_weight
+    near: float = 0.1
+    back: float = 0.03
+    carving: bool = False
+    carving_distance: float = 0.05
+    least_weight: float = LEAST_WEIGHT
+
+
+def integrate(grid: DataFrame | None, cells: DataFrame, pixels: DataFrame, poses: DataFrame, cam: Camera, options: FusionOptions) -> DataFrame:
+    """The grid with the candidate cells' observations fused in, carved first if the options ask for it."""
+    o = options
+    seen = observe(cells, pixels, poses, cam, o.voxel, o.chunk, o.truncation, o.weigh, o.near, o.back)
+    if grid is None:
+        return fuse(seen)
+    if o.carving:
+        grid = carve(grid, free_cells(grid, pixels, poses, cam, o))
+    return fuse(grid, seen)
+
+
+def free_cells(grid: DataFrame, pixels: DataFrame, poses: DataFrame, cam: Camera, options: FusionOptions) -> DataFrame:
+    """Cells of the grid that a frame sees more than carving_distance in front of its surface. The
+    frames' poses are few and each cell projects into each; pixels are met by an equi-join."""
+    at = grid.select(*CELL).join(F.broadcast(poses))
+    p = g.apply_pose(g.invert(g.pose_of()), Vec(*((F.col(c) + 0.5) * options.voxel for c in CELL)))
+    at = at.withColumns({"__x": p.x, "__y": p.y, "__z": p.z}).filter(F.col("__z") > options.near)
+    uv = g.project(vec("__x", "__y", "__z"), cam)
+    at = at.withColumns({"u": F.floor(uv.x + 0.5).cast("int"), "v": F.floor(uv.y + 0.5).cast("int")})
+    return at.join(pixels, ["frame_id", "u", "v"]).filter(F.col("depth") - F.col("__z") > options.carving_distance).select(*CELL).distinct()
+
+
 def carve(voxels: DataFrame, free: DataFrame) -> DataFrame:
     """Halves the weight of negative cells that were seen to be free; drops those below 2."""
     seen = free.select(*CELL).distinct().withColumn("__free", F.lit(True))
@@ -155,3 +196,35 @@ def sample_distance(points: DataFrame, surface_rows: DataFrame, key: str, voxel:
     at = p.select(key, w.alias("w"), *[(F.col(f"__b{c}") + o).alias(n) for c, o, n in zip("xyz", off, CELL, strict=True)])
     hit = at.join(surface_rows.select(*CELL, "sdf"), CELL)
     return hit.groupBy(key).agg(F.sum(F.col("w") * F.col("sdf")).alias("distance"), F.count("*").alias("__n")).filter("__n = 8").drop("__n")
+
+
+def chunk_reference(normals: DataFrame, views: DataFrame, poses: DataFrame, voxel: float, chunk: int) -> DataFrame:
+    """(cx, cy, cz, frame_id, quality): of the frames that see a chunk (views: frame_id, cx, cy, cz) the
+    one that looks at its surface most frontally, of equals the latest.
+
+    quality is the product of the chunk's mean normal (nx, ny, nz) and the unit viewing ray to its
+    origin, at the frame's pose; the smallest faces the frame most. A chunk without normal has none.
+    """
+    at = views.join(normals, ["cx", "cy", "cz"]).join(poses, "frame_id")
+    p = g.apply_pose(g.invert(g.pose_of()), Vec(*(F.col(c) * (chunk * voxel) for c in ("cx", "cy", "cz"))))
+    at = at.withColumns({"__x": p.x, "__y": p.y, "__z": p.z}).filter(F.col("__z") > 0)
+    q = g.dot(vec("nx", "ny", "nz"), vec("__x", "__y", "__z")) / g.norm(vec("__x", "__y", "__z"))
+    best = F.min(F.struct(F.round(q, 9).alias("q"), (-F.col("frame_id")).alias("f"))).alias("b")
+    return at.groupBy("cx", "cy", "cz").agg(best).select("cx", "cy", "cz", (-F.col("b.f")).alias("frame_id"), F.col("b.q").alias("quality"))
+
+
+def refine_depth(points: DataFrame, surface_rows: DataFrame, key: list[str], voxel: float, steps: int = 6, residual: float = 0.005, most: float = 0.1) -> DataFrame:
+    """(key, depth): depths moved onto the surface of the grid, by adding the distance there to the
+    depth `steps` times. A pixel drops out where the grid is unknown, where the last distance is over
+    `residual`, or where it has moved over `most` metres. points: key, depth, and for the pixel's ray
+    origin (ox, oy, oz) and direction a metre of depth (rx, ry, rz), in the world. Each step is one
+    look-up join; keys are hashed to one column for it."""
+    now = points.withColumns({"__id": F.struct(*key), "__first": F.col("depth")})
+    for _ in range(steps):
+        at = now.select("__id", *[(F.col("o" + c) + F.col("r" + c) * F.col("depth")).alias(c) for c in "xyz"])
+        now = now.join(sample_distance(at, surface_rows, "__id", voxel), "__id")
+        now = now.withColumn("depth", F.col("depth") + F.col("distance")).withColumnRenamed("distance", "__last").select(*points.columns, "__id", "__first", "__last")
+        last = now
+        now = now.drop("__last")
+    good = (F.abs("__last") <= residual) & (F.abs(F.col("depth") - F.col("__first")) <= most)
+    return last.filter(good).select(*key, "depth")

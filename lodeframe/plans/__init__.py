@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.plans import graph, mesh, motion, registration, scans, similarity, space, streams, surfels, voxels  # noqa: F401
+from lodeframe.plans import graph, mesh, motion, registration, scans, similarity, space, stencils, streams, surfels, tracking, voxels  # noqa: F401
 from lodeframe.plans.registry import ORACLE, QUERIES
 
 

@@ -70,7 +70,7 @@ def poses(spark: SparkSession, d: str) -> DataFrame:
 DUCK = {
     "fx_frames": """fx_frames AS (SELECT user_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame_index,
   ts, event_id, value / 500 AS disparity, (event_id % 10) / 20.0::DOUBLE AS scale_ratio, event_type <> 'error' AS registered FROM events)""",
-    "fx_dense": """fx_dense AS (SELECT n_nationkey AS frame_id, u, v,
+    "fx_dense": """fx_dense AS MATERIALIZED (SELECT n_nationkey AS frame_id, u, v,
   CASE WHEN (u * v + n_nationkey) % 23 = 0 THEN NULL ELSE 1000 + 5 * u + 3 * v + (n_nationkey * 17) % 50 END AS depth_mm,
   (u * 4) % 256 AS r, (v * 5) % 256 AS g, (u + v) % 256 AS b
   FROM nation CROSS JOIN (SELECT unnest(range(0, 64))::INT AS u) CROSS JOIN (SELECT unnest(range(0, 48))::INT AS v))""",

@@ -127,14 +127,36 @@ def g4(spark, d):
     return align_pairs(matches(spark, d))
 
 
-@query("g6_normal_blocks", "WITH " + MATCHES + """, e AS (SELECT ref, new, sum(w) AS w, sum(w * px) AS sx, sum(w * py) AS sy FROM mm GROUP BY ref, new),
-b AS (SELECT ref AS r, ref AS c, w, sx FROM e UNION ALL SELECT new, new, w, sx FROM e UNION ALL SELECT ref, new, -w, -sx FROM e UNION ALL SELECT new, ref, -w, -sx FROM e)
-SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(sum(w), 6) AS h00, round(sum(sx), 6) AS h05 FROM b GROUP BY r, c""")
+_J = "[[1, 0, 0, 0, {0}z, -{0}y], [0, 1, 0, -{0}z, 0, {0}x], [0, 0, 1, {0}y, -{0}x, 0]]"
+
+
+@query("g6_normal_blocks", "WITH " + MATCHES + f""", j AS (SELECT ref, new, w, {_J.format('p')} AS jp, {_J.format('q')} AS jq, [px - qx, py - qy, pz - qz] AS e FROM mm),
+x AS (SELECT ref AS row, ref AS col, w, jp AS a, jp AS b, 1 AS s FROM j UNION ALL SELECT new, new, w, jq, jq, 1 FROM j UNION ALL SELECT ref, new, w, jp, jq, -1 FROM j UNION ALL SELECT new, ref, w, jq, jp, -1 FROM j),
+h AS (SELECT row, col, i, j, s * w * (a[1][i + 1] * b[1][j + 1] + a[2][i + 1] * b[2][j + 1] + a[3][i + 1] * b[3][j + 1]) AS value FROM x, (SELECT unnest(range(0, 6)) AS i), (SELECT unnest(range(0, 6)) AS j)
+  UNION ALL SELECT ref, ref, i, 6, w * (jp[1][i + 1] * e[1] + jp[2][i + 1] * e[2] + jp[3][i + 1] * e[3]) FROM j, (SELECT unnest(range(0, 6)) AS i)
+  UNION ALL SELECT new, new, i, 6, -w * (jq[1][i + 1] * e[1] + jq[2][i + 1] * e[2] + jq[3][i + 1] * e[3]) FROM j, (SELECT unnest(range(0, 6)) AS i))
+SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(value), 4) + 0.0 AS value FROM h GROUP BY ALL HAVING round(sum(value), 4) <> 0""")
 def g6(spark, d):
-    m = moments(spark, d).select("ref", "new", F.col("sum_w").alias("w"), F.get("sp", F.lit(0)).alias("sx"))
-    block = lambda r, c, k: F.struct(F.col(r).alias("row"), F.col(c).alias("col"), (F.col("w") * k).alias("w"), (F.col("sx") * k).alias("sx"))
-    b = m.select(F.explode(F.array(block("ref", "ref", 1), block("new", "new", 1), block("ref", "new", -1), block("new", "ref", -1))).alias("b")).select("b.*")
-    return b.groupBy("row", "col").agg(F.round(F.sum("w"), 6).alias("h00"), F.round(F.sum("sx"), 6).alias("h05"))
+    blocks = op.normal_blocks(matches(spark, d), 1 / (F.col("pz") * F.col("pz")))
+    return blocks.withColumn("value", F.round("value", 4) + 0.0).filter("value <> 0")
+
+
+@query("g1_distance_filter", "WITH " + MATCHES + """, n AS (SELECT *, row_number() OVER (PARTITION BY ref, new ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY ref, new) AS n FROM mm),
+a AS (SELECT *, (k * 7919 + c * 31 + 17) % n AS o FROM n, (SELECT unnest(range(0, 8)) AS c))
+SELECT DISTINCT CAST(a.ref AS INT) AS ref, CAST(a.new AS INT) AS new, a.id FROM a JOIN n b ON b.ref = a.ref AND b.new = a.new AND b.k = a.o
+WHERE abs(sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2)) - sqrt(pow(a.qx - b.qx, 2) + pow(a.qy - b.qy, 2) + pow(a.qz - b.qz, 2))) / a.pz < 0.00015037""")
+def g1(spark, d):
+    """The tolerance is narrow because the fixture's points hardly move against each other."""
+    return op.preserve_distance(matches(spark, d), tolerance=0.00015037).select("ref", "new", "id")
+
+
+@query("a7_plane_moments", "WITH " + MATCHES + """, n AS (SELECT *, (id % 3) / 7.0::DOUBLE AS nx, (id % 5) / 7.0::DOUBLE AS ny, 0.5::DOUBLE AS nz FROM mm)
+SELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(sum(nx * ny), 6) AS nn1, round(sum(px * ny * nz), 6) AS pn5, round(sum(qz * nx * nx), 6) AS qn18, round(sum((nx * px + ny * py + nz * pz) * (nx * qx + ny * qy + nz * qz)), 5) AS pq_nn,
+  round(sum(px * px + py * py + pz * pz), 8) AS pp, round(sum(qx * qx + qy * qy + qz * qz), 8) AS qq FROM n GROUP BY ref, new""")
+def a7(spark, d):
+    m = matches(spark, d).withColumns({"nx": (F.col("id") % 3) / 7.0, "ny": (F.col("id") % 5) / 7.0, "nz": F.lit(0.5)})
+    get = lambda c, i: F.round(F.get(c, F.lit(i)), 6).alias(f"{c}{i}")
+    return op.plane_moments(m).select("ref", "new", get("nn", 1), get("pn", 5), get("qn", 18), F.round("pq_nn", 5).alias("pq_nn"), *[F.round(c, 8).alias(c) for c in ("pp", "qq")])
 
 
 @query("f10_outlier_rejection", "WITH " + MATCHES + """

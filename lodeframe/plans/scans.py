@@ -22,10 +22,10 @@ def s3(spark, d):
 
 
 @query("s10_keyframe_lines", duck("fx_pose") + """
-SELECT format('{:.8f} {:.8f} {:.8f} {:.8f} {:.8f} {:.8f} {:.8f} {:.8f}', frame_id::DOUBLE, tx, ty, tz, qx, qy, round(qz, 7), round(qw, 7)) AS value FROM fx_pose WHERE frame_id % 5 = 0""")
+SELECT format('{:.8f} {:.8f} {:.8f} {:.8f} {:.8f} {:.8f} {:.8f} {:.8f} {}', frame_id::DOUBLE, tx, ty, tz, qx, qy, round(qz, 7), round(qw, 7), CAST(frame_id % 5 = 0 AS INT)) AS value FROM fx_pose""")
 def s10(spark, d):
-    p = fx.poses(spark, d).filter("frame_id % 5 = 0")
-    return trajectory_lines(p.withColumns({"ts": F.col("frame_id").cast("double"), "qz": F.round("qz", 7), "qw": F.round("qw", 7)}))
+    p = fx.poses(spark, d).withColumns({"ts": F.col("frame_id").cast("double"), "qz": F.round("qz", 7), "qw": F.round("qw", 7)})
+    return trajectory_lines(p.withColumn("is_keyframe", (F.col("frame_id") % 5 == 0).cast("int")), keyframes=True)
 
 
 @query("s15_camera_views", duck("fx_pose") + """

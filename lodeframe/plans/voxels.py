@@ -29,7 +29,7 @@ obs AS (SELECT p.frame_id, gx, gy, gz, d.depth_mm / 1000.0::DOUBLE - p.z AS d, t
   WHERE d.depth_mm IS NOT NULL AND d.depth_mm / 1000.0::DOUBLE - p.z > -0.03 AND d.depth_mm / 1000.0::DOUBLE - p.z < t + sqrt(3.0) * 0.05),
 vox AS (SELECT gx, gy, gz, sum(w * d) AS sum_wd, sum(w) AS sum_w, CAST(sum(CASE WHEN abs(d) < sqrt(3.0) * 0.05 + 0.01 THEN r ELSE 0 END) AS BIGINT) AS sum_r,
   CAST(sum(CASE WHEN abs(d) < sqrt(3.0) * 0.05 + 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS n_c, count(*) AS n FROM obs GROUP BY gx, gy, gz),
-sdf AS (SELECT gx, gy, gz, sum_wd / sum_w AS sdf, sum_w AS weight FROM vox WHERE sum_w > 0.5)"""
+sdf AS (SELECT gx, gy, gz, sum_wd / sum_w AS sdf, sum_w AS weight, sum_r, n_c FROM vox WHERE sum_w > 0.5)"""
 
 
 def _head(tx: str = "tx") -> str:
@@ -94,9 +94,9 @@ def _chunks(spark, d):
 
 
 @query("d1_dirty_chunks", _head() + ",\n" + _CHUNKS + """
-SELECT DISTINCT cx + a AS cx, cy + b AS cy, cz + c AS cz FROM ch, (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) n(a, b, c) WHERE frame_id < 5""")
+SELECT DISTINCT cx + a AS cx, cy + b AS cy, cz + c AS cz FROM ch, (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) n(a, b, c)""")
 def d1(spark, d):
-    return op.dirty_chunks(_chunks(spark, d).filter("frame_id < 5").select("cx", "cy", "cz").distinct())
+    return op.dirty_chunks(_chunks(spark, d).select("cx", "cy", "cz").distinct())
 
 
 @query("d4_create_missing", _head() + ",\n" + _CHUNKS + """
@@ -121,12 +121,6 @@ def d6(spark, d):
     return voxels(spark, d).select("gx", "gy", "gz", F.col("n_c").alias("n")).filter(F.lit(False))
 
 
-@query("d2_mesh_union", _head() + ",\n" + _CHUNKS + "\nSELECT frame_id, cx, cy, cz FROM ch WHERE frame_id < 3 UNION ALL SELECT frame_id, cx, cy, cz FROM ch WHERE frame_id >= 3")
-def d2(spark, d):
-    c = _chunks(spark, d)
-    return c.filter("frame_id < 3").unionByName(c.filter("frame_id >= 3"))
-
-
 @query("g9_refusion", _head() + "\nSELECT gx, gy, gz, round(sum_wd, 5) + 0.0 AS sum_wd, round(sum_w, 5) AS sum_w FROM vox WHERE sum_w > 1e-9")
 def g9(spark, d):
     """Fused at the earlier poses, retracted there and fused at the current ones."""
@@ -141,11 +135,11 @@ def g10(spark, d):
     return v.select("gx", "gy", "gz", (F.round("sum_wd", 6) + 0.0).alias("sum_wd"), F.round("sum_w", 6).alias("sum_w"))
 
 
-@query("s13_voxel_dump", _head() + "\nSELECT round((gx + 0.5) * 0.05, 6) AS x, round((gy + 0.5) * 0.05, 6) AS y, round((gz + 0.5) * 0.05, 6) AS z, round(sdf, 6) + 0.0 AS sdf, round(weight, 6) AS weight FROM sdf")
+@query("s13_voxel_dump", _head() + "\nSELECT round((gx + 0.5) * 0.05, 6) AS x, round((gy + 0.5) * 0.05, 6) AS y, round((gz + 0.5) * 0.05, 6) AS z, round(sdf, 6) + 0.0 AS sdf, round(weight, 6) AS weight, round(CASE WHEN n_c > 0 THEN sum_r / n_c ELSE 255.0 END, 6) AS r FROM sdf")
 def s13(spark, d):
     s = op.surface(voxels(spark, d))
     at = [F.round((F.col(c) + 0.5) * fx.VOXEL, 6).alias(n) for c, n in (("gx", "x"), ("gy", "y"), ("gz", "z"))]
-    return s.select(*at, (F.round("sdf", 6) + 0.0).alias("sdf"), F.round("weight", 6).alias("weight"))
+    return s.select(*at, (F.round("sdf", 6) + 0.0).alias("sdf"), F.round("weight", 6).alias("weight"), F.round("r", 6).alias("r"))
 
 
 _CUBES = """cubes AS (SELECT gx - (k & 1) AS gx, gy - ((k >> 1) & 1) AS gy, gz - (k >> 2) AS gz, sum(CASE WHEN sdf < 0 THEN 1 << k ELSE 0 END) AS mask, count(*) AS n
@@ -171,28 +165,54 @@ def w7(spark, d):
 
 
 @query("a20_mean_normal", _head() + """, s1 AS (SELECT *, (gx * 1000::BIGINT + gy) * 1000 + gz AS k FROM sdf WHERE sdf < 1), n AS (
-SELECT s.gx, (a.sdf - b.sdf) / 2 AS dx FROM s1 s JOIN s1 a ON a.k = s.k + 1000000 JOIN s1 b ON b.k = s.k - 1000000 JOIN s1 c ON c.k = s.k + 1000 JOIN s1 e ON e.k = s.k - 1000 JOIN s1 f ON f.k = s.k + 1 JOIN s1 g ON g.k = s.k - 1)
-SELECT CAST(floor(gx / 8.0) AS INT) AS cx, count(*) AS n, round(avg(dx), 6) + 0.0 AS dx FROM n GROUP BY 1""")
+SELECT s.gx, s.gy, s.gz, (a.sdf - b.sdf) / 2 AS dx, (c.sdf - e.sdf) / 2 AS dy, (f.sdf - g.sdf) / 2 AS dz FROM s1 s JOIN s1 a ON a.k = s.k + 1000000 JOIN s1 b ON b.k = s.k - 1000000 JOIN s1 c ON c.k = s.k + 1000 JOIN s1 e ON e.k = s.k - 1000 JOIN s1 f ON f.k = s.k + 1 JOIN s1 g ON g.k = s.k - 1)
+SELECT CAST(floor(gx / 8.0) AS INT) AS cx, CAST(floor(gy / 8.0) AS INT) AS cy, CAST(floor(gz / 8.0) AS INT) AS cz, count(*) AS n, round(avg(dx), 6) + 0.0 AS dx, round(avg(dy), 6) + 0.0 AS dy, round(avg(dz), 6) + 0.0 AS dz FROM n GROUP BY 1, 2, 3""")
 def a20(spark, d):
     n = op.gradients(op.surface(voxels(spark, d)), fx.VOXEL)
-    return n.groupBy(F.floor(F.col("gx") / fx.CHUNK).cast("int").alias("cx")).agg(F.count("*").alias("n"), (F.round(F.avg("dx"), 6) + 0.0).alias("dx"))
+    at = [F.floor(F.col(g) / fx.CHUNK).cast("int").alias(c) for g, c in (("gx", "cx"), ("gy", "cy"), ("gz", "cz"))]
+    return n.groupBy(*at).agg(F.count("*").alias("n"), *[(F.round(F.avg(c), 6) + 0.0).alias(c) for c in ("dx", "dy", "dz")])
 
 
-@query("g13_distance_lookup", _head() + """, p AS (SELECT frame_id * 10000 + u * 100 + v AS id, x + (tx + 0.00273) AS x, y + 0.00317 AS y, z + (tz + 0.00171) AS z FROM pts JOIN fx_pose USING (frame_id) WHERE frame_id < 8),
+@query("g13_distance_lookup", _head() + """, p AS (SELECT frame_id * 10000 + u * 100 + v AS id, x + (tx + 0.00273) AS x, y + 0.00317 AS y, z + (tz + 0.00171) AS z FROM pts JOIN fx_pose USING (frame_id)),
 q AS (SELECT *, CAST(floor(x / 0.05 - 0.5) AS INT) AS bx, CAST(floor(y / 0.05 - 0.5) AS INT) AS by_, CAST(floor(z / 0.05 - 0.5) AS INT) AS bz FROM p),
 r AS (SELECT id, bx + (k & 1) AS gx, by_ + ((k >> 1) & 1) AS gy, bz + (k >> 2) AS gz, (CASE WHEN k & 1 = 1 THEN x / 0.05 - 0.5 - bx ELSE 1 - (x / 0.05 - 0.5 - bx) END) * (CASE WHEN (k >> 1) & 1 = 1 THEN y / 0.05 - 0.5 - by_ ELSE 1 - (y / 0.05 - 0.5 - by_) END)
   * (CASE WHEN k >> 2 = 1 THEN z / 0.05 - 0.5 - bz ELSE 1 - (z / 0.05 - 0.5 - bz) END) AS w FROM q CROSS JOIN (SELECT unnest(range(0, 8))::INT AS k))
 SELECT id, round(sum(w * sdf), 6) + 0.0 AS distance FROM r JOIN sdf USING (gx, gy, gz) GROUP BY id HAVING count(*) = 8""")
 def g13(spark, d):
-    p = images.to_world(images.unproject_pixels(fx.dense(spark, d).filter("frame_id < 8"), CAM), _poses(spark, d))
+    p = images.to_world(images.unproject_pixels(fx.dense(spark, d), CAM), _poses(spark, d))
     p = p.select((F.col("frame_id") * 10000 + F.col("u") * 100 + F.col("v")).alias("id"), F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"))
     return op.sample_distance(p, op.surface(voxels(spark, d)), "id", fx.VOXEL).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
-@query("g12_mesh_colour", duck("fx_dense", "fx_pose") + ",\n" + PTS + ",\n" + _sql() + """, p AS (SELECT frame_id * 10000 + u * 100 + v AS id, x + (tx + 0.00273) AS x, y + 0.00317 AS y, z + (tz + 0.00171) AS z FROM pts JOIN fx_pose USING (frame_id) WHERE frame_id < 8)
+@query("g12_mesh_colour", duck("fx_dense", "fx_pose") + ",\n" + PTS + ",\n" + _sql() + """, p AS (SELECT frame_id * 10000 + u * 100 + v AS id, x + (tx + 0.00273) AS x, y + 0.00317 AS y, z + (tz + 0.00171) AS z FROM pts JOIN fx_pose USING (frame_id))
 SELECT id, round(v.sum_r / v.n_c, 6) AS r FROM p JOIN vox v ON v.gx = CAST(floor(x / 0.05) AS INT) AND v.gy = CAST(floor(y / 0.05) AS INT) AND v.gz = CAST(floor(z / 0.05) AS INT) WHERE v.n_c > 0 AND v.sum_w > 0.5""")
 def g12(spark, d):
-    p = images.to_world(images.unproject_pixels(fx.dense(spark, d).filter("frame_id < 8"), CAM), _poses(spark, d))
+    p = images.to_world(images.unproject_pixels(fx.dense(spark, d), CAM), _poses(spark, d))
     at = [F.floor(F.col(w) / fx.VOXEL).cast("int").alias(c) for w, c in (("wx", "gx"), ("wy", "gy"), ("wz", "gz"))]
     p = p.select((F.col("frame_id") * 10000 + F.col("u") * 100 + F.col("v")).alias("id"), *at)
     return p.join(op.surface(voxels(spark, d).filter("n_c > 0")), ["gx", "gy", "gz"]).select("id", F.round("r", 6).alias("r"))
+
+
+@query("j15_chunk_reference", _head() + ",\n" + _CHUNKS + """, s1 AS (SELECT *, (gx * 1000::BIGINT + gy) * 1000 + gz AS k FROM sdf WHERE sdf < 1),
+told AS (SELECT s.k + o AS k, i, sdf FROM s1 s, (VALUES (-1000000, 0), (1000000, 1), (-1000, 2), (1000, 3), (-1, 4), (1, 5), (0, 6)) t(o, i)),
+grad AS (SELECT k, (max(sdf) FILTER (i = 0) - max(sdf) FILTER (i = 1)) / 2 AS dx, (max(sdf) FILTER (i = 2) - max(sdf) FILTER (i = 3)) / 2 AS dy, (max(sdf) FILTER (i = 4) - max(sdf) FILTER (i = 5)) / 2 AS dz FROM told GROUP BY k HAVING count(*) = 7),
+nrm AS (SELECT CAST(floor(gx / 8.0) AS INT) AS cx, CAST(floor(gy / 8.0) AS INT) AS cy, CAST(floor(gz / 8.0) AS INT) AS cz, avg(dx) AS nx, avg(dy) AS ny, avg(dz) AS nz FROM s1 JOIN grad USING (k) WHERE sqrt(dx * dx + dy * dy + dz * dz) <= 5.0 GROUP BY 1, 2, 3),
+q AS (SELECT n.*, frame_id, cx * 0.4 - (tx + 0.00273) AS x, cy * 0.4 - 0.00317 AS y, cz * 0.4 - (tz + 0.00171) AS z FROM ch JOIN nrm n USING (cx, cy, cz) JOIN fx_pose USING (frame_id)),
+b AS (SELECT *, round((nx * x + ny * y + nz * z) / sqrt(x * x + y * y + z * z), 9) AS quality FROM q WHERE z > 0)
+SELECT cx, cy, cz, frame_id, round(quality, 6) + 0.0 AS quality FROM (SELECT *, row_number() OVER (PARTITION BY cx, cy, cz ORDER BY quality, frame_id DESC) AS rn FROM b) WHERE rn = 1""")
+def j15(spark, d):
+    n = op.gradients(op.surface(voxels(spark, d)), fx.VOXEL)
+    at = [F.floor(F.col(g) / fx.CHUNK).cast("int").alias(c) for g, c in (("gx", "cx"), ("gy", "cy"), ("gz", "cz"))]
+    mean = n.groupBy(*at).agg(*[F.avg("d" + c).alias("n" + c) for c in "xyz"])
+    return op.chunk_reference(mean, _chunks(spark, d), _poses(spark, d), fx.VOXEL, fx.CHUNK).withColumn("quality", F.round("quality", 6) + 0.0)
+
+
+@query("g14_refined_depth")
+def g14(spark, d):
+    """Steps that depend on the ones before: tested on a plane."""
+    pose = _poses(spark, d).select("frame_id", F.col("tx").alias("ox"), F.col("ty").alias("oy"), F.col("tz").alias("oz"))
+    p = images.unproject_pixels(fx.dense(spark, d), CAM).join(pose, "frame_id")
+    p = p.select("frame_id", "u", "v", F.col("z").alias("depth"), "ox", "oy", "oz", (F.col("x") / F.col("z")).alias("rx"), (F.col("y") / F.col("z")).alias("ry"), F.lit(1.0).alias("rz"))
+    from lodeframe.operators.graph import kept
+
+    return op.refine_depth(p, kept(op.surface(voxels(spark, d))), ["frame_id", "u", "v"], fx.VOXEL).withColumn("depth", F.round("depth", 6))
