@@ -411,7 +411,7 @@ def decontaminate(
     The rows themselves pass through the search, so nothing is joined or shuffled. Of several
     benchmark blocks each takes out its rows, and what is left is written before the next is read.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     now, after = next(blocks), next(blocks, None)
     while now is not None:
@@ -420,7 +420,7 @@ def decontaminate(
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = TestBlock(sent.value, window)
             for batch in batches:
-                texts = list(utf8_texts(batch.column(0)))
+                texts = list(utf8_texts(batch.column(0).field(text_col)))
                 clean = [not len(begin) for a, b in by_bytes(texts, shard_bytes) for _, _, begin, *_ in _find(texts[a:b], block, window)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -144,16 +144,20 @@ class Discriminant:
 MAX_TRAIN = 20_000
 
 
-def _with_statistics(docs: DataFrame, text_col: str, keep: list, more: T.StructType, finish, batch_bytes: int = 4 << 20) -> DataFrame:
-    """The columns `keep` and what finish(statistics of the batch's texts) gives; null counts as empty."""
-    picked = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([*picked.schema.fields[:-1], *more.fields])
+def _with_statistics(docs: DataFrame, text_col: str, keep: list, more: T.StructType, finish, carry: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
+    """The columns `keep`, with `carry` the whole row as the struct `row`, and what finish(statistics of
+    the batch's texts) gives; null counts as empty. A carried row brings its text along once."""
+    last = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.col(text_col).alias("__text")
+    picked = docs.select(*keep, last)
+    kept = picked.schema.fields if carry else picked.schema.fields[:-1]
+    schema = T.StructType([*kept, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(utf8_texts(batch.column(batch.num_columns - 1)))
+            column = batch.column(batch.num_columns - 1)
+            texts = list(utf8_texts(column.field(text_col) if carry else column))
             for a, b in by_bytes(texts, batch_bytes):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *finish(statistics(texts[a:b]))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], *finish(statistics(texts[a:b]))], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
@@ -216,12 +220,12 @@ def score_quality(
     read, but for `carry`. Sums over partitions may differ in their last digits between runs.
     """
     model = fit_discriminant(docs, labels, id_col, text_col, label_col, folds, max_train)
-    keep = [F.col(id_col), (fold(id_col, folds) == 0).alias("held_out")] + ([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else [])
+    keep = [F.col(id_col), (fold(id_col, folds) == 0).alias("held_out")]
     more = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def finish(x: np.ndarray) -> list[pa.Array]:
         score = model.score(x)
         return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
 
-    scored = _with_statistics(docs, text_col, keep, more, finish)
+    scored = _with_statistics(docs, text_col, keep, more, finish, carry)
     return scored.select(id_col, "held_out", "score", "predicted", *(["row"] if carry else []))

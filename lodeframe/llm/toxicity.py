@@ -21,7 +21,7 @@ MAX_TRAIN = 6_000
 #: The share of a toxic text's words that its model draws from the toxic class, the others from the ordinary one.
 SHARE = 0.003
 #: Bytes of text that are scored at once; a longer text goes in slices.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: What stands before the first word of a text.
 BEGIN = np.uint64(1)
 
@@ -249,19 +249,20 @@ def fit_models(texts: DataFrame) -> KneserNey:
     return KneserNey.of_tables(words, cont, heads, counts[:, :3], counts[:, 3:], *columns(pairs.select("p", "o", "t")))
 
 
-def _evidence(docs: DataFrame, sent, keep: list[str], text_col: str, share: float) -> DataFrame:
-    """The columns `keep`, ordinary_loglik and toxic_loglik (mean log-likelihood a word) and x: 1000 times their difference."""
-    picked = docs.select(*keep, F.col(text_col).alias("__text"))
+def _evidence(docs: DataFrame, sent, keep: list[str], text_col: str, share: float, carried: str | None = None) -> DataFrame:
+    """The columns `keep` (with `carried` the last is a struct that holds the text), ordinary_loglik and toxic_loglik (mean log-likelihood a word) and x: 1000 times their difference."""
+    picked = docs.select(*keep) if carried else docs.select(*keep, F.col(text_col).alias("__text"))
     more = [T.StructField(c, T.DoubleType()) for c in ("ordinary_loglik", "toxic_loglik", "x")]
-    schema = T.StructType([*picked.schema.fields[:-1], *more])
+    schema = T.StructType([*picked.schema.fields[: len(keep)], *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            sums = model.text_sums(list(utf8_texts(batch.column(batch.num_columns - 1))), share)
+            column = batch.column(batch.num_columns - 1)
+            sums = model.text_sums(list(utf8_texts(column.field(carried) if carried else column)), share)
             mean = sums[:, 1:] / np.maximum(sums[:, :1], 1)
             cols = [mean[:, 0], mean[:, 1], 1000 * (mean[:, 1] - mean[:, 0])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.ascontiguousarray(c), pa.float64()) for c in cols]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(np.ascontiguousarray(c), pa.float64()) for c in cols]], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
@@ -319,8 +320,8 @@ def score_toxicity(
     # a row a labelled document of one fold, so at most max_train
     seen = _evidence(texts.filter("__part = 1").withColumnRenamed("__y", "y"), sent, ["y"], "__text", share).select("x", "y").toPandas()
     slope, middle = calibrate(seen)
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
-    scored = _evidence(source, sent, ["__id", "row"] if carry else ["__id"], "__t", share)
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.col(text_col).alias("__t")
+    scored = _evidence(docs.select(F.col(id_col).alias("__id"), own), sent, ["__id", "row"] if carry else ["__id"], "__t", share, text_col if carry else None)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(slope) * (F.col("x") - F.lit(middle))))
     return scored.select(
         F.col("__id").alias(id_col),
