@@ -402,13 +402,26 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return best(every)
 
 
+def _clean(sent, window: int, shard_bytes: int):
+    """A function of a text column: whether no window of the block's items stands in the text."""
+    held: list[TestBlock] = []
+
+    def run(column: pa.Array) -> pa.Array:
+        if not held:
+            held.append(TestBlock(sent.value, window))
+        texts = list(utf8_texts(column))
+        return pa.array([not len(begin) for a, b in by_bytes(texts, shard_bytes) for _, _, begin, *_ in _find(texts[a:b], held[0], window)], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The documents without a hit word, with their own columns. Rows are judged one by one, whatever
     their ids; a null or empty text stays. No row gives no row.
 
-    The rows themselves pass through the search, so nothing is joined or shuffled. Of several
+    Only texts go to the search and rows are filtered by it, so nothing is joined or shuffled. Of several
     benchmark blocks each takes out its rows, and what is left is written before the next is read.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
@@ -417,14 +430,7 @@ def decontaminate(
     while now is not None:
         sent = docs.sparkSession.sparkContext.broadcast(now)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = TestBlock(sent.value, window)
-            for batch in batches:
-                texts = list(utf8_texts(batch.column(0).field(text_col)))
-                clean = [not len(begin) for a, b in by_bytes(texts, shard_bytes) for _, _, begin, *_ in _find(texts[a:b], block, window)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = rows.filter(_clean(sent, window, shard_bytes)(F.col("row")[text_col]))
         if after is not None:
             rows = stage(rows, "decontaminate-block")
             sent.destroy()

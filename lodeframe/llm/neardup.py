@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from lodeframe.llm.common import HOT_KEYS, LOWER, by_bytes, hot_join, mix64, numbered, stage, utf8_texts
 
 #: Bytes of text whose shingles are hashed at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Members of a bucket that are compared as one block.
 BLOCK = 256
 #: Shingles of such a block.

@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodeframe.llm.common import by_bytes, fold, segment_sum, utf8_texts, word_ids
 
@@ -144,31 +143,24 @@ class Discriminant:
 MAX_TRAIN = 20_000
 
 
-def _with_statistics(docs: DataFrame, text_col: str, keep: list, more: T.StructType, finish, carry: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
-    """The columns `keep`, with `carry` the whole row as the struct `row`, and what finish(statistics of
-    the batch's texts) gives; null counts as empty. A carried row brings its text along once."""
-    last = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.col(text_col).alias("__text")
-    picked = docs.select(*keep, last)
-    kept = picked.schema.fields if carry else picked.schema.fields[:-1]
-    schema = T.StructType([*kept, *more.fields])
+def _of_texts(finish, returns: str, batch_bytes: int = 1 << 20):
+    """A function of a text column: what finish(statistics of the batch's texts) gives; null counts as
+    empty. Only texts go to Python, the other columns of a row stay where they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            texts = list(utf8_texts(column.field(text_col) if carry else column))
-            for a, b in by_bytes(texts, batch_bytes):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], *finish(statistics(texts[a:b]))], names=schema.names)
+    def run(column: pa.Array) -> pa.Array:
+        texts = list(utf8_texts(column))
+        return pa.concat_arrays([finish(statistics(texts[a:b])) for a, b in by_bytes(texts, batch_bytes)] or [finish(statistics([]))])
 
-    return picked.mapInArrow(run, schema)
+    return F.arrow_udf(run, returns)
 
 
 def document_statistics(docs: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """The columns `keep` and x: the transformed statistics of each text."""
 
-    def lists(x: np.ndarray) -> list[pa.Array]:
-        return [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))]
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
 
-    return _with_statistics(docs, text_col, list(keep), T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]), lists)
+    return docs.select(*keep, _of_texts(lists, "array<double>")(text_col).alias("x"))
 
 
 def fit_discriminant(
@@ -220,12 +212,7 @@ def score_quality(
     read, but for `carry`. Sums over partitions may differ in their last digits between runs.
     """
     model = fit_discriminant(docs, labels, id_col, text_col, label_col, folds, max_train)
-    keep = [F.col(id_col), (fold(id_col, folds) == 0).alias("held_out")]
-    more = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-
-    def finish(x: np.ndarray) -> list[pa.Array]:
-        score = model.score(x)
-        return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-
-    scored = _with_statistics(docs, text_col, keep, more, finish, carry)
-    return scored.select(id_col, "held_out", "score", "predicted", *(["row"] if carry else []))
+    score = _of_texts(lambda x: pa.array(model.score(x), pa.float64()), "double")
+    own = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    scored = docs.select(F.col(id_col), (fold(id_col, folds) == 0).alias("held_out"), score(text_col).alias("score"), *own)
+    return scored.select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row"] if carry else []))

@@ -12,7 +12,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodeframe.llm.common import LOWER_ALNUM, by_bytes, fold, mix64, segment_sum, stage, utf8_texts
 
@@ -249,22 +248,17 @@ def fit_models(texts: DataFrame) -> KneserNey:
     return KneserNey.of_tables(words, cont, heads, counts[:, :3], counts[:, 3:], *columns(pairs.select("p", "o", "t")))
 
 
-def _evidence(docs: DataFrame, sent, keep: list[str], text_col: str, share: float, carried: str | None = None) -> DataFrame:
-    """The columns `keep` (with `carried` the last is a struct that holds the text), ordinary_loglik and toxic_loglik (mean log-likelihood a word) and x: 1000 times their difference."""
-    picked = docs.select(*keep) if carried else docs.select(*keep, F.col(text_col).alias("__text"))
-    more = [T.StructField(c, T.DoubleType()) for c in ("ordinary_loglik", "toxic_loglik", "x")]
-    schema = T.StructType([*picked.schema.fields[: len(keep)], *more])
+def _evidence(sent, share: float):
+    """A function of a text column that gives ordinary and toxic (mean log-likelihood a word) and x: 1000
+    times their difference. Only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            sums = model.text_sums(list(utf8_texts(column.field(carried) if carried else column)), share)
-            mean = sums[:, 1:] / np.maximum(sums[:, :1], 1)
-            cols = [mean[:, 0], mean[:, 1], 1000 * (mean[:, 1] - mean[:, 0])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(np.ascontiguousarray(c), pa.float64()) for c in cols]], names=schema.names)
+    def run(column: pa.Array) -> pa.Array:
+        sums = sent.value.text_sums(list(utf8_texts(column)), share)
+        mean = sums[:, 1:] / np.maximum(sums[:, :1], 1)
+        cols = [mean[:, 0], mean[:, 1], 1000 * (mean[:, 1] - mean[:, 0])]
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c), pa.float64()) for c in cols], names=["ordinary", "toxic", "x"])
 
-    return picked.mapInArrow(run, schema)
+    return F.arrow_udf(run, "struct<ordinary: double, toxic: double, x: double>")
 
 
 def calibrate(seen: pd.DataFrame) -> tuple[float, float]:
@@ -318,18 +312,18 @@ def score_toxicity(
     texts = stage(rows.join(F.broadcast(train), F.col("__doc") == F.col("__id")).select("__text", "__y", "__part"), "toxic-texts")
     sent = spark.sparkContext.broadcast(fit_models(texts.filter("__part = 0").select("__text", "__y")))
     # a row a labelled document of one fold, so at most max_train
-    seen = _evidence(texts.filter("__part = 1").withColumnRenamed("__y", "y"), sent, ["y"], "__text", share).select("x", "y").toPandas()
+    seen = texts.filter("__part = 1").select(_evidence(sent, share)("__text").alias("e"), F.col("__y").alias("y")).select("e.x", "y").toPandas()
     slope, middle = calibrate(seen)
-    own = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else F.col(text_col).alias("__t")
-    scored = _evidence(docs.select(F.col(id_col).alias("__id"), own), sent, ["__id", "row"] if carry else ["__id"], "__t", share, text_col if carry else None)
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(slope) * (F.col("x") - F.lit(middle))))
+    own = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    scored = docs.select(F.col(id_col).alias("__id"), _evidence(sent, share)(text_col).alias("e"), *own)
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(slope) * (F.col("e.x") - F.lit(middle))))
     return scored.select(
         F.col("__id").alias(id_col),
         (fold("__id", folds) == 0).alias("held_out"),
         score.alias("score"),
         F.when(score >= threshold, 1).otherwise(0).alias("predicted"),
-        F.col("x").alias("evidence"),
-        "ordinary_loglik",
-        "toxic_loglik",
+        F.col("e.x").alias("evidence"),
+        F.col("e.ordinary").alias("ordinary_loglik"),
+        F.col("e.toxic").alias("toxic_loglik"),
         *(["row"] if carry else []),
     )
