@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 from collections import defaultdict
@@ -53,6 +54,19 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bounds of an Arrow batch of rows with texts, unless the session sets its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by BATCH where the session leaves them at Spark's defaults: ten thousand
+    texts, some of them very long, are more than a task should hold in and outside of the JVM."""
+    for key, (default, bound) in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or now == default or (default is None and int(re.sub(r"\D", "", now) or 0) > int(bound)):
+            spark.conf.set(key, bound)
+
+
 #: Keys that count as hot, at most.
 HOT_KEYS = 4096
 

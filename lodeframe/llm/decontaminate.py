@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import LOWER_ALNUM, by_bytes, stage, utf8_texts
+from lodeframe.llm.common import LOWER_ALNUM, by_bytes, small_batches, stage, utf8_texts
 
 #: Words of a window.
 WINDOW = 10
@@ -424,6 +424,7 @@ def decontaminate(
     Only texts go to the search and rows are filtered by it, so nothing is joined or shuffled. Of several
     benchmark blocks each takes out its rows, and what is left is written before the next is read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     now, after = next(blocks), next(blocks, None)

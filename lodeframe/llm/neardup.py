@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import HOT_KEYS, LOWER, by_bytes, hot_join, mix64, numbered, stage, utf8_texts
+from lodeframe.llm.common import HOT_KEYS, LOWER, by_bytes, hot_join, mix64, numbered, small_batches, stage, utf8_texts
 
 #: Bytes of text whose shingles are hashed at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Members of a bucket that are compared as one block.
 BLOCK = 256
 #: Shingles of such a block.
@@ -435,6 +435,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = params or Params()
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"near_duplicates needs integer ids, not {docs.schema[id_col].dataType.simpleString()}")
+    small_batches(docs.sparkSession)
     words = [f"s{i}" for i in range(p.sketch_words)]
     rows = stage(_profile(docs, id_col, text_col, p), "neardup-profile")
     sets = rows.filter("n > 0 and id is not null")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import by_bytes, fold, segment_sum, utf8_texts, word_ids
+from lodeframe.llm.common import by_bytes, fold, segment_sum, small_batches, utf8_texts, word_ids
 
 FEATURES = (
     "words",
@@ -211,6 +211,7 @@ def score_quality(
     one class every score is the prior's. Repeated rows give repeated rows; other columns are not
     read, but for `carry`. Sums over partitions may differ in their last digits between runs.
     """
+    small_batches(docs.sparkSession)
     model = fit_discriminant(docs, labels, id_col, text_col, label_col, folds, max_train)
     score = _of_texts(lambda x: pa.array(model.score(x), pa.float64()), "double")
     own = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import LOWER_ALNUM, by_bytes, fold, mix64, segment_sum, stage, utf8_texts
+from lodeframe.llm.common import LOWER_ALNUM, by_bytes, fold, mix64, segment_sum, small_batches, stage, utf8_texts
 
 #: Labelled documents that are learnt from, at most. What the models hold follows from it.
 MAX_TRAIN = 6_000
@@ -306,6 +306,7 @@ def score_toxicity(
     rows is learnt from each; other columns are not read, but for `carry`. Without labels of both
     classes every text scores by a fixed curve.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     train = stage(training_rows(labels, id_col, label_col, folds, max_train), "toxic-train")
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
