@@ -25,12 +25,17 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def frame_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A frame for each supplier, so that images, poses and edges grow with the scale factor."""
+    return table(spark, d, "supplier").selectExpr("s_suppkey AS frame_id", "s_nationkey % 5 AS region_id")
+
+
 def _grid(df: DataFrame) -> DataFrame:
     return df.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(47))))
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    n = _grid(table(spark, d, "nation").select(F.col("n_nationkey").alias("frame_id")))
+    n = _grid(frame_ids(spark, d).select("frame_id"))
     return n.selectExpr(
         "frame_id", "u", "v",
         "CASE WHEN (u * v + frame_id) % 23 = 0 THEN NULL ELSE 1000 + 5 * u + 3 * v + (frame_id * 17) % 50 END AS depth_mm",
@@ -60,9 +65,9 @@ def descriptors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").selectExpr(
-        "n_nationkey AS frame_id", "0.0D AS qx", "0.0D AS qy", "sin(0.01D * n_nationkey) AS qz", "cos(0.01D * n_nationkey) AS qw",
-        "0.05D * n_nationkey AS tx", "0.0D AS ty", "0.01D * n_nationkey AS tz", "0.05D * n_nationkey + 0.03D * n_regionkey AS tx_prev",
+    return frame_ids(spark, d).selectExpr(
+        "frame_id", "0.0D AS qx", "0.0D AS qy", "sin(0.01D * frame_id) AS qz", "cos(0.01D * frame_id) AS qw",
+        "0.05D * frame_id AS tx", "0.0D AS ty", "0.01D * frame_id AS tz", "0.05D * frame_id + 0.03D * region_id AS tx_prev",
     )
 
 
@@ -70,10 +75,10 @@ def poses(spark: SparkSession, d: str) -> DataFrame:
 DUCK = {
     "fx_frames": """fx_frames AS (SELECT user_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame_index,
   ts, event_id, value / 500 AS disparity, (event_id % 10) / 20.0::DOUBLE AS scale_ratio, event_type <> 'error' AS registered FROM events)""",
-    "fx_dense": """fx_dense AS MATERIALIZED (SELECT n_nationkey AS frame_id, u, v,
-  CASE WHEN (u * v + n_nationkey) % 23 = 0 THEN NULL ELSE 1000 + 5 * u + 3 * v + (n_nationkey * 17) % 50 END AS depth_mm,
+    "fx_dense": """fx_dense AS MATERIALIZED (SELECT s_suppkey AS frame_id, u, v,
+  CASE WHEN (u * v + s_suppkey) % 23 = 0 THEN NULL ELSE 1000 + 5 * u + 3 * v + (s_suppkey * 17) % 50 END AS depth_mm,
   (u * 4) % 256 AS r, (v * 5) % 256 AS g, (u + v) % 256 AS b
-  FROM nation CROSS JOIN (SELECT unnest(range(0, 64))::INT AS u) CROSS JOIN (SELECT unnest(range(0, 48))::INT AS v))""",
+  FROM supplier CROSS JOIN (SELECT unnest(range(0, 64))::INT AS u) CROSS JOIN (SELECT unnest(range(0, 48))::INT AS v))""",
     "fx_px": """fx_px AS (SELECT frame_id, u, v, min(depth_mm) AS depth_mm FROM (SELECT (l_orderkey % 40)::INT AS frame_id,
   ((l_partkey * 7 + l_linenumber) % 64)::INT AS u, ((l_suppkey * 3 + l_linenumber) % 48)::INT AS v,
   (500 + (l_orderkey * 31 + l_partkey) % 3000)::INT AS depth_mm FROM lineitem) GROUP BY frame_id, u, v)""",
@@ -83,8 +88,8 @@ DUCK = {
     "fx_desc": """fx_desc AS (SELECT vec_id, image_id, feature_id, CAST(string_agg(bit::VARCHAR, '' ORDER BY k) AS BIT) AS d FROM fx_bits GROUP BY ALL)""",
     "fx_keys": """fx_keys AS (SELECT vec_id, image_id, feature_id, k // 8 AS table_id, CAST(sum(bit * (1 << (k % 8)::INT)) AS BIGINT) AS key
   FROM fx_bits GROUP BY ALL)""",
-    "fx_pose": """fx_pose AS (SELECT n_nationkey AS frame_id, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, sin(0.01::DOUBLE * n_nationkey) AS qz, cos(0.01::DOUBLE * n_nationkey) AS qw,
-  0.05::DOUBLE * n_nationkey AS tx, 0.0::DOUBLE AS ty, 0.01::DOUBLE * n_nationkey AS tz, 0.05::DOUBLE * n_nationkey + 0.03::DOUBLE * n_regionkey AS tx_prev FROM nation)""",
+    "fx_pose": """fx_pose AS (SELECT s_suppkey AS frame_id, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, sin(0.01::DOUBLE * s_suppkey) AS qz, cos(0.01::DOUBLE * s_suppkey) AS qw,
+  0.05::DOUBLE * s_suppkey AS tx, 0.0::DOUBLE AS ty, 0.01::DOUBLE * s_suppkey AS tz, 0.05::DOUBLE * s_suppkey + 0.03::DOUBLE * (s_nationkey % 5) AS tx_prev FROM supplier)""",
 }
 DUCK["fx_buckets"] = """fx_buckets AS (SELECT table_id, key, image_id, feature_id FROM (SELECT *, row_number() OVER (PARTITION BY table_id, key ORDER BY image_id) AS rn
   FROM (SELECT table_id, key, image_id, min(feature_id) AS feature_id FROM fx_keys GROUP BY ALL)) WHERE rn <= 200)"""

@@ -1,4 +1,4 @@
-"""Graph jobs over edges between nations."""
+"""Graph jobs over edges between frames."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ from lodeframe.operators import graph as op
 from lodeframe.plans import fixtures as fx
 from lodeframe.plans.registry import query
 
-EDGES = """edges AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 20)"""
+EDGES = """edges AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 5 WHERE a.s_suppkey % 25 < 20)"""
 
 
 @query("g8_map_components", "WITH RECURSIVE " + EDGES + """, both_ AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
-r AS (SELECT n_nationkey AS id, n_nationkey AS seen FROM nation UNION SELECT r.id, e.b FROM r JOIN both_ e ON e.a = r.seen)
+r AS (SELECT s_suppkey AS id, s_suppkey AS seen FROM supplier UNION SELECT r.id, e.b FROM r JOIN both_ e ON e.a = r.seen)
 SELECT id, min(seen) AS origin FROM r GROUP BY id""")
 def g8(spark, d):
-    n = fx.table(spark, d, "nation")
-    edges = n.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") + 5).alias("b"))
-    return op.map_components(n.select(F.col("n_nationkey").alias("id")), edges)
+    """Chains of every fifth frame, 25 frames a map."""
+    n = fx.frame_ids(spark, d).select(F.col("frame_id").alias("id"))
+    edges = n.filter("id % 25 < 20").select(F.col("id").alias("a"), (F.col("id") + 5).alias("b"))
+    return op.map_components(n, edges.join(n.withColumnRenamed("id", "b"), "b", "left_semi"))

@@ -1,4 +1,4 @@
-"""Frame-pair moments and errors over `part`, joined to edges between nations."""
+"""Frame-pair moments and errors over `part`, joined to edges between frames."""
 
 from __future__ import annotations
 

@@ -14,11 +14,11 @@ from lodeframe.sources.text import parse_numbers
 CALIBRATION = ["width", "height", "fx", "fy", "cx", "cy", "d0", "d1", "d2", "d3", "d4", "depth_scale", "max_depth"]
 
 
-@query("s3_calibration", "SELECT n_nationkey, 640.0::DOUBLE AS width, n_nationkey + 500.0::DOUBLE AS fx, 1000.0::DOUBLE AS depth_scale FROM nation WHERE n_nationkey % 4 <> 0")
+@query("s3_calibration", "SELECT s_suppkey, 640.0::DOUBLE AS width, s_suppkey + 500.0::DOUBLE AS fx, 1000.0::DOUBLE AS depth_scale FROM supplier WHERE s_suppkey % 4 <> 0")
 def s3(spark, d):
-    line = F.concat(F.format_string("640 480 %d 520 319.5 239.5 0 0 0 0 0 1000", F.col("n_nationkey") + 500), F.when(F.col("n_nationkey") % 4 == 0, "").otherwise(" 8"))
-    rows, _ = parse_numbers(fx.table(spark, d, "nation").select("n_nationkey", line.alias("value")), CALIBRATION)
-    return rows.select("n_nationkey", "width", "fx", "depth_scale")
+    line = F.concat(F.format_string("640 480 %d 520 319.5 239.5 0 0 0 0 0 1000", F.col("s_suppkey") + 500), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(" 8"))
+    rows, _ = parse_numbers(fx.table(spark, d, "supplier").select("s_suppkey", line.alias("value")), CALIBRATION)
+    return rows.select("s_suppkey", "width", "fx", "depth_scale")
 
 
 @query("s10_keyframe_lines", duck("fx_pose") + """

@@ -124,21 +124,21 @@ def p10(spark, d):
 
 
 @query("p11_centroids", """
-SELECT n_nationkey AS cx, vid, round((n_nationkey * 8 + vid % 8 + 0.5) * 0.05, 6) AS x, round((-n_regionkey * 8 + (vid // 8) % 8 + 0.5) * 0.05, 6) AS y, round((vid // 64 + 0.5) * 0.05, 6) AS z
-FROM nation CROSS JOIN (SELECT unnest(range(0, 512)) AS vid)""")
+SELECT frame_id AS cx, vid, round((frame_id * 8 + vid % 8 + 0.5) * 0.05, 6) AS x, round((-region_id * 8 + (vid // 8) % 8 + 0.5) * 0.05, 6) AS y, round((vid // 64 + 0.5) * 0.05, 6) AS z
+FROM (SELECT s_suppkey AS frame_id, s_nationkey % 5 AS region_id FROM supplier) CROSS JOIN (SELECT unnest(range(0, 512)) AS vid)""")
 def p11(spark, d):
-    n = fx.table(spark, d, "nation").withColumn("vid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(511).cast("bigint"))))
-    c = g.centroid(F.col("n_nationkey"), -F.col("n_regionkey"), F.lit(0), F.col("vid"), fx.VOXEL, fx.CHUNK)
-    return n.select(F.col("n_nationkey").alias("cx"), "vid", *r6(x=c.x, y=c.y, z=c.z))
+    n = fx.frame_ids(spark, d).withColumn("vid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(511).cast("bigint"))))
+    c = g.centroid(F.col("frame_id"), -F.col("region_id"), F.lit(0), F.col("vid"), fx.VOXEL, fx.CHUNK)
+    return n.select(F.col("frame_id").alias("cx"), "vid", *r6(x=c.x, y=c.y, z=c.z))
 
 
 @query("p12_box_corners", """
-SELECT n_nationkey AS cx, k, round((n_nationkey + (k & 1)) * 0.4, 6) AS x, round((n_regionkey + ((k >> 1) & 1)) * 0.4, 6) AS y, round((k >> 2) * 0.4, 6) AS z
-FROM nation CROSS JOIN (SELECT unnest(range(0, 8))::INT AS k)""")
+SELECT frame_id AS cx, k, round((frame_id + (k & 1)) * 0.4, 6) AS x, round((region_id + ((k >> 1) & 1)) * 0.4, 6) AS y, round((k >> 2) * 0.4, 6) AS z
+FROM (SELECT s_suppkey AS frame_id, s_nationkey % 5 AS region_id FROM supplier) CROSS JOIN (SELECT unnest(range(0, 8))::INT AS k)""")
 def p12(spark, d):
-    lo = g.Vec(F.col("n_nationkey") * 0.4, F.col("n_regionkey") * 0.4, F.lit(0.0))
-    hi = g.Vec((F.col("n_nationkey") + 1) * 0.4, (F.col("n_regionkey") + 1) * 0.4, F.lit(0.4))
-    n = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("cx"), F.posexplode(g.corners(lo, hi)).alias("k", "p"))
+    lo = g.Vec(F.col("frame_id") * 0.4, F.col("region_id") * 0.4, F.lit(0.0))
+    hi = g.Vec((F.col("frame_id") + 1) * 0.4, (F.col("region_id") + 1) * 0.4, F.lit(0.4))
+    n = fx.frame_ids(spark, d).select(F.col("frame_id").alias("cx"), F.posexplode(g.corners(lo, hi)).alias("k", "p"))
     return n.select("cx", "k", *r6(x=F.col("p.x"), y=F.col("p.y"), z=F.col("p.z")))
 
 
@@ -409,8 +409,8 @@ _INTO = """prj AS (SELECT p.frame_id, p.u, p.v, z, frame_id + 1 AS to_frame, z +
 
 
 def _into(spark, d):
-    step = fx.table(spark, d, "nation").selectExpr(
-        "n_nationkey AS frame_id", "n_nationkey + 1 AS to_frame", "0.0D AS qx", "0.0D AS qy", "0.0D AS qz", "1.0D AS qw", "-0.05D AS tx", "0.0D AS ty", "0.01D AS tz"
+    step = fx.frame_ids(spark, d).selectExpr(
+        "frame_id", "frame_id + 1 AS to_frame", "0.0D AS qx", "0.0D AS qy", "0.0D AS qz", "1.0D AS qw", "-0.05D AS tx", "0.0D AS ty", "0.01D AS tz"
     )
     return images.project_into(points(spark, d), step, CAM)
 

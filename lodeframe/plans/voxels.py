@@ -100,20 +100,20 @@ def d1(spark, d):
 
 
 @query("d4_create_missing", _head() + ",\n" + _CHUNKS + """
-SELECT DISTINCT cx, cy, cz, CAST(NULL AS INT) AS age FROM ch WHERE frame_id >= 20 AND (cx, cy, cz) NOT IN (SELECT (cx, cy, cz) FROM ch WHERE frame_id < 20)
-UNION ALL SELECT cx, cy, cz, min(frame_id) FROM ch WHERE frame_id < 20 GROUP BY cx, cy, cz""")
+SELECT DISTINCT cx, cy, cz, CAST(NULL AS BIGINT) AS age FROM ch WHERE frame_id % 5 = 4 AND (cx, cy, cz) NOT IN (SELECT (cx, cy, cz) FROM ch WHERE frame_id % 5 < 4)
+UNION ALL SELECT cx, cy, cz, min(frame_id) FROM ch WHERE frame_id % 5 < 4 GROUP BY cx, cy, cz""")
 def d4(spark, d):
     c = _chunks(spark, d)
-    have = c.filter("frame_id < 20").groupBy("cx", "cy", "cz").agg(F.min("frame_id").alias("age"))
-    return op.create_missing(have, c.filter("frame_id >= 20"), ["cx", "cy", "cz"])
+    have = c.filter("frame_id % 5 < 4").groupBy("cx", "cy", "cz").agg(F.min("frame_id").alias("age"))
+    return op.create_missing(have, c.filter("frame_id % 5 = 4"), ["cx", "cy", "cz"])
 
 
 @query("d5_collect_garbage", _head() + ",\n" + _CHUNKS + """
-SELECT cx, cy, cz, CAST(min(frame_id) AS INT) AS age FROM ch GROUP BY cx, cy, cz HAVING min(frame_id) < 10 OR max(frame_id) >= 20""")
+SELECT cx, cy, cz, min(frame_id) AS age FROM ch GROUP BY cx, cy, cz HAVING min(frame_id) % 2 = 0 OR max(CAST(frame_id % 5 = 4 AS INT)) = 1""")
 def d5(spark, d):
     c = _chunks(spark, d)
-    have = c.groupBy("cx", "cy", "cz").agg(F.min("frame_id").alias("age")).withColumn("is_new", F.col("age") >= 10)
-    return op.collect_garbage(have, c.filter("frame_id >= 20"), ["cx", "cy", "cz"]).drop("is_new")
+    have = c.groupBy("cx", "cy", "cz").agg(F.min("frame_id").alias("age")).withColumn("is_new", F.col("age") % 2 == 1)
+    return op.collect_garbage(have, c.filter("frame_id % 5 = 4"), ["cx", "cy", "cz"]).drop("is_new")
 
 
 @query("d6_map_reset", _head() + "\nSELECT gx, gy, gz, n FROM vox WHERE false")
