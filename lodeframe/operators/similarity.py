@@ -15,12 +15,15 @@ def explode_keys(descriptors: DataFrame, tables: int, bits: int) -> DataFrame:
     )
 
 
-def build_buckets(keys: DataFrame, capacity: int = 200) -> DataFrame:
+def build_buckets(keys: DataFrame, capacity: int | None = 200) -> DataFrame:
     """At most one feature an image and `capacity` images a bucket, first come by (image, feature).
 
     row_number <= capacity prunes on the map side too, so a hot key does not reach one task whole.
+    Without a capacity every image is kept: what a search that must not lose links joins with.
     """
     first = keys.groupBy("table_id", "key", "image_id").agg(F.min(F.struct("feature_id", "words")).alias("__f"))
+    if capacity is None:
+        return first.select("table_id", "key", "image_id", "__f.feature_id", "__f.words")
     w = Window.partitionBy("table_id", "key").orderBy("image_id")
     return (
         first.withColumn("__r", F.row_number().over(w))

@@ -91,6 +91,8 @@ DUCK = {
     "fx_pose": """fx_pose AS (SELECT s_suppkey AS frame_id, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, sin(0.01::DOUBLE * s_suppkey) AS qz, cos(0.01::DOUBLE * s_suppkey) AS qw,
   0.05::DOUBLE * s_suppkey AS tx, 0.0::DOUBLE AS ty, 0.01::DOUBLE * s_suppkey AS tz, 0.05::DOUBLE * s_suppkey + 0.03::DOUBLE * (s_nationkey % 5) AS tx_prev FROM supplier)""",
 }
+#: What searches join with: every image of a bucket; fx_buckets is the capped build.
+DUCK["fx_index"] = "fx_index AS (SELECT table_id, key, image_id, min(feature_id) AS feature_id FROM fx_keys GROUP BY ALL)"
 DUCK["fx_buckets"] = """fx_buckets AS (SELECT table_id, key, image_id, feature_id FROM (SELECT *, row_number() OVER (PARTITION BY table_id, key ORDER BY image_id) AS rn
   FROM (SELECT table_id, key, image_id, min(feature_id) AS feature_id FROM fx_keys GROUP BY ALL)) WHERE rn <= 200)"""
 

@@ -13,11 +13,11 @@ from lodeframe.plans.registry import query
 
 TABLES, BITS, TAU, COV = 32, 8, 110, 9000.0
 #: With fewer, wider keys the search is as selective as production needs.
-KEYS = "fx_bits", "fx_desc", "fx_keys", "fx_buckets"
+KEYS = "fx_bits", "fx_desc", "fx_keys", "fx_index"
 
 _PAIRS = """pairs AS (SELECT q.image_id AS q_image, q.feature_id AS q_feature, b.image_id, b.feature_id, b.table_id,
   bit_count(xor(dq.d, db.d)) AS distance
-  FROM fx_keys q JOIN fx_buckets b ON q.table_id = b.table_id AND q.key = b.key AND b.image_id < q.image_id
+  FROM fx_keys q JOIN fx_index b ON q.table_id = b.table_id AND q.key = b.key AND b.image_id < q.image_id
   JOIN fx_desc dq ON dq.image_id = q.image_id AND dq.feature_id = q.feature_id
   JOIN fx_desc db ON db.image_id = b.image_id AND db.feature_id = b.feature_id
   WHERE bit_count(xor(dq.d, db.d)) < 110)"""
@@ -41,7 +41,7 @@ def _keys(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     keys = _keys(spark, d)
-    return op.candidates(keys, op.build_buckets(keys), TAU)
+    return op.candidates(keys, op.build_buckets(keys, None), TAU)
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +109,12 @@ def j1(spark, d):
 
 @query("j2_mih_probing", duck(*KEYS) + """
 SELECT q.image_id AS q_image, q.feature_id AS q_feature, b.image_id, b.feature_id, CAST(b.table_id AS INT) AS table_id, CAST(bit_count(xor(dq.d, db.d)) AS INT) AS distance
-FROM fx_keys q JOIN fx_buckets b ON q.table_id = b.table_id AND bit_count(xor(q.key, b.key)) <= 1 AND b.image_id < q.image_id
+FROM fx_keys q JOIN fx_index b ON q.table_id = b.table_id AND bit_count(xor(q.key, b.key)) <= 1 AND b.image_id < q.image_id
 JOIN fx_desc dq ON dq.image_id = q.image_id AND dq.feature_id = q.feature_id
 JOIN fx_desc db ON db.image_id = b.image_id AND db.feature_id = b.feature_id WHERE bit_count(xor(dq.d, db.d)) < 95""")
 def j2(spark, d):
     keys = _keys(spark, d)
-    return op.candidates(keys, op.build_buckets(keys), 95, depth=1, bits=BITS).withColumn("distance", F.col("distance").cast("int"))
+    return op.candidates(keys, op.build_buckets(keys, None), 95, depth=1, bits=BITS).withColumn("distance", F.col("distance").cast("int"))
 
 
 _NEAR = """near AS (SELECT q.vec_id AS q_id, t.vec_id AS t_id, min(bit_count(xor(dq.d, dt.d))) AS distance
@@ -173,12 +173,12 @@ def a1(spark, d):
 
 @query("a2_insert_and_query", duck(*KEYS) + """,
 pairs AS (SELECT q.image_id AS q_image, q.feature_id AS q_feature, b.image_id, b.feature_id, b.table_id, bit_count(xor(dq.d, db.d)) AS distance
-  FROM fx_buckets q JOIN fx_buckets b ON q.table_id = b.table_id AND q.key = b.key AND b.image_id < q.image_id
+  FROM fx_index q JOIN fx_index b ON q.table_id = b.table_id AND q.key = b.key AND b.image_id < q.image_id
   JOIN fx_desc dq ON dq.image_id = q.image_id AND dq.feature_id = q.feature_id
   JOIN fx_desc db ON db.image_id = b.image_id AND db.feature_id = b.feature_id WHERE bit_count(xor(dq.d, db.d)) < 110),
 """ + _SCORES + "\nSELECT q_image, image_id, round(score, 9) AS score FROM scores")
 def a2(spark, d):
-    buckets = op.build_buckets(_keys(spark, d))
+    buckets = op.build_buckets(_keys(spark, d), None)
     n = fx.descriptors(spark, d).select("image_id").distinct().count()
     return op.image_scores(op.candidates(buckets, buckets, TAU), n, COV).withColumn("score", F.round("score", 9))
 

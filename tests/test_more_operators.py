@@ -169,3 +169,14 @@ def test_normal_blocks_by_finite_steps(spark):
             k[j] = 1e-5
             cross = (error(h, k) - error(h, -k) - error(-h, k) + error(-h, -k)) / (8 * 1e-10)
             assert got.get((0, 1, i, j), 0.0) == pytest.approx(cross, abs=1e-3)
+
+
+def test_search_finds_images_beyond_a_full_bucket(spark):
+    """Images past a bucket's capacity are found: the index that searches join with has no cap."""
+    from lodeframe.operators import similarity as op
+
+    rows = [(i, 0, [0, 0, 0, 0], 0, 7) for i in range(12)]
+    keys = spark.createDataFrame(rows, "image_id long, feature_id long, words array<long>, table_id int, key long")
+    assert op.build_buckets(keys, 5).count() == 5
+    pairs = op.candidates(keys, op.build_buckets(keys, None), 1)
+    assert {(r.q_image, r.image_id) for r in pairs.collect()} == {(a, b) for a in range(12) for b in range(a)}
