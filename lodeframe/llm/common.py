@@ -76,10 +76,10 @@ def hot_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame
     `many` holds it.
 
     Keys with more than total / HOT_KEYS rows (total: the rows of `many`), so fewer than HOT_KEYS of
-    them, meet their rows by broadcast; only the others are shuffled, so no key makes a large task.
+    them, meet their rows by broadcast (and come to the driver in one job); only the others are shuffled, so no key makes a large task.
     """
     limit = max(64, -(-total // HOT_KEYS))
-    hot = [r[0] for r in one.filter(F.col("__n") > limit).select(key).toLocalIterator()]
+    hot = [r[0] for r in one.filter(F.col("__n") > limit).select(key).collect()]
     if not hot:
         return many.join(one.drop("__n"), key)
     is_hot = F.col(key).isin(hot)

@@ -231,34 +231,32 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
-def _with_least(edges: DataFrame, tag: str, total: int) -> DataFrame:
-    """The edges (u, v) with m, the least v of their u."""
-    least = stage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")), tag)
-    return hot_join(edges, least, "u", total)
+def _least(edges: DataFrame, tag: str) -> DataFrame:
+    """(u, m, __n), written: the least v of each u of the edges, and how many edges it has."""
+    return stage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")), tag)
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """(id, comp) for every id in links (x, y): comp is the smallest id that it reaches.
 
     Alternates two steps on edges: each node's larger neighbours move to its smallest neighbour,
-    then its smaller ones do. Each round is written out; it ends when the edges stay the same,
-    after a number of rounds that grows with the logarithm of the longest path.
+    then its smaller ones do. Each round is written out. It ends when every node with a smaller
+    neighbour has no other one, so that each component is a star about its smallest id; the number
+    of rounds grows with the logarithm of the longest path.
     """
     edges = stage(
         links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), tag
     )
-    now = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before, seen = None, now()
-    while seen != before:
-        before = seen
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _with_least(both, tag, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        least = _least(both, tag)
+        total, tangled = least.agg(F.sum("__n"), F.count_if((F.col("m") < F.col("u")) & (F.col("__n") > 1))).first()
+        if not tangled:
+            return least.select(F.col("u").alias("id"), F.least("u", "m").alias("comp"))
+        low = hot_join(both, least, "u", total).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = stage(low.distinct(), tag)
-        small = _with_least(large, tag, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = hot_join(large, _least(large, tag), "u", total // 2).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.filter("u <> v").union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), tag)
-        seen = now()
-    star = edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
-    return star.union(star.select(F.col("comp").alias("id"), "comp").distinct())
 
 
 def _columns(rows: pa.Array, p: Params) -> dict[str, np.ndarray]:
@@ -458,7 +456,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = stage(first, "neardup-pairs")
     ids = lambda df: df.select(F.col("x").alias("id")).union(df.select("y"))
     links = stage(_confirm(first, _sets_of(docs, ids(first), id_col, text_col, p), p), "neardup-links")
-    comp = stage(components(links), "neardup-comp")
+    comp = components(links)
     members, work = _leftovers(buckets.select("key", "id"), comp, nodes, p)
     rest, dense = work.filter("x is not null").select("x", "y"), work.filter("x is null").select("key", "a", "b")
     if dense.isEmpty():
@@ -467,7 +465,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed, pairs = _families(members, dense, nodes, p)
         sets = _sets_of(docs, ids(rest).union(placed.select("id")), id_col, text_col, p)
         more = _confirm(rest, sets, p).union(_confirm_blocks(placed, pairs, sets, p))
-    final = components(links.union(more).union(shared))
+    # what is linked already goes in as stars, which need no further round
+    final = components(comp.select("id", "comp").withColumnsRenamed({"id": "x", "comp": "y"}).union(more).union(shared))
     own = ["n", "h0", "h1"]
     placed = same.join(final, F.col("rep") == F.col("id"), "left").select(*[F.col(c).alias("__" + c) for c in own], F.coalesce("comp", "rep").alias("comp"))
     whole = (F.col("n") > 0) & F.col("id").isNotNull()
