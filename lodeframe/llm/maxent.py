@@ -261,9 +261,9 @@ def _statistics(answers: DataFrame, p: Params) -> tuple[int, int, np.ndarray, np
     sums = rows.filter("kind = 'n'").groupBy("shape").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     top = rows.filter("kind = 't'").select("shape", "a", "b").orderBy(F.desc("a"), "b").limit(p.top + 1)
     each = np.zeros((p.shapes + 1, 2), np.int64)
-    for r in sums.toLocalIterator():
+    for r in sums.collect():
         each[r.shape] = r.a, r.b
-    best = [r for r in top.toLocalIterator() if r.b != END][: p.top]
+    best = [r for r in top.collect() if r.b != END][: p.top]
     hashes = np.array([r.b for r in best], np.int64).view(np.uint64)
     return int(each[:, 0].sum()), int(each[:, 1].sum()), each, hashes, np.array([(r.shape, r.a) for r in best], np.int64).reshape(-1, 2)
 
@@ -322,7 +322,7 @@ def train(model: Model, docs: DataFrame, id_col: str, text_col: str, batch_bytes
         moved = texts.filter(F.col("__round") == k).select(text_col).mapInArrow(run, shape)
         total = moved.groupBy("shard", "salt").applyInPandas(add, shape).groupBy("shard").applyInPandas(add, shape)
         weights = model.weights.copy()
-        for r in total.toLocalIterator():
+        for r in total.collect():
             m = np.frombuffer(r.m, np.float32).reshape(128, p.classes + 1)
             weights[r.shard * 128 : r.shard * 128 + 128] += m[:, :-1] / np.maximum(m[:, -1:], 1)
         model = Model(p, weights, model.bias, model.top, model.in_class, model.n, model.v)

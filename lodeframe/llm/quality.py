@@ -195,7 +195,7 @@ def fit_discriminant(
         F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s"),
         F.array(*[F.sum(F.col("p")[i]) for i in range(d * d)]).alias("p"),
     )
-    moments = {r.y: (r.n, np.array(r.s), np.array(r.p).reshape(d, d)) for r in sums.toLocalIterator() if r.n}
+    moments = {r.y: (r.n, np.array(r.s), np.array(r.p).reshape(d, d)) for r in sums.collect() if r.n}
     return Discriminant.fit(moments, shrink, ridge, flat)
 
 
