@@ -184,8 +184,9 @@ def gradients(surface_rows: DataFrame, voxel: float, steep: float = 100.0) -> Da
     return d.filter(F.sqrt(sum((F.col(n) * F.col(n) for n in ("dy", "dz")), F.col("dx") * F.col("dx"))) <= steep * voxel)
 
 
-def sample_distance(points: DataFrame, surface_rows: DataFrame, key: str, voxel: float) -> DataFrame:
-    """Trilinear sdf at points (key, x, y, z) whose eight surrounding cell centres are observed."""
+def sample_distance(points: DataFrame, surface_rows: DataFrame, key: str, voxel: float, within: tuple[str, ...] = ()) -> DataFrame:
+    """Trilinear sdf at points (key, x, y, z) whose eight surrounding cell centres are observed. Where
+    grids lie side by side, `within` names the columns of both that tell them apart."""
     base = {f"__b{c}": F.floor(F.col(c) / voxel - 0.5).cast("int") for c in "xyz"}
     p = points.withColumns(base).withColumns({f"__f{c}": F.col(c) / voxel - 0.5 - F.col(f"__b{c}") for c in "xyz"})
     p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
@@ -193,11 +194,29 @@ def sample_distance(points: DataFrame, surface_rows: DataFrame, key: str, voxel:
     w = F.lit(1.0)
     for c, o in zip("xyz", off, strict=True):
         w = w * F.when(o == 1, F.col(f"__f{c}")).otherwise(1 - F.col(f"__f{c}"))
-    at = p.select(key, w.alias("w"), *[(F.col(f"__b{c}") + o).alias(n) for c, o, n in zip("xyz", off, CELL, strict=True)])
-    hit = at.join(surface_rows.select(*CELL, "sdf"), CELL)
+    at = p.select(key, *within, w.alias("w"), *[(F.col(f"__b{c}") + o).alias(n) for c, o, n in zip("xyz", off, CELL, strict=True)])
+    hit = at.join(surface_rows.select(*within, *CELL, "sdf"), [*within, *CELL])
     return hit.groupBy(key).agg(F.sum(F.col("w") * F.col("sdf")).alias("distance"), F.count("*").alias("__n")).filter("__n = 8").drop("__n")
 
 
+def resample(surface_rows: DataFrame, motions: DataFrame, voxel: float) -> DataFrame:
+    """(anchor, gx, gy, gz, sdf): each anchor's grid after its rigid motion.
+
+    surface_rows have an anchor, motions a pose (qx to tz) for each. The cells that moved centres
+    fall into take the distance that the old grid has where their own centres came from; a cell
+    drops out unless all eight old cells around that place are observed, and so do grids without a
+    motion. Nothing is scanned but the observed cells.
+    """
+    centre = Vec(*((F.col(c) + 0.5) * voxel for c in CELL))
+    # one motion an anchor, however many cells it has
+    grid = surface_rows.join(motions, "anchor")
+    to = g.apply_pose(g.pose_of(), centre)
+    cells = grid.select("anchor", *[F.floor(c / voxel).cast("int").alias(n) for c, n in zip((to.x, to.y, to.z), CELL, strict=True)]).distinct()
+    back = g.apply_pose(g.invert(g.pose_of()), centre)
+    places = cells.join(motions, "anchor").select("anchor", F.struct("anchor", *CELL).alias("cell"), back.x.alias("x"), back.y.alias("y"), back.z.alias("z"))
+    return sample_distance(places, surface_rows, "cell", voxel, ("anchor",)).select("cell.*", F.col("distance").alias("sdf"))
+
+
 def chunk_reference(normals: DataFrame, views: DataFrame, poses: DataFrame, voxel: float, chunk: int) -> DataFrame:
     """(cx, cy, cz, frame_id, quality): of the frames that see a chunk (views: frame_id, cx, cy, cz) the
     one that looks at its surface most frontally, of equals the latest.

@@ -184,6 +184,23 @@ def g13(spark, d):
     return op.sample_distance(p, op.surface(voxels(spark, d)), "id", fx.VOXEL).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
+@query("g15_resampled_grid", _head() + """, src AS (SELECT *, (CAST(floor(gx / 8.0) AS INT) % 3 + 3) % 3 + 1 AS anchor FROM sdf),
+m AS (SELECT frame_id AS anchor, 1 - 2 * qz * qz AS c, 2 * qz * qw AS s, tx, tz FROM fx_pose),
+t AS (SELECT DISTINCT anchor, CAST(floor((c * x - s * y + tx) / 0.05) AS INT) AS gx, CAST(floor((s * x + c * y) / 0.05) AS INT) AS gy, CAST(floor((z + tz) / 0.05) AS INT) AS gz
+  FROM (SELECT anchor, (gx + 0.5::DOUBLE) * 0.05 AS x, (gy + 0.5::DOUBLE) * 0.05 AS y, (gz + 0.5::DOUBLE) * 0.05 AS z FROM src) JOIN m USING (anchor)),
+p AS (SELECT anchor, gx AS ox, gy AS oy, gz AS oz, c * ((gx + 0.5::DOUBLE) * 0.05 - tx) + s * ((gy + 0.5::DOUBLE) * 0.05) AS x, c * ((gy + 0.5::DOUBLE) * 0.05) - s * ((gx + 0.5::DOUBLE) * 0.05 - tx) AS y, (gz + 0.5::DOUBLE) * 0.05 - tz AS z FROM t JOIN m USING (anchor)),
+q AS (SELECT *, x / 0.05 - 0.5 AS fx, y / 0.05 - 0.5 AS fy, z / 0.05 - 0.5 AS fz FROM p),
+r AS (SELECT anchor, ox, oy, oz, CAST(floor(fx) AS INT) + (k & 1) AS gx, CAST(floor(fy) AS INT) + ((k >> 1) & 1) AS gy, CAST(floor(fz) AS INT) + (k >> 2) AS gz,
+  (CASE WHEN k & 1 = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN (k >> 1) & 1 = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN k >> 2 = 1 THEN fz - floor(fz) ELSE 1 - (fz - floor(fz)) END) AS w
+  FROM q CROSS JOIN (SELECT unnest(range(0, 8))::INT AS k))
+SELECT CAST(anchor AS BIGINT) AS anchor, ox AS gx, oy AS gy, oz AS gz, round(sum(w * sdf), 6) + 0.0 AS sdf FROM r JOIN src USING (anchor, gx, gy, gz) GROUP BY anchor, ox, oy, oz HAVING count(*) = 8""")
+def g15(spark, d):
+    """Columns of chunks belong to three anchors in turn, which move by the first poses."""
+    s = op.surface(voxels(spark, d)).withColumn("anchor", F.pmod(F.floor(F.col("gx") / fx.CHUNK), F.lit(3)) + 1)
+    moved = op.resample(s, fx.poses(spark, d).withColumnRenamed("frame_id", "anchor").drop("tx_prev"), fx.VOXEL)
+    return moved.withColumns({"anchor": F.col("anchor").cast("bigint"), "sdf": F.round("sdf", 6) + 0.0})
+
+
 @query("g12_mesh_colour", duck("fx_dense", "fx_pose") + ",\n" + PTS + ",\n" + _sql() + """, p AS (SELECT frame_id * 10000 + u * 100 + v AS id, x + (tx + 0.00273) AS x, y + 0.00317 AS y, z + (tz + 0.00171) AS z FROM pts JOIN fx_pose USING (frame_id))
 SELECT id, round(v.sum_r / v.n_c, 6) AS r FROM p JOIN vox v ON v.gx = CAST(floor(x / 0.05) AS INT) AND v.gy = CAST(floor(y / 0.05) AS INT) AND v.gz = CAST(floor(z / 0.05) AS INT) WHERE v.n_c > 0 AND v.sum_w > 0.5""")
 def g12(spark, d):
