@@ -195,7 +195,8 @@ def sample_distance(points: DataFrame, surface_rows: DataFrame, key: str, voxel:
     for c, o in zip("xyz", off, strict=True):
         w = w * F.when(o == 1, F.col(f"__f{c}")).otherwise(1 - F.col(f"__f{c}"))
     at = p.select(key, *within, w.alias("w"), *[(F.col(f"__b{c}") + o).alias(n) for c, o, n in zip("xyz", off, CELL, strict=True)])
-    hit = at.join(surface_rows.select(*within, *CELL, "sdf"), [*within, *CELL])
+    # both sides grow with the cells: merge, whatever the estimate of their sizes
+    hit = at.join(surface_rows.select(*within, *CELL, "sdf").hint("merge"), [*within, *CELL])
     return hit.groupBy(key).agg(F.sum(F.col("w") * F.col("sdf")).alias("distance"), F.count("*").alias("__n")).filter("__n = 8").drop("__n")
 
 
