@@ -43,6 +43,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodeframe-{tag}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Removes what was written at a scratch path, when nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -111,8 +118,8 @@ def utf8_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
             yield value.as_py() or b""
 
 
-def by_bytes(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `limit` bytes each, at least one text a range."""
+def by_bytes(texts: list[bytes] | list[range], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts (or of anything with their lengths) of about `limit` bytes each, at least one text a range."""
     start = total = 0
     for i, text in enumerate(texts):
         if i > start and total + len(text) > limit:

@@ -39,5 +39,27 @@ SELECT d.page_id, payload_bytes, d.payload_digest,
        CASE WHEN d.page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN d.page_id <> first THEN first END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 100
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+         [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN [0, 1, 2, 3]] AS draw FROM d
+), c AS (
+  SELECT *, len(lines) AS n, least(draw[1] % (len(lines) + 1), draw[2] % (len(lines) + 1)) AS a,
+         greatest(draw[1] % (len(lines) + 1), draw[2] % (len(lines) + 1)) AS b FROM u
+), f AS (
+  SELECT doc_id, text, n, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+         array_to_string(lines[b + 1:], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draw[3] % 100 >= 100 THEN 'plain'
+              WHEN draw[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
 """,
 }

@@ -96,3 +96,32 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeframe.llm.maxent import score_documents
 
     return score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened coordinates of every usable vector of `embeddings`."""
+    from lodeframe.llm.whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-the-middle output, and of the text that is rebuilt from it."""
+    from lodeframe.llm.fim import fill_in_middle, restore
+
+    made = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(restore(F.col("form"), F.col("output"))).alias("restored_sha256"),
+    )
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in the token files of `documents`, and their crc, as read back."""
+    import public_tokenizers
+
+    from lodeframe.llm.tokenfiles import read_documents, write_token_files
+
+    archive = write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(spark, archive)
