@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 #: Words joined to one string for the library.
 JOINED = 256
 #: Characters of a text that must reach the library whole, handed over at once where it can be cut.
@@ -38,7 +41,7 @@ class TokenIds:
 
     A byte-level file's pattern always cuts before a single space, and around a single line end, that
     stands between two characters that are no white space, and between a letter and ASCII punctuation. So a
-    text is the words between such places (each with its space or line end before it), and a word is cut again before the
+    text is the words between such places (each with its space or line end before it), which Arrow splits and numbers; a word is cut again before the
     punctuation that ends it; only new words reach the library, joined by line ends. Texts with other
     white space at a word's edge or with a special token's opening go to the library whole; so does every text if the
     file is of another kind.
@@ -65,6 +68,9 @@ class TokenIds:
         self.words = _Words()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.size, self.odd = (np.zeros(1 << 14, t) for t in (np.int64, np.int32, bool))
+        self.lone = self.words["\n"]  # a line end with nothing after it
+        self.words.fresh = []
+        self.flat[0], self.used, self.size[self.lone], self.odd[self.lone] = self.line, 1, 1, True
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -134,24 +140,41 @@ class TokenIds:
             self.size[cut] = size[0::2] + size[1::2]
             self.used += int(ends[-1])
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, column: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
+        """The ids of each text of a string column, and end_id after them; null is empty."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        after = [] if end_id is None else [end_id]
+        alone = lambda k: np.append(self.whole(column[k].as_py()), np.array(after, np.int32))
         if not self.by_words:
-            return [self.whole(t) if t else np.zeros(0, np.int32) for t in texts]
+            return [alone(k) for k in range(len(column))]
         if len(self.words) > self.cache_words:
             self._forget()
-        get, numbers = self.words.__getitem__, []
-        for text in texts:
-            body = text[:-1] if text[-1:] == "\n" else text
-            words = ("\n" + body).replace("\n", " \n").split(" ")
-            numbers.append(np.fromiter(map(get, itertools.islice(words, 1, None)), np.int64, len(words) - 1))
+        # a line end of ours goes before each text, so that a word after it has no space; its id makes room for end_id
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), column, pa.scalar("", pa.large_string())), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        found = lists.flatten().dictionary_encode()
+        number = np.fromiter(map(self.words.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))
         self._learn()
-        out = []
-        for text, number in zip(texts, numbers, strict=True):
-            if not text or self.odd[number].any():
-                out.append(self.whole(text) if text else np.zeros(0, np.int32))
-                continue
-            size = self.size[number].astype(np.int64)
-            ends = np.cumsum(size)
-            ids = self.flat[np.repeat(self.at[number] - ends + size, size) + np.arange(ends[-1])]
-            out.append(np.append(ids[1:], self.line) if text[-1] == "\n" else ids[1:])  # the first line end is ours
-        return out
+        number = number[found.indices.to_numpy()]
+        odd, last = self.odd[number], bounds[1:] - 1
+        odd[bounds[:-1]] = False  # what is before our line end
+        odd[last] &= number[last] != self.lone  # a text may end with a line end
+        size = self.size[number].astype(np.int64)
+        size[bounds[:-1]] = 0
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.at[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        bad = np.add.reduceat(odd, bounds[:-1]) if len(odd) else np.zeros(0)
+        to = ends[last]
+        since = np.append(0, to[:-1])
+        if end_id is None:
+            return [alone(k) if bad[k] else ids[a + 1 : b] for k, (a, b) in enumerate(zip(since.tolist(), to.tolist(), strict=True))]
+        ids[:-1] = ids[1:].copy()
+        ids[to - 1] = end_id
+        return [alone(k) if bad[k] else ids[a:b] for k, (a, b) in enumerate(zip(since.tolist(), to.tolist(), strict=True))]
+
+
+@functools.cache
+def encoder(path: str) -> TokenIds:
+    """One a Python worker, whose words later tasks find again."""
+    return TokenIds(path)

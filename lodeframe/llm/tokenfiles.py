@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from lodeframe.llm.common import by_bytes, drop_scratch, scratch_path
 from lodeframe.llm.huffman import Code, code_lengths, crc_join
-from lodeframe.llm.pieces import TokenIds
+from lodeframe.llm.pieces import encoder
 
+COLUMNS = ["part", "first_doc", "first", "begun", "open", "docs", "counts", "bits"]
 #: Ids of a block, ids between two checkpoints, bits of the longest code, bytes of ids of a part.
 BLOCK_IDS, CHECKPOINT_IDS, MAX_BITS, PART_BYTES = 1 << 19, 128, 18, 32 << 20
 #: Bytes of texts that are encoded, or of ids that are handed on, at once.
@@ -49,7 +50,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = TokenIds(tokenizer)
+        encode = encoder(tokenizer)
         kind = np.dtype("<u2" if encode.vocabulary <= 1 << 16 else "<u4")
         seen, row = np.zeros(max(encode.vocabulary, end_id + 1), np.int64), TaskContext.get().partitionId() << 40
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("token", pa.int32()), ("n", pa.int64())]))]
@@ -64,10 +65,10 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "
             column = batch.column(1)
             sizes = pa.compute.coalesce(pa.compute.binary_length(column), 0).to_pylist()
             for a, b in by_bytes(list(map(range, sizes)), BATCH_BYTES):
-                got = [np.append(x, end_id).astype(np.int32) for x in encode([t or "" for t in column.slice(a, b - a).to_pylist()])]
+                got = encode(column.slice(a, b - a), end_id)
                 seen += np.bincount(np.concatenate(got), minlength=len(seen))
                 n = [len(x) for x in got]
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in got]
+                crc = [zlib.crc32(x.astype("<u4", copy=False)) for x in got]
                 yield rows(own.slice(a, b - a), list(range(row, row + len(n))), n, crc, [x.astype(kind).tobytes() for x in got], [None] * len(n))
                 row += len(n)
         if seen.any():
@@ -134,6 +135,8 @@ def write_token_files(
             for name, n, raw in zip(*(batch.column(c) for c in range(3)), strict=True):
                 name, n, raw = name.as_py(), n.as_py(), raw.as_py()
                 own, at = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"), 0
+                if held and held + n > block_ids:  # blocks end with documents, but where one is longer than a block
+                    yield close(False)
                 while at < n:
                     use = own[at : at + block_ids - held]
                     parts.append(use)
@@ -192,8 +195,7 @@ def read_documents(spark: SparkSession, archive: TokenArchive, id_col: str = "do
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.names)
 
-    # a batch of rows with whole blocks would be large; their count is small
-    pieces = blocks.select("part", "first_doc", "first", "begun", "open", "docs", "counts", "bits").mapInArrow(run, schema)
+    pieces = blocks.select(*COLUMNS).mapInArrow(run, schema)
     # a row a part; parts are files, not documents
     sizes = blocks.select("part", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     base, rows = 0, []
@@ -212,7 +214,7 @@ def read_documents(spark: SparkSession, archive: TokenArchive, id_col: str = "do
             size += piece["n"]
         return crc
 
-    cut = pieces.filter("not whole").groupBy("part", "doc").agg(F.first(id_col).alias(id_col), F.min("at").alias("at"), F.sum("n").alias("n"), F.collect_list(F.struct("at", "n", "crc")).alias("__p"))
+    cut = blocks.filter("begun or open").select(*COLUMNS).mapInArrow(run, schema).filter("not whole").groupBy("part", "doc").agg(F.first(id_col).alias(id_col), F.min("at").alias("at"), F.sum("n").alias("n"), F.collect_list(F.struct("at", "n", "crc")).alias("__p"))
     cut = cut.select("part", id_col, "at", "n", F.udf(joined, "long")("__p").alias("crc"))
     every = pieces.filter("whole").select("part", id_col, "at", "n", "crc").unionByName(cut)
     return every.join(bases, "part").select(id_col, start, F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))

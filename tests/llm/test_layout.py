@@ -11,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -144,13 +145,14 @@ def test_ids_are_the_library_s():
     texts = ["".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(20_000)]
     for a in range(0, len(texts), 500):
         want = [e.ids for e in library.encode_batch_fast(texts[a : a + 500], add_special_tokens=False)]
-        assert [x.tolist() for x in encode(texts[a : a + 500])] == want
+        assert [x.tolist() for x in encode(pa.array(texts[a : a + 500]))] == want
+        assert [x.tolist() for x in encode(pa.array(texts[a : a + 500]), 2)] == [[*w, 2] for w in want]
     long = "odd  words and " * 20_000  # to the library in parts
-    assert encode([long])[0].tolist() == library.encode(long, add_special_tokens=False).ids
+    assert encode(pa.array([long]))[0].tolist() == library.encode(long, add_special_tokens=False).ids
     small = pieces.TokenIds(TOKENIZER, cache_words=3)
-    assert [small([t])[0].tolist() for t in texts[:300]] == [library.encode(t, add_special_tokens=False).ids for t in texts[:300]]
+    assert [small(pa.array([t]))[0].tolist() for t in texts[:300]] == [library.encode(t, add_special_tokens=False).ids for t in texts[:300]]
     other = public_tokenizers.path("word_bpe_49k.json")  # of another kind: whole texts
-    assert pieces.TokenIds(other)(["Some words, here"])[0].tolist() == Tokenizer.from_file(other).encode("Some words, here", add_special_tokens=False).ids
+    assert pieces.TokenIds(other)(pa.array(["Some words, here"]))[0].tolist() == Tokenizer.from_file(other).encode("Some words, here", add_special_tokens=False).ids
 
 
 def test_code_lengths_are_best():
