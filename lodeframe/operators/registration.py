@@ -2,35 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.operators.graph import kept
 
 
-def pair_moments(matches: DataFrame, weight) -> DataFrame:
-    """Per edge (ref, new) the weighted second moments of matched points p (px, py, pz) and q:
+def pair_moments(matches: DataFrame, weight, keys: Sequence[str] = ("ref", "new")) -> DataFrame:
+    """Per edge (ref, new), or by other keys, the weighted second moments of matched points p (px, py, pz) and q:
     sum_w, sp, sq (3), spp, sqq, spq (9, row-major). One partial and one final sum."""
     m = matches.withColumn("w", weight)
     p, q = [F.col("p" + c) for c in "xyz"], [F.col("q" + c) for c in "xyz"]
     w = F.col("w")
     outer = lambda a, b: F.array(*[F.sum(w * x * y) for x in a for y in b])
-    return m.groupBy("ref", "new").agg(
+    return m.groupBy(*keys).agg(
         F.sum(w).alias("sum_w"), F.array(*[F.sum(w * x) for x in p]).alias("sp"), F.array(*[F.sum(w * x) for x in q]).alias("sq"),
         outer(p, p).alias("spp"), outer(q, q).alias("sqq"), outer(p, q).alias("spq"),
     )
 
 
-def translation_error(moments: DataFrame, d: list) -> DataFrame:
-    """Adds the edge's root mean squared distance of p and q + d from its moments alone."""
-    get = lambda c, i: F.get(c, F.lit(i))
-    w = F.col("sum_w")
-    e = F.lit(0.0)
-    for i in range(3):
-        e = e + get("spp", 4 * i) + get("sqq", 4 * i) - 2 * get("spq", 4 * i) + d[i] * d[i] * w + 2 * d[i] * (get("sq", i) - get("sp", i))
-    return moments.withColumn("error", F.sqrt(F.greatest(e / w, F.lit(0.0))))
-
-
 def errors_per_frame(edges: DataFrame) -> DataFrame:
     """Weighted mean error, weight and degree of each frame over its edges; 1e8 below weight 1."""
     ends = edges.select(F.explode(F.array("ref", "new")).alias("frame_id"), "error", "sum_w")
@@ -126,10 +118,13 @@ def preserve_distance(matches: DataFrame, partners: int = 8, tolerance: float =
 
     Partners are chosen by arithmetic on a match's number within its edge: number * prime + partner
     * 31 + 17, modulo the edge's matches. One join on (edge, number); a match is one row at each
-    partner, so no group is held whole. `rounds` repeats the filter on what is left.
+    partner, so no group is held whole. `rounds` repeats the filter on what is left; what a round leaves
+    is written, as the next one reads it three times.
     """
     edge = Window.partitionBy("ref", "new")
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k:
+            matches = kept(matches)
         m = matches.withColumns({"__k": F.row_number().over(edge.orderBy("id")) - 1, "__n": F.count("*").over(edge)})
         pick = F.pmod(F.col("__k") * prime + F.col("__c") * 31 + 17, F.col("__n"))
         asks = m.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(partners - 1)))).withColumn("__k", pick)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeframe.functions import geometry as g
 from lodeframe.functions.hashing import descriptor
 
 #: The fixture camera.
@@ -71,6 +72,46 @@ def poses(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: The camera of feature frames.
+FEATURE_CAMERA = g.Camera(640, 480, 500.0, 500.0, 319.5, 239.5)
+#: Landmarks a frame; the motion from each frame to the next, and the pixels' turn with it.
+LANDMARKS, TURN, SHIFT, TURN_DEGREES = 40, (0.02, -0.01, 0.015), (0.05, -0.02, 0.03), 10.0
+
+
+def next_motion() -> tuple[g.Quat, g.Vec]:
+    """From a frame's camera space to the next frame's: a fixed turn, and a shift that differs by frame."""
+    half = sum(a * a for a in TURN) ** 0.5
+    q = g.Quat(*(F.lit(a) for a in TURN), F.lit((1 - half * half) ** 0.5))
+    return q, g.Vec(F.lit(SHIFT[0]) + 0.01 * (F.col("frame_id") % 5), F.lit(SHIFT[1]), F.lit(SHIFT[2]))
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of a frame for each 40 parts: its own landmarks, those of the frame before as they are seen after the motion (a tenth
+    of them at a wrong depth, two bits of each descriptor flipped), and look-alikes of those of three frames before, anywhere."""
+    own = table(spark, d, "part").selectExpr(
+        "CAST((p_partkey - 1) DIV 40 AS INT) AS frame_id", "p_partkey AS k", "(p_partkey * 37 % 2000) / 1000.0D - 1 AS x", "(p_partkey * 53 % 1500) / 1000.0D - 0.75 AS y",
+        "1.5D + (p_partkey * 71 % 2000) / 1000.0D AS z", "(p_partkey * 37 % 360) * 1.0D AS angle", "CAST(p_partkey % 8 AS INT) AS octave",
+    ).withColumn("words", F.array(*[F.xxhash64("k", F.lit(i)) for i in range(4)]))
+    flip = lambda word, bit: F.array(*[F.get("words", F.lit(i)).bitwiseXOR(F.when(word == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))).otherwise(F.lit(0).cast("bigint"))) for i in range(4)])
+    q, t = next_motion()
+    seen = g.add(g.rotate(q, g.vec("x", "y", "z")), t)
+    wrong = F.when(F.col("k") % 10 == 0, 0.4).otherwise(0.0)
+    after = own.select((F.col("frame_id") + 1).alias("frame_id"), "k", seen.x.alias("x"), seen.y.alias("y"), (seen.z + wrong).alias("z"), F.pmod(F.col("angle") + TURN_DEGREES, F.lit(360.0)).alias("angle"), F.when(F.col("k") % 4 == 0, F.col("octave") + 1).otherwise(F.col("octave")).alias("octave"), flip(F.col("k") % 4, F.col("k") * 7 % 64).alias("words"))
+    alike = own.select((F.col("frame_id") + 3).alias("frame_id"), "k", *[F.expr(e).alias(c) for c, e in (("x", "(k * 91 % 2000) / 1000.0D - 1"), ("y", "(k * 117 % 1500) / 1000.0D - 0.75"), ("z", "1.5D + (k * 203 % 2000) / 1000.0D"), ("angle", "(k * 61 % 360) * 1.0D"))], "octave", flip(F.col("k") % 3, F.col("k") % 61).alias("words"))
+    last = own.agg(F.max("frame_id").alias("__last"))
+    every = own.withColumn("kp_id", F.col("k") * 3).unionByName(after.withColumn("kp_id", F.col("k") * 3 + 1)).unionByName(alike.withColumn("kp_id", F.col("k") * 3 + 2))
+    every = every.join(F.broadcast(last), F.col("frame_id") <= F.col("__last"))
+    uv = g.project(g.vec("x", "y", "z"), FEATURE_CAMERA)
+    return every.select("frame_id", "kp_id", "words", "x", "y", "z", uv.x.alias("u"), uv.y.alias("v"), "angle", "octave")
+
+
+def feature_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame with the next one, which is true, and with the third after it, which is not."""
+    f = features(spark, d).select(F.col("frame_id").alias("ref")).distinct()
+    pairs = f.withColumn("new", F.explode(F.array(F.col("ref") + 1, F.col("ref") + 3)))
+    return pairs.join(f.withColumnRenamed("ref", "new"), "new", "left_semi").select("ref", "new")
+
+
 #: The same views as DuckDB common table expressions.
 DUCK = {
     "fx_frames": """fx_frames AS (SELECT user_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame_index,

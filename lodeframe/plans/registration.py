@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodeframe.functions import geometry as g
 from lodeframe.operators import registration as op
+from lodeframe.operators import rigid
+from lodeframe.operators.graph import kept
 from lodeframe.plans import fixtures as fx
 from lodeframe.plans.registry import query
 
@@ -42,11 +45,20 @@ def a6(spark, d):
     return m.select("ref", "new", F.round("sum_w", 6).alias("sum_w"), F.round(F.get("sp", F.lit(0)), 6).alias("spx"))
 
 
-_ERR = """e AS (SELECT ref, new, sum(w) AS sum_w, sqrt(sum(w * (pow(px - qx - 0.005, 2) + pow(py - qy + 0.01, 2) + pow(pz - qz, 2))) / sum(w)) AS error FROM mm GROUP BY ref, new)"""
+#: A motion of p for each edge: a turn about z and a shift.
+_MOVED = """mv AS (SELECT *, cos(0.001 * (ref % 7)) * px - sin(0.001 * (ref % 7)) * py + 0.005 AS mx, sin(0.001 * (ref % 7)) * px + cos(0.001 * (ref % 7)) * py - 0.01 AS my, pz AS mz FROM mm)"""
+_ERR = _MOVED + """, e AS (SELECT ref, new, sum(w) AS sum_w, sqrt(sum(w * (pow(mx - qx, 2) + pow(my - qy, 2) + pow(mz - qz, 2)))) / sum(w) AS error FROM mv GROUP BY ref, new)"""
+
+
+def _motions(edges):
+    c, s, zero, one = F.cos(0.001 * (F.col("ref") % 7)), F.sin(0.001 * (F.col("ref") % 7)), F.lit(0.0), F.lit(1.0)
+    return edges.withColumns({"r": F.array(c, -s, zero, s, c, zero, zero, zero, one), "t": F.array(F.lit(0.005), F.lit(-0.01), zero)})
 
 
 def _errors(spark, d):
-    return op.translation_error(moments(spark, d), [F.lit(0.005), F.lit(-0.01), F.lit(0.0)])
+    """From moments alone."""
+    m = _motions(moments(spark, d))
+    return m.withColumn("error", rigid.motion_error(m))
 
 
 @query("a8_edge_errors", "WITH " + MATCHES + ",\n" + _ERR + "\nSELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(error, 6) AS error FROM e")
@@ -119,12 +131,63 @@ def d3(spark, d):
     return m.filter("id % 2 = 0").unionByName(m.filter("id % 2 = 1"))
 
 
+_TRIALS = """tr AS (SELECT unnest(range(0, 12)) AS trial), hit AS (SELECT ref, new, trial,
+  sqrt(pow(cos(0.0005 * trial) * px - sin(0.0005 * trial) * py + 0.008 + 0.001 * trial - qx, 2) + pow(sin(0.0005 * trial) * px + cos(0.0005 * trial) * py - 0.02 - qy, 2) + pow(pz + 0.0002 * trial - qz, 2)) / pz AS gap FROM mm, tr)"""
+
+
+@query("g2_inlier_counts", "WITH " + MATCHES + ",\n" + _TRIALS + "\nSELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, CAST(trial AS INT) AS trial, count(*) AS inliers FROM hit WHERE gap < 0.002 GROUP BY ref, new, trial")
+def g2_counts(spark, d):
+    """The scoring of trials, by given ones; in chunks of 16 matches."""
+    m = matches(spark, d)
+    k = F.col("trial")
+    c, s, zero, one = F.cos(0.0005 * k), F.sin(0.0005 * k), F.lit(0.0), F.lit(1.0)
+    trials = m.select("ref", "new").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    trials = trials.withColumns({"r": F.array(c, -s, zero, s, c, zero, zero, zero, one), "t": F.array(0.008 + 0.001 * k, F.lit(-0.02), 0.0002 * k)})
+    return rigid.inlier_counts(m, trials, 0.002, chunk=16)
+
+
+@query("g2_best_trials")
+def g2(spark, d):
+    """Seeded sampling and small decompositions: tested against a known motion."""
+    m = kept(matches(spark, d))
+    return rigid.best_trials(m, kept(rigid.trial_motions(m)), 0.02)
+
+
+_HUBER = """h AS (SELECT *, sqrt(pow(mx - qx, 2) + pow(my - qy, 2) + pow(mz - qz, 2)) / pz AS gap FROM mv), x AS (SELECT *, CASE WHEN gap > 0.005 THEN 0.005 / gap ELSE 1 END / pz AS hw FROM h)"""
+
+
+@query("g3_step_sums", "WITH " + MATCHES + ",\n" + _MOVED + ",\n" + _HUBER + """
+SELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(sum(hw), 6) AS w, round(sum(hw * my), 6) AS wy, round(sum(hw * mx * mz), 6) AS wxz, round(sum(hw * (mx - qx)), 6) AS ex,
+  round(sum(hw * (my * (mz - qz) - mz * (my - qy))), 6) AS tx, round(sum(hw * (mz * (mx - qx) - mx * (mz - qz))), 6) AS ty, round(sum(hw * (mx * (my - qy) - my * (mx - qx))), 6) AS tz FROM x GROUP BY ref, new""")
+def g3_sums(spark, d):
+    """What one Gauss-Newton step is solved from, at given motions."""
+    m = matches(spark, d)
+    got = rigid.step_sums(m, _motions(m.select("ref", "new").distinct()), 0.005)
+    at = lambda c, i, n: F.round(F.get(c, F.lit(i)), 6).alias(n)
+    return got.select("ref", "new", F.round("w", 6).alias("w"), at("wx", 1, "wy"), at("wxx", 2, "wxz"), at("we", 0, "ex"), at("wm", 0, "tx"), at("wm", 1, "ty"), at("wm", 2, "tz"))
+
+
+@query("g3_refined_motions")
+def g3(spark, d):
+    """Six steps from given motions: tested against a known motion and against the least sum."""
+    m = kept(matches(spark, d))
+    return rigid.refine(m, _motions(m.select("ref", "new").distinct()))
+
+
 @query("g4_robust_alignment")
 def g4(spark, d):
-    """Seeded sampling and small decompositions: tested against a known motion."""
-    from lodeframe.operators.alignment import align_pairs
+    """Trials, refinement, selection and the error by moments: tested against a known motion. Inliers come with their weights."""
+    m = matches(spark, d)
+    q = g.project(g.vec("qx", "qy", "qz"), fx.FEATURE_CAMERA)
+    m = kept(m.withColumns({"q": F.col("id"), "qu": q.x, "qv": q.y}))
+    motions, inliers = rigid.align(m.select("ref", "new").distinct(), m, m, fx.FEATURE_CAMERA)
+    return inliers.select("ref", "new", "id", "weight").join(motions, ["ref", "new"], "right")
 
-    return align_pairs(matches(spark, d))
+
+@query("g5_pair_registration")
+def g5(spark, d):
+    """Two searches and two robust motions a frame pair: tested against the frames' known motions, and with pairs that only look alike."""
+    return rigid.register_pairs(fx.features(spark, d), fx.feature_pairs(spark, d), fx.FEATURE_CAMERA)[0]
 
 
 _J = "[[1, 0, 0, 0, {0}z, -{0}y], [0, 1, 0, -{0}z, 0, {0}x], [0, 0, 1, {0}y, -{0}x, 0]]"
@@ -163,8 +226,6 @@ def a7(spark, d):
 SELECT CAST(ref AS INT) AS ref, id FROM mm WHERE sqrt(pow(px + 0.012 - qx, 2) + pow(py - 0.02 - qy, 2) + pow(pz - qz, 2)) / pz < 0.002
   AND sqrt(pow(60 * (px + 0.012) / pz - 60 * qx / qz, 2) + pow(60 * (py - 0.02) / pz - 60 * qy / qz, 2)) < 6""")
 def f10(spark, d):
-    from lodeframe.functions import geometry as g
-
     moved = g.Vec(F.col("px") + 0.012, F.col("py") - 0.02, F.col("pz"))
     q = g.vec("qx", "qy", "qz")
     uv = lambda p: (60.0 * p.x / p.z, 60.0 * p.y / p.z)

@@ -78,20 +78,3 @@ def test_carving_halves_and_drops(spark):
     v = _obs(spark, (-4.0, 4.0))
     assert vox.carve(v, v).first().sum_w == 2.0
     assert vox.carve(_obs(spark, (-1.0, 1.0)), v).count() == 0
-
-
-def test_alignment_finds_a_known_motion(spark):
-    import numpy as np
-
-    from lodeframe.operators.alignment import align_pairs
-
-    rng = np.random.default_rng(1)
-    p = rng.uniform(0.5, 3, (60, 3))
-    a = 0.1
-    r = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
-    q = p @ r.T + [0.1, -0.2, 0.05]
-    q[:15] += 1.0  # outliers
-    rows = [(0, 1, i, *map(float, p[i]), *map(float, q[i])) for i in range(60)] + [(0, 2, 0, *map(float, p[0]), *map(float, q[0]))]
-    df = spark.createDataFrame(rows, "ref int, new int, id int, px double, py double, pz double, qx double, qy double, qz double")
-    got = {x.new: x for x in align_pairs(df).collect()}
-    assert got[1].inliers == 45 and got[1].error < 1e-9 and np.allclose(got[1].r, r.ravel()) and got[2].error == 1e6
