@@ -148,7 +148,11 @@ def normal_blocks(matches: DataFrame, weight) -> DataFrame:
     matches: ref, new, and world points px.. of ref and qx.. of new. First one sum of second moments
     by edge, then an edge's blocks as rows; nothing but sums is shuffled.
     """
-    m = pair_moments(matches, weight)
+    return blocks_of_moments(pair_moments(matches, weight))
+
+
+def blocks_of_moments(m: DataFrame) -> DataFrame:
+    """normal_blocks, of the edges' moments."""
     one = {0: F.col("sum_w")}
     first = {"p": one | {k: F.get("sp", F.lit(k - 1)) for k in (1, 2, 3)}, "q": one | {k: F.get("sq", F.lit(k - 1)) for k in (1, 2, 3)}}
 

@@ -24,14 +24,22 @@ def r1(spark, d):
     return select_keyframes(fx.frames(spark, d), least_disparity=0.15, least_scale=0.44)
 
 
+def visit_scores(spark, d):
+    """Similarities of a user's steps with the user's earlier steps of the same or the next band of disparity; n is a step's number of
+    places. Steps meet by (user, band), so pairs that are far apart are not made."""
+    steps = fx.frames(spark, d).selectExpr("seq", "frame_index AS step", "disparity", "CAST(floor(disparity * 25) AS INT) AS band")
+    asks = steps.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    past = steps.select("seq", "band", F.col("step").alias("idx"), F.col("disparity").alias("other"))
+    near = asks.join(past, ["seq", "band"]).filter("idx < step")
+    scored = near.select("seq", "step", F.col("step").alias("n"), "idx", F.exp(-F.abs(F.col("disparity") - F.col("other")) * 20).alias("score"))
+    none = steps.select("seq", "step", F.col("step").alias("n"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("double").alias("score"))
+    return scored.unionByName(none)
+
+
 @query("r3_visit_beliefs")
 def r3(spark, d):
-    """State that depends on its own past: tested against a plain loop."""
-    steps = fx.frames(spark, d).selectExpr("seq", "frame_index AS step", "disparity")
-    past = steps.selectExpr("seq", "step AS idx", "disparity AS other")
-    near = steps.join(past, "seq").filter("idx < step and idx >= step - 40")
-    scores = near.select("seq", "step", "idx", F.exp(-F.abs(F.col("disparity") - F.col("other")) * 20).alias("score"))
-    return visit_beliefs(scores)
+    """State that depends on its own past: tested against a plain loop, and as a stream."""
+    return visit_beliefs(visit_scores(spark, d))
 
 
 def _logs(spark, d):

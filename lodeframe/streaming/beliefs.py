@@ -1,61 +1,177 @@
-"""Two-state Bayesian filter of visits: have we been at this place before?"""
+"""Two-state Bayesian filter of visits: have we been at this place before? One rule, for tables and for streams."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "seq long, step int, idx int, belief double, visited boolean"
+COLUMNS = ["seq", "step", "n", "idx", "score"]
+
+
+@dataclass(frozen=True)
+class VisitOptions:
+    """gate: the likelihood of no visit. threshold: beliefs above it are visits. least: scores below it are not salient. stay: probability that a
+    place's state stays. recent: the last places of a step, which are not judged. reach: how far around a run of visits its support may lie."""
+
+    gate: float = 1.5
+    threshold: float = 0.5
+    least: float = 0.1
+    stay: float = 0.95
+    recent: int = 0
+    reach: int = 4
+
+
+@dataclass
+class VisitState:
+    """What a sequence carries on: beliefs of its last step, the judged steps so far, and the last three of these as (step, scored places,
+    their beliefs, flags of all places), whose flags may still be withdrawn."""
+
+    prior: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    count: int = 0
+    open: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
+    def dump(self) -> str:
+        return json.dumps([self.prior.tolist(), self.count, [[s, i.tolist(), b.tolist(), np.flatnonzero(f).tolist(), len(f)] for s, i, b, f in self.open]])
 
-def update(prior: np.ndarray, score: np.ndarray, gate: float, least: float, stay: float = 0.95) -> np.ndarray:
-    """Beliefs after one step. prior: of the places so far; score: their similarities now. A place's
-    prior is the largest within two places of it; new places begin at 0. The likelihood of a visit
-    is how salient the score is, 1 at least; that of none is `gate`."""
-    old = np.zeros(len(score))
-    old[: min(len(prior), len(score))] = prior[: len(score)]
-    wide = np.pad(old, 2, constant_values=0.0)
-    alpha = np.max([wide[k : k + len(old)] for k in range(5)], axis=0)
-    mean = score.mean()
-    spread = np.linalg.norm(score - mean) / max(np.sqrt(len(score) - 1), 1)
-    salient = (score - spread) / mean if mean > 0 else np.ones(len(score))
-    salient = np.maximum(np.where(score < least, 1.0, salient), 1.0)
-    yes = salient * ((1 - stay) * (1 - alpha) + stay * alpha)
-    no = gate * (stay * (1 - alpha) + (1 - stay) * alpha)
+    @staticmethod
+    def load(text: str) -> VisitState:
+        prior, count, held = json.loads(text)
+        out = VisitState(np.array(prior, float), count)
+        for step, idx, belief, on, size in held:
+            flags = np.zeros(size, bool)
+            flags[on] = True
+            out.open.append((step, np.array(idx, np.int64), np.array(belief, float), flags))
+        return out
+
+
+def beliefs(prior: np.ndarray, score: np.ndarray, o: VisitOptions) -> np.ndarray:
+    """Beliefs after one step. A place's prior is the largest of the places from two before it to two after it (the last place
+    itself is left out of it); places that the step before had not begin at 0. A visit's likelihood is how salient the score is, 1 at least."""
+    n = len(score)
+    old = np.zeros(n)
+    old[: min(len(prior), n)] = prior[:n]
+    wide = np.zeros(n + 4)
+    wide[2 : n + 1] = old[: n - 1]  # no window goes beyond the last place but one
+    alpha = np.max([wide[k : k + n] for k in range(5)], axis=0)
+    spread = np.linalg.norm(score - score.mean()) / max(np.sqrt(n - 1), 1)
+    salient = np.ones(n)
+    high = score >= o.least
+    if score.mean() > 0:
+        salient[high] = np.maximum((score[high] - spread) / score.mean(), 1.0)
+    yes = salient * ((1 - o.stay) * (1 - alpha) + o.stay * alpha)
+    no = o.gate * (o.stay * (1 - alpha) + (1 - o.stay) * alpha)
     return yes / (yes + no)
 
 
-def visit_beliefs(scores: DataFrame, gate: float = 1.5, threshold: float = 0.5, least: float = 0.1, support: int = 4, reach: int = 4) -> DataFrame:
-    """(seq, step, idx, belief, visited) of similarities (seq, step, idx, score), a row a scored place.
+def advance(state: VisitState, step: int, n: int, idx: np.ndarray, score: np.ndarray, o: VisitOptions) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Takes one step of n places, with the scores of some of them (the others' are 0), and returns the steps that are final now.
+
+    Each run of visits of the step before, with `reach` places on either side (two short of the last at most), has to be met by a visit of this step or by
+    visits of both steps before it; else all three steps' flags there go. That holds from the fifth judged step on. A
+    step of no more than `recent` places is not judged.
+    """
+    size = n - o.recent
+    if size <= 0:
+        return []
+    dense = np.zeros(size)
+    inside = idx < size
+    dense[idx[inside]] = score[inside]
+    now = beliefs(state.prior, dense, o)
+    flags = now > o.threshold
+    if state.count >= 4:
+        last = state.open[-1][3]
+        end = 0
+        while (on := np.flatnonzero(last[end:])).size:  # flags may go while they are walked
+            begin = end + int(on[0])
+            off = np.flatnonzero(~last[begin:])
+            end = begin + int(off[0]) if off.size else len(last)
+            a, b = max(begin - o.reach, 0), min(end + o.reach, len(last) - 3)
+            if b > a and not flags[a:b].any() and not (state.open[0][3][a:b].any() and state.open[1][3][a:b].any()):
+                for held in state.open:
+                    held[3][a:b] = False
+    state.prior, state.count = now, state.count + 1
+    state.open.append((step, idx[inside], now[idx[inside]], flags))
+    done, state.open = state.open[:-3], state.open[-3:]
+    return done
+
+
+def rows_of(seq: int, done: list) -> pd.DataFrame:
+    """A row for each scored place of finished steps."""
+    parts = [pd.DataFrame({"seq": seq, "step": step, "idx": idx, "belief": belief, "visited": flags[idx]}) for step, idx, belief, flags in done if len(idx)]
+    out = pd.concat(parts) if parts else pd.DataFrame({"seq": [], "step": [], "idx": [], "belief": [], "visited": []})
+    return out.astype({"seq": "int64", "step": "int32", "idx": "int32", "belief": "float64", "visited": "bool"})
 
-    A run of visits of a step counts only if a place within `reach` of it is visited again in the
-    next step or was in one of the two before; so an isolated detection is withdrawn once its
-    successor is known. The first `support` steps are not judged. State is an array over the
-    places of one sequence; sequences are the parallelism.
+
+def _steps(rows: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for step, part in rows.sort_values(["step", "idx"], kind="stable").groupby("step", sort=True):
+        known = part[part["idx"].notna()]
+        yield int(step), int(part["n"].iloc[0]), known["idx"].to_numpy(np.int64), known["score"].to_numpy(float)
+
+
+def visit_beliefs(scores: DataFrame, options: VisitOptions = VisitOptions()) -> DataFrame:
+    """(seq, step, idx, belief, visited) of similarities (seq, step, n, idx, score): a row a scored place, and one with idx null where a
+    step may have none; n is the step's count of places.
+
+    Rows are sorted by sequence and step within partitions and walked in one pass: what a task holds is one sequence's state, an
+    array over its places, and one step's rows.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["step", "idx"], kind="stable")
-        prior, flags, found = np.zeros(0), [], []
-        for step, part in pdf.groupby("step", sort=True):
-            size = int(part["idx"].max()) + 1
-            score = np.zeros(size)
-            score[part["idx"]] = part["score"]
-            prior = update(prior, score, gate, least)
-            flags.append(prior > threshold)
-            found.append((step, part["idx"].to_numpy(), prior[part["idx"]]))
-        out = []
-        for k, (step, idx, belief) in enumerate(found):
-            own = flags[k].copy()
-            if k >= support and k + 1 < len(flags):
-                near = np.zeros(len(own) + 2 * reach, bool)
-                for other in (flags[k + 1], flags[k - 1], flags[k - 2]):
-                    at = np.flatnonzero(other[: len(own)])
-                    for o in range(2 * reach + 1):
-                        near[at + o] = True
-                own &= near[reach : reach + len(own)]
-            out.append(pd.DataFrame({"seq": pdf["seq"].iloc[0], "step": step, "idx": idx, "belief": belief, "visited": own[idx]}))
-        return pd.concat(out)
-
-    return scores.select("seq", "step", "idx", "score").groupBy("seq").applyInPandas(run, OUTPUT)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seq, state, held = None, VisitState(), None
+        for pdf in parts:
+            held = pdf if held is None or not len(held) else pd.concat([held, pdf])
+            if not len(held):
+                continue
+            end = held[["seq", "step"]].iloc[-1]
+            whole = (held["seq"] != end["seq"]) | (held["step"] != end["step"])  # the last step may go on in the next batch
+            for key, rows in held[whole].groupby("seq", sort=False):
+                if key != seq:
+                    yield rows_of(seq, state.open) if seq is not None else rows_of(0, [])
+                    seq, state = key, VisitState()
+                for step in _steps(rows):
+                    yield rows_of(seq, advance(state, *step, options))
+            held = held[~whole]
+        if held is not None and len(held):
+            key = int(held["seq"].iloc[0])
+            if key != seq:
+                yield rows_of(seq, state.open) if seq is not None else rows_of(0, [])
+                seq, state = key, VisitState()
+            for step in _steps(held):
+                yield rows_of(seq, advance(state, *step, options))
+        if seq is not None:
+            yield rows_of(seq, state.open)
+
+    return scores.select(*COLUMNS).repartition("seq").sortWithinPartitions("seq", "step", F.col("idx").asc_nulls_first()).mapInPandas(run, OUTPUT)
+
+
+class VisitFilter(StatefulProcessor):
+    """The keyed state of stream_visit_beliefs: one value a sequence."""
+
+    def __init__(self, options: VisitOptions):
+        self.options = options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("visits", "state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = VisitState.load(self.held.get()[0]) if self.held.exists() else VisitState()
+        for step in _steps(pd.concat(list(rows))):
+            yield rows_of(key[0], advance(state, *step, self.options))
+        self.held.update((state.dump(),))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_visit_beliefs(scores: DataFrame, options: VisitOptions = VisitOptions()) -> DataFrame:
+    """The same of a stream, in append mode: a step is given out when the third judged step after it has come, as until
+    then its flags may go. A step's rows must come in one micro-batch, and steps in order. Needs the RocksDB state store."""
+    return scores.select(*COLUMNS).groupBy("seq").transformWithStateInPandas(VisitFilter(options), OUTPUT, "Append", "None")

@@ -59,62 +59,6 @@ def test_live_repeats_are_dropped(spark, tmp_path):
     assert sorted(map(str, spark.table("live").collect())) == sorted(map(str, df.distinct().collect()))
 
 
-def test_voxel_map_follows_a_stream(spark, tmp_path):
-    """Three batches, the last retracting the first: the map is the second alone; a batch that runs
-    again changes nothing; the dirty chunks are the last batch's and their neighbours."""
-    one = [(i, 0, 0, 0.1 * i, 1.0, 1, 2, 3, 1) for i in range(10)]
-    two = [(i, 1, 0, 0.2, 2.0, 4, 5, 6, 1) for i in range(20)]
-    back = [(x[0], x[1], x[2], *[-y for y in x[3:]]) for x in one]
-    grid = VoxelMap(spark, str(tmp_path / "map"), 8)
-    for k, part in enumerate((one, two, back)):
-        spark.createDataFrame(part, GRID).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
-    source = spark.createDataFrame(one, GRID)
-    for k in range(3):
-        spark.read.parquet(str(tmp_path / f"b{k}")).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = grid.follow(stream).option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    want = sorted(map(tuple, spark.createDataFrame(two, GRID).collect()))
-    assert sorted(map(tuple, grid.grid().select(*source.columns).collect())) == want
-    grid.apply(spark.createDataFrame(back, GRID), grid.version)
-    assert sorted(map(tuple, grid.grid().select(*source.columns).collect())) == want
-    assert {tuple(r) for r in grid.dirty().collect()} >= {(0, 0, 0), (2, 0, 0), (-1, 0, 0), (0, 1, 0)}
-
-
-def test_visit_beliefs(spark):
-    """A place revisited for four steps stays; a single flash is withdrawn; beliefs follow a plain loop."""
-    rows = []
-    for step in range(6, 20):
-        for idx in range(step - 4):
-            score = 0.2 + 0.01 * ((idx * 7 + step) % 5)
-            if 9 <= step <= 13 and abs(idx - (step - 7)) < 1:
-                score = 5.0
-            if step == 16 and idx == 2:
-                score = 9.0
-            rows.append((1, step, idx, score))
-    got = beliefs.visit_beliefs(spark.createDataFrame(rows, "seq long, step int, idx int, score double"), gate=3.0).collect()
-    by = {(r.step, r.idx): r for r in got}
-    assert len(got) == len(rows)
-    prior = []
-    for step in range(6, 20):
-        score = [x[3] for x in rows if x[1] == step]
-        mean = sum(score) / len(score)
-        spread = math.sqrt(sum((s - mean) ** 2 for s in score)) / math.sqrt(len(score) - 1) if len(score) > 1 else 0.0
-        now = []
-        for i, s in enumerate(score):
-            alpha = max([prior[k] if k < len(prior) else 0.0 for k in range(max(0, i - 2), min(len(score), i + 3))])
-            like = max((s - spread) / mean, 1.0)
-            yes, no = like * (0.05 * (1 - alpha) + 0.95 * alpha), 3.0 * (0.95 * (1 - alpha) + 0.05 * alpha)
-            now.append(yes / (yes + no))
-            assert by[step, i].belief == pytest.approx(now[-1])
-        prior = now
-    assert not by[16, 2].visited
-    assert by[12, 5].visited == (by[12, 5].belief > 0.5)
-
-
 def test_depth_moves_onto_a_plane(spark):
     """Depths 2 cm off a plane at 1.02 m come to lie on it; one too far off drops out."""
     voxel, rows = 0.05, []
