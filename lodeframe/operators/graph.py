@@ -5,24 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back: its lineage is cut.
-
-    The folder is spark.checkpoint.dir; only a local master may do without one.
-    """
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local master may do without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{root.rstrip('/')}/lodeframe-kept-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut."""
+    path = f"{shared_root(df.sparkSession)}/lodeframe-kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:

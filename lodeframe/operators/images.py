@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +175,69 @@ def fuse_depth(projected: DataFrame, px: DataFrame, depth: str, weight: str, tol
     near = F.coalesce(F.abs(F.col("other") - F.col("pz")) <= tolerance * F.col("pz"), F.lit(False))
     mean = (F.col("z") * F.col(weight) + F.col("other") - F.col("pz") + F.col("z")) / (F.col(weight) + 1)
     return hit.withColumns({"depth": F.when(near, mean).otherwise(F.col("z")), "new_weight": F.col(weight) + F.when(near, 1).otherwise(0)}).drop("__f", "__u", "__v")
+
+
+def quads(px: DataFrame, depth: str) -> DataFrame:
+    """(frame_id, u, v, q): the depths of each pixel, its right, its lower and its lower right neighbour, 0 where there is none. Each pixel
+    tells the four that it is part of: one grouping, no join."""
+    told = px.select("frame_id", F.col("u"), F.col("v"), F.col(depth).alias("__d"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("__k"))
+    told = told.select("frame_id", (F.col("u") - F.col("__k").bitwiseAND(1)).alias("u"), (F.col("v") - F.shiftright("__k", 1)).alias("v"), "__k", "__d")
+    pick = lambda k: F.coalesce(F.max(F.when(F.col("__k") == k, F.col("__d"))), F.lit(0.0))
+    return told.groupBy("frame_id", "u", "v").agg(F.array(*[pick(k) for k in range(4)]).alias("q"))
+
+
+def refine_depth(points: DataFrame, relative: DataFrame, px: DataFrame, depth: str, weight: str, cam: Camera, tolerance: float = 0.05, step: float = 0.1, border: int = 2, near: float = 0.01, far: float = 10.0) -> DataFrame:
+    """A keyframe's depths refined by a new frame's: points (frame_id, u, v, x, y, z, weight) with depth and new_weight.
+
+    A point is moved by `relative` (frame_id, to_frame, pose) and projected; where it falls more than `border` pixels inside the image the new frame's
+    depth is taken there: bilinear among the four pixels around if none differs from the upper left by `step` or more, else the nearest pixel's (0 where
+    there is none). If it is within `tolerance` of the point's depth, the point moves to it along the new frame's ray, goes back, and its
+    depth enters the running mean, whose weight grows by one. Points beyond [near, far] or outside the image stay as they are. One equi-join on (frame, pixel).
+    """
+    pose = g.pose_of()
+    p = g.apply_pose(pose, vec("x", "y", "z"))
+    m = points.join(relative, "frame_id", "left").withColumns({"__x": p.x, "__y": p.y, "__z": p.z})
+    uv = g.project(vec("__x", "__y", "__z"), cam)
+    at = lambda c: F.round(c, 9)
+    m = m.withColumns({"__u": at(uv.x), "__v": at(uv.y)})
+    inside = (F.col("__z") > 0) & F.col("z").between(near, far) & (F.col("__u") > border) & (F.col("__u") < cam.width - border) & (F.col("__v") > border) & (F.col("__v") < cam.height - border)
+    m = m.withColumns({"__i": F.when(inside, F.floor("__u")).cast("int"), "__j": F.when(inside, F.floor("__v")).cast("int")})
+    side = quads(px, depth).select(F.col("frame_id").alias("to_frame"), F.col("u").alias("__i"), F.col("v").alias("__j"), "q")
+    hit = m.join(side, ["to_frame", "__i", "__j"], "left")
+    q = [F.get("q", F.lit(k)) for k in range(4)]
+    fu, fv = F.col("__u") - F.col("__i"), F.col("__v") - F.col("__j")
+    smooth = (F.abs(q[0] - q[1]) < step) & (F.abs(q[0] - q[2]) < step) & (F.abs(q[0] - q[3]) < step)
+    bilinear = (1 - fu) * (1 - fv) * q[0] + fu * (1 - fv) * q[1] + (1 - fu) * fv * q[2] + fu * fv * q[3]
+    nearest = F.get("q", F.when(fu >= 0.5, 1).otherwise(0) + F.when(fv >= 0.5, 2).otherwise(0))
+    hit = hit.withColumn("__d", F.when(smooth, bilinear).otherwise(nearest))
+    near_enough = F.coalesce(F.abs(F.col("__d") - F.col("__z")) < tolerance * F.col("__z"), F.lit(False))
+    s = F.col("__d") / F.col("__z")
+    back = g.apply_pose(g.invert(pose), Vec(F.col("__x") * s, F.col("__y") * s, F.col("__z") * s)).z
+    mean = (F.col("z") * F.col(weight) + back) / (F.col(weight) + 1)
+    return hit.withColumns({"depth": F.when(near_enough, mean).otherwise(F.col("z")), "new_weight": F.col(weight) + F.when(near_enough, 1).otherwise(0)}).drop("q", "__x", "__y", "__z", "__u", "__v", "__i", "__j", "__d")
+
+
+def chunks_seen(pixels: DataFrame, poses: DataFrame, side: float, cam: Camera, truncation: Callable[[Column], Column], far: float = 3.0, least: int = 3) -> DataFrame:
+    """(frame_id, cx, cy, cz, hits): chunks of `side` metres of which `least` or more of nine samples, the corners and the middle, lie on
+    the image and within the truncation distance plus the chunk's diagonal of the depth at their pixel, no farther than `far`.
+
+    Coarse first: chunks around those that hold a pixel's point, as far as a sample can lie from its pixel's surface; each chunk
+    once a frame. Then their nine samples meet pixels by an equi-join. pixels: frame_id, u, v, depth (metres), within the image.
+    """
+    seen = pixels.filter("depth is not null")
+    pose = g.pose_of()
+    point = g.apply_pose(pose, g.unproject(F.col("u"), F.col("v"), F.col("depth"), cam))
+    held = seen.join(poses, "frame_id").select("frame_id", *[F.floor(c / side).cast("int").alias(n) for c, n in zip(point, ("cx", "cy", "cz"), strict=True)], truncation(F.col("depth")).alias("__t"))
+    reach = F.ceil((F.max("__t") + 3**0.5 * side) / side).cast("int") + 1
+    held = held.groupBy("frame_id", "cx", "cy", "cz").agg(reach.alias("__r"))
+    for c in ("cx", "cy", "cz"):
+        held = held.withColumn(c, F.explode(F.sequence(F.col(c) - F.col("__r"), F.col(c) + F.col("__r"))))
+    coarse = held.select("frame_id", "cx", "cy", "cz").distinct()
+    spots = F.array(*[F.struct(*[F.lit(float(k >> i & 1)).alias(n) for i, n in enumerate("xyz")]) for k in range(8)], F.struct(*[F.lit(0.5).alias(n) for n in "xyz"]))
+    at = coarse.join(poses, "frame_id").withColumn("__o", F.explode(spots))
+    p = g.apply_pose(g.invert(pose), Vec(*((F.col(c) + F.col("__o")[n]) * side for c, n in zip(("cx", "cy", "cz"), "xyz", strict=True))))
+    at = at.select("frame_id", "cx", "cy", "cz", p.x.alias("__x"), p.y.alias("__y"), p.z.alias("__z")).filter((F.col("__z") > 0) & (F.col("__z") < far))
+    uv = g.project(vec("__x", "__y", "__z"), cam)
+    at = at.select("frame_id", "cx", "cy", "cz", "__z", F.floor(F.round(uv.x, 9)).cast("int").alias("u"), F.floor(F.round(uv.y, 9)).cast("int").alias("v"))
+    hit = at.join(seen.select("frame_id", "u", "v", "depth"), ["frame_id", "u", "v"]).filter(F.abs(F.col("depth") - F.col("__z")) < truncation(F.col("depth")) + 3**0.5 * side)
+    return hit.groupBy("frame_id", "cx", "cy", "cz").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)

@@ -53,6 +53,43 @@ def thin(points: DataFrame, cell: float, per_cell: int = 1) -> DataFrame:
     return points.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_cell).drop("__r")
 
 
+def level_quotas(total: int, levels: int, scale: float = 1.2) -> list[int]:
+    """How many of `total` points each level of an image pyramid may keep: a falling geometric progression, the last level the rest."""
+    first = total * (1 - 1 / scale) / (1 - scale**-levels)
+    out = [round(first * scale**-k) for k in range(levels - 1)]
+    return [*out, max(total - sum(out), 0)]
+
+
+def quad_thin(points: DataFrame, width: float, height: float, quotas: list[int], depth: int = 8) -> DataFrame:
+    """Points (frame_id, level, kp_id, x, y, response) spread over their image: the strongest of each cell of a quad tree that has as many
+    cells as the level's quota allows.
+
+    The image is cut into about square columns, and these into quarters again and again. A level takes the deepest depth at which no more cells hold
+    points than its quota; of these cells those with most points (then by place) are quartered once more, as long as the cells stay within the
+    quota. Ties of response go to the smaller id. Where even the first columns are more than the quota, the strongest of them stay. A
+    point is a row a depth until cells are counted; windows are over a level's cells of one depth, which its quota bounds.
+    """
+    columns = max(1, round(width / height))
+    at = ["frame_id", "level"]
+    wide = points.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    place = lambda c, size: F.floor(F.col(c) / size * F.call_function("shiftleft", F.lit(1), F.col("depth"))).cast("int")
+    wide = wide.withColumns({"cx": place("x", width / columns), "cy": place("y", height)})
+    best = F.max(F.struct("response", (-F.col("kp_id")).alias("i")))
+    cells = kept(wide.groupBy(*at, "depth", "cx", "cy").agg(F.count("*").alias("n"), best.alias("best")))
+    quota = F.get(F.array(*[F.lit(q) for q in quotas]), F.col("level"))
+    fits = cells.groupBy(*at, "depth").agg(F.count("*").alias("cells")).withColumn("quota", quota)
+    chosen = fits.groupBy(*at, "quota").agg(F.coalesce(F.max(F.when(F.col("cells") <= F.col("quota"), F.struct("depth", "cells"))), F.min(F.when(F.col("depth") == 0, F.struct("depth", "cells")))).alias("c")).select(*at, "quota", "c.*")
+    own = cells.join(chosen, [*at, "depth"])
+    children = cells.select(*at, (F.col("depth") - 1).alias("depth"), F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy"), F.col("best").alias("child"))
+    met = own.join(children, [*at, "depth", "cx", "cy"], "left").groupBy(*at, "quota", "cells", "cx", "cy", "n", "best").agg(F.collect_list("child").alias("quarters"))
+    more = F.greatest(F.size("quarters") - 1, F.lit(0))
+    order = Window.partitionBy(*at).orderBy((more == 0), F.desc("n"), "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("sum", F.sum(more).over(order)).withColumn("open", (more > 0) & (F.col("cells") + F.col("sum") <= F.col("quota")))
+    out = met.select(*at, "quota", F.explode(F.when(F.col("open"), F.col("quarters")).otherwise(F.array("best"))).alias("b"))
+    rank = F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("b.response"), F.desc("b.i")))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= F.col("quota")).select(*at, (-F.col("b.i")).alias("kp_id"))
+
+
 def moving_average_pick(costs: DataFrame, length: int, least: float = 1e-4) -> DataFrame:
     """Per seq the rows of the full window of `length` rows with the largest mean cost (the first
     of equals), if the mean is above `least`. costs: seq, idx, cost."""

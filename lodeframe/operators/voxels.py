@@ -184,6 +184,23 @@ def gradients(surface_rows: DataFrame, voxel: float, steep: float = 100.0) -> Da
     return d.filter(F.sqrt(sum((F.col(n) * F.col(n) for n in ("dy", "dz")), F.col("dx") * F.col("dx"))) <= steep * voxel)
 
 
+def sample_trilinear(points: DataFrame, cells: DataFrame, key: str, voxel: float, values: list[str]) -> DataFrame:
+    """(key, smooth, values): each value at points (key, x, y, z), trilinear among the eight cell centres around where all are there (then smooth is true),
+    else that of the cell which holds the point; null where that lacks it too. cells: cell and values, none null. Points ask eight cells by an equi-join, and the answers are summed."""
+    base = {f"__b{c}": F.floor(F.round(F.col(c) / voxel - 0.5, 9)).cast("int") for c in "xyz"}
+    p = points.withColumns(base).withColumns({f"__f{c}": F.col(c) / voxel - 0.5 - F.col(f"__b{c}") for c in "xyz"}).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    off = (F.col("k").bitwiseAND(1), F.shiftright("k", 1).bitwiseAND(1), F.shiftright("k", 2))
+    w, own = F.lit(1.0), F.lit(True)
+    for c, o in zip("xyz", off, strict=True):
+        high = F.col(f"__f{c}") >= 0.5
+        w = w * F.when(o == 1, F.col(f"__f{c}")).otherwise(1 - F.col(f"__f{c}"))
+        own = own & (high == (o == 1))  # the nearest centre is the middle of the cell that holds the point
+    at = p.select(key, w.alias("__w"), own.alias("__own"), *[(F.col(f"__b{c}") + o).alias(n) for c, o, n in zip("xyz", off, CELL, strict=True)])
+    hit = at.join(cells.select(*CELL, *values).hint("merge"), CELL, "left")
+    all_there = F.count(values[0]) == 8
+    return hit.groupBy(key).agg(all_there.alias("smooth"), *[F.when(all_there, F.sum(F.col("__w") * F.col(v))).otherwise(F.max(F.when(F.col("__own"), F.col(v)))).alias(v) for v in values])
+
+
 def sample_distance(points: DataFrame, surface_rows: DataFrame, key: str, voxel: float, within: tuple[str, ...] = ()) -> DataFrame:
     """Trilinear sdf at points (key, x, y, z) whose eight surrounding cell centres are observed. Where
     grids lie side by side, `within` names the columns of both that tell them apart."""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodeframe.functions import color
 from lodeframe.operators import meshing
+from lodeframe.operators.graph import kept, shared_root
 from lodeframe.operators import voxels as op
 from lodeframe.plans import fixtures as fx
 from lodeframe.plans.registry import query
-from lodeframe.plans.voxels import _CUBES, _head, voxels
+from lodeframe.plans.voxels import _CUBES, _head, observations, voxels
 from lodeframe.sinks import mesh_lines, number_vertices
+from lodeframe.streaming.maps import VoxelMap
 
 #: The fixture's frames are few, so a corner needs less weight than by default.
 LEAST = 1.0
@@ -44,6 +48,49 @@ def g11(spark, d):
     return _triangles(spark, d).select("gx", "gy", "gz", "tri", "corner", *_r6("x", "y", "z", "nx", "ny", "nz", "r"))
 
 
+_COLOURS = _MESH + """, v3 AS MATERIALIZED (SELECT (gx * 1000::BIGINT + gy) * 1000 + gz AS k, sum(CASE WHEN c THEN r ELSE 0 END) / sum(c::INT) AS r, sum(CASE WHEN c THEN g ELSE 0 END) / sum(c::INT) AS g, sum(CASE WHEN c THEN b ELSE 0 END) / sum(c::INT) AS b
+  FROM (SELECT *, abs(d) < sqrt(3.0) * 0.05 + 0.01 AS c FROM obs) GROUP BY gx, gy, gz HAVING sum(c::INT) > 0 AND sum(w) > 0.5),
+pt AS MATERIALIZED (SELECT gx, gy, gz, tri, corner, CAST(floor(round(x / 0.05 - 0.5, 9)) AS INT) AS bx, CAST(floor(round(y / 0.05 - 0.5, 9)) AS INT) AS by_, CAST(floor(round(z / 0.05 - 0.5, 9)) AS INT) AS bz, x, y, z FROM mesh),
+ask AS (SELECT *, x / 0.05 - 0.5 - bx AS fx, y / 0.05 - 0.5 - by_ AS fy, z / 0.05 - 0.5 - bz AS fz, i & 1 AS ox, (i >> 1) & 1 AS oy, i >> 2 AS oz FROM pt, (SELECT unnest(range(0, 8)) AS i)),
+got AS (SELECT a.*, CASE WHEN ox = 1 THEN fx ELSE 1 - fx END * CASE WHEN oy = 1 THEN fy ELSE 1 - fy END * CASE WHEN oz = 1 THEN fz ELSE 1 - fz END AS wt, (fx >= 0.5) = (ox = 1) AND (fy >= 0.5) = (oy = 1) AND (fz >= 0.5) = (oz = 1) AS own, c.r, c.g, c.b
+  FROM ask a LEFT JOIN v3 c ON c.k = ((bx + ox) * 1000::BIGINT + by_ + oy) * 1000 + bz + oz)"""
+
+
+@query("g12_vertex_colours", _COLOURS + """
+SELECT gx, gy, gz, CAST(tri AS INT) AS tri, CAST(corner AS INT) AS corner, count(r) = 8 AS smooth, """ + ", ".join(f"round(CASE WHEN count({c}) = 8 THEN sum(wt * {c}) ELSE max({c}) FILTER (own) END, 6) AS {c}" for c in "rgb") + " FROM got GROUP BY gx, gy, gz, tri, corner")
+def g12_vertices(spark, d):
+    """All three channels at the vertices of the mesh, trilinear or of the vertex's cell."""
+    v = kept(voxels(spark, d))
+    s = op.surface(v)
+    at = ["gx", "gy", "gz", "tri", "corner"]
+    mesh = kept(meshing.extract_triangles(s, op.gradients(s, fx.VOXEL), fx.VOXEL, LEAST).select(F.struct(*at).alias("id"), "x", "y", "z"))
+    got = op.sample_trilinear(mesh, op.surface(v.filter("n_c > 0")), "id", fx.VOXEL, ["r", "g", "b"])
+    return got.select("id.*", "smooth", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+def _replayed(spark, d):
+    """The map after a stream of three files of observations, each read by a stream that starts where the one before ended."""
+    root = f"{shared_root(spark)}/lodeframe-map-{uuid.uuid4().hex}"
+    seen = kept(observations(spark, d))
+    for k in range(3):
+        seen.filter(f"frame_id % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        here = VoxelMap(spark, f"{root}/map", fx.CHUNK, fx.VOXEL, LEAST)
+        here.follow(stream).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    return here
+
+
+@query("r5_map_grid", _head() + "\nSELECT gx, gy, gz, round(sum_wd, 5) + 0.0 AS sum_wd, round(sum_w, 5) AS sum_w, sum_r, n_c FROM vox WHERE abs(sum_w) > 1e-9")
+def r5_grid(spark, d):
+    return _replayed(spark, d).grid().select("gx", "gy", "gz", (F.round("sum_wd", 5) + 0.0).alias("sum_wd"), F.round("sum_w", 5).alias("sum_w"), "sum_r", "n_c")
+
+
+@query("r5_map_mesh", _MESH + f"\nSELECT gx, gy, gz, CAST(tri AS INT) AS tri, CAST(corner AS INT) AS corner, {_SQL6('x', 'y', 'z', 'nx', 'ny', 'nz', 'r')} FROM mesh")
+def r5_mesh(spark, d):
+    """Only chunks that a file's observations tell are meshed anew."""
+    return _replayed(spark, d).mesh().select("gx", "gy", "gz", "tri", "corner", *_r6("x", "y", "z", "nx", "ny", "nz", "r"))
+
+
 _ORDER = "CAST(floor(gx / 8.0) AS INT), CAST(floor(gy / 8.0) AS INT), CAST(floor(gz / 8.0) AS INT), gx, gy, gz, tri, corner"
 
 

@@ -120,6 +120,25 @@ def t5(spark, d):
     return op.thin(k, 16.0).select("frame_id", "kp_id")
 
 
+#: 120 points a frame over four levels; depths 0 to 6.
+_QUOTAS = op.level_quotas(120, 4)
+
+
+@query("t5_quad_tree_thinning", f"""
+WITH k AS (SELECT l_suppkey AS frame_id, l_linenumber % 4 AS level, l_orderkey * 8 + l_linenumber AS kp_id, (l_partkey * 131 + l_linenumber * 17) % 640 + 0.25::DOUBLE AS x, (l_orderkey * 37 + l_partkey) % 480 + 0.25::DOUBLE AS y, (l_orderkey * 31 + l_partkey) % 97 AS response FROM lineitem),
+c AS MATERIALIZED (SELECT frame_id, level, depth, CAST(floor(x / 640.0 * (1 << depth)) AS INT) AS cx, CAST(floor(y / 480.0 * (1 << depth)) AS INT) AS cy, count(*) AS n, max((response, -kp_id)) AS best FROM k, (SELECT unnest(range(0, 7))::INT AS depth) GROUP BY ALL),
+f AS (SELECT frame_id, level, depth, count(*) AS cells, {_QUOTAS}[level + 1] AS quota FROM c GROUP BY ALL),
+ch AS (SELECT frame_id, level, quota, coalesce(max(depth) FILTER (cells <= quota), 0) AS depth FROM f GROUP BY ALL),
+o AS (SELECT c.*, quota, count(*) OVER (PARTITION BY c.frame_id, c.level) AS cells, (SELECT count(*) FROM c q WHERE q.frame_id = c.frame_id AND q.level = c.level AND q.depth = c.depth + 1 AND q.cx // 2 = c.cx AND q.cy // 2 = c.cy) AS quarters FROM c JOIN ch USING (frame_id, level, depth)),
+s AS (SELECT *, sum(greatest(quarters - 1, 0)) OVER (PARTITION BY frame_id, level ORDER BY (quarters < 2)::INT, n DESC, cx, cy ROWS UNBOUNDED PRECEDING) AS more FROM o),
+b AS (SELECT frame_id, level, quota, best FROM s WHERE NOT (quarters > 1 AND cells + more <= quota)
+  UNION ALL SELECT s.frame_id, s.level, quota, q.best FROM s JOIN c q ON q.frame_id = s.frame_id AND q.level = s.level AND q.depth = s.depth + 1 AND q.cx // 2 = s.cx AND q.cy // 2 = s.cy WHERE quarters > 1 AND cells + more <= quota)
+SELECT frame_id, CAST(level AS INT) AS level, -best[2] AS kp_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, level ORDER BY best DESC) AS rank FROM b) WHERE rank <= quota""")
+def t5_quad(spark, d):
+    k = fx.table(spark, d, "lineitem").selectExpr("l_suppkey AS frame_id", "CAST(l_linenumber % 4 AS INT) AS level", "l_orderkey * 8 + l_linenumber AS kp_id", "(l_partkey * 131 + l_linenumber * 17) % 640 + 0.25D AS x", "(l_orderkey * 37 + l_partkey) % 480 + 0.25D AS y", "(l_orderkey * 31 + l_partkey) % 97 AS response")
+    return op.quad_thin(k, 640.0, 480.0, _QUOTAS, depth=6)
+
+
 @query("t6_first_match", "WITH " + MATCHES + "\nSELECT CAST(ref AS INT) AS ref, id % 10 AS q, min(id) AS id FROM mm GROUP BY ref, id % 10")
 def t6(spark, d):
     return matches(spark, d).groupBy("ref", (F.col("id") % 10).alias("q")).agg(F.min("id").alias("id"))

@@ -425,9 +425,28 @@ def j7(spark, d):
     return images.agree_in_depth(_into(spark, d), _metres(spark, d), "m").select("frame_id", "u", "v", F.round("depth", 6).alias("depth"))
 
 
-@query("j8_depth_refinement", duck("fx_dense") + ",\n" + PTS + ",\n" + _INTO + """
+@query("j8_nearest_refinement", duck("fx_dense") + ",\n" + PTS + ",\n" + _INTO + """
 SELECT q.frame_id, q.u, q.v, round(CASE WHEN abs(d.depth_mm / 1000.0::DOUBLE - pz) <= 0.05 * pz THEN (z * 2 + d.depth_mm / 1000.0::DOUBLE - pz + z) / 3 ELSE z END, 6) AS depth,
   2 + CASE WHEN abs(d.depth_mm / 1000.0::DOUBLE - pz) <= 0.05 * pz THEN 1 ELSE 0 END AS weight FROM prj q LEFT JOIN fx_dense d ON d.frame_id = q.to_frame AND d.u = q.pu AND d.v = q.pv""")
-def j8(spark, d):
+def j8_nearest(spark, d):
     got = images.fuse_depth(_into(spark, d).withColumn("w", F.lit(2)), _metres(spark, d), "m", "w")
     return got.select("frame_id", "u", "v", F.round("depth", 6).alias("depth"), F.col("new_weight").alias("weight"))
+
+
+_QUAD = """mv AS (SELECT p.*, cos(0.002) * x - sin(0.002) * y - 0.05 AS mx, sin(0.002) * x + cos(0.002) * y AS my, z + 0.01 AS mz FROM pts p),
+uv AS (SELECT *, round(60.0 * mx / mz + 31.5, 9) AS pu, round(60.0 * my / mz + 23.5, 9) AS pv FROM mv),
+qd AS (SELECT q.*, q.pu - floor(q.pu) AS fu, q.pv - floor(q.pv) AS fv, coalesce(a.depth_mm, 0) / 1000.0::DOUBLE AS q0, coalesce(b.depth_mm, 0) / 1000.0::DOUBLE AS q1, coalesce(c.depth_mm, 0) / 1000.0::DOUBLE AS q2, coalesce(e.depth_mm, 0) / 1000.0::DOUBLE AS q3
+  FROM uv q LEFT JOIN fx_dense a ON a.frame_id = q.frame_id + 1 AND a.u = CAST(floor(pu) AS INT) AND a.v = CAST(floor(pv) AS INT) LEFT JOIN fx_dense b ON b.frame_id = q.frame_id + 1 AND b.u = CAST(floor(pu) AS INT) + 1 AND b.v = CAST(floor(pv) AS INT)
+  LEFT JOIN fx_dense c ON c.frame_id = q.frame_id + 1 AND c.u = CAST(floor(pu) AS INT) AND c.v = CAST(floor(pv) AS INT) + 1 LEFT JOIN fx_dense e ON e.frame_id = q.frame_id + 1 AND e.u = CAST(floor(pu) AS INT) + 1 AND e.v = CAST(floor(pv) AS INT) + 1),
+ob AS (SELECT *, pu > 2 AND pu < 62 AND pv > 2 AND pv < 46 AS inside, CASE WHEN abs(q0 - q1) < 0.1 AND abs(q0 - q2) < 0.1 AND abs(q0 - q3) < 0.1 THEN (1 - fu) * (1 - fv) * q0 + fu * (1 - fv) * q1 + (1 - fu) * fv * q2 + fu * fv * q3
+  WHEN fu >= 0.5 THEN CASE WHEN fv >= 0.5 THEN q3 ELSE q1 END ELSE CASE WHEN fv >= 0.5 THEN q2 ELSE q0 END END AS d FROM qd)"""
+
+
+@query("j8_depth_refinement", duck("fx_dense") + ",\n" + PTS + ",\n" + _QUAD + """
+SELECT frame_id, u, v, round(CASE WHEN inside AND abs(d - mz) < 0.05 * mz THEN (z * 2 + d - 0.01) / 3 ELSE z END, 6) AS depth, 2 + CASE WHEN inside AND abs(d - mz) < 0.05 * mz THEN 1 ELSE 0 END AS weight FROM ob""")
+def j8(spark, d):
+    """Four samples of the next frame, or the nearest where they disagree; the fixture's holes give both branches."""
+    step = fx.frame_ids(spark, d).selectExpr("frame_id", "frame_id + 1 AS to_frame", "0.0D AS qx", "0.0D AS qy", "sin(0.001D) AS qz", "cos(0.001D) AS qw", "-0.05D AS tx", "0.0D AS ty", "0.01D AS tz")
+    got = images.refine_depth(points(spark, d).withColumn("w", F.lit(2)), step, _metres(spark, d), "m", "w", CAM)
+    return got.select("frame_id", "u", "v", F.round("depth", 6).alias("depth"), F.col("new_weight").alias("weight"))
+

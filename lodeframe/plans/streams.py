@@ -9,6 +9,7 @@ from lodeframe.plans import fixtures as fx
 from lodeframe.plans.fixtures import duck
 from lodeframe.plans.registry import query
 from lodeframe.sources.frames import read_frame_log, read_frames, write_frame_log
+from lodeframe.sources.live import live_frames
 from lodeframe.streaming.beliefs import visit_beliefs
 from lodeframe.streaming.keyframes import select_keyframes
 
@@ -76,3 +77,16 @@ def s6_positions(spark, d):
     from lodeframe.sources.frames import positions
 
     return positions(fx.frames(spark, d).select("seq", "frame_index"), "seq")
+
+
+_POLLS = """polls AS MATERIALIZED (SELECT user_id AS source, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS arrival, CAST(event_id % 4 AS INT) AS buffer, CAST(floor(value / 60) AS BIGINT) AS ts FROM events)"""
+
+
+@query("s7_live_frames", "WITH RECURSIVE " + _POLLS + """, r AS (SELECT source, arrival, buffer, ts, true AS new_, buffer AS b, ts AS t FROM polls WHERE arrival = 0
+  UNION ALL SELECT p.source, p.arrival, p.buffer, p.ts, p.buffer <> r.b AND p.ts <> r.t, CASE WHEN p.buffer <> r.b AND p.ts <> r.t THEN p.buffer ELSE r.b END, CASE WHEN p.buffer <> r.b AND p.ts <> r.t THEN p.ts ELSE r.t END
+  FROM r JOIN polls p ON p.source = r.source AND p.arrival = r.arrival + 1)
+SELECT source, arrival, buffer, ts FROM r WHERE new_""")
+def s7(spark, d):
+    """Polls of a ring of four buffers, for each user's events."""
+    polls = fx.frames(spark, d).join(fx.table(spark, d, "events").select("event_id", "value"), "event_id")
+    return live_frames(polls.selectExpr("seq AS source", "CAST(frame_index AS BIGINT) AS arrival", "CAST(event_id % 4 AS INT) AS buffer", "CAST(floor(value / 60) AS BIGINT) AS ts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodeframe.functions import geometry as g
 from lodeframe.operators import images
 from lodeframe.operators import voxels as op
 from lodeframe.plans import fixtures as fx
@@ -210,6 +211,18 @@ def g12(spark, d):
     return p.join(op.surface(voxels(spark, d).filter("n_c > 0")), ["gx", "gy", "gz"]).select("id", F.round("r", 6).alias("r"))
 
 
+@query("j10_chunks_seen", duck("fx_dense", "fx_pose") + ",\n" + PTS + """, wp AS (SELECT frame_id, floor((x + tx + 0.00273) / 0.4) AS cx, floor((y + 0.00317) / 0.4) AS cy, floor((z + tz + 0.00171) / 0.4) AS cz FROM pts JOIN fx_pose USING (frame_id)),
+box AS (SELECT frame_id, CAST(min(cx) AS INT) - 4 AS x0, CAST(max(cx) AS INT) + 5 AS x1, CAST(min(cy) AS INT) - 4 AS y0, CAST(max(cy) AS INT) + 5 AS y1, CAST(min(cz) AS INT) - 4 AS z0, CAST(max(cz) AS INT) + 5 AS z1 FROM wp GROUP BY frame_id),
+c AS (SELECT frame_id, cx, cy, cz, i FROM box, LATERAL (SELECT unnest(range(x0, x1)) AS cx), LATERAL (SELECT unnest(range(y0, y1)) AS cy), LATERAL (SELECT unnest(range(z0, z1)) AS cz), (SELECT unnest(range(0, 9)) AS i)),
+p AS (SELECT c.*, (cx + CASE WHEN i = 8 THEN 0.5 ELSE i & 1 END) * 0.4 - (tx + 0.00273) AS x, (cy + CASE WHEN i = 8 THEN 0.5 ELSE (i >> 1) & 1 END) * 0.4 - 0.00317 AS y, (cz + CASE WHEN i = 8 THEN 0.5 ELSE i >> 2 END) * 0.4 - (tz + 0.00171) AS z FROM c JOIN fx_pose USING (frame_id)),
+h AS (SELECT p.frame_id, cx, cy, cz FROM p JOIN fx_dense d ON d.frame_id = p.frame_id AND d.u = CAST(floor(round(60.0 * x / z + 31.5, 9)) AS INT) AND d.v = CAST(floor(round(60.0 * y / z + 23.5, 9)) AS INT)
+  WHERE z > 0 AND z < 3 AND d.depth_mm IS NOT NULL AND abs(d.depth_mm / 1000.0::DOUBLE - z) < abs(0.0019 * pow(d.depth_mm / 1000.0::DOUBLE, 2) + 0.00152 * (d.depth_mm / 1000.0::DOUBLE) + 0.001504) * 8.0 + sqrt(3.0) * 0.4)
+SELECT frame_id, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(cz AS INT) AS cz, count(*) AS hits FROM h GROUP BY ALL HAVING count(*) > 2""")
+def j10_seen(spark, d):
+    """Nine samples a chunk; the SQL tries all chunks of a box around."""
+    return images.chunks_seen(_pixels(spark, d).select("frame_id", "u", "v", "depth"), _poses(spark, d), fx.VOXEL * fx.CHUNK, CAM, g.quadratic_truncation)
+
+
 @query("j15_chunk_reference", _head() + ",\n" + _CHUNKS + """, s1 AS (SELECT *, (gx * 1000::BIGINT + gy) * 1000 + gz AS k FROM sdf WHERE sdf < 1),
 told AS (SELECT s.k + o AS k, i, sdf FROM s1 s, (VALUES (-1000000, 0), (1000000, 1), (-1000, 2), (1000, 3), (-1, 4), (1, 5), (0, 6)) t(o, i)),
 grad AS (SELECT k, (max(sdf) FILTER (i = 0) - max(sdf) FILTER (i = 1)) / 2 AS dx, (max(sdf) FILTER (i = 2) - max(sdf) FILTER (i = 3)) / 2 AS dy, (max(sdf) FILTER (i = 4) - max(sdf) FILTER (i = 5)) / 2 AS dz FROM told GROUP BY k HAVING count(*) = 7),
