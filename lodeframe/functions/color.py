@@ -16,12 +16,14 @@ def unpack(rgb: Column) -> list[Column]:
 
 
 def heat(v: Column, lo: Column | float, hi: Column | float) -> list[Column]:
-    """(r, g, b) in [0, 1] of v on the ramp blue, cyan, green, yellow, red between lo and hi."""
+    """(r, g, b) in [0, 1] of v between lo and hi: green rises over the first quarter, blue falls over the second, red rises over
+    the third and green falls over the last; the other two are 0."""
     lo, hi = (F.lit(x) if isinstance(x, float) else x for x in (lo, hi))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))))
-    r = F.when(t < 0.5, F.lit(0.0)).when(t < 0.75, 4 * (t - 0.5)).otherwise(F.lit(1.0))
-    g = F.when(t < 0.25, 4 * t).when(t < 0.75, F.lit(1.0)).otherwise(1 + 4 * (0.75 - t))
-    b = F.when(t < 0.25, F.lit(1.0)).when(t < 0.5, 1 + 4 * (0.25 - t)).otherwise(F.lit(0.0))
+    zero = F.lit(0.0)
+    r = F.when((t >= 0.5) & (t < 0.75), 4 * (t - 0.5)).otherwise(zero)
+    g = F.when(t < 0.25, 4 * t).when(t >= 0.75, 1 + 4 * (0.75 - t)).otherwise(zero)
+    b = F.when((t >= 0.25) & (t < 0.5), 1 + 4 * (0.25 - t)).otherwise(zero)
     return [r, g, b]
 
 

@@ -128,13 +128,21 @@ def carve(voxels: DataFrame, free: DataFrame) -> DataFrame:
     return v.withColumns(half).drop("__free")
 
 
-def chunk_statistics(voxels: DataFrame, chunk: int) -> DataFrame:
-    """Per chunk and in total (null chunk): cells inside, outside and unknown, and their weight."""
+def chunk_statistics(voxels: DataFrame, chunk: int, voxel: float, cell_bytes: int = 8) -> DataFrame:
+    """Per chunk and in total (null chunk): cells inside, outside and unknown, their weight, the bounds in metres (x0 to z1, whole chunks),
+    and the megabytes of dense chunks: megabytes of those that there are, most_megabytes of all within the bounds."""
     c = voxels.select(*[F.floor(F.col(x) / chunk).cast("int").alias(n) for x, n in zip(CELL, ("cx", "cy", "cz"), strict=True)], "sum_wd", "sum_w")
     c = c.withColumn("chunk", F.format_string("%d,%d,%d", "cx", "cy", "cz"))
     known = F.col("sum_w") > LEAST_WEIGHT
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    return c.rollup("chunk").agg(n(known & (F.col("sum_wd") < 0)).alias("inside"), n(known & (F.col("sum_wd") >= 0)).alias("outside"), n(~known).alias("unknown"), F.sum("sum_w").alias("weight"))
+    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).alias("n")
+    each = c.groupBy("chunk", "cx", "cy", "cz").agg(n(known & (F.col("sum_wd") < 0)).alias("inside"), n(known & (F.col("sum_wd") >= 0)).alias("outside"), n(~known).alias("unknown"), F.sum("sum_w").alias("weight"))
+    size, dense = chunk * voxel, chunk**3 * cell_bytes / 1e6
+    low, high = {a: F.min(f"c{a}") for a in "xyz"}, {a: F.max(f"c{a}") + 1 for a in "xyz"}
+    span = (high["x"] - low["x"]) * (high["y"] - low["y"]) * (high["z"] - low["z"])
+    return each.rollup("chunk").agg(
+        *[F.sum(k).alias(k) for k in ("inside", "outside", "unknown", "weight")], *[(low[a] * size).alias(f"{a}0") for a in "xyz"], *[(high[a] * size).alias(f"{a}1") for a in "xyz"],
+        (F.count("*") * dense).alias("megabytes"), (span * dense).alias("most_megabytes"),
+    )
 
 
 def dirty_chunks(updated: DataFrame) -> DataFrame:
@@ -184,6 +192,12 @@ def gradients(surface_rows: DataFrame, voxel: float, steep: float = 100.0) -> Da
     return d.filter(F.sqrt(sum((F.col(n) * F.col(n) for n in ("dy", "dz")), F.col("dx") * F.col("dx"))) <= steep * voxel)
 
 
+def look_up(points: DataFrame, cells: DataFrame, voxel: float, values: list[str]) -> DataFrame:
+    """points (x, y, z and own columns) with the values of the cell that holds each; null where there is no such cell."""
+    at = points.withColumns({n: g.cell(F.col(c), voxel) for n, c in zip(CELL, "xyz", strict=True)})
+    return at.join(cells.select(*CELL, *values), CELL, "left").drop(*CELL)
+
+
 def sample_trilinear(points: DataFrame, cells: DataFrame, key: str, voxel: float, values: list[str]) -> DataFrame:
     """(key, smooth, values): each value at points (key, x, y, z), trilinear among the eight cell centres around where all are there (then smooth is true),
     else that of the cell which holds the point; null where that lacks it too. cells: cell and values, none null. Points ask eight cells by an equi-join, and the answers are summed."""

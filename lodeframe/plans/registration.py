@@ -72,11 +72,19 @@ def a8f(spark, d):
     return op.errors_per_frame(_errors(spark, d)).select("frame_id", F.round("error", 6).alias("error"), "degree")
 
 
-@query("a9_point_errors", "WITH " + MATCHES + """
-SELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(sqrt(sum(pow(px - qx, 2) + pow(py - qy, 2) + pow(pz - qz, 2))) / count(*), 9) AS error FROM mm GROUP BY ref, new""")
+_GAPS = _MOVED + """, gp AS (SELECT *, sqrt(pow(mx - qx, 2) + pow(my - qy, 2) + pow(mz - qz, 2)) / pz AS gap FROM mv)"""
+
+
+@query("a9_point_errors", "WITH " + MATCHES + ",\n" + _GAPS + "\nSELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(sqrt(sum(gap * gap)) / count(*), 9) AS error FROM gp GROUP BY ref, new")
 def a9(spark, d):
-    gap = sum(((F.col("p" + c) - F.col("q" + c)) * (F.col("p" + c) - F.col("q" + c)) for c in "yz"), (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")))
-    return matches(spark, d).groupBy("ref", "new").agg(F.round(F.sqrt(F.sum(gap)) / F.count("*"), 9).alias("error"))
+    m = matches(spark, d)
+    return rigid.point_errors(m, _motions(m.select("ref", "new").distinct())).withColumn("error", F.round("error", 9))
+
+
+@query("a9_huber_errors", "WITH " + MATCHES + ",\n" + _GAPS + "\nSELECT CAST(ref AS INT) AS ref, CAST(new AS INT) AS new, round(sqrt(sum(gap * gap * CASE WHEN gap > 0.008 THEN 0.008 / gap ELSE 1 END)) / count(*), 9) AS error FROM gp GROUP BY ref, new")
+def a9_huber(spark, d):
+    m = matches(spark, d)
+    return rigid.point_errors(m, _motions(m.select("ref", "new").distinct()), huber=0.008).withColumn("error", F.round("error", 9))
 
 
 @query("a11_scale_change", "WITH " + MATCHES + """

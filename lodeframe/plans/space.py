@@ -226,8 +226,8 @@ def p24(spark, d):
 
 @query("p25_heat_colours", """
 WITH t AS (SELECT p_partkey, (p_size - 1) / 49.0::DOUBLE AS t FROM part)
-SELECT p_partkey, round(CASE WHEN t < 0.5 THEN 0.0 WHEN t < 0.75 THEN 4 * (t - 0.5) ELSE 1.0 END, 6) AS r,
-  round(CASE WHEN t < 0.25 THEN 4 * t WHEN t < 0.75 THEN 1.0 ELSE 1 + 4 * (0.75 - t) END, 6) AS g, round(CASE WHEN t < 0.25 THEN 1.0 WHEN t < 0.5 THEN 1 + 4 * (0.25 - t) ELSE 0.0 END, 6) AS b FROM t""")
+SELECT p_partkey, round(CASE WHEN t >= 0.5 AND t < 0.75 THEN 4 * (t - 0.5) ELSE 0.0 END, 6) AS r,
+  round(CASE WHEN t < 0.25 THEN 4 * t WHEN t >= 0.75 THEN 1 + 4 * (0.75 - t) ELSE 0.0 END, 6) AS g, round(CASE WHEN t >= 0.25 AND t < 0.5 THEN 1 + 4 * (0.25 - t) ELSE 0.0 END, 6) AS b FROM t""")
 def p25(spark, d):
     return fx.table(spark, d, "part").select("p_partkey", *[F.round(c, 6).alias(n) for c, n in zip(color.heat(F.col("p_size"), 1.0, 50.0), "rgb", strict=True)])
 

@@ -28,9 +28,9 @@ cam AS (SELECT c.*, (gx + 0.5) * 0.05 - ({tx} + 0.00273) AS x, (gy + 0.5) * 0.05
 pix AS (SELECT *, CAST(floor(60.0 * x / z + 31.5 + 0.5) AS INT) AS u, CAST(floor(60.0 * y / z + 23.5 + 0.5) AS INT) AS v, abs(0.0019 * o * o + 0.00152 * o + 0.001504) * 8.0 AS t FROM cam WHERE z > 0.1 AND z < 10.0),
 obs AS (SELECT p.frame_id, gx, gy, gz, d.depth_mm / 1000.0::DOUBLE - p.z AS d, t, 1.0 / (2 * t) AS w, d.r, d.g, d.b FROM pix p JOIN fx_dense d ON d.frame_id = p.frame_id AND d.u = p.u AND d.v = p.v
   WHERE d.depth_mm IS NOT NULL AND d.depth_mm / 1000.0::DOUBLE - p.z > -0.03 AND d.depth_mm / 1000.0::DOUBLE - p.z < t + sqrt(3.0) * 0.05),
-vox AS (SELECT gx, gy, gz, sum(w * d) AS sum_wd, sum(w) AS sum_w, CAST(sum(CASE WHEN abs(d) < sqrt(3.0) * 0.05 + 0.01 THEN r ELSE 0 END) AS BIGINT) AS sum_r,
+vox AS (SELECT gx, gy, gz, sum(w * d) AS sum_wd, sum(w) AS sum_w, {", ".join(f"CAST(sum(CASE WHEN abs(d) < sqrt(3.0) * 0.05 + 0.01 THEN {c} ELSE 0 END) AS BIGINT) AS sum_{c}" for c in "rgb")},
   CAST(sum(CASE WHEN abs(d) < sqrt(3.0) * 0.05 + 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS n_c, count(*) AS n FROM obs GROUP BY gx, gy, gz),
-sdf AS (SELECT gx, gy, gz, sum_wd / sum_w AS sdf, sum_w AS weight, sum_r, n_c FROM vox WHERE sum_w > 0.5)"""
+sdf AS (SELECT gx, gy, gz, sum_wd / sum_w AS sdf, sum_w AS weight, sum_r, sum_g, sum_b, n_c FROM vox WHERE sum_w > 0.5)"""
 
 
 def _head(tx: str = "tx") -> str:
@@ -68,9 +68,9 @@ def a12(spark, d):
     return voxels(spark, d).select("gx", "gy", "gz", (F.round("sum_wd", 6) + 0.0).alias("sum_wd"), F.round("sum_w", 6).alias("sum_w"))
 
 
-@query("a13_colour_fusion", _head() + "\nSELECT gx, gy, gz, sum_r, n_c FROM vox")
+@query("a13_colour_fusion", _head() + "\nSELECT gx, gy, gz, sum_r, sum_g, sum_b, n_c FROM vox")
 def a13(spark, d):
-    return voxels(spark, d).select("gx", "gy", "gz", "sum_r", "n_c")
+    return voxels(spark, d).select("gx", "gy", "gz", "sum_r", "sum_g", "sum_b", "n_c")
 
 
 @query("a14_carving", _head() + """, c AS (SELECT *, sum_wd < 0 AND (gx + gy + gz) % 2 = 0 AS hit FROM vox)
@@ -82,9 +82,13 @@ def a14(spark, d):
 
 @query("a15_chunk_statistics", _head() + """, c AS (SELECT format('{},{},{}', CAST(floor(gx / 8.0) AS INT), CAST(floor(gy / 8.0) AS INT), CAST(floor(gz / 8.0) AS INT)) AS chunk, * FROM vox)
 SELECT chunk, CAST(sum(CASE WHEN sum_w > 0.5 AND sum_wd < 0 THEN 1 ELSE 0 END) AS BIGINT) AS inside, CAST(sum(CASE WHEN sum_w > 0.5 AND sum_wd >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS outside,
-  CAST(sum(CASE WHEN sum_w > 0.5 THEN 0 ELSE 1 END) AS BIGINT) AS unknown, round(sum(sum_w), 4) AS weight FROM c GROUP BY ROLLUP (chunk)""")
+  CAST(sum(CASE WHEN sum_w > 0.5 THEN 0 ELSE 1 END) AS BIGINT) AS unknown, round(sum(sum_w), 4) AS weight,
+  round(min(floor(gx / 8.0)) * 0.4, 6) AS x0, round(min(floor(gy / 8.0)) * 0.4, 6) AS y0, round(min(floor(gz / 8.0)) * 0.4, 6) AS z0, round((max(floor(gx / 8.0)) + 1) * 0.4, 6) AS x1, round((max(floor(gy / 8.0)) + 1) * 0.4, 6) AS y1, round((max(floor(gz / 8.0)) + 1) * 0.4, 6) AS z1,
+  round(count(DISTINCT chunk) * 512 * 8 / 1e6, 6) AS megabytes, round((max(floor(gx / 8.0)) - min(floor(gx / 8.0)) + 1) * (max(floor(gy / 8.0)) - min(floor(gy / 8.0)) + 1) * (max(floor(gz / 8.0)) - min(floor(gz / 8.0)) + 1) * 512 * 8 / 1e6, 6) AS most_megabytes FROM c GROUP BY ROLLUP (chunk)""")
 def a15(spark, d):
-    return op.chunk_statistics(voxels(spark, d), fx.CHUNK).withColumn("weight", F.round("weight", 4))
+    """With the bounds in metres, and the memory of dense chunks of 8 bytes a cell: of those there are, and of all within the bounds."""
+    got = op.chunk_statistics(voxels(spark, d), fx.CHUNK, fx.VOXEL).withColumn("weight", F.round("weight", 4))
+    return got.withColumns({c: F.round(c, 6) for c in ("x0", "y0", "z0", "x1", "y1", "z1", "megabytes", "most_megabytes")})
 
 
 _CHUNKS = """ch AS (SELECT DISTINCT frame_id, CAST(floor(gx / 8.0) AS INT) AS cx, CAST(floor(gy / 8.0) AS INT) AS cy, CAST(floor(gz / 8.0) AS INT) AS cz FROM cells)"""
@@ -136,11 +140,13 @@ def g10(spark, d):
     return v.select("gx", "gy", "gz", (F.round("sum_wd", 6) + 0.0).alias("sum_wd"), F.round("sum_w", 6).alias("sum_w"))
 
 
-@query("s13_voxel_dump", _head() + "\nSELECT round((gx + 0.5) * 0.05, 6) AS x, round((gy + 0.5) * 0.05, 6) AS y, round((gz + 0.5) * 0.05, 6) AS z, round(sdf, 6) + 0.0 AS sdf, round(weight, 6) AS weight, round(CASE WHEN n_c > 0 THEN sum_r / n_c ELSE 255.0 END, 6) AS r FROM sdf")
+@query("s13_voxel_dump", _head() + "\nSELECT round((gx + 0.5) * 0.05, 6) AS x, round((gy + 0.5) * 0.05, 6) AS y, round((gz + 0.5) * 0.05, 6) AS z, round((sdf + 0.2) * 30, 5) + 0.0 AS nx, round(weight, 6) AS ny, round(sdf * 100, 5) + 0.0 AS nz, 1 AS intensity, " + ", ".join(f"round(CASE WHEN n_c > 0 THEN sum_{c} / n_c ELSE 255.0 END, 6) AS {c}" for c in "rgb") + " FROM sdf")
 def s13(spark, d):
+    """Cell centres; distance and weight lie in the normal's slots."""
     s = op.surface(voxels(spark, d))
     at = [F.round((F.col(c) + 0.5) * fx.VOXEL, 6).alias(n) for c, n in (("gx", "x"), ("gy", "y"), ("gz", "z"))]
-    return s.select(*at, (F.round("sdf", 6) + 0.0).alias("sdf"), F.round("weight", 6).alias("weight"), F.round("r", 6).alias("r"))
+    slots = [(F.round((F.col("sdf") + 0.2) * 30, 5) + 0.0).alias("nx"), F.round("weight", 6).alias("ny"), (F.round(F.col("sdf") * 100, 5) + 0.0).alias("nz")]
+    return s.select(*at, *slots, F.lit(1).alias("intensity"), *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
 _CUBES = """cubes AS (SELECT gx - (k & 1) AS gx, gy - ((k >> 1) & 1) AS gy, gz - (k >> 2) AS gz, sum(CASE WHEN sdf < 0 THEN 1 << k ELSE 0 END) AS mask, count(*) AS n
@@ -211,6 +217,16 @@ def g12(spark, d):
     return p.join(op.surface(voxels(spark, d).filter("n_c > 0")), ["gx", "gy", "gz"]).select("id", F.round("r", 6).alias("r"))
 
 
+@query("g13_cell_lookup", _head() + """, p AS (SELECT frame_id * 10000 + u * 100 + v AS id, CAST(floor((x + (tx + 0.00273)) / 0.05) AS INT) AS gx, CAST(floor((y + 0.00317) / 0.05) AS INT) AS gy, CAST(floor((z + (tz + 0.00171)) / 0.05) AS INT) AS gz FROM pts JOIN fx_pose USING (frame_id))
+SELECT id, round(sdf, 6) + 0.0 AS sdf, coalesce(round(weight, 6), 0) AS weight, sdf IS NOT NULL AS observed FROM p LEFT JOIN sdf USING (gx, gy, gz)""")
+def g13_cell(spark, d):
+    """Distance and weight of the cell that holds a point; weight 0 where nothing was observed."""
+    p = images.to_world(images.unproject_pixels(fx.dense(spark, d), CAM), _poses(spark, d))
+    p = p.select((F.col("frame_id") * 10000 + F.col("u") * 100 + F.col("v")).alias("id"), F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"))
+    got = op.look_up(p, op.surface(voxels(spark, d)), fx.VOXEL, ["sdf", "weight"])
+    return got.select("id", (F.round("sdf", 6) + 0.0).alias("sdf"), F.coalesce(F.round("weight", 6), F.lit(0.0)).alias("weight"), F.col("sdf").isNotNull().alias("observed"))
+
+
 @query("j10_chunks_seen", duck("fx_dense", "fx_pose") + ",\n" + PTS + """, wp AS (SELECT frame_id, floor((x + tx + 0.00273) / 0.4) AS cx, floor((y + 0.00317) / 0.4) AS cy, floor((z + tz + 0.00171) / 0.4) AS cz FROM pts JOIN fx_pose USING (frame_id)),
 box AS (SELECT frame_id, CAST(min(cx) AS INT) - 4 AS x0, CAST(max(cx) AS INT) + 5 AS x1, CAST(min(cy) AS INT) - 4 AS y0, CAST(max(cy) AS INT) + 5 AS y1, CAST(min(cz) AS INT) - 4 AS z0, CAST(max(cz) AS INT) + 5 AS z1 FROM wp GROUP BY frame_id),
 c AS (SELECT frame_id, cx, cy, cz, i FROM box, LATERAL (SELECT unnest(range(x0, x1)) AS cx), LATERAL (SELECT unnest(range(y0, y1)) AS cy), LATERAL (SELECT unnest(range(z0, z1)) AS cz), (SELECT unnest(range(0, 9)) AS i)),
@@ -223,6 +239,14 @@ def j10_seen(spark, d):
     return images.chunks_seen(_pixels(spark, d).select("frame_id", "u", "v", "depth"), _poses(spark, d), fx.VOXEL * fx.CHUNK, CAM, g.quadratic_truncation)
 
 
+def chunk_references(spark, d):
+    """The frame that sees each chunk best, by its mean normal."""
+    n = op.gradients(op.surface(voxels(spark, d)), fx.VOXEL)
+    at = [F.floor(F.col(c) / fx.CHUNK).cast("int").alias(k) for c, k in (("gx", "cx"), ("gy", "cy"), ("gz", "cz"))]
+    mean = n.groupBy(*at).agg(*[F.avg("d" + c).alias("n" + c) for c in "xyz"])
+    return op.chunk_reference(mean, _chunks(spark, d), _poses(spark, d), fx.VOXEL, fx.CHUNK)
+
+
 @query("j15_chunk_reference", _head() + ",\n" + _CHUNKS + """, s1 AS (SELECT *, (gx * 1000::BIGINT + gy) * 1000 + gz AS k FROM sdf WHERE sdf < 1),
 told AS (SELECT s.k + o AS k, i, sdf FROM s1 s, (VALUES (-1000000, 0), (1000000, 1), (-1000, 2), (1000, 3), (-1, 4), (1, 5), (0, 6)) t(o, i)),
 grad AS (SELECT k, (max(sdf) FILTER (i = 0) - max(sdf) FILTER (i = 1)) / 2 AS dx, (max(sdf) FILTER (i = 2) - max(sdf) FILTER (i = 3)) / 2 AS dy, (max(sdf) FILTER (i = 4) - max(sdf) FILTER (i = 5)) / 2 AS dz FROM told GROUP BY k HAVING count(*) = 7),
@@ -231,10 +255,7 @@ q AS (SELECT n.*, frame_id, cx * 0.4 - (tx + 0.00273) AS x, cy * 0.4 - 0.00317 A
 b AS (SELECT *, round((nx * x + ny * y + nz * z) / sqrt(x * x + y * y + z * z), 9) AS quality FROM q WHERE z > 0)
 SELECT cx, cy, cz, frame_id, round(quality, 6) + 0.0 AS quality FROM (SELECT *, row_number() OVER (PARTITION BY cx, cy, cz ORDER BY quality, frame_id DESC) AS rn FROM b) WHERE rn = 1""")
 def j15(spark, d):
-    n = op.gradients(op.surface(voxels(spark, d)), fx.VOXEL)
-    at = [F.floor(F.col(g) / fx.CHUNK).cast("int").alias(c) for g, c in (("gx", "cx"), ("gy", "cy"), ("gz", "cz"))]
-    mean = n.groupBy(*at).agg(*[F.avg("d" + c).alias("n" + c) for c in "xyz"])
-    return op.chunk_reference(mean, _chunks(spark, d), _poses(spark, d), fx.VOXEL, fx.CHUNK).withColumn("quality", F.round("quality", 6) + 0.0)
+    return chunk_references(spark, d).withColumn("quality", F.round("quality", 6) + 0.0)
 
 
 @query("g14_refined_depth")
