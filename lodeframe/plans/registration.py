@@ -214,7 +214,7 @@ def g4(spark, d):
 @query("g5_pair_registration")
 def g5(spark, d):
     """Two searches and two robust motions a frame pair: tested against the frames' known motions, and with pairs that only look alike."""
-    return rigid.register_pairs(fx.features(spark, d), fx.feature_pairs(spark, d), fx.FEATURE_CAMERA)[0]
+    return rigid.register_pairs(kept(fx.features(spark, d)), kept(fx.feature_pairs(spark, d)), fx.FEATURE_CAMERA)[0]
 
 
 _J = "[[1, 0, 0, 0, {0}z, -{0}y], [0, 1, 0, -{0}z, 0, {0}x], [0, 0, 1, {0}y, -{0}x, 0]]"

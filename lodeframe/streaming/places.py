@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions.geometry import Camera
-from lodeframe.operators.graph import map_components
+from lodeframe.operators.graph import kept, map_components
 from lodeframe.operators.registration import pair_moments
 from lodeframe.operators.rigid import register_pairs
 from lodeframe.operators.similarity import build_buckets, candidates, explode_keys, image_scores, salience, top_candidates
@@ -86,16 +86,20 @@ class PlaceIndex:
         known = self._table("keyframes", step - 1)
         counts = known.groupBy("seq").agg(F.count("*").alias("place"))
         new = chosen.join(counts, "seq", "left").select("seq", "frame_id", F.coalesce("place", F.lit(0).cast("bigint")).alias("place"))
-        fresh = self._put("features", batch.join(chosen, ["seq", "frame_id"], "left_semi"), step)
+        self._put("features", batch.join(chosen, ["seq", "frame_id"], "left_semi"), step)
         features = self._table("features", step)
-        found = self.closures(new, features, known).unionByName(new.filter("place > 0").select("seq", F.col("place") - 1)).distinct()
+        found = self.closures(new, features, known).unionByName(new.filter("place > 0").select("seq", (F.col("place") - 1).alias("place"))).distinct()
         pairs = found.join(known.select("seq", "place", F.col("frame_id").alias("ref")), ["seq", "place"]).join(new.select("seq", F.col("frame_id").alias("new")), "seq").select("ref", "new")
         pairs = pairs.persist()
-        own = features.join(pairs.select(F.explode(F.array("ref", "new")).alias("frame_id")).distinct(), "frame_id", "left_semi")
-        registered, inliers = register_pairs(own.drop("seq", "step"), pairs, self.camera, hamming_below=self.hamming, **self.registration)
-        good = registered.filter("registered")
-        sums = pair_moments(inliers, F.col("weight"))
-        edges = self._put("edges", good.join(sums, ["ref", "new"]).join(new.select("seq", F.col("frame_id").alias("new")), "new"), step)
+        own = kept(features.join(pairs.select(F.explode(F.array("ref", "new")).alias("frame_id")).distinct(), "frame_id", "left_semi"))
+        if pairs.isEmpty():  # first keyframes only
+            good = self.spark.createDataFrame([], "ref int, new int, r array<double>, t array<double>, disparity double")
+            self._put("edges", self.spark.createDataFrame([], EDGES), step)
+        else:
+            registered, inliers = register_pairs(own.drop("seq", "step"), pairs, self.camera, hamming_below=self.hamming, **self.registration)
+            good = registered.filter("registered")
+            sums = pair_moments(inliers, F.col("weight"))
+            self._put("edges", good.join(sums, ["ref", "new"]).join(new.select("seq", F.col("frame_id").alias("new")), "new"), step)
         best = good.groupBy("new").agg(F.min_by(F.struct("ref", "r", "t"), F.struct("disparity", "ref")).alias("b"), F.count("*").cast("int").alias("registrations"))
         at = new.join(best.withColumnRenamed("new", "frame_id"), "frame_id", "left")
         at = at.join(known.select(F.col("frame_id").alias("reference"), F.col("r").alias("rr"), F.col("t").alias("tr")), F.col("b.ref") == F.col("reference"), "left")
