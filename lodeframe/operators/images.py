@@ -177,7 +177,7 @@ def fuse_depth(projected: DataFrame, px: DataFrame, depth: str, weight: str, tol
     return hit.withColumns({"depth": F.when(near, mean).otherwise(F.col("z")), "new_weight": F.col(weight) + F.when(near, 1).otherwise(0)}).drop("__f", "__u", "__v")
 
 
-def quads(px: DataFrame, depth: str) -> DataFrame:
+def depths_around(px: DataFrame, depth: str) -> DataFrame:
     """(frame_id, u, v, q): the depths of each pixel, its right, its lower and its lower right neighbour, 0 where there is none. Each pixel
     tells the four that it is part of: one grouping, no join."""
     told = px.select("frame_id", F.col("u"), F.col("v"), F.col(depth).alias("__d"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("__k"))
@@ -202,7 +202,7 @@ def refine_depth(points: DataFrame, relative: DataFrame, px: DataFrame, depth: s
     m = m.withColumns({"__u": at(uv.x), "__v": at(uv.y)})
     inside = (F.col("__z") > 0) & F.col("z").between(near, far) & (F.col("__u") > border) & (F.col("__u") < cam.width - border) & (F.col("__v") > border) & (F.col("__v") < cam.height - border)
     m = m.withColumns({"__i": F.when(inside, F.floor("__u")).cast("int"), "__j": F.when(inside, F.floor("__v")).cast("int")})
-    side = quads(px, depth).select(F.col("frame_id").alias("to_frame"), F.col("u").alias("__i"), F.col("v").alias("__j"), "q")
+    side = depths_around(px, depth).select(F.col("frame_id").alias("to_frame"), F.col("u").alias("__i"), F.col("v").alias("__j"), "q")
     hit = m.join(side, ["to_frame", "__i", "__j"], "left")
     q = [F.get("q", F.lit(k)) for k in range(4)]
     fu, fv = F.col("__u") - F.col("__i"), F.col("__v") - F.col("__j")

@@ -102,7 +102,7 @@ def _system(edges: DataFrame, poses: DataFrame, free: DataFrame) -> tuple[DataFr
     return blocks, kept(rows)
 
 
-def conjugate_gradients(blocks: DataFrame, rows: DataFrame, tolerance: float = 1e-8, most: int = 400) -> DataFrame:
+def conjugate_gradients(blocks: DataFrame, rows: DataFrame, tolerance: float = 1e-6, most: int = 400) -> DataFrame:
     """(id, map, x): the solution of each map's system, preconditioned by the inverses of its diagonal blocks.
 
     A round is one job: a join and a grouping for the product, one grouping by map for both of the round's inner products, and
@@ -112,7 +112,7 @@ def conjugate_gradients(blocks: DataFrame, rows: DataFrame, tolerance: float = 1
     zero = F.array(*[F.lit(0.0)] * 6)
     state = rows.select("id", "map", "m", zero.alias("x"), F.col("b").alias("r"), zero.alias("p"), zero.alias("s"), F.lit(0.0).alias("gamma"), F.lit(1.0).alias("alpha"), F.lit(-1.0).alias("first"))
     state = kept(state.withColumn("u", F.array(*_product("m", "r"))))
-    for _ in range(most):
+    for k in range(most):
         ask = blocks.join(state.select(F.col("id").alias("col"), "u"), "col")
         w = ask.select("row", F.array(*_product("h", "u")).alias("v")).groupBy("row").agg(F.array(*[F.sum(_at("v", k)) for k in range(6)]).alias("w"))
         now = state.join(w.withColumnRenamed("row", "id"), "id")
@@ -127,7 +127,7 @@ def conjugate_gradients(blocks: DataFrame, rows: DataFrame, tolerance: float = 1
         go = F.when(F.col("still"), 0.0).otherwise(F.col("__a"))
         now = now.withColumns({"x": _step("x", go, "p"), "r": _step("r", -go, "s")}).withColumn("u", F.array(*_product("m", "r")))
         state = kept(now.select("id", "map", "m", "x", "r", "p", "s", F.col("__g").alias("gamma"), F.col("__a").alias("alpha"), "first", "u", "still"))
-        if state.filter("not still").isEmpty():
+        if k % 2 and state.filter("not still").isEmpty():
             return state.select("id", "map", "x")
         state = state.drop("still")
     raise RuntimeError(f"residuals are not below {tolerance} after {most} rounds")
