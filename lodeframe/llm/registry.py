@@ -9,6 +9,7 @@ from lodeframe.llm.common import read_table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text of `documents`."""
     import public_tokenizers
 
     from lodeframe.llm.tokens import count_tokens
@@ -35,6 +36,7 @@ def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of `documents` within windows of `benchmark`, and the longest verbatim match with its place."""
     from lodeframe.llm.decontaminate import contamination
 
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -56,12 +58,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of `documents` to its sources' targets."""
     from lodeframe.llm.mixing import mix
 
     return mix(read_table(spark, sf_dir, "documents"))
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` archived as WARC records and read back."""
     from lodeframe.llm.warc import archive_pages, read_archives
 
     capture = archive_pages(read_table(spark, sf_dir, "pages"))
@@ -69,30 +73,35 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates of `documents`."""
     from lodeframe.llm.neardup import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of `documents`, learnt from `labels`."""
     from lodeframe.llm.quality import score_quality
 
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of `documents`, learnt from `labels`."""
     from lodeframe.llm.toxicity import score_toxicity
 
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdicts of `documents`; `labels` name the trusted ones."""
     from lodeframe.llm.rules import quality_rules
 
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of `documents`, learnt from those that are not held out."""
     from lodeframe.llm.maxent import score_documents
 
     return score_documents(read_table(spark, sf_dir, "documents"))
