@@ -7,16 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import by_bytes, fold, mix64, segment_sum, stage, utf8_texts, word_ids
+from lodeframe.llm.common import by_bytes, fold, mix64, rows_with, segment_sum, stage, utf8_texts, word_ids
 
 #: Buckets of hashed words and word pairs.
 BUCKETS = 1 << 16
-#: Trusted documents that the target multinomial is counted on, at most.
-MAX_TRUSTED = 20_000
 #: What rejecting a good document costs, against keeping a bad one, where the threshold is set.
 GOOD_COST = 5.0
 #: N-grams that are added to a text's number, so that short texts are not judged by one word.
@@ -46,28 +44,27 @@ def hashed_ngrams(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarra
 def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, batch_bytes: int = 4 << 20) -> DataFrame:
     """(bucket, raw, target): n-grams over all documents, and over the trusted ones.
 
-    `trusted` (column __id) is bounded by its maker, so it is broadcast; texts are not shuffled.
+    `trusted` (column __id) may be of any size; only texts that it, or a few others, name are shuffled.
     Each task sends at most one row a bucket.
     """
-    held = F.broadcast(trusted.select(F.col("__id")).distinct().withColumn("__ok", F.lit(True)))
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(held, F.col("__doc") == F.col("__id"), "left")
-    rows = rows.select("__text", F.coalesce("__ok", F.lit(False)).alias("__ok"))
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        found = np.zeros(buckets, np.int64)
         for batch in batches:
-            texts, ok = list(utf8_texts(batch.column(0))), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts = list(utf8_texts(batch.column(0)))
             for a, b in by_bytes(texts, batch_bytes):
-                one, two, _, count, _ = hashed_ngrams(texts[a:b], buckets)
-                mine = np.repeat(ok[a:b], count)
-                for x, keep in ((one, None), (two, two >= 0)):
-                    y, m = (x, mine) if keep is None else (x[keep], mine[keep])
-                    raw += np.bincount(y, minlength=buckets)
-                    target += np.bincount(y[m], minlength=buckets)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": some, "raw": raw[some], "target": target[some]})
+                one, two, *_ = hashed_ngrams(texts[a:b], buckets)
+                found += np.bincount(one, minlength=buckets) + np.bincount(two[two >= 0], minlength=buckets)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"bucket": some, "n": found[some]})
 
-    return rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    def counted(texts: DataFrame, raw: Column, target: Column) -> DataFrame:
+        return texts.select("__text").mapInArrow(run, "bucket long, n long").select("bucket", raw.alias("raw"), target.alias("target"))
+
+    n, none = F.col("n"), F.lit(0).cast("long")
+    named = rows_with(rows, "__doc", trusted.select("__id").distinct(), "__id")
+    return counted(rows, n, none).union(counted(named, none, n)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smooth: float = 5.0) -> np.ndarray:
@@ -133,39 +130,39 @@ def pick_threshold(histogram: pd.DataFrame, cost: float = GOOD_COST) -> float:
     return float(edges[widest[0]] + edges[widest[-1]]) / 200
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float | None = None, folds: int = 5, max_trusted: int = MAX_TRUSTED, buckets: int = BUCKETS, batch_bytes: int = 4 << 20) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float | None = None, folds: int = 5, buckets: int = BUCKETS, batch_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of `docs`: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, log_ratio (per n-gram) and kept.
 
-    Trusted are the rows of `labels` with label 1 outside fold 0, at most `max_trusted` by hash of
-    their id; the raw multinomial counts all documents. A text fails the base rules with fewer than
-    50 words or with over half of its words in repeated 3-word windows; any other is kept if its
-    log ratio is at least `threshold`, which is set on the labelled rows of fold 0 (as many at
-    most) unless it is given: one number for all documents. Null and empty texts have no words and
+    Trusted are all rows of `labels` with label 1 outside fold 0; the raw multinomial counts all
+    documents. A text fails the base rules with fewer than 50 words or with over half of its words
+    in repeated 3-word windows; any other is kept if its log ratio is at least `threshold`, which
+    is set on all labelled rows of fold 0 unless it is given: one number for all documents. Null and empty texts have no words and
     fail. Repeated rows give repeated rows and count as often; without trusted rows every ratio is
     0 and the base rules decide. Other columns are not read.
     """
     valid = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     valid = valid.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
-    order = [F.xxhash64("__id", F.lit(11)), F.col("__id")]
-    trusted = valid.filter((fold("__id", folds) != 0) & (F.col("__y") == 1)).orderBy(*order).limit(max_trusted)
+    trusted = valid.filter((fold("__id", folds) != 0) & (F.col("__y") == 1))
     table = log_ratios(ngram_counts(docs, trusted, id_col, text_col, buckets, batch_bytes), buckets)
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    scored = _scored(docs, sent, id_col, text_col, [], buckets, batch_bytes)
+    scored = _scored(docs, sent, id_col, text_col, buckets, batch_bytes)
     if threshold is None:
-        held = F.broadcast(stage(valid.filter(fold("__id", folds) == 0).orderBy(*order).limit(max_trusted), "rules-held"))
-        some = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__t")).join(held, F.col("__doc") == F.col("__id"))
-        bins = _scored(some, sent, "__doc", "__t", ["__y"], buckets, batch_bytes).filter("not base_failed")
-        threshold = pick_threshold(bins.groupBy(F.floor(F.col("log_ratio") * 100).alias("x"), F.col("__y").alias("y")).agg(F.count("*").alias("n")).toPandas())
+        # scores are written, and meet the labels without their texts
+        scored = stage(scored, "rules-scored")
+        judged = scored.filter("not base_failed").select(F.col(id_col).alias("__doc"), F.floor(F.col("log_ratio") * 100).alias("x"))
+        held = valid.filter(fold("__id", folds) == 0)
+        bins = judged.join(held, F.col("__doc") == F.col("__id")).groupBy("x", F.col("__y").alias("y")).agg(F.count("*").alias("n"))
+        threshold = pick_threshold(bins.toPandas())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= F.lit(threshold)))
 
 
-def _scored(docs: DataFrame, sent, id_col: str, text_col: str, extra: list[str], buckets: int, batch_bytes: int) -> DataFrame:
-    """(id, extra columns, counts, base_failed, log_ratio)."""
+def _scored(docs: DataFrame, sent, id_col: str, text_col: str, buckets: int, batch_bytes: int) -> DataFrame:
+    """(id, counts, base_failed, log_ratio)."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    picked = docs.select(id_col, *extra, F.col(text_col).alias("__text"))
+    picked = docs.select(id_col, F.col(text_col).alias("__text"))
     schema = T.StructType(
-        [*picked.schema.fields[:-1]]
+        [picked.schema.fields[0]]
         + [T.StructField(c, T.LongType()) for c in names]
         + [T.StructField("base_failed", T.BooleanType()), T.StructField("log_ratio", T.DoubleType())]
     )
@@ -173,14 +170,14 @@ def _scored(docs: DataFrame, sent, id_col: str, text_col: str, extra: list[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = np.append(sent.value, 0.0)
         for batch in batches:
-            texts = list(utf8_texts(batch.column(batch.num_columns - 1)))
+            texts = list(utf8_texts(batch.column(1)))
             for a, b in by_bytes(texts, batch_bytes):
                 one, two, ids, count, vocabulary = hashed_ngrams(texts[a:b], buckets)
                 got = {"n_words": count} | text_counts(texts[a:b], ids, count, vocabulary)
                 score = segment_sum(ratio[one] + ratio[two], count) / (np.maximum(2 * count - 1, 0) + PRIOR_NGRAMS)
                 failed = (count < 50) | (100 * got["n_repeat_words"] > 50 * count)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns[:-1], *[pa.array(got[c]) for c in names], pa.array(failed), pa.array(score)],
+                    [batch.column(0).slice(a, b - a), *[pa.array(got[c]) for c in names], pa.array(failed), pa.array(score)],
                     names=schema.names,
                 )
 

@@ -8,6 +8,8 @@ import math
 import re
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +327,26 @@ def test_quality_rules(docs, labels, edge):
     assert rules.quality_rules(edge.filter("doc_id < 0"), labels.filter("doc_id < 0")).count() == 0
 
 
+def test_quality_rules_learn_from_every_label(spark):
+    """Over 20,000 trusted and over 20,000 held-out rows, each with a word of its own."""
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{m}_"), F.pmod(F.col("doc_id"), F.lit(m)).cast("string")) for m in range(3, 52)], F.concat(F.lit("u"), F.col("doc_id").cast("string")))
+    df = spark.range(50_000).withColumnRenamed("id", "doc_id").withColumn("text", words)
+    marks = df.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"))
+    got = rules.quality_rules(df, marks, folds=2).toPandas().sort_values("doc_id", ignore_index=True)
+    texts = [t.encode() for _, t in sorted(texts_of(df))]
+    one, two, _, count, _ = rules.hashed_ngrams(texts)
+    held = np.array([zlib.crc32(str(i).encode()) % 2 == 0 for i in range(50_000)])
+    good = np.arange(50_000) % 10 > 0
+    assert (good & ~held).sum() > 20_000 and held.sum() > 20_000
+    mine = np.repeat(good & ~held, count)
+    raw, target = (np.bincount(np.append(one[m], two[m & (two >= 0)]), minlength=rules.BUCKETS) for m in (np.ones_like(mine), mine))
+    ratio = np.append(rules.log_ratios(spark.createDataFrame(pd.DataFrame({"bucket": np.arange(rules.BUCKETS), "raw": raw, "target": target}))), 0.0)
+    want = (ratio[one] + ratio[two]).reshape(50_000, 50).sum(1) / (99 + rules.PRIOR_NGRAMS)
+    assert not got.base_failed.any() and np.abs(got.log_ratio - want).max() < 1e-9
+    bins = pd.DataFrame({"x": np.floor(got.log_ratio * 100), "y": good.astype(int)})[held].value_counts().rename("n").reset_index()
+    assert (got.kept == (got.log_ratio >= rules.pick_threshold(bins))).all()
+
+
 def test_lm_scores(docs, edge):
     rows = texts_of(docs)
     tok = {i: WORD.findall(low(t)) + [None] for i, t in rows}
