@@ -7,6 +7,7 @@ import itertools
 import json
 import os
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +24,14 @@ _TAIL = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~'"""
 _SAFE = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
 
-class _Words(dict):
-    """word -> number; a new word gets the next number and waits in `fresh`."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.count, self.fresh = itertools.count(), []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = next(self.count)
-        self.fresh.append(word)
-        return n
-
-
 class TokenIds:
     """A function from texts to their ids.
 
     A byte-level file's pattern always cuts before a single space, and around a single line end, that
     stands between two characters that are no white space, and between a letter and ASCII punctuation. So a
     text is the words between such places (each with its space or line end before it), which Arrow splits and numbers; a word is cut again before the
-    punctuation that ends it; only new words reach the library, joined by line ends. Texts with other
+    punctuation that ends it; only new words reach the library: ASCII letters, which its pattern leaves whole, its model,
+    others joined by line ends. Texts with other
     white space at a word's edge or with a special token's opening go to the library whole; so does every text if the
     file is of another kind.
     """
@@ -65,11 +54,10 @@ class TokenIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.words = _Words()
+        self.words, self.known = defaultdict(itertools.count().__next__), 1  # the first `known` numbers have ids
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.size, self.odd = (np.zeros(1 << 14, t) for t in (np.int64, np.int32, bool))
         self.lone = self.words["\n"]  # a line end with nothing after it
-        self.words.fresh = []
         self.flat[0], self.used, self.size[self.lone], self.odd[self.lone] = self.line, 1, 1, True
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -91,45 +79,57 @@ class TokenIds:
         if self.used + ids > len(self.flat):
             self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + ids))
 
+    def _keep(self, number: np.ndarray, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Stores the ids of words, which begin at `at`."""
+        self._room(len(ids))
+        self.at[number], self.size[number] = self.used + at, size
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def _learn(self) -> None:
         """Ids of the words seen for the first time since the last call."""
-        words, fresh = self.words, self.words.fresh
-        if not fresh:
-            return
-        items, odd, cut, cores, tails = [], [], [], [], []
-        for word in fresh:  # grows meanwhile: a word's core and its end may be new words too
-            body = word[1:] if word[:1] in ("\n", " ") else word
-            if not body or body[0].isspace() or body[-1].isspace() or "<|" in word:
-                odd.append(words[word])
-                continue
-            core = word.rstrip(_TAIL)
-            if core != word and "A" <= core[-1:].upper() <= "Z":
-                cut.append(words[word])
-                cores.append(words[core])
-                tails.append(words[" " + word[len(core) :]])  # no space before it; no word of a text begins so
-            else:
-                items.append(word)
-        words.fresh = []
-        self._room(0)
-        self.odd[np.fromiter(map(words.__getitem__, fresh), np.int64, len(fresh))] = False
-        self.odd[odd] = True
+        words, tokenize = self.words, self.tok.model.tokenize
+        cut, cores, tails = [], [], []
         plain = lambda w: w[1:] if w[0] in "\n " else " " + w
-        for i in range(0, len(items), JOINED * 64):
-            some = items[i : i + JOINED * 64]
-            groups = [some[k : k + JOINED] for k in range(0, len(some), JOINED)]
-            for group, ids in zip(groups, self._library(["\n" + "\n".join(map(plain, g)) for g in groups]), strict=True):
-                ends = np.flatnonzero(ids == self.line)
-                if len(ends) != len(group):  # a word's own ids look like a line end: each by itself
-                    ids = [np.append(self.line, x) for x in self._library(list(map(plain, group)))]
-                    ends = np.cumsum([0, *map(len, ids[:-1])])
-                    ids = np.concatenate(ids)
-                number = np.fromiter(map(words.__getitem__, group), np.int64, len(group))
-                lead = np.fromiter((w[0] == "\n" for w in group), np.int64, len(group))  # its line end is the one before it
-                self._room(len(ids))
-                self.at[number] = self.used + ends + 1 - lead
-                self.size[number] = np.diff(ends, append=len(ids)) - 1 + lead
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+        while self.known < len(words):  # a word's core and its end may be new words too
+            base, self.known = self.known, len(words)
+            fresh = list(itertools.islice(reversed(words), self.known - base))[::-1]
+            letters, odd, items = [], [], []
+            for n, word in enumerate(fresh, base):
+                if word.isalpha() and word.isascii():
+                    letters.append(n)
+                    continue
+                body = word[1:] if word[:1] in ("\n", " ") else word
+                if not body or body[0].isspace() or body[-1].isspace() or "<|" in word:
+                    odd.append(n)
+                    continue
+                core = word.rstrip(_TAIL)
+                if core != word and "A" <= core[-1:].upper() <= "Z":
+                    cut.append(n)
+                    cores.append(words[core])
+                    tails.append(words[" " + word[len(core) :]])  # no space before it; no word of a text begins so
+                else:
+                    items.append(n)
+            self._room(0)
+            self.odd[base : self.known] = False
+            self.odd[odd] = True
+            for i in range(0, len(letters), JOINED * 64):
+                number = letters[i : i + JOINED * 64]
+                got = [[t.id for t in tokenize("\u0120" + fresh[n - base])] for n in number]  # a byte-level file's sign for a space
+                size = np.fromiter(map(len, got), np.int64, len(got))
+                ids = np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum()))
+                self._keep(np.array(number), ids, np.cumsum(size) - size, size)
+            for i in range(0, len(items), JOINED * 64):
+                numbers = [items[k : k + JOINED] for k in range(i, min(i + JOINED * 64, len(items)), JOINED)]
+                groups = [[fresh[n - base] for n in some] for some in numbers]
+                for number, group, ids in zip(numbers, groups, self._library(["\n" + "\n".join(map(plain, g)) for g in groups]), strict=True):
+                    ends = np.flatnonzero(ids == self.line)
+                    if len(ends) != len(group):  # a word's own ids look like a line end: each by itself
+                        ids = [np.append(self.line, x) for x in self._library(list(map(plain, group)))]
+                        ends = np.cumsum([0, *map(len, ids[:-1])])
+                        ids = np.concatenate(ids)
+                    lead = np.fromiter((w[0] == "\n" for w in group), np.int64, len(group))  # its line end is the one before it
+                    self._keep(np.array(number), ids, ends + 1 - lead, np.diff(ends, append=len(ids)) - 1 + lead)
         if cut:
             both = np.array([cores, tails]).T.ravel()
             size, at = self.size[both].astype(np.int64), self.at[both]
@@ -154,7 +154,8 @@ class TokenIds:
         lists = pc.split_pattern(marked, " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         found = lists.flatten().dictionary_encode()
-        number = np.fromiter(map(self.words.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+        distinct = found.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
         self._learn()
         number = number[found.indices.to_numpy()]
         odd, last = self.odd[number], bounds[1:] - 1

@@ -155,6 +155,19 @@ def test_ids_are_the_library_s():
     assert pieces.TokenIds(other)(pa.array(["Some words, here"]))[0].tolist() == Tokenizer.from_file(other).encode("Some words, here", add_special_tokens=False).ids
 
 
+def test_plain_words_need_no_text_of_their_own():
+    """New words of ASCII letters are looked up by the library's model, without a text around them."""
+    encode, library = pieces.TokenIds(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    asked, through = [], encode._library
+    encode._library = lambda texts: asked.extend(texts) or through(texts)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeinorstABEhwy", k=rng.randrange(1, 15))) for _ in range(3000)]
+    texts = ["a " + " ".join(words), "a " + ", ".join(words[:400]), "a\n" + " \u00fcber ".join(words[:50]), " ".join(words[::-1])]
+    got = encode(pa.array(texts), 2)
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert asked and sum(map(len, asked)) < 100
+
+
 def test_code_lengths_are_best():
     rng = np.random.default_rng(2)
     for _ in range(60):
