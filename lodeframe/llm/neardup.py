@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import HOT_KEYS, LOWER, by_bytes, hot_join, mix64, numbered, small_batches, stage, utf8_texts
+from lodeframe.llm.common import HOT_KEYS, ID_WORDS, LOWER, by_bytes, hot_join, likely, mix64, numbered, small_batches, stage, utf8_texts
 
 #: Bytes of text whose shingles are hashed at once.
 BATCH_BYTES = 1 << 20
@@ -27,8 +27,6 @@ BATCH_BYTES = 1 << 20
 BLOCK = 256
 #: Shingles of such a block.
 BLOCK_SHINGLES = 150_000
-#: 64-bit words of the bitmap that keeps documents without candidates out of the shuffle.
-ID_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -198,16 +196,19 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, p: Par
     return stage(_sets(docs, _needed(ids), id_col, text_col, p), "neardup-sets")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (x, y) whose full sets meet the threshold. Only the documents that stand in pairs
-    are shuffled. A y of many pairs has its set copied to as many salts as its pairs are dealt over."""
-    pairs, one = stage(pairs, "neardup-open"), sets.dropDuplicates(["id", "set"])
+def _confirm(pairs: DataFrame, sets: DataFrame, p: Params, unique: bool) -> DataFrame:
+    """The pairs (x, y) whose full sets meet the threshold; unique: no two rows of sets share an id.
+
+    Sets are shuffled by id once, then those of x and of y to their pair. A y of many pairs has its
+    set copied to as many salts as its pairs are dealt over."""
+    pairs, one = stage(pairs, "neardup-open"), sets if unique else sets.dropDuplicates(["id", "set"])
     limit = max(64, -(-pairs.count() // HOT_KEYS))
     # at most HOT_KEYS rows
     hot = F.broadcast(pairs.groupBy("y").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("y", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
     dealt = pairs.join(hot, "y", "left").select("x", "y", F.pmod(F.xxhash64("x", F.lit(7)), salts).cast("int").alias("salt"))
-    copied = one.withColumnsRenamed({"id": "y", "set": "b"}).join(hot, "y", "left").select("y", "b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    places = pairs.select("y").distinct().join(hot, "y", "left").select("y", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    copied = places.join(one.withColumnsRenamed({"id": "y", "set": "b"}), "y")
     both = dealt.join(one.withColumnsRenamed({"id": "x", "set": "a"}), "x").join(copied, ["y", "salt"]).select("x", "y", "a", "b")
     id_type = pairs.schema["x"].dataType
     schema = T.StructType([T.StructField("x", id_type), T.StructField("y", id_type)])
@@ -296,6 +297,7 @@ def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params)
     whose open pairs are confirmed side by side and never become rows.
     """
     words = [f"s{i}" for i in range(p.sketch_words)]
+    nodes = likely(nodes, "id", buckets, "id")
     known = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(nodes, "id")
     mixed = (
         known.groupBy("key")
@@ -384,7 +386,7 @@ def _families(members: DataFrame, dense: DataFrame, nodes: DataFrame, p: Params)
     crowd = stage(crowd, "neardup-crowd")
     first = stage(crowd.groupBy("key").agg(F.min("id").alias("y"), F.count("*").alias("__n")), "neardup-crowd")
     family = components(hot_join(crowd, first, "key", crowd.count()).select(F.col("id").alias("x"), "y"), "neardup-families")
-    known = family.select("id", F.col("comp").alias("key")).join(crowd.select("id", "comp").distinct(), "id").join(nodes, "id")
+    known = family.select("id", F.col("comp").alias("key")).join(crowd.select("id", "comp").distinct(), "id").join(likely(nodes, "id", crowd, "id"), "id")
     parts = known.groupBy("key").agg(
         F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts")
     )
@@ -444,10 +446,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = nodes.select("n", "h0", "h1", F.col("id").alias("rep"))
     # copies follow their node; only an id that stands for several sets links those sets' nodes
     several = sets.groupBy("id").agg(F.min("h0").alias("lo"), F.max("h0").alias("hi")).filter("lo <> hi").select("id")
+    unique = sets.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     shared = sets.join(several, "id").join(same, ["n", "h0", "h1"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
     keyed = nodes.select(F.explode("keys").alias("key"), "id")
     leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("__n")).filter("__n > 1")
-    buckets = stage(hot_join(keyed, stage(leaders, "neardup-leaders"), "key", p.bands * nodes.count()), "neardup-buckets")
+    leaders = stage(leaders, "neardup-leaders")
+    buckets = stage(hot_join(likely(keyed, "key", leaders, "key"), leaders, "key", p.bands * nodes.count()), "neardup-buckets")
     stars = stage(buckets.filter("id <> lead").select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct(), "neardup-stars")
     lead = stars.groupBy("y").agg(F.count("*").alias("__n"))
     lead = stage(lead.join(nodes.select(F.col("id").alias("y"), F.struct(*words).alias("b")), "y"), "neardup-leads")
@@ -455,16 +459,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = hot_join(stars.join(side, "x"), lead, "y", stars.count()).filter(_near("a", "b", p)).select("x", "y")
     first = stage(first, "neardup-pairs")
     ids = lambda df: df.select(F.col("x").alias("id")).union(df.select("y"))
-    links = stage(_confirm(first, _sets_of(docs, ids(first), id_col, text_col, p), p), "neardup-links")
+    links = stage(_confirm(first, _sets_of(docs, ids(first), id_col, text_col, p), p, unique), "neardup-links")
     comp = components(links)
     members, work = _leftovers(buckets.select("key", "id"), comp, nodes, p)
     rest, dense = work.filter("x is not null").select("x", "y"), work.filter("x is null").select("key", "a", "b")
     if dense.isEmpty():
-        more = _confirm(rest, _sets_of(docs, ids(rest), id_col, text_col, p), p)
+        more = _confirm(rest, _sets_of(docs, ids(rest), id_col, text_col, p), p, unique)
     else:
         placed, pairs = _families(members, dense, nodes, p)
         sets = _sets_of(docs, ids(rest).union(placed.select("id")), id_col, text_col, p)
-        more = _confirm(rest, sets, p).union(_confirm_blocks(placed, pairs, sets, p))
+        more = _confirm(rest, sets, p, unique).union(_confirm_blocks(placed, pairs, sets, p))
     # what is linked already goes in as stars, which need no further round
     final = components(comp.select("id", "comp").withColumnsRenamed({"id": "x", "comp": "y"}).union(more).union(shared))
     own = ["n", "h0", "h1"]

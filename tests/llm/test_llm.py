@@ -103,6 +103,28 @@ def test_near_duplicates_of_a_crowd(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_shuffle_sets_twice(spark):
+    """A set goes to its id and to its pair, where no join is a broadcast; rows of one id go their own way to the same groups."""
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda k: F.xxhash64(F.floor(F.col("doc_id") / 2), k).cast("string")))
+    df = spark.range(120).withColumnRenamed("id", "doc_id").select("doc_id", F.concat_ws(" ", words, (F.col("doc_id") % 2).cast("string")).alias("text"))
+    was, sc = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.sparkContext
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sc.setJobGroup("near", "near")
+    try:
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+        jobs = sc.statusTracker().getJobIdsForGroup("near")
+        stages = {i for j in jobs for i in sc.statusTracker().getJobInfo(j).stageIds}
+        sent = sum(sc._jsc.sc().statusStore().lastStageAttempt(i).shuffleWriteBytes() for i in stages)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {i: i // 2 * 2 for i in range(120)}
+    sets = 120 * 1999 * 8
+    assert 1.5 * sets < sent < 2.75 * sets
+    again = neardup.near_duplicates(df.union(df.filter("doc_id < 60")).union(spark.createDataFrame([(1, "one more text")], "doc_id long, text string")))
+    assert {r.doc_id: r.component_id for r in again.collect()} == got
+
+
 def test_near_duplicates_edges(edge):
     got = neardup.near_duplicates(edge).collect()
     assert len(got) == len(EDGE)
