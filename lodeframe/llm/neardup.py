@@ -4,8 +4,9 @@ Each document's MinHash samples give band keys and an odd sketch: every sample f
 bitmap, so the bits in which two bitmaps differ count the samples that differ. Documents with
 equal sets are one node from the start. In each band bucket all members are first held against the
 bucket's smallest member; what that leaves unconnected is compared by sketches in blocks of a
-bucket. Only pairs in different components are confirmed, each on its full sets, so a group of
-near copies costs about one pair a member, and no link between components is lost.
+bucket. Only pairs in different components are confirmed, so a group of near copies costs about one
+pair a member, and no link between components is lost. Bitmaps of the whole sets first rule out
+pairs that differ in too many shingles, without error; the others are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -109,12 +110,33 @@ def signatures(flat: np.ndarray, count: np.ndarray, p: Params) -> tuple[np.ndarr
     return sums, keys, sketch
 
 
+def parities(flat: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Each set's size and bitmap, as 64-bit words: every shingle flips the bit of its hash modulo
+    the bitmap's length, a power of two of at least twice as many bits as shingles."""
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * count, 64))).astype(np.int64)
+    ends = np.cumsum(bits)
+    at = np.repeat(ends - bits, count) + (flat & np.repeat(bits - 1, count).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [n.tobytes() + odd[(e - b) // 8 : e // 8].tobytes() for n, b, e in zip(count.astype("<u8"), bits, ends, strict=True)]
+
+
+def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """False where two sets cannot meet the threshold: they differ in as many shingles at least as
+    their bitmaps (of `parities`, the longer folded to the shorter) do in bits."""
+    (n, a), (m, b) = ((int(v[0]), v[1:]) for v in (a, b))
+    width = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (a, b))
+    differ = max(int(np.bitwise_count(a ^ b).sum()), abs(n - m))
+    return 100 * (n + m - differ) >= percent * (n + m + differ)
+
+
 def _profile(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """Per row: id, n (set size), h0, h1 (hashes of the set), keys, s0.. (odd sketch)."""
+    """Per row: id, n (set size), h0, h1 (hashes of the set), parity, keys, s0.. (odd sketch)."""
     words = [f"s{i}" for i in range(p.sketch_words)]
     schema = T.StructType(
         [T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType())]
         + [T.StructField(c, T.LongType()) for c in ("h0", "h1")]
+        + [T.StructField("parity", T.BinaryType())]
         + [T.StructField("keys", T.ArrayType(T.LongType()))]
         + [T.StructField(c, T.LongType()) for c in words]
     )
@@ -132,6 +154,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFram
                 sums, keys, sketch = wide
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(count), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
+                    + [pa.array(parities(flat, count), pa.binary())]
                     + [pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, p.bands, dtype=np.int32)), pa.array(keys.ravel()))]
                     + [pa.array(sketch[:, i]) for i in range(p.sketch_words)],
                     names=schema.names,
@@ -196,12 +219,11 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, p: Par
     return stage(_sets(docs, _needed(ids), id_col, text_col, p), "neardup-sets")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, p: Params, unique: bool) -> DataFrame:
-    """The pairs (x, y) whose full sets meet the threshold; unique: no two rows of sets share an id.
+def _meet(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """(x, y, a, b) of the pairs (x, y), a written table, with the `set` that one has of x and of y.
 
     Sets are shuffled by id once, then those of x and of y to their pair. A y of many pairs has its
     set copied to as many salts as its pairs are dealt over."""
-    pairs, one = stage(pairs, "neardup-open"), sets if unique else sets.dropDuplicates(["id", "set"])
     limit = max(64, -(-pairs.count() // HOT_KEYS))
     # at most HOT_KEYS rows
     hot = F.broadcast(pairs.groupBy("y").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("y", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
@@ -209,7 +231,37 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params, unique: bool) -> Data
     dealt = pairs.join(hot, "y", "left").select("x", "y", F.pmod(F.xxhash64("x", F.lit(7)), salts).cast("int").alias("salt"))
     places = pairs.select("y").distinct().join(hot, "y", "left").select("y", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     copied = places.join(one.withColumnsRenamed({"id": "y", "set": "b"}), "y")
-    both = dealt.join(one.withColumnsRenamed({"id": "x", "set": "a"}), "x").join(copied, ["y", "salt"]).select("x", "y", "a", "b")
+    return dealt.join(one.withColumnsRenamed({"id": "x", "set": "a"}), "x").join(copied, ["y", "salt"]).select("x", "y", "a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(id) of both sides of the pairs."""
+    return pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
+
+
+def _possible(pairs: DataFrame, profile: DataFrame, p: Params, unique: bool) -> DataFrame:
+    """The pairs (x, y), written, but for those that their bitmaps rule out; they would fail on their
+    full sets, which are many times as large. Of rows that share an id, any will do."""
+    pairs = stage(pairs, "neardup-near")
+    one = likely(profile.select("id", F.col("parity").alias("set")), "id", _ends(pairs), "id")
+    both = _meet(pairs, one if unique else one.distinct())
+    id_type = pairs.schema["x"].dataType
+    schema = T.StructType([T.StructField("x", id_type), T.StructField("y", id_type)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = ((np.frombuffer(v.as_buffer(), np.uint64) for v in pair) for pair in zip(batch.column(2), batch.column(3), strict=True))
+            keep = [may_link(a, b, p.percent) for a, b in words]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    left = both.mapInArrow(run, schema)
+    return stage(left if unique else left.distinct(), "neardup-open")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, p: Params, unique: bool) -> DataFrame:
+    """The pairs (x, y), a written table, whose full sets meet the threshold; unique: no two rows of
+    sets share an id."""
+    both = _meet(pairs, sets if unique else sets.dropDuplicates(["id", "set"]))
     id_type = pairs.schema["x"].dataType
     schema = T.StructType([T.StructField("x", id_type), T.StructField("y", id_type)])
 
@@ -292,29 +344,32 @@ def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params)
     """(members, work) for what the leaders left open.
 
     Only buckets with more than one component count. Their members go in blocks of bounded rows
-    and shingles (members: key, block, id, comp, keys, sketch), and block meets block. work: pairs
+    and shingles (members: key, block, id, comp), and block meets block. work: pairs
     (x, y) where two blocks have few open ones, else one row (key, a, b): a crowded block pair,
     whose open pairs are confirmed side by side and never become rows.
     """
     words = [f"s{i}" for i in range(p.sketch_words)]
-    nodes = likely(nodes, "id", buckets, "id")
-    known = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(nodes, "id")
+    known = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = (
         known.groupBy("key")
         .agg(F.count("*").alias("size"), F.sum("n").alias("bulk"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .filter("lo <> hi")
         .select("key", F.col("size").alias("__n"), F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("bulk") / F.lit(BLOCK_SHINGLES))).alias("parts"))
     )
-    members = stage(
-        hot_join(known, stage(mixed, "neardup-mixed"), "key", buckets.count()).select("key", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("block"), "id", "comp", "keys", *words),
+    placed = stage(
+        hot_join(known, stage(mixed, "neardup-mixed"), "key", buckets.count()).select("key", "parts", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("block"), "id", "comp"),
         "neardup-members",
     )
-    blocks = members.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words)).alias("rows"))
+    wide = placed.join(likely(nodes.select("id", "keys", *words), "id", placed, "id"), "id")
+    blocks = wide.groupBy("key", "parts", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words)).alias("rows"))
     blocks = stage(blocks, "neardup-blocks")
-    a, b = blocks.alias("a"), blocks.alias("b")
-    meet = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block"))).select(
-        "a.key", F.col("a.block").alias("a"), F.col("b.block").alias("b"), F.col("a.rows").alias("left"), F.when(F.col("a.block") < F.col("b.block"), F.col("b.rows")).alias("right")
+    # a block meets itself where it lies; only those of larger buckets are shuffled to others
+    own = blocks.select("key", F.col("block").alias("a"), F.col("block").alias("b"), F.col("rows").alias("left"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("right"))
+    a, b = (blocks.filter("parts > 1").alias(side) for side in "ab")
+    other = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") < F.col("b.block"))).select(
+        "a.key", F.col("a.block").alias("a"), F.col("b.block").alias("b"), F.col("a.rows").alias("left"), F.col("b.rows").alias("right")
     )
+    meet = own.union(other)
     id_type = nodes.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("x", id_type), T.StructField("y", id_type), T.StructField("key", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]
@@ -341,7 +396,7 @@ def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params)
                 cols = [pa.array(c, t) for c, t in zip(zip(*dense, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pairs[0].type), pa.nulls(k, pairs[0].type), *cols], names=schema.names)
 
-    return members, stage(meet.mapInArrow(run, schema), "neardup-work")
+    return placed.select("key", "block", "id", "comp"), stage(meet.mapInArrow(run, schema), "neardup-work")
 
 
 def _links_of_pair(left: dict, right: dict, sets: tuple[list[np.ndarray], list[np.ndarray]], i: np.ndarray, j: np.ndarray, p: Params) -> list[tuple[int, int]]:
@@ -395,10 +450,10 @@ def _families(members: DataFrame, dense: DataFrame, nodes: DataFrame, p: Params)
     return stage(placed, "neardup-placed"), pairs
 
 
-def _confirm_blocks(members: DataFrame, pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+def _confirm_blocks(members: DataFrame, pairs: DataFrame, sets: DataFrame, p: Params, unique: bool) -> DataFrame:
     """Links (x, y) of the block pairs (key, a, b), confirmed on full sets."""
     words = [f"s{i}" for i in range(p.sketch_words)]
-    rows = members.join(sets.dropDuplicates(["id"]), "id")
+    rows = members.join(sets if unique else sets.dropDuplicates(["id"]), "id")
     blocks = stage(rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words, "set")).alias("rows")), "neardup-families")
     meet = pairs.join(blocks.select("key", F.col("block").alias("a"), F.col("rows").alias("left")), ["key", "a"]).join(
         blocks.select("key", F.col("block").alias("b"), F.col("rows").alias("right")), ["key", "b"]
@@ -448,7 +503,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = sets.groupBy("id").agg(F.min("h0").alias("lo"), F.max("h0").alias("hi")).filter("lo <> hi").select("id")
     unique = sets.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     shared = sets.join(several, "id").join(same, ["n", "h0", "h1"]).select(F.col("id").alias("x"), F.col("rep").alias("y"))
-    keyed = nodes.select(F.explode("keys").alias("key"), "id")
+    keyed = nodes.select(F.explode("keys").alias("key"), "id", "n")
     leaders = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("__n")).filter("__n > 1")
     leaders = stage(leaders, "neardup-leaders")
     buckets = stage(hot_join(likely(keyed, "key", leaders, "key"), leaders, "key", p.bands * nodes.count()), "neardup-buckets")
@@ -457,18 +512,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = stage(lead.join(nodes.select(F.col("id").alias("y"), F.struct(*words).alias("b")), "y"), "neardup-leads")
     side = nodes.select(F.col("id").alias("x"), F.struct(*words).alias("a"))
     first = hot_join(stars.join(side, "x"), lead, "y", stars.count()).filter(_near("a", "b", p)).select("x", "y")
-    first = stage(first, "neardup-pairs")
-    ids = lambda df: df.select(F.col("x").alias("id")).union(df.select("y"))
-    links = stage(_confirm(first, _sets_of(docs, ids(first), id_col, text_col, p), p, unique), "neardup-links")
+    first = _possible(first, sets, p, unique)
+    links = stage(_confirm(first, _sets_of(docs, _ends(first), id_col, text_col, p), p, unique), "neardup-links")
     comp = components(links)
-    members, work = _leftovers(buckets.select("key", "id"), comp, nodes, p)
+    members, work = _leftovers(buckets.select("key", "id", "n"), comp, nodes, p)
     rest, dense = work.filter("x is not null").select("x", "y"), work.filter("x is null").select("key", "a", "b")
+    rest = _possible(rest, sets, p, unique)
     if dense.isEmpty():
-        more = _confirm(rest, _sets_of(docs, ids(rest), id_col, text_col, p), p, unique)
+        more = _confirm(rest, _sets_of(docs, _ends(rest), id_col, text_col, p), p, unique)
     else:
         placed, pairs = _families(members, dense, nodes, p)
-        sets = _sets_of(docs, ids(rest).union(placed.select("id")), id_col, text_col, p)
-        more = _confirm(rest, sets, p, unique).union(_confirm_blocks(placed, pairs, sets, p))
+        full = _sets_of(docs, _ends(rest).union(placed.select("id")), id_col, text_col, p)
+        more = _confirm(rest, full, p, unique).union(_confirm_blocks(placed, pairs, full, p, unique))
     # what is linked already goes in as stars, which need no further round
     final = components(comp.select("id", "comp").withColumnsRenamed({"id": "x", "comp": "y"}).union(more).union(shared))
     own = ["n", "h0", "h1"]

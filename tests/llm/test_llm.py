@@ -125,6 +125,43 @@ def test_near_duplicates_shuffle_sets_twice(spark):
     assert {r.doc_id: r.component_id for r in again.collect()} == got
 
 
+def test_bitmaps_rule_out_no_link():
+    """Bitmaps never rule out a pair that links on its sets, of whatever sizes, and most that are far from it."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in [1, 2, 31, 33, 700, 710, 1000, 5000, 70_000]:
+        whole = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        sets += [np.unique(np.concatenate([whole[: n - round(n * cut)], rng.integers(0, 1 << 64, round(n * new), np.uint64)])) for cut in (0, 0.03, 0.08, 0.15, 0.3) for new in (0, 0.07, 0.2) if round(n * cut) < n]
+    words = [np.frombuffer(b, np.uint64) for b in neardup.parities(np.concatenate(sets), np.array([len(s) for s in sets]))]
+    far = out = 0
+    for a, x in zip(sets, words, strict=True):
+        for b, y in zip(sets, words, strict=True):
+            both = len(np.intersect1d(a, b))
+            either, may = len(a) + len(b) - both, neardup.may_link(x, y, 85)
+            assert may or 100 * both < 85 * either
+            far, out = far + (100 * both < 75 * either), out + (100 * both < 75 * either and not may)
+    assert out > 0.9 * far > 1000
+    assert neardup.parities(np.empty(0, np.uint64), np.array([0, 0])) == [bytes(16)] * 2
+
+
+def test_near_duplicates_move_no_sets_of_far_pairs(spark):
+    """Chains of copies that share most bands but not enough shingles: their bitmaps go to the pairs, their sets stay."""
+    def text(i: int, j: int) -> str:
+        return " ".join(f"n{i}x{j}x{k}" if (k + 17 * j) % 58 == 0 else f"w{i}x{k}" for k in range(3000))
+
+    rows = [(10 * i + j, text(i, j)) for i in range(12) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, was = [], neardup._sets_of
+    neardup._sets_of = lambda docs, ids, *a: (lambda got: (seen.append((ids.distinct().count(), got.count())), got)[1])(was(docs, ids, *a))
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    finally:
+        neardup._sets_of = was
+    assert got == brute_groups(rows)
+    assert all(i == c for i, (_, c) in got.items())
+    assert sum(n for n, _ in seen) == 0
+
+
 def test_near_duplicates_edges(edge):
     got = neardup.near_duplicates(edge).collect()
     assert len(got) == len(EDGE)
