@@ -182,10 +182,10 @@ def _needed(ids: DataFrame) -> np.ndarray:
         )
         .groupBy("w")
         .agg(F.bit_or("m").alias("m"))
-        .toPandas()
+        .toArrow()
     )
     bits = np.zeros(ID_WORDS, np.int64)
-    bits[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    bits[rows["w"].to_numpy()] = rows["m"].to_numpy()
     return bits
 
 
@@ -239,14 +239,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
 
 
-def _possible(pairs: DataFrame, profile: DataFrame, p: Params, unique: bool) -> DataFrame:
-    """The pairs (x, y), written, but for those that their bitmaps rule out; they would fail on their
-    full sets, which are many times as large. Of rows that share an id, any will do."""
-    pairs = stage(pairs, "neardup-near")
-    one = likely(profile.select("id", F.col("parity").alias("set")), "id", _ends(pairs), "id")
-    both = _meet(pairs, one if unique else one.distinct())
-    id_type = pairs.schema["x"].dataType
-    schema = T.StructType([T.StructField("x", id_type), T.StructField("y", id_type)])
+def _possible(near: DataFrame, p: Params) -> DataFrame:
+    """The pairs (x, y) of near (x, y, a, b: bitmaps of x and y) but for those that their bitmaps rule
+    out; they would fail on their full sets, which are many times as large."""
+    schema = T.StructType([near.schema["x"], near.schema["y"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +250,7 @@ def _possible(pairs: DataFrame, profile: DataFrame, p: Params, unique: bool) ->
             keep = [may_link(a, b, p.percent) for a, b in words]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    left = both.mapInArrow(run, schema)
-    return stage(left if unique else left.distinct(), "neardup-open")
+    return near.mapInArrow(run, schema)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: Params, unique: bool) -> DataFrame:
@@ -313,11 +308,12 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
 
 
 def _columns(rows: pa.Array, p: Params) -> dict[str, np.ndarray]:
-    """A block's rows: id, comp, keys (n x bands) and sketch (n x words)."""
+    """A block's rows: id, comp, keys (n x bands) and sketch (n x words); parity, if they have it."""
     f = dict(zip([c.name for c in rows.type], rows.flatten(), strict=True))
     return {
         "id": f["id"].to_numpy(zero_copy_only=False),
         "comp": f["comp"].to_numpy(zero_copy_only=False),
+        "parity": f.get("parity"),
         "keys": f["keys"].flatten().to_numpy().reshape(-1, p.bands),
         "sketch": np.stack([f[f"s{i}"].to_numpy() for i in range(p.sketch_words)], 1).view(np.uint64),
     }
@@ -344,8 +340,8 @@ def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params)
     """(members, work) for what the leaders left open.
 
     Only buckets with more than one component count. Their members go in blocks of bounded rows
-    and shingles (members: key, block, id, comp), and block meets block. work: pairs
-    (x, y) where two blocks have few open ones, else one row (key, a, b): a crowded block pair,
+    and shingles (members: key, block, id, comp), and block meets block. work: pairs (x, y) that
+    bitmaps leave where two blocks have few open ones, else one row (key, a, b): a crowded block pair,
     whose open pairs are confirmed side by side and never become rows.
     """
     words = [f"s{i}" for i in range(p.sketch_words)]
@@ -360,8 +356,8 @@ def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params)
         hot_join(known, stage(mixed, "neardup-mixed"), "key", buckets.count()).select("key", "parts", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("block"), "id", "comp"),
         "neardup-members",
     )
-    wide = placed.join(likely(nodes.select("id", "keys", *words), "id", placed, "id"), "id")
-    blocks = wide.groupBy("key", "parts", "block").agg(F.collect_list(F.struct("id", "comp", "keys", *words)).alias("rows"))
+    wide = placed.join(likely(nodes.select("id", "parity", "keys", *words), "id", placed, "id"), "id")
+    blocks = wide.groupBy("key", "parts", "block").agg(F.collect_list(F.struct("id", "comp", "parity", "keys", *words)).alias("rows"))
     blocks = stage(blocks, "neardup-blocks")
     # a block meets itself where it lies; only those of larger buckets are shuffled to others
     own = blocks.select("key", F.col("block").alias("a"), F.col("block").alias("b"), F.col("rows").alias("left"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("right"))
@@ -385,6 +381,8 @@ def _leftovers(buckets: DataFrame, comp: DataFrame, nodes: DataFrame, p: Params)
                 if len(i) > 2 * (len(m["id"]) + len(o["id"])):
                     dense.append((key, at, bt))
                 else:
+                    may = np.array([may_link(np.frombuffer(m["parity"][u].as_buffer(), np.uint64), np.frombuffer(o["parity"][v].as_buffer(), np.uint64), p.percent) for u, v in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j = i[may], j[may]
                     xs.append(np.maximum(m["id"][i], o["id"][j]))
                     ys.append(np.minimum(m["id"][i], o["id"][j]))
             n = sum(map(len, xs))
@@ -495,7 +493,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(_profile(docs, id_col, text_col, p), "neardup-profile")
     sets = rows.filter("n > 0 and id is not null")
     nodes = stage(
-        sets.groupBy("n", "h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), *[F.first(w).alias(w) for w in words]),
+        sets.groupBy("n", "h0", "h1").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("parity", "keys", *words)]),
         "neardup-nodes",
     )
     same = nodes.select("n", "h0", "h1", F.col("id").alias("rep"))
@@ -509,15 +507,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stage(hot_join(likely(keyed, "key", leaders, "key"), leaders, "key", p.bands * nodes.count()), "neardup-buckets")
     stars = stage(buckets.filter("id <> lead").select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct(), "neardup-stars")
     lead = stars.groupBy("y").agg(F.count("*").alias("__n"))
-    lead = stage(lead.join(nodes.select(F.col("id").alias("y"), F.struct(*words).alias("b")), "y"), "neardup-leads")
-    side = nodes.select(F.col("id").alias("x"), F.struct(*words).alias("a"))
-    first = hot_join(stars.join(side, "x"), lead, "y", stars.count()).filter(_near("a", "b", p)).select("x", "y")
-    first = _possible(first, sets, p, unique)
+    lead = stage(lead.join(nodes.select(F.col("id").alias("y"), F.struct("parity", *words).alias("b")), "y"), "neardup-leads")
+    side = nodes.select(F.col("id").alias("x"), F.struct("parity", *words).alias("a"))
+    first = hot_join(stars.join(side, "x"), lead, "y", stars.count()).filter(_near("a", "b", p)).select("x", "y", F.col("a.parity").alias("a"), F.col("b.parity").alias("b"))
+    first = stage(_possible(first, p), "neardup-pairs")
     links = stage(_confirm(first, _sets_of(docs, _ends(first), id_col, text_col, p), p, unique), "neardup-links")
     comp = components(links)
     members, work = _leftovers(buckets.select("key", "id", "n"), comp, nodes, p)
     rest, dense = work.filter("x is not null").select("x", "y"), work.filter("x is null").select("key", "a", "b")
-    rest = _possible(rest, sets, p, unique)
     if dense.isEmpty():
         more = _confirm(rest, _sets_of(docs, _ends(rest), id_col, text_col, p), p, unique)
     else:
