@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import HOT_KEYS, ID_WORDS, LOWER, by_bytes, hot_join, likely, mix64, numbered, small_batches, stage, utf8_texts
+from lodeframe.llm.common import HOT_KEYS, ID_WORDS, LOWER, among, by_bytes, hot_join, likely, mix64, numbered, passing, small_batches, stage, utf8_texts
 
 #: Bytes of text whose shingles are hashed at once.
 BATCH_BYTES = 1 << 20
@@ -545,8 +545,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id and no text both stay, and of equal rows one does. A text without words stays.
     """
     rows = numbered(docs, "neardup-rows")
-    found = near_duplicates(rows.select("__row", F.col("row")[text_col].alias("__text")), "__row", "__text", params)
     ids = rows.select("__row", F.col("row")[id_col].alias("__id"))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("first")
-    kept = found.join(ids, "__row").groupBy("component_id").agg(first).select("first.__row")
-    return rows.join(stage(kept, "neardup-kept"), "__row", "left_semi").select("row.*")
+    with passing(docs.sparkSession) as made:
+        found = near_duplicates(rows.select("__row", F.col("row")[text_col].alias("__text")), "__row", "__text", params)
+        kept = stage(found.join(ids, "__row").groupBy("component_id").agg(first).select("first.__row"), "neardup-kept")
+        made.pop()  # of all these tables only the last is read on
+    return among(rows, "__row", kept, "__kept").filter("__kept").select("row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 
@@ -13,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodeframe.llm import decontaminate, maxent, mixing, neardup, quality, rules, tokens, toxicity, urlfilter, warc
+from lodeframe.llm import common, decontaminate, maxent, mixing, neardup, quality, rules, tokens, toxicity, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
 EDGE = [(1, None), (2, ""), (3, "a"), (4, " \t\n"), (5, "A b a B"), (5, "A b a B"), (None, "x y z w"), (7, "word " * 30_000), (8, "é ü\u2003ß <|endoftext|> ★ e\u0301.")]
@@ -162,6 +163,49 @@ def test_near_duplicates_move_no_sets_of_far_pairs(spark):
     assert sum(n for n, _ in seen) == 0
 
 
+def shuffled(spark, run):
+    """(what run() returns, bytes shuffled meanwhile), where no join is a broadcast unless it asks for it."""
+    was, sc = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.sparkContext
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    group = f"shuffled-{id(run)}"
+    sc.setJobGroup(group, group)
+    try:
+        got = run()
+        stages = {i for j in sc.statusTracker().getJobIdsForGroup(group) for i in sc.statusTracker().getJobInfo(j).stageIds}
+        return got, sum(sc._jsc.sc().statusStore().lastStageAttempt(i).shuffleWriteBytes() for i in stages)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def long_texts(spark, n, words):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.xxhash64("id", k).cast("string")))
+    return spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source"))
+
+
+def test_dropping_near_duplicates_moves_no_texts(spark):
+    """What stays is picked where it lies, and no table but those that are read on is left behind."""
+    df = common.stage(long_texts(spark, 300, 1000), "test")
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir())
+    got, sent = shuffled(spark, lambda: neardup.drop_near_duplicates(df.union(df.filter("doc_id < 20"))).collect())
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    assert sent < 0.25 * sum(len(r.text) for r in got)
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before) == ["lodeframe-neardup-kept", "lodeframe-neardup-rows"]
+
+
+@pytest.mark.parametrize("bits", [1, 8, 1 << 18])
+def test_among(spark, bits, monkeypatch):
+    """Exact whether the bitmaps settle no row, some or all."""
+    monkeypatch.setattr(common, "ID_WORDS", bits)
+    many = common.stage(spark.range(2000).select(F.shiftleft("id", 33).alias("k"), F.col("id").alias("v")), "test")
+    for chosen in ("v % 7 < 3", "v < 0", "v >= 0", "v = 5"):
+        ids = common.stage(many.filter(chosen).select("k"), "test")
+        got = common.among(many, "k", ids, "has")
+        assert got.columns == ["k", "v", "has"]
+        assert sorted(got.collect()) == sorted(many.withColumn("has", F.expr(chosen)).collect())
+
+
 def test_near_duplicates_edges(edge):
     got = neardup.near_duplicates(edge).collect()
     assert len(got) == len(EDGE)
