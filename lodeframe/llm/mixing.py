@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import stage
+from lodeframe.llm.common import among, stage
 
 #: Documents that are ranked together, on average; the documents of one length are dealt over as
 #: many salts as that asks for.
@@ -153,10 +153,12 @@ def mix(
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.lit(1)).alias("__deal"),
             F.xxhash64(F.col(text_col)).alias("__tie"),
-            *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
+            *([F.monotonically_increasing_id().alias("__row"), F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
         ),
         "mix-sizes",
     )
+    wide = sizes
+    sizes = wide.drop("row")
     salts = sizes.count() // RANKED + 1
     sizes = sizes.withColumn("salt", F.pmod("__deal", F.lit(salts)).cast("int"))
     targets = source_targets(sizes, list(weights), share, cap)
@@ -215,6 +217,14 @@ def mix(
     sure = (F.col("quota") == 0) | (F.col("quota") == F.col("n"))
     ranked = Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64(F.lit(seed), "__id", F.lit(2)), "__id", "__tie")
 
+    plain, split = placed.filter(sure), placed.filter(~sure).withColumn("__r", F.row_number().over(ranked))
+    if carry:
+        # rows with their texts stay where they lie: only the numbers of those that are taken once more meet them
+        more = stage(plain.filter("quota > 0").select("__row").union(split.filter("__r <= quota").select("__row")), "mix-more")
+        # a row a source
+        per = F.broadcast(quota.select("__s", "source_size", "target", "base").distinct())
+        known = among(wide, "__row", more, "__more").join(per, F.col("source").eqNullSafe(F.col("__s")))
+
     def shape(df: DataFrame, extra: Column) -> DataFrame:
         return df.select(
             F.col("__id").alias(id_col),
@@ -225,6 +235,6 @@ def mix(
             *(["row"] if carry else []),
         )
 
-    plain = shape(placed.filter(sure), F.when(F.col("quota") > 0, F.lit(1)).otherwise(F.lit(0)))
-    split = placed.filter(~sure).withColumn("__r", F.row_number().over(ranked))
-    return plain.unionByName(shape(split, F.when(F.col("__r") <= F.col("quota"), F.lit(1)).otherwise(F.lit(0))))
+    if carry:
+        return shape(known, F.col("__more").cast("int"))
+    return shape(plain, F.when(F.col("quota") > 0, F.lit(1)).otherwise(F.lit(0))).unionByName(shape(split, F.when(F.col("__r") <= F.col("quota"), F.lit(1)).otherwise(F.lit(0))))

@@ -382,6 +382,16 @@ def test_mixing_of_equal_ids(spark):
     assert runs[0] == runs[1] and len(runs[0]) == 40
 
 
+def test_mixing_moves_no_texts(spark):
+    """Whole rows are handed on where they lie, with the figures that they have without `carry`."""
+    df = common.stage(long_texts(spark, 300, 1000), "test")
+    got, sent = shuffled(spark, lambda: mixing.mix(df, share=1.7, carry=True).collect())
+    assert sent < 0.25 * sum(len(r.row.text) for r in got)
+    assert len({(r.row.source, r.taken) for r in got}) == 3  # one source is capped, of the other some rows are taken twice
+    want = mixing.mix(df, share=1.7).collect()
+    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got) == sorted(map(tuple, want))
+
+
 def test_mixing_edges(edge):
     got = mixing.mix(edge).collect()
     assert len(got) == len(EDGE) and all(r.source_size == 30_018 for r in got)
