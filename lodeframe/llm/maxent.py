@@ -12,15 +12,13 @@ blocks: each block asks once for each of its distinct tokens.
 
 from __future__ import annotations
 
-import itertools
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +28,8 @@ from lodeframe.llm.common import LOWER, by_bytes, fold, mix64, segment_sum, stag
 END = 0x5EED0E2D
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 12 << 20
+#: Parts of the tokens in which counts are summed, at least; as many as blocks if these are more.
+PARTS = 32
 #: The largest weight.
 LIMIT = 8.0
 
@@ -64,43 +64,58 @@ class Tokens:
     shape: np.ndarray
 
 
+#: The bytes that separate words, and a table of 0 for these and 1 for all others.
+SPACES = b" \t\n\r\x0b\x0c"
+INSIDE = bytes(b not in SPACES for b in range(256))
+
+
 def tokenize(texts: list[bytes], p: Params) -> Tokens:
+    """All words lie side by side in one Arrow column, which numbers them in the order they first
+    occur; only distinct words become Python objects."""
+    import pyarrow.compute as pc
     import xxhash
 
-    index: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
-    parts, count = [], np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        words = text.translate(LOWER).split()
-        own = np.zeros(len(words) + 1, np.int64)
-        own[:-1] = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        parts.append(own)
-        count[i] = len(own)
+    joined = b" ".join([b"", *texts, b""])
+    inside = np.frombuffer(joined.translate(INSIDE), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    buffers = [None, pa.py_buffer(np.concatenate([[0], np.cumsum(ends - begins)])), pa.py_buffer(joined.translate(LOWER, SPACES))]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), buffers).dictionary_encode()
+    # a text has the words that begin before the blank behind it and are no earlier text's
+    behind = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    count = np.diff(np.searchsorted(begins, behind), prepend=0) + 1
+    ids = np.zeros(len(begins) + len(texts), np.int64)
+    is_word = np.ones(len(ids), bool)
+    is_word[np.cumsum(count) - 1] = False
+    ids[is_word] = words.indices.to_numpy() + np.int64(1)
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+    index = pc.binary_join(whole, pa.scalar(b" ", pa.large_binary()))[0].as_py().split()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
     # the last two bytes of each word, from all words side by side; a blank stands before the first
     flat = np.frombuffer(b"  " + b" ".join(index), np.uint8).astype(np.int64)
     ends = np.cumsum(np.fromiter(map(len, index), np.int64, len(index)) + 1)
     shape = (flat[ends] * 37 + flat[ends - 1] * 11 + (flat[ends] >> 3)) % p.shapes if len(index) else ends
-    return Tokens(
-        np.concatenate(parts) if parts else np.empty(0, np.int64),
-        count,
-        np.concatenate([[np.uint64(END)], hashes]),
-        np.concatenate([[0], shape]),
-    )
-
-
-def run_sums(rows: np.ndarray, first: np.ndarray, short: int = 8) -> np.ndarray:
-    """Sums of consecutive runs of rows, which begin at `first`. Most runs have a row or two, which
-    are added run by run side by side; only long ones are summed one by one."""
-    size = np.diff(first, append=len(rows))
-    out = rows[first]
+    return Tokens(ids, count, np.concatenate([[np.uint64(END)], hashes]), np.concatenate([[0], shape]))
+
+
+def run_sums(rows: np.ndarray, at: np.ndarray, first: np.ndarray, short: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of rows[at] over the consecutive runs of `at` that begin at `first`, the runs in the
+    order of the sums). Most runs have a row or two. They follow by falling length, so that those
+    with a k-th row are one range, and are added side by side; only long ones, which come first,
+    are summed one by one."""
+    size = np.diff(first, append=len(at))
+    order = np.argsort((short + 1 - np.minimum(size, short + 1)).astype(np.uint8), kind="stable")
+    size, begin = size[order], first[order]
+    n_long = int(np.count_nonzero(size > short))
+    out = rows.take(at[begin], axis=0)
     for k in range(1, short):
-        more = np.flatnonzero((size > k) & (size <= short))
-        if not len(more):
+        end = int(np.count_nonzero(size > k))
+        if end == n_long:
             break
-        out[more] += rows[first[more] + k]
-    for i in np.flatnonzero(size > short):
-        out[i] = rows[first[i] : first[i] + size[i]].sum(0)
-    return out
+        out[n_long:end] += rows.take(at[begin[n_long:end] + k], axis=0)
+    for i in range(n_long):
+        out[i] = rows.take(at[begin[i] : begin[i] + size[i]], axis=0).sum(0)
+    return out, order
 
 
 @dataclass
@@ -133,16 +148,24 @@ class Model:
     def features_of(self, t: Tokens) -> np.ndarray:
         """tokens x 3 weight rows: of the token before, of both before, and of the second before.
         A text begins after two ends."""
+        size = np.uint64(self.p.features)
         h = t.hashes[t.ids]
         one, two = np.roll(h, 1), np.roll(h, 2)
         start = np.cumsum(t.count) - t.count
         one[start] = two[start] = END
         second = (start + 1)[t.count > 1]
         two[second] = END
-        size = np.uint64(self.p.features)
+        out = np.empty((len(h), 3), np.int64, order="F")
         with np.errstate(over="ignore"):
-            out = [mix64(one) % size, mix64(one * np.uint64(3) + two * np.uint64(5)) % size, mix64(two + np.uint64(7)) % size]
-        return np.stack(out, 1).astype(np.int64)
+            # rows of one token are found once a distinct token, number 0 being the end
+            for k, shift in ((0, 0), (2, 7)):
+                row = (mix64(t.hashes + np.uint64(shift)) % size).astype(np.int64)
+                out[:, k] = np.roll(row[t.ids], 1 + k // 2)
+                out[start, k] = row[0]
+                if k:
+                    out[second, k] = row[0]
+            out[:, 1] = mix64(one * np.uint64(3) + two * np.uint64(5)) % size
+        return out
 
     def exp_logits(self, f: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
         """exp of every class's logit in `out`. Weights lie within LIMIT and biases are not above
@@ -157,13 +180,20 @@ class Model:
         return np.exp(z, out=z)
 
     def class_scores(self, t: Tokens, cls: np.ndarray) -> np.ndarray:
-        """log P(class | context) of every token, in batches of a bounded number of rows."""
+        """log P(class | context) of every token, in batches of a bounded number of rows. The weights
+        stay, so their exp is taken once and a context's is a product of rows."""
         f, y, out = self.features_of(t), cls[t.ids], np.empty(len(t.ids))
-        z, spare = (np.empty((self.p.batch, self.p.classes), np.float32) for _ in range(2))
-        for a in range(0, len(y), self.p.batch):
-            b = min(a + self.p.batch, len(y))
-            e = self.exp_logits(f[a:b], z, spare)
-            out[a:b] = e[np.arange(b - a), y[a:b]] / e.sum(1)
+        each, bias = np.exp(self.weights), np.exp(self.bias)
+        size = min(self.p.batch, 256)
+        z, spare = (np.empty((size, self.p.classes), np.float32) for _ in range(2))
+        for a in range(0, len(y), size):
+            b = min(a + size, len(y))
+            e, more = z[: b - a], spare[: b - a]
+            np.take(each, f[a:b, 0], axis=0, out=e, mode="clip")
+            for k in (1, 2):
+                np.take(each, f[a:b, k], axis=0, out=more, mode="clip")
+                e *= more
+            out[a:b] = e[np.arange(b - a), y[a:b]] * bias[y[a:b]] / (e @ bias)
         return np.log(out)
 
     def in_class_scores(self, cls: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -171,39 +201,48 @@ class Model:
         n, v = self.in_class[cls].T
         return np.where(cls <= len(self.top), 0.0, np.log(c + 1) - np.log(n + v + 1))
 
-    def step(self, t: Tokens, square: np.ndarray) -> None:
+    def step(self, t: Tokens, square: np.ndarray) -> np.ndarray:
         """One pass of gradient steps over the texts; square: the sum of squared gradients of each
-        weight row, by which its steps shrink."""
+        weight row, by which its steps shrink. Returns how many tokens each weight row met."""
         f, y = self.features_of(t), self.classes_of(t)[t.ids]
         z, spare = (np.empty((self.p.batch, self.p.classes), np.float32) for _ in range(2))
-        small = np.uint16 if self.p.features <= 1 << 16 else np.int64
+        small, ones = np.uint16 if self.p.features <= 1 << 16 else np.int64, np.ones(self.p.classes, np.float32)
+        own = np.arange(self.p.batch) * self.p.classes
         for a in range(0, len(y), self.p.batch):
             b = min(a + self.p.batch, len(y))
             g = self.exp_logits(f[a:b], z, spare)
-            g /= g.sum(1, keepdims=True)
-            g[np.arange(b - a), y[a:b]] -= 1
+            g /= (g @ ones)[:, None]
+            g.ravel()[own[: b - a] + y[a:b]] -= 1
             rows = f[a:b].ravel()
             order = np.argsort(rows.astype(small), kind="stable")
             rows = rows[order]
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            grad = run_sums(g[order // 3], first)
-            rows = rows[first]
+            grad, by_size = run_sums(g, order // 3, first)
+            rows = rows[first[by_size]]
             square[rows] += np.einsum("ij,ij->i", grad, grad)
             grad *= (self.p.rate / np.sqrt(square[rows] + 1.0))[:, None]
-            self.weights[rows] -= grad
+            self.weights[rows] = np.subtract(self.weights.take(rows, axis=0), grad, out=grad)
         np.clip(self.weights, -LIMIT, LIMIT, out=self.weights)
+        return np.bincount(f.ravel(), minlength=self.p.features)
 
 
-def _requests(blocked: DataFrame, p: Params) -> DataFrame:
-    """(block, h, shape, n): each block's distinct tokens with their number in its training texts."""
+def _requests(blocked: DataFrame, p: Params, n_parts: int) -> DataFrame:
+    """(part, block, h, shape, n): each block's distinct tokens with their number in its training
+    texts, as lists; a token is in the part that its hash names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pd.DataFrame]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
         def sent(block: int) -> pa.RecordBatch:
-            df = pd.concat(held.pop(block)).groupby("h", sort=False).agg({"shape": "first", "n": "sum"}).reset_index()
-            df.insert(0, "block", np.full(len(df), block, np.int64))
-            return pa.RecordBatch.from_pandas(df.astype({"shape": np.int32, "n": np.int64}), preserve_index=False)
+            h, shape, n = (np.concatenate(c) for c in zip(*held.pop(block), strict=True))
+            h, at, which = np.unique(h, return_index=True, return_inverse=True)
+            shape, n = shape[at], np.bincount(which, weights=n).astype(np.int64)
+            part = (h % np.uint64(n_parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            size = np.bincount(part)
+            there = np.flatnonzero(size)
+            columns = [lists(size[there], c[order]) for c in (h.view(np.int64), shape.astype(np.int32), n)]
+            return pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.full(len(there), block)), *columns], names=["part", "block", "h", "shape", "n"])
 
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -213,53 +252,62 @@ def _requests(blocked: DataFrame, p: Params) -> DataFrame:
                 at = np.flatnonzero(block == b)
                 t = tokenize([texts[i] for i in at], p)
                 n = np.bincount(t.ids, weights=np.repeat(train[at], t.count), minlength=len(t.hashes))
-                held.setdefault(int(b), []).append(pd.DataFrame({"h": t.hashes.view(np.int64), "shape": t.shape, "n": n.astype(np.int64)}))
-                if sum(map(len, held[int(b)])) > 2_000_000:
+                held.setdefault(int(b), []).append((t.hashes, t.shape, n))
+                if sum(len(h) for h, _, _ in held[int(b)]) > 2_000_000:
                     yield sent(int(b))
         for b in list(held):
             yield sent(b)
 
-    return blocked.select("block", "train", "text").mapInArrow(run, "block long, h long, shape int, n long")
+    return blocked.select("block", "train", "text").mapInArrow(run, "part long, block long, h array<long>, shape array<int>, n array<long>")
+
 
+def lists(size: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """Consecutive lists of the given lengths."""
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(values))
 
-def _answers(requests: DataFrame) -> DataFrame:
-    """(block, h, c, shape, first) as lists: the corpus counts of each block's tokens; first marks
-    one block for each token, so that sums over firsts are sums over different tokens.
 
-    One window over the tokens' hash; a token has a row a block at most, so none is hot.
+def _answers(requests: DataFrame, p: Params) -> DataFrame:
+    """Rows of two kinds. (block, h, c): the corpus counts of a block's tokens of one part, as lists.
+    (kind, shape, a, b), of each part, which has all blocks' counts of its tokens: the tokens counted
+    and the different ones of each shape (kind n), and its own top tokens with their counts and
+    hashes (kind t), which are all that can be in the whole's top.
+
+    A part has a row a block and as many tokens as a block has, whatever the corpus; a token has a
+    number a block at most, so none is hot.
     """
-    by = Window.partitionBy("h")
-    counted = requests.select(
-        "block", "h", "shape", F.sum("n").over(by).alias("c"), (F.row_number().over(by.orderBy("block")) == 1).alias("first")
-    )
-    return counted.groupBy("block").agg(
-        F.collect_list("h").alias("h"), F.collect_list("c").alias("c"), F.collect_list("shape").alias("shape"), F.collect_list("first").alias("first")
-    )
+    import pyarrow.compute as pc
+
+    names = ["block", "h", "c", "kind", "shape", "a", "b"]
+
+    def count(rows: pa.Table) -> pa.Table:
+        h, shape, n = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("h", "shape", "n"))
+        size = pc.list_value_length(rows.column("h")).to_numpy()
+        distinct, at, which = np.unique(h, return_index=True, return_inverse=True)
+        c = np.bincount(which, weights=n, minlength=len(distinct)).astype(np.int64)
+        counted = pa.Table.from_arrays([rows.column("block").combine_chunks(), lists(size, h), lists(size, c[which])], names=names[:3])
+        known = np.flatnonzero(c > 0)
+        of, each = np.where(distinct[known] == END, p.shapes, shape[at[known]]), c[known]
+        sums = np.bincount(of, weights=each, minlength=p.shapes + 1).astype(np.int64)
+        different = np.bincount(of, minlength=p.shapes + 1)
+        best = np.argsort(-each, kind="stable")[: p.top + 1]
+        told = pa.Table.from_arrays(
+            [
+                pa.array(["n"] * len(sums) + ["t"] * len(best), pa.string()),
+                pa.array(np.concatenate([np.arange(len(sums)), of[best]]), pa.int32()),
+                pa.array(np.concatenate([sums, each[best]]), pa.int64()),
+                pa.array(np.concatenate([different, distinct[known[best]]]), pa.int64()),
+            ],
+            names=names[3:],
+        )
+        return pa.concat_tables([counted, told], promote_options="default").select(names)
 
+    return requests.groupBy("part").applyInArrow(count, "block long, h array<long>, c array<long>, kind string, shape int, a long, b long")
 
-def _statistics(answers: DataFrame, p: Params) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """(N, V, (count, different) by shape, hashes and (shape, count) of the top tokens). Each task
-    sends a row a shape and its own top tokens, which are all that can be in the whole's top."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(p.shapes + 1, np.int64), np.zeros(p.shapes + 1, np.int64)
-        best: list[tuple[int, int, int]] = []
-        for batch in batches:
-            for h, c, shape, first in zip(*(batch.column(k) for k in range(4)), strict=True):
-                h, c, shape = (x.values.to_numpy() for x in (h, c, shape))
-                keep = first.values.to_numpy(zero_copy_only=False).astype(bool) & (c > 0)
-                h, c, shape = h[keep], c[keep], np.where(h[keep] == END, p.shapes, shape[keep])
-                n += np.bincount(shape, weights=c, minlength=p.shapes + 1).astype(np.int64)
-                v += np.bincount(shape, minlength=p.shapes + 1)
-                for i in np.argsort(-c, kind="stable")[: p.top + 1]:
-                    best.append((int(c[i]), int(h[i]), int(shape[i])))
-            best = sorted(best, reverse=True)[: p.top + 1]
-        rows = [("n", s, int(n[s]), int(v[s])) for s in range(p.shapes + 1)] + [("t", s, c, h) for c, h, s in best]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["kind", "shape", "a", "b"])
-
-    rows = answers.select("h", "c", "shape", "first").mapInArrow(run, "kind string, shape int, a long, b long")
-    sums = rows.filter("kind = 'n'").groupBy("shape").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    top = rows.filter("kind = 't'").select("shape", "a", "b").orderBy(F.desc("a"), "b").limit(p.top + 1)
+def _statistics(answers: DataFrame, p: Params) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(N, V, (count, different) by shape, hashes and (shape, count) of the top tokens)."""
+    sums = answers.filter("kind = 'n'").groupBy("shape").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    top = answers.filter("kind = 't'").select("shape", "a", "b").orderBy(F.desc("a"), "b").limit(p.top + 1)
     each = np.zeros((p.shapes + 1, 2), np.int64)
     for r in sums.collect():
         each[r.shape] = r.a, r.b
@@ -302,8 +350,7 @@ def train(model: Model, docs: DataFrame, id_col: str, text_col: str, batch_bytes
                         base = sent.value
                         own = Model(p, base.weights.copy(), base.bias, base.top, base.in_class, base.n, base.v)
                         square, seen = np.zeros(p.features, np.float32), np.zeros(p.features, np.float32)
-                    own.step(t, square)
-                    seen += np.bincount(own.features_of(t).ravel(), minlength=p.features)
+                    seen += own.step(t, square)
             if own is not None:
                 move = (own.weights - base.weights) * seen[:, None]
                 salt = TaskContext.get().partitionId() % 64
@@ -351,7 +398,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (fold(id_col, p.folds) != p.held).alias("train"),
         F.col(text_col).alias("text"),
     )
-    answers = stage(_answers(_requests(blocked.repartition(n_blocks, "block"), p)), "maxent-answers")
+    answers = stage(_answers(_requests(blocked.repartition(n_blocks, "block"), p, max(PARTS, n_blocks)), p), "maxent-answers")
     model = train(start_model(answers, p), docs, id_col, text_col)
     sent = spark.sparkContext.broadcast(model)
     schema = T.StructType(
@@ -395,4 +442,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     import pyarrow.compute  # noqa: F401  (score uses pa.compute)
 
-    return blocked.groupBy("block").cogroup(answers.select("block", "h", "c").groupBy("block")).applyInArrow(score, schema)
+    return blocked.groupBy("block").cogroup(answers.filter("block IS NOT NULL").select("block", "h", "c").groupBy("block")).applyInArrow(score, schema)

@@ -493,6 +493,83 @@ def test_lm_probabilities_sum_to_one():
     assert known + np.exp(m.in_class_scores(np.array([5]), np.array([0.0])))[0] == pytest.approx(1)
 
 
+def test_lm_tokens():
+    """Numbers, hashes and shapes by a plain loop; the work in Python does not grow with the texts."""
+    import sys
+
+    import xxhash
+
+    p = maxent.Params()
+    odd = ["", " ", "a", "A b\x0ba\x0c\x1c\x85 \u00a0", "\n\nxyz\t", "", "q \u00e9\u0301 Q"]
+    for texts in (odd, odd[::-1], [""], ["", ""], ["x"]):
+        t = maxent.tokenize([x.encode() for x in texts], p)
+        words = [re.findall(rb"[^\x20\x09-\x0d]+", low(x).encode()) for x in texts]
+        number = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws), 1)}
+        assert t.ids.tolist() == [k for ws in words for k in [*map(number.__getitem__, ws), 0]] and t.count.tolist() == [len(ws) + 1 for ws in words]
+        assert t.hashes.tolist() == [maxent.END, *map(xxhash.xxh3_64_intdigest, number)]
+        assert t.shape.tolist() == [0] + [(w[-1] * 37 + (b" " + w)[-2] * 11 + (w[-1] >> 3)) % p.shapes for w in number]
+
+    def calls(n):
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event))
+        try:
+            maxent.tokenize([b"one two three"] * n, p)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    calls(10)  # imports
+    assert calls(3000) < calls(10) + 100
+
+
+def test_lm_step_and_class_scores():
+    """A training step and the class scores by dense formulas, with weight rows that few and many tokens meet."""
+    p = maxent.Params(features=4096, top=3, shapes=4, batch=256)
+    rng = np.random.default_rng(5)
+    words = [b"w%d" % k for k in rng.zipf(1.3, 2000) % 500]
+    t = maxent.tokenize([b" ".join(words[k : k + 37]) for k in range(0, 2000, 37)], p)
+    start = rng.normal(size=(p.features, p.classes)).astype(np.float32)
+    bias = -np.arange(p.classes, dtype=np.float32)
+    m = maxent.Model(p, start.copy(), bias, t.hashes[1:4], np.ones((p.classes, 2)), 1, 1)
+    f, y = m.features_of(t), m.classes_of(t)[t.ids]
+    weights, squares, most = start.astype(float), np.zeros(p.features), 0
+    for a in range(0, len(y), p.batch):
+        z = np.exp(weights[f[a : a + p.batch]].sum(1) + bias)
+        z = z / z.sum(1, keepdims=True) - np.eye(p.classes)[y[a : a + p.batch]]
+        grad, met = np.zeros_like(weights), np.zeros(p.features, int)
+        for k in range(3):
+            np.add.at(grad, f[a : a + p.batch, k], z)
+            np.add.at(met, f[a : a + p.batch, k], 1)
+        squares += (grad**2).sum(1)
+        weights -= grad * p.rate / np.sqrt(squares + 1)[:, None]
+        most = max(most, met.max())
+    square = np.zeros(p.features, np.float32)
+    seen = m.step(t, square)
+    assert most > 30 and (np.bincount(seen)[1:3] > 0).all()
+    assert np.abs(m.weights - np.clip(weights, -maxent.LIMIT, maxent.LIMIT)).max() < 1e-4 and np.abs(square - squares).max() < 1e-2
+    assert seen.tolist() == np.bincount(f.ravel(), minlength=p.features).tolist()
+    z = m.weights.astype(float)[f].sum(1) + bias
+    want = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))
+    assert np.abs(m.class_scores(t, m.classes_of(t)) - want).max() < 1e-4
+
+
+def test_lm_counts_of_many_blocks(spark, docs):
+    """Counts that are summed over many blocks, and over more parts than at least, are those of few."""
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    few, many = (maxent.score_documents(docs, block_bytes=b).select(*columns).toPandas().sort_values("doc_id", ignore_index=True) for b in (maxent.BLOCK_BYTES, 4000))
+    assert docs.select(F.sum(F.octet_length("text"))).first()[0] > 4000 * maxent.PARTS
+    pd.testing.assert_frame_equal(few, many)
+
+
+def test_lm_scores_do_not_depend_on_blocks(spark):
+    """Two hundred words that occur equally often: which of them are a class each is the same
+    however the counts were dealt out."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("w"), F.pmod(F.col("id") + 10 * k, F.lit(200)).cast("string")))
+    df = spark.range(400, numPartitions=2).select("id", F.array_join(words, " ").alias("text")).cache()
+    few, many = (maxent.score_documents(df, "id", block_bytes=b).toPandas().sort_values("id", ignore_index=True) for b in (maxent.BLOCK_BYTES, 400))
+    assert np.abs(few.score / many.score - 1).max() < 1e-5
+
+
 @pytest.mark.parametrize(("score", "label", "least"), [(quality.score_quality, "quality", 0.97), (toxicity.score_toxicity, "toxic", 0.9)])
 def test_classifiers_on_held_out_rows(spark, score, label, least, edge):
     d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
