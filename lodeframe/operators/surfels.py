@@ -47,7 +47,7 @@ def associate(points: DataFrame, model: DataFrame, cx: float, cy: float, fx: flo
     asks = points.select("frame_id", "u", "v", "z", "nx", "ny", "nz").withColumn("__i", steps).withColumn("__j", steps)
     asks = asks.withColumns({"__u": F.col("u") + F.col("__i"), "__v": F.col("v") + F.col("__j")})
     m = model.select(F.col("frame_id"), F.col("u").alias("__u"), F.col("v").alias("__v"), "id", *[F.col(c).alias("m" + c) for c in ("x", "y", "z", "nx", "ny", "nz")])
-    both = asks.join(m, ["frame_id", "__u", "__v"])
+    both = asks.join(m.hint("merge"), ["frame_id", "__u", "__v"])
     rx, ry = (F.col("u") - cx) / fx, (F.col("v") - cy) / fy
     length = F.sqrt(rx * rx + ry * ry + 1)
     a, b, c = ry * F.col("mz") - F.col("my"), F.col("mx") - rx * F.col("mz"), rx * F.col("my") - ry * F.col("mx")
@@ -55,7 +55,7 @@ def associate(points: DataFrame, model: DataFrame, cx: float, cy: float, fx: flo
     cosine = F.col("nx") * F.col("mnx") + F.col("ny") * F.col("mny") + F.col("nz") * F.col("mnz")
     close = (F.abs(F.col("mz") - F.col("z")) * length < gap) & ((F.abs("mnz") < 0.75) | (F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) < angle))
     best = both.filter(close).groupBy("frame_id", "u", "v").agg(F.min(F.struct(F.round(far, 9).alias("d"), "id")).alias("b"))
-    return points.select("frame_id", "u", "v").join(best, ["frame_id", "u", "v"], "left").select("frame_id", "u", "v", F.col("b.id").alias("match"))
+    return points.select("frame_id", "u", "v").join(best.hint("merge"), ["frame_id", "u", "v"], "left").select("frame_id", "u", "v", F.col("b.id").alias("match"))
 
 
 def prune(surfels: DataFrame, now, least_conf: float, age: int = 20, copies: int = 8, violations: int = 4) -> DataFrame:
@@ -68,10 +68,10 @@ def prune(surfels: DataFrame, now, least_conf: float, age: int = 20, copies: int
 def deform(points: DataFrame, nodes: DataFrame, k: int = 4, pool: int = 20) -> DataFrame:
     """(id, dx, dy, dz): each point (id, t, x, y, z) moved by the mean of its k nearest nodes among the
     `pool` nearest in time, with weights (1 - d / d_max)^2, d_max being the distance of the next one.
-    nodes: t, x, y, z, mx, my, mz, one a time step, so the pool is a range of steps."""
+    nodes: t, x, y, z, mx, my, mz, one a time step, so the pool is a range of steps. Points are unfolded to `pool` steps: merged, never broadcast."""
     half = pool // 2
     asks = points.withColumn("__t", F.explode(F.sequence(F.col("t") - half, F.col("t") + half)))
-    both = asks.join(nodes.select(F.col("t").alias("__t"), *[F.col(c).alias("n" + c) for c in "xyz"], "mx", "my", "mz"), "__t")
+    both = asks.join(nodes.select(F.col("t").alias("__t"), *[F.col(c).alias("n" + c) for c in "xyz"], "mx", "my", "mz").hint("merge"), "__t")
     d = F.sqrt(sum(((F.col(c) - F.col("n" + c)) * (F.col(c) - F.col("n" + c)) for c in "yz"), (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx"))))
     near = both.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round(d, 9).alias("d"), F.col("__t").alias("t"), "mx", "my", "mz"))), 1, k + 1).alias("n"))
     far = F.element_at("n", -1)["d"]

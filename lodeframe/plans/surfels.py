@@ -31,7 +31,7 @@ SELECT d.frame_id, d.u, d.v, CAST((d.r << 16) + (d.g << 8) + d.b AS INT) AS rgb,
 def p31(spark, d):
     s = _surfels(spark, d).select("frame_id", "u", "v", "z", "radius")
     px = fx.dense(spark, d).select("frame_id", "u", "v", color.pack(F.col("r"), F.col("g"), F.col("b")).alias("rgb"))
-    return px.join(s, ["frame_id", "u", "v"], "left").select("frame_id", "u", "v", "rgb", F.col("z").isNotNull().cast("int").alias("valid"), F.round("z", 6).alias("z"), F.round("radius", 6).alias("radius"))
+    return px.join(s.hint("merge"), ["frame_id", "u", "v"], "left").select("frame_id", "u", "v", "rgb", F.col("z").isNotNull().cast("int").alias("valid"), F.round("z", 6).alias("z"), F.round("radius", 6).alias("radius"))
 
 
 _A21 = """a AS (SELECT p_partkey AS id, p_size / 10.0::DOUBLE AS x, p_retailprice / 1000 AS y, 1 + p_size / 100.0::DOUBLE AS z, 0.1 + p_size % 5 / 50.0::DOUBLE AS radius, 1.0 + p_size % 3 AS conf FROM part),

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
 from lodeframe.operators import rigid
 from lodeframe.operators.graph import kept
 from lodeframe.plans import fixtures as fx
 from lodeframe.plans import registration as registration_plan
+from lodeframe.plans.registry import QUERIES
 from lodeframe.streaming import beliefs
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +35,20 @@ def test_a_visit_step_costs_no_data_frame(spark):
     began = time.time()
     assert beliefs.visit_beliefs(steps.coalesce(1)).count() == 2000 * 46
     assert time.time() - began < 60
+
+
+#: Queries in which an image, its cells or its samples were broadcast.
+UNFOLDED = [
+    "a12_fusion",
+]
+
+
+@pytest.mark.parametrize("name", UNFOLDED)
+def test_pixels_and_cells_are_not_broadcast(spark, name):
+    assert "BroadcastHashJoin" not in plan_of(QUERIES[name](spark, SF))
+
+
+def test_a_frame_s_pixels_lie_in_one_task_of_many(spark):
+    px = fx.dense(spark, "/root/testdata/sf0.1")
+    tasks = px.select("frame_id", F.spark_partition_id().alias("task")).distinct().groupBy("frame_id").count()
+    assert px.rdd.getNumPartitions() == 16 and tasks.filter("count > 1").count() == 0
