@@ -40,6 +40,7 @@ def test_a_visit_step_costs_no_data_frame(spark):
 #: Queries in which an image, its cells or its samples were broadcast.
 UNFOLDED = [
     "a12_fusion",
+    "a13_colour_fusion",
 ]
 
 
