@@ -41,6 +41,7 @@ def test_a_visit_step_costs_no_data_frame(spark):
 UNFOLDED = [
     "a12_fusion",
     "a13_colour_fusion",
+    "a14_carving",
 ]
 
 
