@@ -42,6 +42,7 @@ UNFOLDED = [
     "a12_fusion",
     "a13_colour_fusion",
     "a14_carving",
+    "a15_chunk_statistics",
 ]
 
 
