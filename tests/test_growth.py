@@ -43,6 +43,7 @@ UNFOLDED = [
     "a13_colour_fusion",
     "a14_carving",
     "a15_chunk_statistics",
+    "a17_frame_extent",
 ]
 
 
