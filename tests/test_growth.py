@@ -44,6 +44,7 @@ UNFOLDED = [
     "a14_carving",
     "a15_chunk_statistics",
     "a17_frame_extent",
+    "a20_mean_normal",
 ]
 
 
