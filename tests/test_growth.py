@@ -45,6 +45,7 @@ UNFOLDED = [
     "a15_chunk_statistics",
     "a17_frame_extent",
     "a20_mean_normal",
+    "f3_keypoint_depth",
 ]
 
 
