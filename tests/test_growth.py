@@ -46,6 +46,7 @@ UNFOLDED = [
     "a17_frame_extent",
     "a20_mean_normal",
     "f3_keypoint_depth",
+    "d1_dirty_chunks",
 ]
 
 
