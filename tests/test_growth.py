@@ -47,6 +47,7 @@ UNFOLDED = [
     "a20_mean_normal",
     "f3_keypoint_depth",
     "d1_dirty_chunks",
+    "g16_deformation",
 ]
 
 
