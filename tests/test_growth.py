@@ -48,6 +48,7 @@ UNFOLDED = [
     "f3_keypoint_depth",
     "d1_dirty_chunks",
     "g16_deformation",
+    "j10_chunks_seen",
 ]
 
 
