@@ -49,6 +49,7 @@ UNFOLDED = [
     "d1_dirty_chunks",
     "g16_deformation",
     "j10_chunks_seen",
+    "d4_create_missing",
 ]
 
 
