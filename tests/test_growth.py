@@ -50,6 +50,7 @@ UNFOLDED = [
     "g16_deformation",
     "j10_chunks_seen",
     "d4_create_missing",
+    "d5_collect_garbage",
 ]
 
 
