@@ -51,6 +51,7 @@ UNFOLDED = [
     "j10_chunks_seen",
     "d4_create_missing",
     "d5_collect_garbage",
+    "g12_mesh_colour",
 ]
 
 
