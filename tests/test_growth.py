@@ -52,6 +52,7 @@ UNFOLDED = [
     "d4_create_missing",
     "d5_collect_garbage",
     "g12_mesh_colour",
+    "g13_cell_lookup",
 ]
 
 
