@@ -53,6 +53,7 @@ UNFOLDED = [
     "d5_collect_garbage",
     "g12_mesh_colour",
     "g13_cell_lookup",
+    "g10_full_fusion",
 ]
 
 
