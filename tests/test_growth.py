@@ -54,6 +54,7 @@ UNFOLDED = [
     "g12_mesh_colour",
     "g13_cell_lookup",
     "g10_full_fusion",
+    "g9_refusion",
 ]
 
 
