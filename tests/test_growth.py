@@ -55,6 +55,7 @@ UNFOLDED = [
     "g13_cell_lookup",
     "g10_full_fusion",
     "g9_refusion",
+    "g13_distance_lookup",
 ]
 
 
