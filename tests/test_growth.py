@@ -68,3 +68,8 @@ def test_a_frame_s_pixels_lie_in_one_task_of_many(spark):
     px = fx.dense(spark, "/root/testdata/sf0.1")
     tasks = px.select("frame_id", F.spark_partition_id().alias("task")).distinct().groupBy("frame_id").count()
     assert px.rdd.getNumPartitions() == 16 and tasks.filter("count > 1").count() == 0
+
+
+def test_cells_of_grids_side_by_side_are_not_broadcast(spark):
+    joins = [line for line in plan_of(QUERIES["g15_resampled_grid"](spark, SF)).splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("BuildRight" in line for line in joins)  # the motions are
