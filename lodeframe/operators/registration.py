@@ -96,7 +96,8 @@ def moving_average_pick(costs: DataFrame, length: int, least: float = 1e-4) -> D
     w = Window.partitionBy("seq").orderBy("idx")
     run = w.rowsBetween(0, length - 1)
     m = costs.withColumns({"m": F.avg("cost").over(run), "n": F.count("*").over(run)}).filter(F.col("n") == length)
-    best = m.groupBy("seq").agg(F.max(F.struct("m", (-F.col("idx")).alias("i"))).alias("b")).filter(F.col("b.m") > least)
+    # means that are equal but for the order of their sums are equal
+    best = m.groupBy("seq").agg(F.max(F.struct(F.round("m", 12).alias("r"), (-F.col("idx")).alias("i"), "m")).alias("b")).filter(F.col("b.m") > least)
     best = best.select("seq", (-F.col("b.i")).alias("__from"))
     return costs.join(best, "seq").filter((F.col("idx") >= F.col("__from")) & (F.col("idx") < F.col("__from") + length)).drop("__from")
 
